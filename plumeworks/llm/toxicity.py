@@ -84,7 +84,7 @@ def kneser_ney(counts: list[tuple[str, int, int]]) -> Model:
                 by_class[0][g] += toxic
             if ordinary:
                 by_class[1][g] += ordinary
-    shared = _shared(set(by_class[0]) | set(by_class[1]))
+    shared = _shared({**by_class[0], **by_class[1]}.keys())
     sums, kinds = [], []
     for grams in by_class:
         n, k = defaultdict(float), defaultdict(int)
@@ -98,8 +98,9 @@ def kneser_ney(counts: list[tuple[str, int, int]]) -> Model:
         return DISCOUNT * kinds[c][context] / sums[c][context] if context in sums[c] else 1.0
 
     contexts = {h: math.log(weight(0, h) / weight(1, h)) for h in {*sums[0], *sums[1]}}
-    grams = {}
-    for g in {*by_class[0], *by_class[1]}:
+    grams: dict[str, float] = dict(by_class[0])
+    grams.update(by_class[1])
+    for g in grams:
         h, p = g[:-1], []
         low = shared(g[1:] if len(g) > CONTEXT else g)
         for c in (0, 1):
@@ -131,8 +132,9 @@ def _shared(grams: set[str]):
         if known is None:
             h = g[:-1]
             low = p(g[1:]) if h else 1 / letters
-            known = max(level.get(g, 0) - DISCOUNT, 0.0) / sums[h] + DISCOUNT * kinds[h] / sums[h] * low if sums.get(h) else low
-            memo[g] = known
+            known = max(level.get(g, 0) - DISCOUNT, 0.0) / sums[h] + DISCOUNT * kinds[h] / sums[h] * low if h in sums else low
+            if len(g) < CONTEXT:  # the longest are asked for about once
+                memo[g] = known
         return known
 
     return p
@@ -146,9 +148,10 @@ def count_words(rows: list[tuple[str, int]]) -> list[tuple[str, int, int]]:
     return [(w, counts[0][w], counts[1][w]) for w in sorted({*counts[0], *counts[1]})]
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
+def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Model:
     """The model of (text, label). The curve is fitted on ratios that the other half of the rows gives.
 
+    totals: how many rows each label has beyond the sample; the curve is moved to their odds.
     Without rows of both labels every document scores the share of toxic rows, or 0.
     """
     rows = [(t or "", int(label)) for t, label in rows]
@@ -166,7 +169,11 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         memo = Remembered(part.token)
         features += [part.features(t, memo) for t, _ in own]
         labels += [label for _, label in own]
-    return fit_curve(kneser_ney(count_words(rows)), np.array(features), np.array(labels, float))
+        del part, memo  # before the next model is made
+    model = fit_curve(kneser_ney(count_words(rows)), np.array(features), np.array(labels, float))
+    if totals:
+        model.weights[0] += math.log(totals[1] / totals[0]) - math.log(turn[1] / turn[0])
+    return model
 
 
 def fit_curve(model: Model, x: np.ndarray, y: np.ndarray, steps: int = 200) -> Model:
@@ -185,8 +192,8 @@ def fit_curve(model: Model, x: np.ndarray, y: np.ndarray, steps: int = 200) -> M
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: dict[int, int]) -> list[tuple[str, int]]:
-    """At most ``bound[label]`` labelled texts of each label, never a held-out one.
+def training_rows(docs: DataFrame, labels: DataFrame, bound: dict[int, int]) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """At most ``bound[label]`` labelled texts of each label, never a held-out one, and how many each label has.
 
     The rows with the smallest hash of doc_id are taken, so that the choice does not
     depend on how the tables are read. A doc_id with several labels counts as toxic if
@@ -200,7 +207,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: dict[int, int]) ->
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     # the taken ids are bounded by the parameter, so that they can be broadcast
     rows = text.join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)]
+    totals = {r["toxic"]: r["count"] for r in of.groupBy("toxic").count().collect()}
+    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)], totals
 
 
 def held_out(name: str):
@@ -209,12 +217,12 @@ def held_out(name: str):
 
 
 #: Training texts by label at most.
-BOUND = {1: 1000, 0: 1200}
+BOUND = {1: 800, 0: 1000}
 THRESHOLD = 0.3
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = None) -> Model:
-    return fit(training_rows(docs, labels, bound or BOUND))
+    return fit(*training_rows(docs, labels, bound or BOUND))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
