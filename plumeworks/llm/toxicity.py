@@ -152,7 +152,7 @@ def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Mo
     """The model of (text, label). The curve is fitted on ratios that the other half of the rows gives.
 
     totals: how many rows each label has beyond the sample; the curve is moved to their odds.
-    Without rows of both labels every document scores the share of toxic rows, or 0.
+    With fewer than two rows of either label nothing can be told, and every document scores 0 (to 17 digits).
     """
     rows = [(t or "", int(label)) for t, label in rows]
     halves = [[], []]
@@ -161,8 +161,7 @@ def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Mo
         halves[turn[row[1]] % 2].append(row)
         turn[row[1]] += 1
     if min(turn) < 2:
-        share = turn[1] / len(rows) if rows else 0.0
-        return Model({}, {}, [0.0] * (1 + len(TOP)), [1.0] * (1 + len(TOP)), [math.log(max(share, 1e-9) / max(1 - share, 1e-9)), *([0.0] * (1 + len(TOP)))])
+        return Model({}, {}, [0.0] * (1 + len(TOP)), [1.0] * (1 + len(TOP)), [-40.0, *([0.0] * (1 + len(TOP)))])
     features, labels = [], []
     for own, other in (halves, halves[::-1]):
         part = kneser_ney(count_words(other))
