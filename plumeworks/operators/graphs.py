@@ -60,6 +60,6 @@ def street_measures(edges: DataFrame, unit: str) -> DataFrame:
 
 def merge_lists(df: DataFrame, key: str, items: str) -> DataFrame:
     """``group, items``: the union of lists that overlap, directly or through others, as components of a bipartite graph."""
-    pairs = df.select(F.concat(F.lit("l:"), F.col(key).cast("string")).alias("a"), F.explode(items).cast("string").alias("item"))
+    pairs = df.select(F.concat(F.lit("l:"), F.col(key).cast("string")).alias("a"), F.explode(F.col(items).cast("array<string>")).alias("item"))
     of = connected_components(pairs.select("a", F.concat(F.lit("x:"), "item").alias("b")))
     return pairs.join(of, pairs["a"] == of["node"]).groupBy(F.col("component").alias("group")).agg(F.array_sort(F.collect_set("item")).alias("items"))

@@ -282,7 +282,8 @@ def building_adjacency(edges: DataFrame, centroids: DataFrame, key: str, band: f
     """
     from .spatial import distance_band
 
-    one = edges.select(key, F.least(F.struct("x1", "y1"), F.struct("x2", "y2")).alias("p"), F.greatest(F.struct("x1", "y1"), F.struct("x2", "y2")).alias("q"))
+    a, b = (F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2))
+    one = edges.select(key, F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
     l, r = one.alias("l"), one.alias("r")
     shared = l.join(r, [F.col("l.p") == F.col("r.p"), F.col("l.q") == F.col("r.q")]).where(F.col(f"l.{key}") < F.col(f"r.{key}")).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
     of = connected_components(shared, centroids.select(F.col(key).alias("node")))
