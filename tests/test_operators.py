@@ -194,3 +194,21 @@ def test_oracles_cover_registered_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_streaming_medians_and_rates(spark, tmp_path):
+    rows = [("a", 0, 1.0), ("a", 10, 2.0), ("a", 20, 2.0), ("a", 100, 9.0), ("b", 5, 1.0), ("b", 5, 3.0), ("b", None, 1.0)]
+    schema = "car string, t long, v double"
+    for part in (rows[:2], rows[2:]):  # two batches: a vehicle's last row is kept between them
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds(F.col("t") + 720_000))  # past the first watermark, which is 1970
+    got = {(r.vehicle, int(r.ts.timestamp()) - 720_000, r.rate) for r in run(windows.rates(stream, "ts", "car", "v"), "rates", "append")}
+    assert got == {("a", 0, None), ("a", 10, 0.1), ("a", 20, 0.0), ("a", 100, None), ("b", 5, None), ("b", 5, math.inf)}
+    medians = run(windows.hourly_medians(stream.where("t is not null"), "ts", "v"), "medians", "complete")
+    assert [r.v for r in medians] == [2.0]
