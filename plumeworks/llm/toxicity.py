@@ -6,23 +6,28 @@ has seen a letter after a context, the shared probability cancels, and what is l
 is the ratio of the two backoff weights; so the ratio of the likelihoods needs two
 tables only. A document is judged by the length-normalised difference of its
 log-likelihoods, as a whole and over its most telling words; a logistic curve fitted
-on the same labelled rows turns these into a score.
+on a bounded sample of the labelled rows turns these into a score.
+
+The counts are of all labelled rows: Spark sums words by class, and the n-grams of the
+words are counted in arrays, keyed by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Remembered
-from .common import map_batches, texts
+from .bpe import CHUNKS
+from .common import ROWS, map_batches, small_batches, texts
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,145 +38,197 @@ MARK, END = "^", "$"
 TOP = (1, 2, 4)
 #: Words longer than this are cut into parts of this length.
 LONGEST = 40
+#: Words whose n-grams are counted at once, n-grams hashed at once, and word kinds that a task counts before it hands them on.
+BLOCK, PLACES, KINDS = 100_000, 1 << 18, 200_000
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The marked words as one row of letters; the places of all n-grams' last letters, and the n-grams' sizes."""
+    codes = np.frombuffer("".join([f"{MARK}{w}{END}" for w in words]).encode("utf-32-le"), "<u4")
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    inside = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    last = np.flatnonzero(inside)
+    return codes, last, np.minimum(inside[last], CONTEXT) + 1
+
+
+def _hashes(codes: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the n-grams by the place of the last letter and the size; 0 for size 0."""
+    out = np.zeros(len(last), np.uint64)
+    for k in range(0, len(last), PLACES):
+        part, ends, size = out[k : k + PLACES], last[k : k + PLACES], sizes[k : k + PLACES]
+        for back in range(CONTEXT, -1, -1):
+            of = size > back
+            x = codes[ends[of] - back].astype(np.uint64) + np.uint64(1)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x * BASE ^ x >> np.uint64(shift)) * np.uint64(factor)
+            part[of] = part[of] * BASE + (x ^ x >> np.uint64(31))
+    return out
+
+
+def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys are among the sorted ones, and which are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios by n-gram, by context alone, and the curve over the features."""
+    """Log-likelihood ratios by n-gram, by context alone (sorted hashes and values), and the curve over the features."""
 
-    grams: dict[str, float]
-    contexts: dict[str, float]
+    grams: tuple[np.ndarray, np.ndarray]
+    contexts: tuple[np.ndarray, np.ndarray]
     mean: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
 
-    def word(self, word: str) -> float:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        s, total = MARK + word + END, 0.0
-        for i in range(1, len(s)):
-            low = i - CONTEXT if i > CONTEXT else 0
-            r = self.grams.get(s[low : i + 1])
-            total += self.contexts.get(s[low:i], 0.0) if r is None else r
-        return total
-
-    def token(self, token: str) -> tuple[float, int, tuple[float, ...]]:
+    def words(self, words: list[str]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word."""
+        if not words:
+            return np.zeros(0)
+        codes, last, sizes = _letters(words)
+        at, known = _at(self.grams[0], _hashes(codes, last, sizes))
+        low, seen = _at(self.contexts[0], _hashes(codes, last - 1, sizes - 1))
+        r = np.zeros(len(last))
+        r[seen] = self.contexts[1][low[seen]]
+        r[known] = self.grams[1][at[known]]
+        n = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        return np.add.reduceat(r, np.cumsum(n) - n)
+
+    def tokens(self, tokens: list[str]) -> list[tuple[float, int, tuple[float, ...]]]:
         """The ratio, the letters and the words' own ratios of what stands between spaces."""
-        words = [w[k : k + LONGEST] for w in WORD.findall(token) for k in range(0, len(w), LONGEST)]
-        each = tuple(self.word(w) for w in words)
-        return sum(each), sum(map(len, words)) + len(words), each
-
-    def features(self, text: str, memo: dict) -> list[float]:
-        parts = [memo[t] for t in text.lower().split()]
-        total, letters = sum([p[0] for p in parts]), sum([p[1] for p in parts])
-        best = sorted([r for p in parts for r in p[2]], reverse=True)[: max(TOP)]
-        best += [0.0] * (max(TOP) - len(best))
-        return [total / (letters + 20), *(min(sum(best[:k]) / k, 30.0) for k in TOP)]
-
-    def score(self, text: str, memo: dict) -> float:
-        x = [(f - m) / s for f, m, s in zip(self.features(text, memo), self.mean, self.scale)]
-        z = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x))
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
-
-
-def kneser_ney(counts: list[tuple[str, int, int]]) -> Model:
-    """The ratios from (word, times in toxic rows, times in ordinary rows)."""
-    by_class: tuple[dict, dict] = (defaultdict(float), defaultdict(float))
-    for word, toxic, ordinary in counts:
-        s = MARK + word[:LONGEST] + END
-        for i in range(1, len(s)):
-            g = s[max(0, i - CONTEXT) : i + 1]
-            if toxic:
-                by_class[0][g] += toxic
-            if ordinary:
-                by_class[1][g] += ordinary
-    shared = _shared({**by_class[0], **by_class[1]}.keys())
-    sums, kinds = [], []
-    for grams in by_class:
-        n, k = defaultdict(float), defaultdict(int)
-        for g, c in grams.items():
-            n[g[:-1]] += c
-            k[g[:-1]] += 1
-        sums.append(n)
-        kinds.append(k)
-
-    def weight(c: int, context: str) -> float:
-        return DISCOUNT * kinds[c][context] / sums[c][context] if context in sums[c] else 1.0
-
-    contexts = {h: math.log(weight(0, h) / weight(1, h)) for h in {*sums[0], *sums[1]}}
-    grams: dict[str, float] = dict(by_class[0])
-    grams.update(by_class[1])
-    for g in grams:
-        h, p = g[:-1], []
-        low = shared(g[1:] if len(g) > CONTEXT else g)
-        for c in (0, 1):
-            seen = by_class[c].get(g, 0.0)
-            p.append((max(seen - DISCOUNT, 0.0) / sums[c][h] if h in sums[c] else 0.0) + weight(c, h) * low)
-        grams[g] = math.log(p[0] / p[1])
-    return Model(grams, contexts)
-
-
-def _shared(grams: set[str]):
-    """P(last letter | the letters before), interpolated over continuation counts that both classes share.
+        words = [[w[k : k + LONGEST] for w in WORD.findall(t) for k in range(0, len(w), LONGEST)] for t in tokens]
+        each, at, out = self.words([w for ws in words for w in ws]).tolist(), 0, []
+        for ws in words:
+            r = tuple(each[at : at + len(ws)])
+            at += len(ws)
+            out.append((sum(r), sum(map(len, ws)) + len(ws), r))
+        return out
+
+    def features(self, batch: list[str], memo: dict) -> list[list[float]]:
+        """The features of each text; memo holds the tokens met before, a bounded number of them."""
+        out = []
+        for text in batch:
+            split = text.lower().split()
+            new = [t for t in dict.fromkeys(split) if t not in memo]
+            if len(memo) + len(new) > CHUNKS:
+                memo.clear()
+                new = list(dict.fromkeys(split))
+            memo.update(zip(new, self.tokens(new)))
+            parts = [memo[t] for t in split]
+            total, letters = sum([p[0] for p in parts]), sum([p[1] for p in parts])
+            best = sorted([r for p in parts for r in p[2]], reverse=True)[: max(TOP)]
+            best += [0.0] * (max(TOP) - len(best))
+            out.append([total / (letters + 20), *(min(sum(best[:k]) / k, 30.0) for k in TOP)])
+        return out
+
+    def scores(self, batch: list[str], memo: dict) -> list[float]:
+        out = []
+        for features in self.features(batch, memo):
+            x = [(f - m) / s for f, m, s in zip(features, self.mean, self.scale)]
+            z = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x))
+            out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
+        return out
+
+
+@dataclass
+class Grams:
+    """Distinct n-grams in the order of their hashes: their letters' place, their size, and a column of counts for each class and half."""
+
+    codes: np.ndarray
+    last: np.ndarray
+    sizes: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+
+
+def count_grams(words: pa.Array, counts: np.ndarray) -> Grams:
+    """The n-grams of the words, which count as often as their words. Blocks of words are merged one by one, which bounds the memory."""
+    rows, base, now = [], 0, None
+    for k in range(0, len(words), BLOCK):
+        some = [w[:LONGEST] for w in words[k : k + BLOCK].to_pylist()]
+        codes, last, sizes = _letters(some)
+        of = np.repeat(np.arange(k, k + len(some)), [len(w) + 1 for w in some])
+        keys, first, inverse = np.unique(_hashes(codes, last, sizes), return_index=True, return_inverse=True)
+        sums = np.stack([np.bincount(inverse, counts[of, c], len(keys)) for c in range(counts.shape[1])], 1)
+        rows.append(codes)
+        block = (last[first] + base), sizes[first].astype(np.int8), keys, sums
+        base += len(codes)
+        now = block if now is None else _merged(now, block)
+    return Grams(np.concatenate(rows), *now)
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    at, known = _at(a[2], b[2])
+    a[3][at[known]] += b[3][known]
+    new = ~known
+    where = np.searchsorted(a[2], b[2][new])
+    return tuple(np.insert(x, where, y[new], axis=0) for x, y in zip(a, b))
+
+
+def kneser_ney(grams: Grams, by_class: np.ndarray) -> Model:
+    """The ratios from the n-grams and a column of counts for each class, toxic first."""
+    met = by_class.any(1)
+    last, sizes, keys, by_class = grams.last[met], grams.sizes[met], grams.keys[met], by_class[met]
+    low = _shared(grams.codes, last, sizes)
+    contexts, inverse = np.unique(_hashes(grams.codes, last - 1, sizes - 1), return_inverse=True)
+    p, weights = [], []
+    for n in by_class.T:
+        sums, kinds = np.bincount(inverse, n, len(contexts)), np.bincount(inverse, n > 0, len(contexts))
+        seen = sums > 0
+        weight = np.where(seen, DISCOUNT * kinds / np.maximum(sums, 1), 1.0)
+        p.append(np.maximum(n - DISCOUNT, 0.0) / np.maximum(sums, 1)[inverse] + weight[inverse] * low)
+        weights.append(weight)
+    return Model((keys, np.log(p[0] / p[1])), (contexts, np.log(weights[0] / weights[1])))
+
+
+def _shared(codes: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """P(last letter | the letters before) by n-gram, interpolated over continuation counts that both classes share.
 
     A gram counts once for each letter that stands before it, and a gram at the
     start of a word once.
     """
-    level, kinds, sums = Counter(), defaultdict(int), defaultdict(float)
-    now = Counter([g[1:] if len(g) > CONTEXT else g for g in grams])
-    while now:
-        level.update(now)
-        now = Counter([g[1:] for g in now if len(g) > 1])
-    for g, c in level.items():
-        kinds[g[:-1]] += 1
-        sums[g[:-1]] += c
-    letters = max(1, len({g[-1] for g in level}))
-    memo: dict[str, float] = {}
-
-    def p(g: str) -> float:
-        known = memo.get(g)
-        if known is None:
-            h = g[:-1]
-            low = p(g[1:]) if h else 1 / letters
-            known = max(level.get(g, 0) - DISCOUNT, 0.0) / sums[h] + DISCOUNT * kinds[h] / sums[h] * low if h in sums else low
-            if len(g) < CONTEXT:  # the longest are asked for about once
-                memo[g] = known
-        return known
-
-    return p
-
-
-def count_words(rows: list[tuple[str, int]]) -> list[tuple[str, int, int]]:
-    """(word, times in toxic rows, times in ordinary rows)."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, label in rows:
-        counts[1 - label].update(WORD.findall(text.lower()))
-    return [(w, counts[0][w], counts[1][w]) for w in sorted({*counts[0], *counts[1]})]
-
-
-def fit(rows: list[tuple[str, int]], totals: dict[int, int] | None = None) -> Model:
-    """The model of (text, label). The curve is fitted on ratios that the other half of the rows gives.
-
-    totals: how many rows each label has beyond the sample; the curve is moved to their odds.
+    levels, longer = {}, last[sizes == CONTEXT + 1]
+    for k in range(CONTEXT, 0, -1):
+        ends = np.concatenate([longer, last[sizes == k]])
+        keys, first, n = np.unique(_hashes(codes, ends, np.full(len(ends), k, np.int8)), return_index=True, return_counts=True)
+        longer = ends[first]
+        levels[k] = keys, longer, n
+    letters, below, out = max(1, len(levels[1][0])), None, np.zeros(len(last))
+    for k in range(1, CONTEXT + 1):
+        keys, ends, n = levels.pop(k)
+        _, inverse = np.unique(_hashes(codes, ends - 1, np.full(len(ends), k - 1, np.int8)), return_inverse=True)
+        sums, kinds = np.bincount(inverse, n)[inverse], np.bincount(inverse)[inverse]
+        rest = 1 / letters if k == 1 else below[1][_at(below[0], _hashes(codes, ends, np.full(len(ends), k - 1, np.int8)))[0]]
+        below = keys, np.maximum(n - DISCOUNT, 0.0) / sums + DISCOUNT * kinds / sums * rest
+        of = np.flatnonzero(np.minimum(sizes, CONTEXT) == k)
+        out[of] = below[1][_at(keys, _hashes(codes, last[of], np.full(len(of), k, np.int8)))[0]]
+    return out
+
+
+def fit(grams: Grams | None, rows: list[tuple[str, int, int]], totals: tuple[int, int]) -> Model:
+    """The model of the counts of n-grams. The curve is fitted on ratios that the other half of the labelled rows gives.
+
+    grams: None without words; the counts' columns are toxic and ordinary in half 0, toxic and ordinary in half 1, of all labelled rows.
+    rows: a sample of (text, label, half) for the curve, which is moved to the odds of totals (ordinary, toxic rows).
     With fewer than two rows of either label nothing can be told, and every document scores 0 (to 17 digits).
     """
-    rows = [(t or "", int(label)) for t, label in rows]
-    halves = [[], []]
-    turn = [0, 0]
-    for row in rows:
-        halves[turn[row[1]] % 2].append(row)
-        turn[row[1]] += 1
-    if min(turn) < 2:
-        return Model({}, {}, [0.0] * (1 + len(TOP)), [1.0] * (1 + len(TOP)), [-40.0, *([0.0] * (1 + len(TOP)))])
+    turn = [sum(label == k for _, label, _ in rows) for k in (0, 1)]
+    if min(turn) < 2 or grams is None:
+        none = np.zeros(0, np.uint64), np.zeros(0)
+        return Model(none, none, [0.0] * (1 + len(TOP)), [1.0] * (1 + len(TOP)), [-40.0, *([0.0] * (1 + len(TOP)))])
     features, labels = [], []
-    for own, other in (halves, halves[::-1]):
-        part = kneser_ney(count_words(other))
-        memo = Remembered(part.token)
-        features += [part.features(t, memo) for t, _ in own]
-        labels += [label for _, label in own]
-        del part, memo  # before the next model is made
-    model = fit_curve(kneser_ney(count_words(rows)), np.array(features), np.array(labels, float))
-    if totals:
-        model.weights[0] += math.log(totals[1] / totals[0]) - math.log(turn[1] / turn[0])
+    for half in (0, 1):
+        own = [r for r in rows if r[2] == half]
+        part = kneser_ney(grams, grams.counts[:, 2:] if half == 0 else grams.counts[:, :2])
+        for k in range(0, len(own), ROWS):
+            features += part.features([t for t, _, _ in own[k : k + ROWS]], {})
+        labels += [label for _, label, _ in own]
+        del part  # before the next model is made
+    model = fit_curve(kneser_ney(grams, grams.counts[:, :2] + grams.counts[:, 2:]), np.array(features), np.array(labels, float))
+    model.weights[0] += math.log(totals[1] / totals[0]) - math.log(turn[1] / turn[0])
     return model
 
 
@@ -191,23 +248,67 @@ def fit_curve(model: Model, x: np.ndarray, y: np.ndarray, steps: int = 200) -> M
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: dict[int, int]) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """At most ``bound[label]`` labelled texts of each label, never a held-out one, and how many each label has.
+def labelled(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic, half`` of each labelled doc_id, never a held-out one.
+
+    A doc_id with several labels counts as toxic if any of them says so; rows without
+    a label of 0 or 1 are left out. The half is a bit of a hash of doc_id.
+    """
+    of = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    return of.where(~held_out("doc_id")).withColumn("half", F.xxhash64("doc_id").bitwiseAND(F.lit(1).cast("long")).cast("int"))
+
+
+def _with_text(docs: DataFrame, of: DataFrame) -> DataFrame:
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    return text.join(of, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("half").alias("half"))
+
+
+def word_counts(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, np.ndarray, tuple[int, int]]:
+    """The words of all labelled texts, their counts by half and class as ``fit`` takes those of n-grams, and how many texts are ordinary and toxic."""
+    rows = _with_text(docs, labelled(labels)).select("text", (2 * F.col("half") + 1 - F.col("toxic")).cast("int").alias("column"))
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [Counter() for _ in range(4)]
+
+        def done() -> pa.RecordBatch:
+            words = list({}.fromkeys(w for c in counts for w in c))
+            out = pa.record_batch([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "n0", "n1", "n2", "n3"])
+            for c in counts:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for text, column in zip(texts(batch), batch.column(1).to_pylist()):
+                counts[column].update(WORD.findall(text.lower()))
+                counts[column][""] += 1  # no word; counts the texts
+                if sum(map(len, counts)) > KINDS:
+                    yield done()
+        yield done()
+
+    sums = rows.mapInArrow(run, "word string, n0 long, n1 long, n2 long, n3 long").groupBy("word").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
+    got = sums.toArrow()
+    words = got.column(0).combine_chunks()
+    counts = np.stack([got.column(k).to_numpy() for k in range(1, 5)], 1).astype(float).reshape(-1, 4)
+    of = pc.equal(words, "")
+    texts_of = of.to_numpy(zero_copy_only=False)
+    n = counts[texts_of].sum(0)
+    return words.filter(pc.invert(of)), counts[~texts_of], (int(n[1] + n[3]), int(n[0] + n[2]))
+
+
+def curve_rows(docs: DataFrame, labels: DataFrame, bound: dict[int, int]) -> list[tuple[str, int, int]]:
+    """At most ``bound[label]`` labelled texts of each label, with the label and the half.
 
     The rows with the smallest hash of doc_id are taken, so that the choice does not
-    depend on how the tables are read. A doc_id with several labels counts as toxic if
-    any of them says so; rows without a text or a label of 0 or 1 are left out.
+    depend on how the tables are read.
     """
-    of = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).where(~held_out("doc_id"))
-    taken = None
+    of, taken = labelled(labels), None
     for label, n in sorted(bound.items()):
         some = of.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         taken = some if taken is None else taken.union(some)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     # the taken ids are bounded by the parameter, so that they can be broadcast
-    rows = text.join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    totals = {r["toxic"]: r["count"] for r in of.groupBy("toxic").count().collect()}
-    return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id)], totals
+    rows = _with_text(docs, F.broadcast(taken)).collect()
+    return [(r.text, r.toxic, r.half) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def held_out(name: str):
@@ -215,13 +316,18 @@ def held_out(name: str):
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: Training texts by label at most.
+#: Texts by label at most on which the curve is fitted.
 BOUND = {1: 1000, 0: 1200}
 THRESHOLD = 0.3
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = None) -> Model:
-    return fit(*training_rows(docs, labels, bound or BOUND))
+    """Both classes' counts are of all labelled texts; bound is for the curve."""
+    words, counts, totals = word_counts(docs, labels)
+    grams = count_grams(words, counts) if len(words) else None
+    del words, counts  # before the models are made
+    pa.default_memory_pool().release_unused()
+    return fit(grams, curve_rows(docs, labels, bound or BOUND), totals)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -230,13 +336,12 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     docs: has ``doc_id`` and ``text``; other columns are not read. A null or empty
     text has a score too, from features of zero. Repeated rows give a row each, a null
     doc_id stays null and is not held out; an empty table gives none. The model is
-    bounded by the training sample, and broadcast.
+    broadcast; it grows with the letter n-grams of the labelled texts, 16 bytes each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = _scorer(shared.value)
-        s = [score(t) for t in texts(batch)]
+        s = _scores(shared.value, texts(batch))
         return pa.record_batch([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out("doc_id"))
@@ -248,15 +353,13 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = _scorer(shared.value)
-        return batch.filter(pa.array([score(t) < threshold for t in texts(batch)], pa.bool_()))
+        return batch.filter(pa.array([s < threshold for s in _scores(shared.value, texts(batch))], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
 
 
-def _scorer(model: Model):
-    scorer = getattr(model, "_scorer", None)
-    if scorer is None:
-        memo = Remembered(model.token)
-        scorer = model._scorer = lambda text: model.score(text, memo)
-    return scorer
+def _scores(model: Model, batch: list[str]) -> list[float]:
+    memo = getattr(model, "_memo", None)
+    if memo is None:
+        memo = model._memo = {}
+    return model.scores(batch, memo)

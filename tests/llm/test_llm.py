@@ -1,9 +1,11 @@
 import hashlib
 import random
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -187,6 +189,55 @@ def test_toxicity_held_out(spark, docs):
     assert toxicity.drop_toxic(docs, none).count() == len(ROWS)
 
 
+def brute_ratios(counts, word):
+    """log P(word | toxic) - log P(word | ordinary) by the definition, from {word: (toxic, ordinary)}."""
+    size, d = toxicity.CONTEXT, toxicity.DISCOUNT
+    grams = lambda w: [f"^{w}$"[max(0, i - size) : i + 1] for i in range(1, len(w) + 2)]
+    n = [{}, {}]
+    for w, by in counts.items():
+        for g in grams(w):
+            for c in (0, 1):
+                if by[c]:
+                    n[c][g] = n[c].get(g, 0) + by[c]
+    every = {g for c in n for g in c}
+    inner = {g[k:] for g in every for k in range(len(g))} - {g for g in every if len(g) > size} - {"^"}
+    both = inner | every
+    level = {g: sum(b[1:] == g and len(b) == len(g) + 1 for b in both) + (g[0] == "^") for g in inner}
+
+    def shared(g):
+        of = {x: c for x, c in level.items() if x[:-1] == g[:-1]}
+        low = shared(g[1:]) if len(g) > 1 else 1 / len({x for x in level if len(x) == 1})
+        return (max(level.get(g, 0) - d, 0) + d * len(of) * low) / sum(of.values()) if of else low
+
+    def p(c, g):
+        of = {x: k for x, k in n[c].items() if x[:-1] == g[:-1]}
+        low = shared(g[1:] if len(g) > size else g)
+        return (max(n[c].get(g, 0) - d, 0) + d * len(of) * low) / sum(of.values()) if of else low
+
+    return sum(np.log(p(0, g) / p(1, g)) for g in grams(word))
+
+
+def test_toxicity_ratios_against_definition(monkeypatch):
+    counts = {"abracadabras": (3, 1), "abra": (0, 2), "cadabra": (4, 0), "bra": (1, 1), "zebra": (0, 5)}
+    grams = toxicity.count_grams(pa.array(list(counts)), np.array(list(counts.values()), float))
+    got = toxicity.kneser_ney(grams, grams.counts).words([*counts, "abrazeb", "bracad"])
+    monkeypatch.setattr(toxicity, "BLOCK", 2)
+    merged = toxicity.count_grams(pa.array(list(counts)), np.array(list(counts.values()), float))
+    assert np.array_equal(merged.keys, grams.keys) and np.array_equal(merged.counts, grams.counts)
+    assert np.allclose(got, [brute_ratios(counts, w) for w in [*counts, "abrazeb", "bracad"]])
+
+
+def test_toxicity_counts_all_labelled_texts(spark):
+    rows = [(i, f"common words here w{'abcdefghij'[i % 10]}x" + (" vequalow" if i % 2 else " plainly")) for i in range(400)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    words, counts, totals = toxicity.word_counts(df, labels)
+    train = [i for i in range(400) if not zlib.crc32(str(i).encode()) % 4 == 2]
+    by = dict(zip(words.to_pylist(), counts.sum(1)))
+    assert totals == (sum(i % 2 == 0 for i in train), sum(i % 2 for i in train)) and by["common"] == len(train) and by["vequalow"] == totals[1]
+    few, many = (toxicity.train(df, labels, {1: n, 0: n}) for n in (4, 100))
+    assert np.array_equal(few.grams[1], many.grams[1]) and len(toxicity.curve_rows(df, labels, {1: 4, 0: 4})) == 8
+
+
 def test_pipeline_keeps_columns(spark, docs, tmp_path):
     import corpus_pipeline as P
 
