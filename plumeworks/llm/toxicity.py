@@ -74,6 +74,10 @@ def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, sorted_keys[at] == keys
 
 
+def parts(word: str) -> list[str]:
+    return [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios by n-gram, by context alone (sorted hashes and values), and the curve over the features."""
@@ -99,7 +103,7 @@ class Model:
 
     def tokens(self, tokens: list[str]) -> list[tuple[float, int, tuple[float, ...]]]:
         """The ratio, the letters and the words' own ratios of what stands between spaces."""
-        words = [[w[k : k + LONGEST] for w in WORD.findall(t) for k in range(0, len(w), LONGEST)] for t in tokens]
+        words = [[part for w in WORD.findall(t) for part in parts(w)] for t in tokens]
         each, at, out = self.words([w for ws in words for w in ws]).tolist(), 0, []
         for ws in words:
             r = tuple(each[at : at + len(ws)])
@@ -148,9 +152,9 @@ def count_grams(words: pa.Array, counts: np.ndarray) -> Grams:
     """The n-grams of the words, which count as often as their words. Blocks of words are merged one by one, which bounds the memory."""
     rows, base, now = [], 0, None
     for k in range(0, len(words), BLOCK):
-        some = [w[:LONGEST] for w in words[k : k + BLOCK].to_pylist()]
-        codes, last, sizes = _letters(some)
-        of = np.repeat(np.arange(k, k + len(some)), [len(w) + 1 for w in some])
+        some = [(i, part) for i, w in enumerate(words[k : k + BLOCK].to_pylist(), k) for part in parts(w)]
+        codes, last, sizes = _letters([part for _, part in some])
+        of = np.repeat([i for i, _ in some], [len(part) + 1 for _, part in some])
         keys, first, inverse = np.unique(_hashes(codes, last, sizes), return_index=True, return_inverse=True)
         sums = np.stack([np.bincount(inverse, counts[of, c], len(keys)) for c in range(counts.shape[1])], 1)
         rows.append(codes)

@@ -227,6 +227,13 @@ def test_toxicity_ratios_against_definition(monkeypatch):
     assert np.allclose(got, [brute_ratios(counts, w) for w in [*counts, "abrazeb", "bracad"]])
 
 
+def test_toxicity_counts_long_words_in_parts():
+    long, n = "a" * 40 + "b" * 40 + "cd", np.array([[2.0, 1.0]])
+    whole = toxicity.count_grams(pa.array([long]), n)
+    cut = toxicity.count_grams(pa.array(["a" * 40, "b" * 40, "cd"]), np.repeat(n, 3, 0))
+    assert np.array_equal(whole.keys, cut.keys) and np.array_equal(whole.counts, cut.counts)
+
+
 def test_toxicity_counts_all_labelled_texts(spark):
     rows = [(i, f"common words here w{'abcdefghij'[i % 10]}x" + (" vequalow" if i % 2 else " plainly")) for i in range(400)]
     df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
