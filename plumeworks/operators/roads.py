@@ -80,7 +80,7 @@ def merge_roads(segs: DataFrame, key: str, names: str, near: float, rounds: int
         if m == n:
             return label
         n = m
-    return label
+    raise RuntimeError("roads did not settle")
 
 
 def bearing(a: tuple, b: tuple) -> float:

@@ -147,6 +147,15 @@ def test_road_merging(spark):
     assert {r.k: r.road for r in roads.merge_roads(segs, "k", "names", 20.0).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_road_merging_does_not_return_unsettled_roads(spark):
+    segs = spark.createDataFrame([(1, ["a"], 0.0, 0.0, 10.0, 0.0), (2, ["a"], 15.0, 0.0, 30.0, 0.0)], "k long, names array<string>, x1 double, y1 double, x2 double, y2 double")
+    try:
+        roads.merge_roads(segs, "k", "names", 20.0, rounds=1)
+        raise AssertionError
+    except RuntimeError as e:
+        assert "settle" in str(e)
+
+
 def test_filters_and_matching(spark):
     try:
         traffic.time_filters(spark.range(1), "id", weekday=True, weekend=True)
