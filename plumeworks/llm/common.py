@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows that Python handles at once. Spark's own Arrow batches are cut to this.
 ROWS = 256
@@ -26,20 +28,32 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where a local session names none, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, which cuts the lineage."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = ROWS) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = ROWS) -> DataFrame:
     """``fn`` over Arrow batches of at most ``rows`` rows each."""
     small_batches(df.sparkSession)
 
