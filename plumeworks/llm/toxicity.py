@@ -8,8 +8,9 @@ tables only. A document is judged by the length-normalised difference of its
 log-likelihoods, as a whole and over its most telling words; a logistic curve fitted
 on a bounded sample of the labelled rows turns these into a score.
 
-The counts are of all labelled rows: Spark sums words by class, and the n-grams of the
-words are counted in arrays, keyed by 64-bit hashes.
+The counts are of all labelled rows and stay in Spark: words are summed by class, then
+their n-grams, then the n-grams by context; the driver gets the ratios only, keyed by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import CHUNKS
-from .common import ROWS, map_batches, small_batches, texts
+from .common import checkpoint, map_batches, small_batches, texts
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 WORD = re.compile(r"[^\W\d_]+")
@@ -38,8 +39,11 @@ MARK, END = "^", "$"
 TOP = (1, 2, 4)
 #: Words longer than this are cut into parts of this length.
 LONGEST = 40
-#: Words whose n-grams are counted at once, n-grams hashed at once, and word kinds that a task counts before it hands them on.
-BLOCK, PLACES, KINDS = 100_000, 1 << 18, 200_000
+#: N-grams hashed at once, and word kinds that a task counts before it hands them on.
+PLACES, KINDS = 1 << 18, 200_000
+#: Labelled ids that are broadcast at most (17 bytes each).
+BROADCAST = 4_000_000
+COUNTS = ("n0", "n1", "n2", "n3")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,105 +141,141 @@ class Model:
         return out
 
 
-@dataclass
-class Grams:
-    """Distinct n-grams in the order of their hashes: their letters' place, their size, and a column of counts for each class and half."""
-
-    codes: np.ndarray
-    last: np.ndarray
-    sizes: np.ndarray
-    keys: np.ndarray
-    counts: np.ndarray
-
-
-def count_grams(words: pa.Array, counts: np.ndarray) -> Grams:
-    """The n-grams of the words, which count as often as their words. Blocks of words are merged one by one, which bounds the memory."""
-    rows, base, now = [], 0, None
-    for k in range(0, len(words), BLOCK):
-        some = [(i, part) for i, w in enumerate(words[k : k + BLOCK].to_pylist(), k) for part in parts(w)]
-        codes, last, sizes = _letters([part for _, part in some])
-        of = np.repeat([i for i, _ in some], [len(part) + 1 for _, part in some])
-        keys, first, inverse = np.unique(_hashes(codes, last, sizes), return_index=True, return_inverse=True)
-        sums = np.stack([np.bincount(inverse, counts[of, c], len(keys)) for c in range(counts.shape[1])], 1)
-        rows.append(codes)
-        block = (last[first] + base), sizes[first].astype(np.int8), keys, sums
-        base += len(codes)
-        now = block if now is None else _merged(now, block)
-    return Grams(np.concatenate(rows), *now)
-
-
-def _merged(a: tuple, b: tuple) -> tuple:
-    at, known = _at(a[2], b[2])
-    a[3][at[known]] += b[3][known]
-    new = ~known
-    where = np.searchsorted(a[2], b[2][new])
-    return tuple(np.insert(x, where, y[new], axis=0) for x, y in zip(a, b))
-
-
-def kneser_ney(grams: Grams, by_class: np.ndarray) -> Model:
-    """The ratios from the n-grams and a column of counts for each class, toxic first."""
-    met = by_class.any(1)
-    last, sizes, keys, by_class = grams.last[met], grams.sizes[met], grams.keys[met], by_class[met]
-    low = _shared(grams.codes, last, sizes)
-    contexts, inverse = np.unique(_hashes(grams.codes, last - 1, sizes - 1), return_inverse=True)
-    p, weights = [], []
-    for n in by_class.T:
-        sums, kinds = np.bincount(inverse, n, len(contexts)), np.bincount(inverse, n > 0, len(contexts))
-        seen = sums > 0
-        weight = np.where(seen, DISCOUNT * kinds / np.maximum(sums, 1), 1.0)
-        p.append(np.maximum(n - DISCOUNT, 0.0) / np.maximum(sums, 1)[inverse] + weight[inverse] * low)
-        weights.append(weight)
-    return Model((keys, np.log(p[0] / p[1])), (contexts, np.log(weights[0] / weights[1])))
-
-
-def _shared(codes: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """P(last letter | the letters before) by n-gram, interpolated over continuation counts that both classes share.
-
-    A gram counts once for each letter that stands before it, and a gram at the
-    start of a word once.
+def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``word, n0, n1, n2, n3``: the words of all labelled texts with their counts, toxic and ordinary in half 0, toxic and ordinary in half 1.
+
+    The empty word counts the texts. Words over LONGEST letters are counted in their parts.
+    """
+    rows = _with_text(docs, labelled(labels)).select("text", (2 * F.col("half") + 1 - F.col("toxic")).cast("int").alias("column"))
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [Counter() for _ in range(4)]
+
+        def done() -> pa.RecordBatch:
+            words = list({}.fromkeys(w for c in counts for w in c))
+            out = pa.record_batch([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", *COUNTS])
+            for c in counts:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for text, column in zip(texts(batch), batch.column(1).to_pylist()):
+                words = WORD.findall(text.lower())
+                counts[column].update(words if max(map(len, words), default=0) <= LONGEST else [p for w in words for p in parts(w)])
+                counts[column][""] += 1
+                if sum(map(len, counts)) > KINDS:
+                    yield done()
+        yield done()
+
+    return rows.mapInArrow(run, "word string, " + ", ".join(f"{n} long" for n in COUNTS)).groupBy("word").agg(*[F.sum(n).alias(n) for n in COUNTS])
+
+
+def gram_counts(words: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """``gram, n0, n1, n2, n3``: each letter of the marked words with up to ``context`` letters before it."""
+    marked = words.where("word <> ''").select(F.concat(F.lit(MARK), "word", F.lit(END)).alias("m"), *COUNTS)
+    last = marked.select("m", *COUNTS, F.explode(F.sequence(F.lit(2), F.length("m"))).alias("last"))
+    gram = F.expr(f"substring(m, greatest(1, last - {context}), least(last, {context + 1}))")
+    return last.select(gram.alias("gram"), *COUNTS).groupBy("gram").agg(*[F.sum(n).alias(n) for n in COUNTS])
+
+
+def shared(grams: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """``gram, low``: P(last letter | the letters before) of grams of up to ``context`` letters, over continuation counts that both classes share.
+
+    A gram counts once for each letter that stands before it, and a gram at the start
+    of a word once. Rows of one context are at most as many as there are letters, so
+    that the windows by context stay small.
     """
-    levels, longer = {}, last[sizes == CONTEXT + 1]
-    for k in range(CONTEXT, 0, -1):
-        ends = np.concatenate([longer, last[sizes == k]])
-        keys, first, n = np.unique(_hashes(codes, ends, np.full(len(ends), k, np.int8)), return_index=True, return_counts=True)
-        longer = ends[first]
-        levels[k] = keys, longer, n
-    letters, below, out = max(1, len(levels[1][0])), None, np.zeros(len(last))
-    for k in range(1, CONTEXT + 1):
-        keys, ends, n = levels.pop(k)
-        _, inverse = np.unique(_hashes(codes, ends - 1, np.full(len(ends), k - 1, np.int8)), return_inverse=True)
-        sums, kinds = np.bincount(inverse, n)[inverse], np.bincount(inverse)[inverse]
-        rest = 1 / letters if k == 1 else below[1][_at(below[0], _hashes(codes, ends, np.full(len(ends), k - 1, np.int8)))[0]]
-        below = keys, np.maximum(n - DISCOUNT, 0.0) / sums + DISCOUNT * kinds / sums * rest
-        of = np.flatnonzero(np.minimum(sizes, CONTEXT) == k)
-        out[of] = below[1][_at(keys, _hashes(codes, last[of], np.full(len(of), k, np.int8)))[0]]
+    ends = F.transform(F.sequence(F.lit(2), F.length("gram")), lambda k: F.substring(F.col("gram"), -k, k))
+    kinds = checkpoint(grams.select(F.explode(ends).alias("gram")).distinct())
+    again = kinds.where(F.col("gram").startswith(MARK) & (F.length("gram") <= context))
+    counts = checkpoint(kinds.select(F.expr("substring(gram, 2)").alias("gram")).union(again).groupBy("gram").agg(F.count("*").alias("n")))
+    below, every = None, None
+    for k in range(1, context + 1):
+        by = W.partitionBy(F.expr(f"substring(gram, 1, {k - 1})"))
+        of = counts.where(F.length("gram") == k).select("gram", "n", F.sum("n").over(by).alias("s"), F.count("*").over(by).alias("kinds"))
+        if below is None:
+            of = of.withColumn("rest", 1 / F.col("kinds"))
+        else:
+            of = of.join(below.select(F.col("gram").alias("end"), F.col("low").alias("rest")), F.expr("substring(gram, 2)") == F.col("end"))
+        below = checkpoint(of.select("gram", ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("rest")) / F.col("s")).alias("low")))
+        every = below if every is None else every.union(below)
+    return every
+
+
+def ratios(grams: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """``context, hash, r0, r1, r``: log P(toxic) / P(ordinary) by gram, and of the backoff weights by context, from half 0, half 1 and all rows."""
+    by = W.partitionBy(F.expr("substring(gram, 1, length(gram) - 1)"))
+    n = {c: F.col(f"n{c}") for c in range(4)} | {"t": F.col("n0") + F.col("n2"), "o": F.col("n1") + F.col("n3")}
+    of = grams.select("gram", *[v.alias(f"n_{c}") for c, v in n.items()], *[F.sum(v).over(by).alias(f"s_{c}") for c, v in n.items()], *[F.sum((v > 0).cast("long")).over(by).alias(f"k_{c}") for c, v in n.items()], (F.row_number().over(by.orderBy("gram")) == 1).alias("first"))
+    low = shared(grams, context).withColumnRenamed("gram", "end")
+    of = of.join(low, F.expr(f"right(gram, {context})") == F.col("end"))
+    weight = lambda c: F.when(F.col(f"s_{c}") > 0, DISCOUNT * F.col(f"k_{c}") / F.col(f"s_{c}")).otherwise(1.0)
+    p = lambda c: F.when(F.col(f"s_{c}") > 0, F.greatest(F.col(f"n_{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"s_{c}")).otherwise(0.0) + weight(c) * F.col("low")
+    sides = {"r0": (0, 1), "r1": (2, 3), "r": ("t", "o")}
+    of = of.select("gram", "first", *[F.ln(p(t) / p(o)).alias(r) for r, (t, o) in sides.items()], *[F.ln(weight(t) / weight(o)).alias(f"w{r}") for r, (t, o) in sides.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grams, first = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist())
+            sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+            codes, last = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4"), np.cumsum(sizes) - 1
+            for is_context, hashes, at in ((False, _hashes(codes, last, sizes), 2), (True, _hashes(codes, last - 1, sizes - 1)[first], 5)):
+                values = [batch.column(at + k).to_numpy(zero_copy_only=False) for k in range(3)]
+                values = [v[first] if is_context else v for v in values]
+                yield pa.record_batch([pa.array([is_context] * len(hashes), pa.bool_()), pa.array(hashes.view(np.int64)), *(pa.array(v, pa.float64()) for v in values)], names=["context", "hash", *sides])
+
+    return of.mapInArrow(run, "context boolean, hash long, r0 double, r1 double, r double")
+
+
+def models(grams: DataFrame, context: int = CONTEXT) -> list[Model]:
+    """The models of half 0, of half 1 and of all labelled rows; they share their keys."""
+    got = ratios(grams, context).toArrow()
+    of_context = got.column("context").to_numpy()
+    hashes, out = got.column("hash").to_numpy().view(np.uint64), []
+    order = [np.flatnonzero(of_context == c) for c in (False, True)]
+    order = [o[np.argsort(hashes[o])] for o in order]
+    keys = [hashes[o] for o in order]
+    for name in ("r0", "r1", "r"):
+        r = got.column(name).to_numpy()
+        out.append(Model(*[(k, r[o].astype(np.float32)) for k, o in zip(keys, order)]))
     return out
 
 
-def fit(grams: Grams | None, rows: list[tuple[str, int, int]], totals: tuple[int, int]) -> Model:
-    """The model of the counts of n-grams. The curve is fitted on ratios that the other half of the labelled rows gives.
+def fit(halves: list[Model], rows: DataFrame, totals: tuple[int, int]) -> Model:
+    """The model of all labelled rows, with a curve fitted on ratios that the other half of them gives.
 
-    grams: None without words; the counts' columns are toxic and ordinary in half 0, toxic and ordinary in half 1, of all labelled rows.
-    rows: a sample of (text, label, half) for the curve, which is moved to the odds of totals (ordinary, toxic rows).
-    With fewer than two rows of either label nothing can be told, and every document scores 0 (to 17 digits).
+    rows: ``text, toxic, half``, a sample for the curve, whose features are taken in the
+    executors; the curve is moved to the odds of totals (ordinary, toxic rows). With
+    fewer than two rows of either label nothing can be told, and every document scores
+    0 (to 17 digits).
     """
-    turn = [sum(label == k for _, label, _ in rows) for k in (0, 1)]
-    if min(turn) < 2 or grams is None:
-        none = np.zeros(0, np.uint64), np.zeros(0)
-        return Model(none, none, [0.0] * (1 + len(TOP)), [1.0] * (1 + len(TOP)), [-40.0, *([0.0] * (1 + len(TOP)))])
-    features, labels = [], []
-    for half in (0, 1):
-        own = [r for r in rows if r[2] == half]
-        part = kneser_ney(grams, grams.counts[:, 2:] if half == 0 else grams.counts[:, :2])
-        for k in range(0, len(own), ROWS):
-            features += part.features([t for t, _, _ in own[k : k + ROWS]], {})
-        labels += [label for _, label, _ in own]
-        del part  # before the next model is made
-    model = fit_curve(kneser_ney(grams, grams.counts[:, :2] + grams.counts[:, 2:]), np.array(features), np.array(labels, float))
+    shared_halves = rows.sparkSession.sparkContext.broadcast(halves[:2])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        of, half = texts(batch), batch.column(2).to_pylist()
+        got = [m.features(of, {}) for m in shared_halves.value]
+        f = [got[1 - h][k] for k, h in enumerate(half)]
+        return pa.record_batch([batch.column(1), pa.array(f, pa.list_(pa.float64()))], names=["toxic", "f"])
+
+    got = map_batches(rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.col("half").cast("int").alias("half")), run, "toxic int, f array<double>").collect()
+    got = sorted((r.toxic, r.f) for r in got)  # the fit must not depend on the order
+    turn = [sum(y == k for y, _ in got) for k in (0, 1)]
+    if min(turn) < 2 or min(totals) < 1:
+        return silent()
+    model = fit_curve(halves[2], np.array([f for _, f in got]), np.array([y for y, _ in got], float))
     model.weights[0] += math.log(totals[1] / totals[0]) - math.log(turn[1] / turn[0])
     return model
 
 
+def silent() -> Model:
+    """A model that tells nothing."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    return Model(none, none, [0.0] * (1 + len(TOP)), [1.0] * (1 + len(TOP)), [-40.0, *([0.0] * (1 + len(TOP)))])
+
+
 def fit_curve(model: Model, x: np.ndarray, y: np.ndarray, steps: int = 200) -> Model:
     """Fit the logistic curve by damped Newton steps; a ridge keeps it finite."""
     model.mean = x.mean(0).tolist()
@@ -263,56 +303,23 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def _with_text(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """``doc_id, text, toxic, half`` of each row of docs with a label; labels of a checked number are sent to the texts, else the texts are dealt by doc_id."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    return text.join(of, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("half").alias("half"))
-
+    return text.join(F.broadcast(of) if of.count() <= BROADCAST else of, "doc_id")
 
-def word_counts(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, np.ndarray, tuple[int, int]]:
-    """The words of all labelled texts, their counts by half and class as ``fit`` takes those of n-grams, and how many texts are ordinary and toxic."""
-    rows = _with_text(docs, labelled(labels)).select("text", (2 * F.col("half") + 1 - F.col("toxic")).cast("int").alias("column"))
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in range(4)]
+def curve_rows(docs: DataFrame, labels: DataFrame, bound: dict[int, int]) -> DataFrame:
+    """``doc_id, text, toxic, half`` of at most ``bound[label]`` labelled doc_ids of each label.
 
-        def done() -> pa.RecordBatch:
-            words = list({}.fromkeys(w for c in counts for w in c))
-            out = pa.record_batch([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", "n0", "n1", "n2", "n3"])
-            for c in counts:
-                c.clear()
-            return out
-
-        for batch in batches:
-            for text, column in zip(texts(batch), batch.column(1).to_pylist()):
-                counts[column].update(WORD.findall(text.lower()))
-                counts[column][""] += 1  # no word; counts the texts
-                if sum(map(len, counts)) > KINDS:
-                    yield done()
-        yield done()
-
-    sums = rows.mapInArrow(run, "word string, n0 long, n1 long, n2 long, n3 long").groupBy("word").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(4)])
-    got = sums.toArrow()
-    words = got.column(0).combine_chunks()
-    counts = np.stack([got.column(k).to_numpy() for k in range(1, 5)], 1).astype(float).reshape(-1, 4)
-    of = pc.equal(words, "")
-    texts_of = of.to_numpy(zero_copy_only=False)
-    n = counts[texts_of].sum(0)
-    return words.filter(pc.invert(of)), counts[~texts_of], (int(n[1] + n[3]), int(n[0] + n[2]))
-
-
-def curve_rows(docs: DataFrame, labels: DataFrame, bound: dict[int, int]) -> list[tuple[str, int, int]]:
-    """At most ``bound[label]`` labelled texts of each label, with the label and the half.
-
-    The rows with the smallest hash of doc_id are taken, so that the choice does not
-    depend on how the tables are read.
+    The ids with the smallest hash are taken, so that the choice does not depend on how
+    the tables are read; of an id's texts the smallest.
     """
     of, taken = labelled(labels), None
     for label, n in sorted(bound.items()):
         some = of.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         taken = some if taken is None else taken.union(some)
     # the taken ids are bounded by the parameter, so that they can be broadcast
-    rows = _with_text(docs, F.broadcast(taken)).collect()
-    return [(r.text, r.toxic, r.half) for r in sorted(rows, key=lambda r: r.doc_id)]
+    return _with_text(docs, checkpoint(taken)).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("half").alias("half"))
 
 
 def held_out(name: str):
@@ -326,12 +333,15 @@ THRESHOLD = 0.3
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = None) -> Model:
-    """Both classes' counts are of all labelled texts; bound is for the curve."""
-    words, counts, totals = word_counts(docs, labels)
-    grams = count_grams(words, counts) if len(words) else None
-    del words, counts  # before the models are made
-    pa.default_memory_pool().release_unused()
-    return fit(grams, curve_rows(docs, labels, bound or BOUND), totals)
+    """The model of the labelled rows. Counts are of all labelled texts, each row counting on its own where a doc_id repeats; bound is for the curve.
+
+    A labelled row with a null text counts nothing; labels without a document and empty tables are no error.
+    """
+    words = checkpoint(word_counts(docs, labels))
+    n = words.where("word = ''").select(*COUNTS).first()
+    if n is None or not words.where("word <> ''").limit(1).count():
+        return silent()
+    return fit(models(checkpoint(gram_counts(words))), curve_rows(docs, labels, bound or BOUND), (n.n1 + n.n3, n.n0 + n.n2))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
