@@ -44,7 +44,7 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lines.drop_lines(table(spark, sf_dir, "documents"))
+    of = lines.drop_lines(table(spark, sf_dir, "documents"), counts=("lines_before", "lines_after"))
     return of.select("doc_id", "text", "lines_before", "lines_after")
 
 
@@ -118,7 +118,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(
 ), x AS (SELECT r, source, text, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d WHERE text IS NOT NULL
 ), n AS (SELECT source, line, count(DISTINCT text) AS n FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line
 ), h AS (SELECT source, count(DISTINCT text) AS total FROM d WHERE text IS NOT NULL GROUP BY source
-), b AS (SELECT n.source, line FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source WHERE n >= 10 AND n > 0.05 * total
+), b AS (SELECT n.source, line FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source WHERE n >= 3 AND n > 0.05 * total
 ), k AS (SELECT x.r, string_agg(x.line, chr(10) ORDER BY i) AS text, count(*) AS lines_after FROM x LEFT JOIN b ON x.source IS NOT DISTINCT FROM b.source AND x.line = b.line WHERE b.line IS NULL GROUP BY x.r)
 SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(len(ls), 0)::BIGINT AS lines_before, coalesce(lines_after, 0)::BIGINT AS lines_after FROM d LEFT JOIN k USING (r)
 """
