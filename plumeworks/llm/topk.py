@@ -1,10 +1,12 @@
 """Exact top-k inner products by ball-tree branch and bound.
 
 Candidates are packed into shards of a bounded size where they are read; each shard is
-one row with a ball tree over its vectors. Queries are packed into blocks. A task gets
-a block and then the shards one after another; for each it visits nodes by the upper
-bound ``q . centre + |q| * radius``, largest first, and drops those that no query of
-the block can use. The current kth scores go on from shard to shard.
+one row with a ball tree over its vectors. Queries go in blocks and shards in groups,
+and each block meets each group in a task of its own. There nodes are visited by the
+upper bound ``q . centre + |q| * radius``, largest first, and those are dropped that no
+query of the block can use. The kth score that a first, bounded shard gives is where
+all tasks of a query start; in a group the current one goes on from shard to shard.
+The k best of each group are merged at the end.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
 K, EVERY, SCALE = 20, 20, 64.0
-SHARD, LEAF, BLOCK = 2048, 64, 256
+SHARD, LEAF, BLOCK = 2048, 64, 1024
+#: Vectors in a group of shards.
+GROUP = 16_384
 PARTS = {"ids": "binary", "data": "binary", "dim": "int", "tree": "binary", "bounds": "binary"}
 
 
@@ -96,6 +101,11 @@ def _unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return i, np.frombuffer(data, "<f8" if wide else "<i2").astype(float).reshape(len(i), dim)
 
 
+def _opened(ids: bytes, data: bytes, dim: int, tree: bytes, bounds: bytes) -> tuple[np.ndarray, ...]:
+    """A packed shard as ids, vectors, nodes and balls."""
+    return *_unpack(ids, data, dim), np.frombuffer(tree, np.int32).reshape(-1, 4), np.frombuffer(bounds, float).reshape(-1, dim + 1)
+
+
 class Search:
     """The best k so far of each query of a block."""
 
@@ -106,6 +116,10 @@ class Search:
         self.owner, self.found, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         self.visited = self.pruned = 0
 
+    def forget(self) -> None:
+        """Keep the kth scores only, as bounds; what they come from is met again."""
+        self.owner, self.found, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
     def shard(self, ids: np.ndarray, data: np.ndarray, nodes: np.ndarray, balls: np.ndarray) -> None:
         dim = max(self.q.shape[1], data.shape[1])
         q = np.pad(self.q, ((0, 0), (0, dim - self.q.shape[1])))
@@ -164,7 +178,7 @@ class Search:
         return pa.record_batch([pa.array(self.ids[owner]), pa.array(rank, pa.int32()), pa.array(found), pa.array([int(s) for s in self.score[order]], pa.int64())], names=["query_id", "rank", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCALE, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCALE, block: int = BLOCK, shard: int = SHARD, group: int = GROUP) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of each query, ties to the smaller vec_id.
 
     vectors: has ``vec_id`` and ``embedding``; other columns are not read. Queries are
@@ -173,15 +187,21 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCA
     non-finite components take no part. Vectors of different lengths are compared as
     if filled with zeros. Rows that repeat a vec_id are candidates each on its own; as
     queries they are asked once, by their largest vector. An empty table gives no rows.
-    Each block of queries meets each shard: N * Q / block vectors are sent, as packed rows.
+    Each block of queries meets each group of shards: N * Q / block vectors and
+    Q * N / group queries are sent, and a task holds one block and one shard.
     """
     of = integers(vectors, scale)
     asked = of.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
-    blocks = max(1, -(-asked.count() // block))
-    number = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-    queries = asked.select(number, F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", *[F.lit(None).cast(t).alias(n) for n, t in PARTS.items()])
-    sent = packed(of, shard).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), *PARTS)
-    both = queries.union(sent)
+    n, sc = of.count(), vectors.sparkSession.sparkContext
+    blocks, groups = max(1, -(-asked.count() // block)), max(1, -(-n // max(group, shard)))
+    # a bounded sample: what a query's kth score is among these, it is at least among all
+    first = sc.broadcast([tuple(r) for r in packed(of.limit(shard), shard).collect()])
+    number = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")
+    everywhere = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    queries = asked.select(number.alias("block"), everywhere(groups).alias("group"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", *[F.lit(None).cast(t).alias(n) for n, t in PARTS.items()])
+    shards = packed(of, shard).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("long"))
+    sent = shards.select(everywhere(blocks).alias("block"), "group", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), *PARTS)
+    both = queries.union(sent).select((F.col("block") * groups + F.col("group")).alias("task"), "kind", "id", "v", *PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, rows, search = None, [], [], None
@@ -196,10 +216,17 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCA
                     ids.append(batch.column(2)[r].as_py())
                     rows.append(batch.column(3)[r].as_py())
                 elif ids:
-                    search = search or Search(np.array(ids, np.int64), matrix(rows), k)
-                    i, data, dim, tree, bounds = (batch.column(c)[r].as_py() for c in range(4, 9))
-                    search.shard(*_unpack(i, data, dim), np.frombuffer(tree, np.int32).reshape(-1, 4), np.frombuffer(bounds, float).reshape(-1, dim + 1))
+                    if search is None:
+                        search = Search(np.array(ids, np.int64), matrix(rows), k)
+                        for parts in first.value:
+                            search.shard(*_opened(*parts))
+                        search.forget()
+                    search.shard(*_opened(*(batch.column(c)[r].as_py() for c in range(4, 9))))
         if search is not None:
             yield search.rows()
 
-    return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "query_id long, rank int, vec_id long, score long")
+    # a row for each task's number, so that a task of the plan gets several of them only where there are more than partitions
+    dealt = both.repartition(blocks * groups, "task") if blocks * groups > 1 else both.repartition(1)
+    found = dealt.sortWithinPartitions("task", "kind").mapInArrow(run, "query_id long, rank int, vec_id long, score long")
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
