@@ -47,8 +47,18 @@ class Trie:
             node = node.setdefault("paths", {})
             for segment in whole:
                 node = node.setdefault("next", {}).setdefault(segment, {})
-            # what follows the last slash of the rule is the start of a segment
-            node.setdefault("ends", {}).setdefault(start, (rule, verdict))
+            # what follows the last slash of the rule is the start of a segment; starts are kept by their length
+            node.setdefault("ends", {}).setdefault(len(start), {}).setdefault(start, (rule, verdict))
+        self._sort(self.root)
+
+    def _sort(self, root: dict) -> None:
+        """Longest starts first at each node."""
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if "ends" in node:
+                node["ends"] = sorted(node["ends"].items(), reverse=True)
+            todo += [*node.get("labels", {}).values(), *node.get("next", {}).values(), *([node["paths"]] if "paths" in node else [])]
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """The rule that fits best, with its verdict."""
@@ -65,9 +75,10 @@ class Trie:
     def _path(node: dict, path: str) -> tuple[str, str] | None:
         node, found, at = node.get("paths"), None, 0
         while node is not None:
-            for start, rule in sorted(node.get("ends", {}).items(), key=lambda x: len(x[0])):
-                if path.startswith(start, at):
+            for size, starts in node.get("ends", ()):
+                if (rule := starts.get(path[at : at + size])) is not None:
                     found = rule
+                    break
             end = path.find("/", at)
             if end < 0:
                 break
