@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +37,8 @@ _HINTS = re.compile(r"[0-9@]+")
 _EDGE = ".,;:!?\"'[]{}<>*#$%&|"
 #: Documents that the weights are learned from, steps of learning, rounds of messages, and the least belief of an added token.
 SAMPLE, STEPS, ROUNDS, BELIEF = 1500, 150, 12, 0.9
+#: Edges whose messages are worked out at once.
+EDGES = 1 << 14
 
 
 def luhn(digits: str) -> bool:
@@ -160,23 +163,29 @@ def graph(of: list[str]) -> Graph:
     return Graph(np.array(place, np.int64).reshape(-1, 3), np.array(x, float).reshape(-1, FEATURES), edges(chain), edges(skip))
 
 
+def _touched(places: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For each span the first and after-last of the places (start, end; in order, apart from one another) that it overlaps."""
+    if not spans:
+        return []
+    of = np.array(spans, np.int64)
+    first = np.searchsorted(places[:, 1], of[:, 0], side="right")
+    return list(zip(first.tolist(), np.maximum(first, np.searchsorted(places[:, 0], of[:, 1])).tolist()))
+
+
 def weak_labels(of: list[str], g: Graph) -> tuple[np.ndarray, np.ndarray]:
     """Each token's label by the base spans, and whether it is one to learn from."""
     y, known = np.zeros(len(g.place), np.int64), np.ones(len(g.place), bool)
-    by_doc: dict[int, list[int]] = {}
-    for k, (doc, _, _) in enumerate(g.place.tolist()):
-        by_doc.setdefault(doc, []).append(k)
-    for doc, nodes in by_doc.items():
+    docs, first = np.unique(g.place[:, 0], return_index=True)
+    for doc, at, end in zip(docs.tolist(), first.tolist(), [*first[1:].tolist(), len(g.place)]):
         spans, dropped = base(of[doc])
-        starts = [(a, b, kind) for kind, a, b in sorted(spans, key=lambda s: s[1])]
+        places = g.place[at:end, 1:]
         for kind in (3, 2, 1, 0):
-            for a, b, _ in [s for s in starts if s[2] == kind]:
-                inside = [k for k in nodes if g.place[k, 1] < b and g.place[k, 2] > a]
-                for n, k in enumerate(inside):
-                    y[k] = (1, 2, 3, 5)[kind] + (n > 0 and kind > 1)
-        for k in nodes:
-            if y[k] == 0 and any(g.place[k, 1] < b and g.place[k, 2] > a for a, b in dropped):
-                known[k] = False
+            for a, b in _touched(places, [(s, e) for k, s, e in spans if k == kind]):
+                y[at + a : at + b] = (1, 2, 3, 5)[kind]
+                if kind > 1:
+                    y[at + a + 1 : at + b] += 1
+        for a, b in _touched(places, dropped):
+            known[at + a : at + b] &= y[at + a : at + b] != 0
     return y, known
 
 
@@ -218,28 +227,32 @@ def learn(of: list[str], steps: int = STEPS) -> Weights:
     return Weights(params[0], np.clip(params[1], -4, 4), np.clip(params[2], 0.5, 4))
 
 
+def _passed(sent: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """The messages that go over edges of one factor, EDGES at a time."""
+    out = np.empty_like(sent)
+    for at in range(0, len(sent), EDGES):
+        z = sent[at : at + EDGES, :, None] + factor
+        most = z.max(1)
+        out[at : at + EDGES] = most + np.log(np.exp(z - most[:, None, :]).sum(1))
+    return out - out.max(1, keepdims=True, initial=-np.inf)
+
+
 def beliefs(g: Graph, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
     """Each token's marginals by damped loopy sum-product over both kinds of edges."""
     node = g.x @ w.node
     node -= node.max(1, keepdims=True, initial=-np.inf)
-    n = len(LABELS)
-    edges = np.vstack([g.chain, g.skip])
-    if len(edges):
-        forth = np.concatenate([np.repeat(w.chain[None], len(g.chain), 0), np.repeat(np.diag(w.skip)[None], len(g.skip), 0)])
-        source, target = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
-        factor = np.concatenate([forth, forth.transpose(0, 2, 1)])
-        back = np.r_[np.arange(len(edges)) + len(edges), np.arange(len(edges))]
-        message = np.zeros((len(source), n))
+    if len(g.chain) or len(g.skip):
+        kinds = [(g.chain[:, 0], g.chain[:, 1], w.chain), (g.chain[:, 1], g.chain[:, 0], w.chain.T), (g.skip[:, 0], g.skip[:, 1], np.diag(w.skip)), (g.skip[:, 1], g.skip[:, 0], np.diag(w.skip))]
+        message = [np.zeros((len(source), len(LABELS))) for source, _, _ in kinds]
         for _ in range(rounds):
             total = node.copy()
-            np.add.at(total, target, message)
-            sent = (total[source] - message[back])[:, :, None] + factor
-            most = sent.max(1)
-            new = most + np.log(np.exp(sent - most[:, None, :]).sum(1))
-            new -= new.max(1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
-        node = node.copy()
-        np.add.at(node, target, message)
+            for (_, target, _), m in zip(kinds, message):
+                np.add.at(total, target, m)
+            # the message that came the other way over an edge is not sent back
+            new = [_passed(total[source] - message[k ^ 1], factor) for k, (source, _, factor) in enumerate(kinds)]
+            message = [0.5 * m + 0.5 * x for m, x in zip(message, new)]
+        for (_, target, _), m in zip(kinds, message):
+            np.add.at(node, target, m)
     p = np.exp(node - node.max(1, keepdims=True, initial=-np.inf))
     return p / p.sum(1, keepdims=True)
 
@@ -268,11 +281,24 @@ def added(of: list[str], w: Weights, known: list[list[Span]], belief: float = BE
         open_at[k] = len(out[doc])
         out[doc].append((kind_of[label], a, b))
     for doc, spans in enumerate(out):
-        taken = sorted((a, b) for _, a, b in known[doc])
-        out[doc] = [s for s in spans if _plausible(of[doc][s[1] : s[2]], s[0]) and not any(a < s[2] and b > s[1] for a, b in taken)]
+        if spans:
+            taken = _united((a, b) for _, a, b in known[doc])
+            free = [a == b for a, b in _touched(taken, [s[1:] for s in spans])]
+            out[doc] = [s for s, x in zip(spans, free) if x and _plausible(of[doc][s[1] : s[2]], s[0])]
     return out
 
 
+def _united(spans: Iterable[tuple[int, int]]) -> np.ndarray:
+    """The spans in order, with those that overlap as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def _plausible(s: str, kind: int) -> bool:
     """An added span must have what its kind consists of."""
     n = len(_digits(s))
@@ -328,7 +354,11 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def redact_documents(docs: DataFrame, w: Weights) -> DataFrame:
-    """docs, with all their columns, with the personal data in ``text`` replaced; a null text stays null."""
+    """docs, with all their columns, with the personal data in ``text`` replaced.
+
+    A null text stays null, one without personal data as it is; repeated rows are each
+    kept, an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(w)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
