@@ -5,7 +5,6 @@ import zlib
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -98,6 +97,54 @@ def test_reached_links_chains():
     chain = np.array([0, 0b1111, 0b11111111, 0xFFFF << 40], np.uint64)
     child, root = simhash.reached(np.sort(chain), 4)
     assert sorted(zip(child.tolist(), root.tolist())) == [(15, 0), (255, 0)]
+    assert simhash.shared_bytes(np.array([0, 1, 0x0100_0000_0000_0080, (1 << 64) - 1], np.uint64)).tolist() == [8, 7, 6, 0]
+
+
+def roots(n, edges):
+    at = list(range(n))
+
+    def find(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        at[y] = x
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("most", [4096, 60, 8])
+def test_simhash_split_lists_lose_no_link(spark, most):
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 63, 120, dtype=np.int64).astype(np.uint64).tolist()
+    fps += [f ^ sum(1 << int(k) for k in rng.choice(64, d, replace=False)) for f in fps[:80] for d in (1, 4, 5)]
+    fps += (rng.integers(0, 1 << 16, 150).astype(np.uint64) | np.uint64(0x1122334400000000)).tolist()  # half their bytes and more are shared
+    fps = np.unique(np.array(fps, np.uint64))
+    place = {int(f): k for k, f in enumerate(fps.view(np.int64))}
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    nodes = spark.createDataFrame([(f,) for f in place], "fp long")
+    got = [(place[r.u], place[r.v]) for r in simhash.links(nodes, 4, most).collect()]
+    assert roots(len(fps), got) == roots(len(fps), zip(i.tolist(), j.tolist()))
+
+
+def test_simhash_list_of_200000_members():
+    rng = np.random.default_rng(2)
+    f = np.unique(rng.choice(1 << 32, 200_000, replace=False).astype(np.uint64)) | np.uint64(0x5566778800000000)
+    near = {(min(a, b), max(a, b)) for a, b in ((int(x), int(y)) for x in f[:300] for y in f[np.bitwise_count(f ^ x) <= 4]) if a != b}
+    edges = set()
+    for a, b in simhash.long_list(f, [0, 1, 2, 3], 4):
+        edges.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+    assert near <= edges and all((a ^ b).bit_count() <= 4 for a, b in list(edges)[:1000])
+
+
+def test_near_duplicates_keep_columns_that_look_like_our_own(spark):
+    rows = [(1, "a b c d e f", "h", 5, 9), (1, "a b c d e f", "g", 6, 9), (2, "a b c d e f", "h", 7, 9), (None, None, "x", 8, 9), (None, "", "y", 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __hash string, __id int, __fp int")
+    kept = simhash.drop_near_duplicates(df)
+    got = sorted(kept.collect(), key=str)
+    assert kept.columns == df.columns and len(got) == 2 and {r.doc_id for r in got} == {1, None}
+    assert got == sorted(simhash.drop_near_duplicates(df.orderBy(F.desc("__id"))).collect(), key=str)
 
 
 def test_urls(spark):
@@ -120,7 +167,8 @@ def test_top_k_against_all(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(60)] + [(900, None), (920, [float("nan")] * 8), (None, [1.0] * 8), (940, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(tuple(r) for r in topk.top_k(df, block=7, shard=64).collect())
+    got = sorted(tuple(r) for r in topk.top_k(df, block=7, shard=64, group=128).collect())
+    assert got == sorted(tuple(r) for r in topk.top_k(df).collect())
     v = {i: np.pad(np.floor(64 * np.array(e)), (0, 8 - len(e))) for i, e in rows if i is not None and e is not None and np.isfinite(e).all()}
     want = []
     for q in v:
@@ -130,13 +178,19 @@ def test_top_k_against_all(spark):
     assert got == sorted(want) and topk.top_k(df.limit(0)).count() == 0
 
 
-def test_lines(spark):
-    rows = [(i, "s", f"same line\nown {i}\n\n") for i in range(20)] + [(50, "s", None), (51, None, "same line"), (52, "t", "same line\nx"), (53, "s", "")]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = {r.doc_id: (r.text, r.lines_before, r.lines_after) for r in lines.drop_lines(df).collect()}
-    assert got[0] == ("own 0\n\n", 4, 3) and got[50] == (None, 0, 0) and got[51] == ("same line", 1, 1) and got[52][2] == 2 and got[53] == ("", 1, 1)
+def test_lines(spark, monkeypatch):
+    rows = [(i, "s", f"same line\nown {i}\n\n", i, "x") for i in range(20)] + [(50, "s", None, 0, "x"), (51, None, "same line", 0, "x"), (52, "t", "same line\nx", 0, "x"), (53, "s", "", 0, "x")]
+    rows += [(60 + i, None, "a\nb", i, "x") for i in range(2)] + [(70 + i, "small", f"menu\n{i}", i, "x") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, lines_before int, __host string")
+    for most in (lines.BROADCAST, 0):
+        monkeypatch.setattr(lines, "BROADCAST", most)
+        of = lines.drop_lines(df, counts=("before", "after"))
+        got = {r.doc_id: (r.text, r.before, r.after, r.lines_before) for r in of.collect()}
+        assert got[0] == ("own 0\n\n", 4, 3, 0) and got[50] == (None, 0, 0, 0) and got[51] == ("same line", 1, 1, 0) and got[52][2] == 2 and got[53] == ("", 1, 1, 0)
+        assert got[70] == ("0", 2, 1, 0) and got[61] == ("a\nb", 2, 2, 1) and len(got) == len(rows)
+        assert lines.drop_lines(df).columns == df.columns and sum(r.lines_before for r in lines.drop_lines(df).collect()) == sum(r[3] for r in rows)
     copies = spark.createDataFrame([(i, "s", "a\nb") for i in range(30)], "doc_id long, source string, text string")
-    assert lines.drop_lines(copies).where("lines_after = 2").count() == 30 and lines.drop_lines(df.limit(0)).count() == 0
+    assert lines.drop_lines(copies, counts=("lines_before", "lines_after")).where("lines_after = 2").count() == 30 and lines.drop_lines(df.limit(0)).count() == 0
 
 
 def brute_base(t):
@@ -217,32 +271,31 @@ def brute_ratios(counts, word):
     return sum(np.log(p(0, g) / p(1, g)) for g in grams(word))
 
 
-def test_toxicity_ratios_against_definition(monkeypatch):
+def test_toxicity_ratios_against_definition(spark):
     counts = {"abracadabras": (3, 1), "abra": (0, 2), "cadabra": (4, 0), "bra": (1, 1), "zebra": (0, 5)}
-    grams = toxicity.count_grams(pa.array(list(counts)), np.array(list(counts.values()), float))
-    got = toxicity.kneser_ney(grams, grams.counts).words([*counts, "abrazeb", "bracad"])
-    monkeypatch.setattr(toxicity, "BLOCK", 2)
-    merged = toxicity.count_grams(pa.array(list(counts)), np.array(list(counts.values()), float))
-    assert np.array_equal(merged.keys, grams.keys) and np.array_equal(merged.counts, grams.counts)
-    assert np.allclose(got, [brute_ratios(counts, w) for w in [*counts, "abrazeb", "bracad"]])
+    words = spark.createDataFrame([(w, *by, 0, 0) for w, by in counts.items()], "word string, n0 long, n1 long, n2 long, n3 long")
+    half, none, every = toxicity.models(toxicity.gram_counts(words))
+    for m in (half, every):
+        assert np.allclose(m.words([*counts, "abrazeb", "bracad"]), [brute_ratios(counts, w) for w in [*counts, "abrazeb", "bracad"]], atol=1e-5)
+    assert not none.words([*counts]).any()  # the other half has no rows
 
 
-def test_toxicity_counts_long_words_in_parts():
-    long, n = "a" * 40 + "b" * 40 + "cd", np.array([[2.0, 1.0]])
-    whole = toxicity.count_grams(pa.array([long]), n)
-    cut = toxicity.count_grams(pa.array(["a" * 40, "b" * 40, "cd"]), np.repeat(n, 3, 0))
-    assert np.array_equal(whole.keys, cut.keys) and np.array_equal(whole.counts, cut.counts)
+def test_toxicity_counts_long_words_in_parts(spark):
+    long = "a" * 40 + "b" * 40 + "cd"
+    df, labels = spark.createDataFrame([(1, f"x {long}")], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert {r.word for r in toxicity.word_counts(df, labels).collect()} == {"", "x", "a" * 40, "b" * 40, "cd"}
 
 
-def test_toxicity_counts_all_labelled_texts(spark):
+def test_toxicity_counts_all_labelled_texts(spark, monkeypatch):
     rows = [(i, f"common words here w{'abcdefghij'[i % 10]}x" + (" vequalow" if i % 2 else " plainly")) for i in range(400)]
     df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
-    words, counts, totals = toxicity.word_counts(df, labels)
     train = [i for i in range(400) if not zlib.crc32(str(i).encode()) % 4 == 2]
-    by = dict(zip(words.to_pylist(), counts.sum(1)))
-    assert totals == (sum(i % 2 == 0 for i in train), sum(i % 2 for i in train)) and by["common"] == len(train) and by["vequalow"] == totals[1]
+    for most in (toxicity.BROADCAST, 0):
+        monkeypatch.setattr(toxicity, "BROADCAST", most)
+        by = {r.word: sum(r[1:]) for r in toxicity.word_counts(df, labels).collect()}
+        assert by[""] == by["common"] == len(train) and by["vequalow"] == sum(i % 2 for i in train)
     few, many = (toxicity.train(df, labels, {1: n, 0: n}) for n in (4, 100))
-    assert np.array_equal(few.grams[1], many.grams[1]) and len(toxicity.curve_rows(df, labels, {1: 4, 0: 4})) == 8
+    assert np.array_equal(few.grams[1], many.grams[1]) and toxicity.curve_rows(df, labels, {1: 4, 0: 4}).count() == 8
 
 
 def test_pipeline_keeps_columns(spark, docs, tmp_path):
