@@ -15,6 +15,7 @@ their n-grams, then the n-grams by context; the driver gets the ratios only, key
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -39,12 +40,14 @@ MARK, END = "^", "$"
 TOP = (1, 2, 4)
 #: Words longer than this are cut into parts of this length.
 LONGEST = 40
-#: N-grams hashed at once, and word kinds that a task counts before it hands them on.
-PLACES, KINDS = 1 << 18, 200_000
+#: Words whose n-grams are looked up at once, and word kinds that a task counts before it hands them on.
+BLOCK, KINDS = 20_000, 200_000
 #: Labelled ids that are broadcast at most (17 bytes each).
 BROADCAST = 4_000_000
 COUNTS = ("n0", "n1", "n2", "n3")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: The inverse of BASE modulo 2**64.
+BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,26 +59,47 @@ def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, last, np.minimum(inside[last], CONTEXT) + 1
 
 
-def _hashes(codes: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the n-grams by the place of the last letter and the size; 0 for size 0."""
-    out = np.zeros(len(last), np.uint64)
-    for k in range(0, len(last), PLACES):
-        part, ends, size = out[k : k + PLACES], last[k : k + PLACES], sizes[k : k + PLACES]
-        for back in range(CONTEXT, -1, -1):
-            of = size > back
-            x = codes[ends[of] - back].astype(np.uint64) + np.uint64(1)
-            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                x = (x * BASE ^ x >> np.uint64(shift)) * np.uint64(factor)
-            part[of] = part[of] * BASE + (x ^ x >> np.uint64(31))
-    return out
-
-
-def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the keys are among the sorted ones, and which are there."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    """A number of 64 bits for each letter."""
+    x = codes.astype(np.uint64) + np.uint64(1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x * BASE ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def _hashes(codes: np.ndarray, last: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-grams by the place of the last letter and the size, and of their contexts; 0 for size 0."""
+    mixed, out = _mixed(codes), np.zeros(len(last), np.uint64)
+    for back in range(int(sizes.max(initial=0)) - 1, -1, -1):
+        of = sizes > back
+        out[of] = out[of] * BASE + mixed[last[of] - back]
+    return out, (out - mixed[last]) * BACK
+
+
+class Table:
+    """Values by sorted 64-bit keys, found by the keys' first bits and from there on by bisection."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = max(1, len(keys).bit_length() - 2)
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+        self.start = np.append(self.start, self.start.dtype.type(len(keys)))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The keys' values, 0 for those that are not there, and which are."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        part = (keys >> self.shift).astype(np.int64)
+        low, high = self.start[part], self.start[part + 1]
+        for _ in range(int((high - low).max(initial=0)).bit_length()):
+            middle = (low + high) >> 1
+            less = self.keys[np.minimum(middle, len(self.keys) - 1)] < keys
+            less &= low < high
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        low = np.minimum(low, len(self.keys) - 1)
+        known = self.keys[low] == keys
+        return np.where(known, self.values[low], np.float32(0)), known
 
 
 def parts(word: str) -> list[str]:
@@ -91,19 +115,26 @@ class Model:
     mean: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
+    _tables: tuple | None = None
+    _memo: dict | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": None, "_memo": None}
 
     def words(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
-        if not words:
-            return np.zeros(0)
-        codes, last, sizes = _letters(words)
-        at, known = _at(self.grams[0], _hashes(codes, last, sizes))
-        low, seen = _at(self.contexts[0], _hashes(codes, last - 1, sizes - 1))
-        r = np.zeros(len(last))
-        r[seen] = self.contexts[1][low[seen]]
-        r[known] = self.grams[1][at[known]]
-        n = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        return np.add.reduceat(r, np.cumsum(n) - n)
+        if self._tables is None:
+            self._tables = Table(*self.grams), Table(*self.contexts)
+        grams, contexts = self._tables
+        out = np.zeros(len(words))
+        for at in range(0, len(words), BLOCK):
+            codes, last, sizes = _letters(words[at : at + BLOCK])
+            gram, context = _hashes(codes, last, sizes)
+            r, known = grams.find(gram)
+            r[~known] = contexts.find(context[~known])[0]
+            n = np.fromiter(map(len, words[at : at + BLOCK]), np.int64) + 1
+            out[at : at + BLOCK] = np.add.reduceat(r.astype(float), np.cumsum(n) - n)
+        return out
 
     def tokens(self, tokens: list[str]) -> list[tuple[float, int, tuple[float, ...]]]:
         """The ratio, the letters and the words' own ratios of what stands between spaces."""
@@ -117,17 +148,16 @@ class Model:
 
     def features(self, batch: list[str], memo: dict) -> list[list[float]]:
         """The features of each text; memo holds the tokens met before, a bounded number of them."""
-        out = []
-        for text in batch:
-            split = text.lower().split()
-            new = [t for t in dict.fromkeys(split) if t not in memo]
-            if len(memo) + len(new) > CHUNKS:
-                memo.clear()
-                new = list(dict.fromkeys(split))
-            memo.update(zip(new, self.tokens(new)))
+        out, splits = [], [text.lower().split() for text in batch]
+        new = dict.fromkeys(t for split in splits for t in split)
+        if len(memo) + len(new) > CHUNKS:
+            memo.clear()
+        new = [t for t in new if t not in memo]
+        memo.update(zip(new, self.tokens(new)))
+        for split in splits:
             parts = [memo[t] for t in split]
             total, letters = sum([p[0] for p in parts]), sum([p[1] for p in parts])
-            best = sorted([r for p in parts for r in p[2]], reverse=True)[: max(TOP)]
+            best = heapq.nlargest(max(TOP), [r for p in parts for r in p[2]])
             best += [0.0] * (max(TOP) - len(best))
             out.append([total / (letters + 20), *(min(sum(best[:k]) / k, 30.0) for k in TOP)])
         return out
@@ -222,12 +252,13 @@ def ratios(grams: DataFrame, context: int = CONTEXT) -> DataFrame:
             grams, first = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist())
             sizes = np.fromiter(map(len, grams), np.int64, len(grams))
             codes, last = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4"), np.cumsum(sizes) - 1
-            for is_context, hashes, at in ((False, _hashes(codes, last, sizes), 2), (True, _hashes(codes, last - 1, sizes - 1)[first], 5)):
+            gram, context = _hashes(codes, last, sizes)
+            for is_context, hashes, at in ((False, gram, 2), (True, context[first], 5)):
                 values = [batch.column(at + k).to_numpy(zero_copy_only=False) for k in range(3)]
                 values = [v[first] if is_context else v for v in values]
-                yield pa.record_batch([pa.array([is_context] * len(hashes), pa.bool_()), pa.array(hashes.view(np.int64)), *(pa.array(v, pa.float64()) for v in values)], names=["context", "hash", *sides])
+                yield pa.record_batch([pa.array([is_context] * len(hashes), pa.bool_()), pa.array(hashes.view(np.int64)), *(pa.array(v.astype(np.float32)) for v in values)], names=["context", "hash", *sides])
 
-    return of.mapInArrow(run, "context boolean, hash long, r0 double, r1 double, r double")
+    return of.mapInArrow(run, "context boolean, hash long, r0 float, r1 float, r float")
 
 
 def models(grams: DataFrame, context: int = CONTEXT) -> list[Model]:
@@ -240,7 +271,7 @@ def models(grams: DataFrame, context: int = CONTEXT) -> list[Model]:
     keys = [hashes[o] for o in order]
     for name in ("r0", "r1", "r"):
         r = got.column(name).to_numpy()
-        out.append(Model(*[(k, r[o].astype(np.float32)) for k, o in zip(keys, order)]))
+        out.append(Model(*[(k, r[o]) for k, o in zip(keys, order)]))
     return out
 
 
@@ -373,7 +404,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
 
 def _scores(model: Model, batch: list[str]) -> list[float]:
-    memo = getattr(model, "_memo", None)
-    if memo is None:
-        memo = model._memo = {}
-    return model.scores(batch, memo)
+    if model._memo is None:
+        model._memo = {}
+    return model.scores(batch, model._memo)
