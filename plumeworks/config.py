@@ -26,10 +26,17 @@ class Settings:
     min_segment_m: float = 20.0
     max_segment_m: float = 150.0
     road_buffer_m: float = 100.0
+    directions: tuple[str, ...] = ("upper", "lower")
+    abbreviations: tuple[tuple[str, str], ...] = (("st", "street"), ("rd", "road"), ("ave", "avenue"), ("blvd", "boulevard"))
+    road_words: tuple[str, ...] = ("street", "st", "road", "rd", "square", "ave", "avenue", "drive")
     traffic_time_format: str = "yyyyMMddHHmmss"
     n_search: int | str = 100
 
 
 DUBLIN = Settings()
-HAMBURG = replace(DUBLIN, crs_metric="EPSG:10285", traffic_time_format="yyyy-MM-dd HH:mm:ssXXX", n_search=200)
+HAMBURG = replace(
+    DUBLIN, directions=("obere", "untere"), abbreviations=(("st", "straße"), ("rd", "straße"), ("al", "allee"), ("blv", "boulevard")),
+    road_words=("straße", "strasse", "st", "rd", "al", "allee", "platz", "blv", "boulevard", "weg"),
+    crs_metric="EPSG:10285", traffic_time_format="yyyy-MM-dd HH:mm:ssXXX", n_search=200,
+)
 PRESETS = {"base": DUBLIN, "hamburg": HAMBURG}

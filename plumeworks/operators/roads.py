@@ -8,23 +8,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DUBLIN, Settings
 from ..functions import strings as S
 from .graphs import connected_components
-from .spatial import cover
+from .spatial import cover, segments
 
 #: Pieces of this length and less are dropped when a line is cut.
 SLIVER = 0.1
 Line = list[tuple[float, float]]
 
 
-def tag_columns(df: DataFrame) -> DataFrame:
-    """Lanes and speeds as least and greatest integers, tunnel and bridge as booleans, highway without 'unclassified'; tags are string lists."""
+def tag_columns(df: DataFrame, settings: Settings = DUBLIN) -> DataFrame:
+    """Names as a study area's settings have them, lanes and speeds as least and greatest integers, tunnel and bridge as booleans, highway without 'unclassified'; tags are string lists."""
     numbers = lambda c: F.flatten(F.transform(c, S.integers))
     out = df.withColumns({
         "max_lanes": F.array_max(numbers("lanes")), "min_lanes": F.array_min(numbers("lanes")),
         "max_speed": F.array_max(numbers("maxspeed")), "min_speed": F.array_min(numbers("maxspeed")),
-        "highway": S.without_unclassified(F.col("highway")), "tunnel": S.any_in(F.col("tunnel"), ["yes", "building_passage"]), "bridge": S.any_in(F.col("bridge"), ["yes", "viaduct"]),
-        "names": S.standardize_names(F.col("name")),
+        "highway": S.without_unclassified(F.col("highway")), "tunnel": S.any_in(F.col("tunnel"), S.TUNNEL), "bridge": S.any_in(F.col("bridge"), S.BRIDGE),
+        "names": S.road_names(F.col("name"), list(settings.directions), dict(settings.abbreviations), list(settings.road_words)),
     })
     return out.drop("lanes", "maxspeed")
 
@@ -33,6 +34,33 @@ def is_roundabout(junction: Column) -> Column:
     return F.coalesce(junction.isin("roundabout", "circular"), F.lit(False))
 
 
+def split_junctions(df: DataFrame, junction: str = "junction") -> tuple[DataFrame, DataFrame]:
+    """(roundabouts, other roads); a null tag is no roundabout."""
+    return df.where(is_roundabout(F.col(junction))), df.where(~is_roundabout(F.col(junction)))
+
+
+def is_closed(line: Column) -> Column:
+    """Whether a line of four points at least ends where it begins."""
+    return (F.size(line) > 3) & (F.element_at(line, 1) == F.element_at(line, -1))
+
+
+def named(df: DataFrame, names: str = "names") -> DataFrame:
+    """Roads that have a name."""
+    return df.where(F.col(names).isNotNull() & (F.size(names) > 0))
+
+
+def classified(streets: DataFrame, highway: str = "highway") -> DataFrame:
+    """Streets that have a highway tag, with ``road_class``; tags are lists."""
+    return streets.where(F.col(highway).isNotNull()).withColumn("road_class", S.road_class(F.col(highway)))
+
+
+def same_lines(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """``a, b`` (a < b): lines with the same points in either direction."""
+    one = lines.select(key, F.least(F.col(line), F.reverse(line)).alias("g"))
+    l, r = one.alias("l"), one.alias("r")
+    return l.join(r, F.col("l.g") == F.col("r.g")).where(F.col(f"l.{key}") < F.col(f"r.{key}")).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
+
+
 def merged_tags(df: DataFrame, component: str) -> DataFrame:
     """Tags of each merged road: extremes of numbers, sorted distinct lists, one-way only if all are, bridge or tunnel if any is."""
     lists = {c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))) for c in ("names", "highway")}
@@ -48,12 +76,16 @@ def name_sharing_pairs(segs: DataFrame, key: str, names: str, near: float) -> Da
     segs: ``key, names, x1, y1, x2, y2``. The distance of the segments is that of their
     end points to the other segment, which is exact where segments do not cross.
     """
+    return near_pairs(segs.withColumn("__n", F.explode(names)).drop(names), key, near, ["__n"])
+
+
+def near_pairs(one: DataFrame, key: str, near: float, by: list[str], size: float = 0.0) -> DataFrame:
+    """``a, b`` (a < b): keys with segments within a distance and equal columns ``by``; grid cells are ``size`` wide, 50 distances at least."""
     from ..functions.geometry import to_segment
 
-    one = segs.withColumn("__n", F.explode(names)).drop(names)
-    wide = cover(one, F.least("x1", "x2") - near, F.least("y1", "y2") - near, F.greatest("x1", "x2") + near, F.greatest("y1", "y2") + near, max(near, 1e-9) * 50)
+    wide = cover(one, F.least("x1", "x2") - near, F.least("y1", "y2") - near, F.greatest("x1", "x2") + near, F.greatest("y1", "y2") + near, max(size, 50 * near, 1e-9))
     l, r = wide.alias("l"), wide.alias("r")
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("__n", "__cx", "__cy")]
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*by, "__cx", "__cy")]
     c = lambda s, n: F.col(f"{s}.{n}")
     d = F.least(*[to_segment(c(p, f"x{k}"), c(p, f"y{k}"), c(o, "x1"), c(o, "y1"), c(o, "x2"), c(o, "y2")) for p, o in (("l", "r"), ("r", "l")) for k in (1, 2)])
     crossing = _crosses(*[c(s, n) for s in ("l", "r") for n in ("x1", "y1", "x2", "y2")])
@@ -227,6 +259,50 @@ def clip_lines_to_units(lines: DataFrame, units: DataFrame, key: str, line: str,
     return pairs.select(unit, key, line, ring).mapInPandas(run, f"{unit} {kinds[unit]}, {key} {kinds[key]}, line array<struct<x:double,y:double>>, length double")
 
 
+def proximity_merge(segs: DataFrame, key: str, near: float = 1e-4) -> DataFrame:
+    """``node, component``: lines that meet or come within a distance of one another, through others too."""
+    return connected_components(near_pairs(segs, key, near, [], _mean_length(segs)), segs.select(key).distinct())
+
+
+def unit_graph(units: DataFrame, key: str, ring: str, buffer: float = 0.0) -> DataFrame:
+    """``a, b`` (a < b): units whose outlines, each widened by a buffer, touch. Distances stand for widened polygons."""
+    edges = segments(units, key, ring).drop("n")
+    return near_pairs(edges, key, 2 * buffer, [], _mean_length(edges))
+
+
+def _mean_length(segs: DataFrame) -> float:
+    """A width of cells in which a segment touches few of them."""
+    return segs.agg(F.avg(F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)))).first()[0] or 1.0
+
+
+def overlay(features: DataFrame, units: DataFrame, key: str, ring: str, unit: str, unit_ring: str, size: float, kept: list[str] | None = None) -> DataFrame:
+    """``unit, key, <kept>, area``: the area of each feature inside each convex unit; grid cells of both boxes find the candidates."""
+    def boxed(df: DataFrame, g: str) -> DataFrame:
+        xs, ys = F.transform(g, lambda p: p["x"]), F.transform(g, lambda p: p["y"])
+        return cover(df, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), size)
+
+    kept, u_ring = kept or [], units.select(unit, F.col(unit_ring).alias("__unit_ring"))
+    found = boxed(features.select(key, ring), ring).join(boxed(u_ring, "__unit_ring"), ["__cx", "__cy"]).select(unit, key).distinct()
+    pairs = found.join(features.select(key, *kept, F.col(ring).alias("__ring")), key).join(u_ring, unit)
+
+    def run(parts):
+        for pdf in parts:
+            area = []
+            for a, b in zip(pdf["__ring"], pdf["__unit_ring"]):
+                convex = [(q["x"], q["y"]) for q in b]
+                cut = clip_polygon([(q["x"], q["y"]) for q in a], convex if _twice_area(convex) > 0 else convex[::-1])
+                area.append(abs(_twice_area(cut)) / 2 if cut else 0.0)
+            yield pdf.drop(columns=["__ring", "__unit_ring"]).assign(area=area)
+
+    out = pairs.select(unit, key, *kept, "__ring", "__unit_ring")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if not f.name.startswith("__"))
+    return out.mapInPandas(run, f"{schema}, area double").where("area > 0")
+
+
+def _twice_area(ring: Line) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
+
+
 def touching(segs: DataFrame, key: str, near: float = 0.0) -> DataFrame:
     """``a, b``: lines that share an end point, or with ``near`` have end points in one cell of that width or its neighbours and within it."""
     ends = segs.select(key, F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select(key, "p.x", "p.y").distinct()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .graphs import cut_lineage
 
 
 def cell(x: Column, size: float) -> Column:
@@ -39,27 +42,36 @@ def nearest_segment(points: DataFrame, segs: DataFrame, point: str, key: str, x:
     """``point, key, dist``: the nearest line of each point, ties to the smaller key.
 
     Candidates come from the 3 x 3 cells around a point; what is found within one cell's
-    width is certain. For the rest the width doubles, over the points that are left, until
-    it spans all segments; so no distance is too far, and each round is an equi join.
+    width is certain. The width is that of about one segment in a cell, ``size`` at least;
+    for the points that are left it grows fourfold until it spans all segments, so no
+    distance is too far, and each round is an equi join. A null coordinate, or no
+    segment at all, gives a null key and distance.
     """
-    bounds = segs.agg(F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2")), F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))).first()
-    if bounds[0] is None:
-        return points.select(point, F.lit(None).alias(key), F.lit(None).cast("double").alias("dist")).limit(0)
+    known = F.col(x).isNotNull() & F.col(y).isNotNull()
+    lost = points.where(~known).select(point, F.lit(None).cast(dict(segs.dtypes)[key]).alias(key), F.lit(None).cast("double").alias("dist"))
+    found = segs.select(key, "x1", "y1", "x2", "y2").dropna()
+    b = found.agg(F.max(F.greatest("x1", "x2")).alias("x"), F.min(F.least("x1", "x2")).alias("u"), F.max(F.greatest("y1", "y2")).alias("y"), F.min(F.least("y1", "y2")).alias("v"), F.count("*").alias("n")).first()
+    if not b.n:
+        return lost.union(points.where(known).select(point, *[F.lit(None).cast(t) for t in (dict(segs.dtypes)[key], "double")]))
     reach = points.agg(F.max(F.abs(x)) + F.max(F.abs(y))).first()[0] or 0.0
-    last = 4 * (max(bounds) + reach + 1)
-    todo, out, found = points.select(point, x, y), None, segs.select(key, "x1", "y1", "x2", "y2")
+    last = 4 * (max(b.x - b.u, b.y - b.v) + abs(b.u) + abs(b.v) + reach + 1)
+    size = max(size, math.sqrt((b.x - b.u) * (b.y - b.v) / b.n))  # about a segment in each cell
+    todo, out = points.where(known).select(point, x, y), lost
+    ring = F.array(*map(F.lit, (-1, 0, 1)))
     while True:
         wide = cover(found, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
-        around = todo.withColumn("__cx", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: cell(F.col(x), size) + d)))
-        around = around.withColumn("__cy", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: cell(F.col(y), size) + d)))
+        # cells of the box that the segment passes: it comes within half their diagonal of the middle
+        wide = wide.where(G.to_segment((F.col("__cx") + 0.5) * size, (F.col("__cy") + 0.5) * size, *map(F.col, ("x1", "y1", "x2", "y2"))) <= size * 0.7072)
+        around = todo.withColumn("__cx", F.explode(F.transform(ring, lambda d: cell(F.col(x), size) + d)))
+        around = around.withColumn("__cy", F.explode(F.transform(ring, lambda d: cell(F.col(y), size) + d)))
         near = around.join(wide, ["__cx", "__cy"]).withColumn("dist", G.to_segment(*map(F.col, (x, y, "x1", "y1", "x2", "y2"))))
         best = near.groupBy(point).agg(F.min(F.struct("dist", key)).alias("b")).select(point, F.col(f"b.{key}").alias(key), F.col("b.dist").alias("dist"))
-        sure = best if size >= last else best.where(F.col("dist") <= size)
-        out = sure if out is None else out.union(sure)
-        if size >= last:
+        sure = cut_lineage(best if size >= last else best.where(F.col("dist") <= size))
+        out = out.union(sure)
+        todo = cut_lineage(todo.join(sure, point, "left_anti"))
+        if size >= last or not todo.limit(1).count():
             return out
-        todo = todo.join(sure, point, "left_anti")
-        size = size * 8 if size * 8 < last else last
+        size = min(4 * size, last)
 
 
 def knn(df: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graphs import cut_lineage
+
 
 def seconds(ts: Column) -> Column:
     """Microseconds since the epoch, in seconds."""
@@ -42,6 +44,8 @@ def split_by_gaps(df: DataFrame, ts: str, gap_s: float, by: list[str], order: st
 
 def hampel(df: DataFrame, value: str, by: list[str], order: list[str], window: int = 31, sensitivity: float = 3.0, out: str = "hampel") -> DataFrame:
     """Flags values further from their centred window's median than sensitivity times its MAD; short or holed windows flag nothing."""
+    if window % 2 == 0:
+        raise ValueError("a centred window needs an odd number of rows")
     half = window // 2
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(-half, half)
     v = F.col(value)
@@ -89,12 +93,39 @@ def chunk_sizes(n: int, most: int = 16_000, least: int = 10) -> list[int]:
 
 
 def chunk_ids(df: DataFrame, by: list[str], order: list[str], most: int = 16_000, least: int = 10, out: str = "chunk") -> DataFrame:
-    """``<traj>_<i>`` of each row: the sizes come from one row per trajectory, and rows find their part by position."""
-    ends = F.udf(lambda n: [sum(chunk_sizes(n, most, least)[: k + 1]) for k in range(len(chunk_sizes(n, most, least)))], "array<long>")
-    sizes = df.groupBy(*by).agg(F.count("*").alias("__n")).withColumn("__ends", ends("__n")).drop("__n")
-    rows = df.withColumn("__i", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-    part = F.size(F.filter("__ends", lambda e: e < F.col("__i")))
-    return rows.join(sizes, by).withColumn(out, F.concat_ws("_", F.col(by[-1]).cast("string"), part.cast("string"))).drop("__i", "__ends")
+    """``<traj>_<i>`` of each row, where chunk_sizes cuts its trajectory; by arithmetic over a row's place and its trajectory's length."""
+    w = W.partitionBy(*by)
+    rows = df.withColumns({"__i": (F.row_number().over(w.orderBy(*order)) - 1).cast("long"), "__n": F.count("*").over(w)})
+    i, n, half = F.col("__i"), F.col("__n"), most // 2
+    whole = F.floor((n - 1) / most)  # full parts before the last
+    rest = n - whole * most
+    one = F.when(3 * n < 2 * most, 0).otherwise((i >= F.floor(n / 2)).cast("long"))
+    full = 2 * F.floor(i / most) + (i % most >= half).cast("long")
+    at, joined = i - whole * most, most - half + rest  # a short rest goes to the half before it
+    after = i - ((whole - 1) * most + half)
+    last = F.when(3 * rest >= 2 * most, 2 * whole + (at >= F.floor(rest / 2)).cast("long")).otherwise(2 * whole)
+    short = F.when(after < 0, full).when(joined >= 2 * least, 2 * whole - 1 + (after >= F.floor(joined / 2)).cast("long")).otherwise(2 * whole - 1)
+    part = F.when(n <= most, one).when(rest < least, short).when(i < whole * most, full).otherwise(last)
+    return rows.withColumn(out, F.concat_ws("_", F.col(by[-1]).cast("string"), part.cast("string"))).drop("__i", "__n")
+
+
+def split_by_date(df: DataFrame, ts: str, path: str) -> None:
+    """One folder for each day, which map matching reads on its own."""
+    df.withColumn("day", F.to_date(ts)).write.partitionBy("day").parquet(path)
+
+
+def placed(df: DataFrame, by: str, order: list[Column], out: str) -> DataFrame:
+    """A number from 1 in each group's order."""
+    return df.withColumn(out, F.row_number().over(W.partitionBy(by).orderBy(*order)))
+
+
+def dense_ids(df: DataFrame, order: list[str], out: str = "obsID") -> DataFrame:
+    """Numbers from 0 in a total order. Ranges are sorted apart and each begins after the rows of those before; one row by range is summed at once."""
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    starts = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__s"))
+    return placed.withColumn("__p", part).join(F.broadcast(starts), "__p").withColumn(out, F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__m", "__s")
 
 
 def hourly_boxes(df: DataFrame, ts: str, value: str) -> DataFrame:

@@ -41,6 +41,11 @@ def site_means(df: DataFrame, ts: str, site: str, volume: str, faulty_share: flo
     return quantile_trim(sound, volume).groupBy(site).agg(F.avg(volume).alias("avg_traffic"))
 
 
+def aggregated_sites(df: DataFrame, ts: str, site: str, place: str, count: str, **when) -> DataFrame:
+    """``site, place, avg_traffic`` from counts that are hourly already; ``when`` goes to time_filters. Time zones are left out by a cast before."""
+    return time_filters(df.withColumn(ts, F.col(ts).cast("timestamp_ntz")), ts, **when).groupBy(site, place).agg(F.avg(count).alias("avg_traffic"))
+
+
 def with_places(df: DataFrame, places: DataFrame, site: str) -> DataFrame:
     """Inner join with one row per site."""
     return df.join(places.dropDuplicates([site]), site)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import strings as S
 from ..operators import covariates as C
-from ..operators import graphs, outliers, roads, spatial, stats, traffic, units
+from ..operators import figures, graphs, nodes, outliers, roads, spatial, stats, traffic, units
 from ..operators import timeseries as T
 from ..sources.files import table
 from .stand_ins import LINES, NETWORK, POINTS, UNITS, districts, lines, network, points
@@ -189,28 +188,42 @@ def j9_georeference(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(traffic.with_places(_sites(spark, sf), places, "l_suppkey"), "avg_traffic")
 
 
-@query(f"""WITH {_SITES}, a AS (SELECT n_nationkey, (n_nationkey % 5)::DOUBLE AS x, (n_nationkey // 5)::DOUBLE AS y, avg(avg_traffic) AS v FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 = 0 LEFT JOIN s ON s_suppkey = l_suppkey GROUP BY ALL),
+_UNITS = "units_(n_nationkey, x, y) AS (SELECT n_nationkey, (n_nationkey % 5)::DOUBLE, (n_nationkey // 5)::DOUBLE FROM nation UNION ALL SELECT r_regionkey + 100, r_regionkey::DOUBLE, 6 FROM region)"
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations and, as units that nothing lies in, regions."""
+    n = table(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") % 5).cast("double").alias("x"), F.floor(F.col("n_nationkey") / 5).cast("double").alias("y"))
+    return n.union(table(spark, sf, "region").select(F.col("r_regionkey") + 100, F.col("r_regionkey").cast("double"), F.lit(6.0)))
+
+
+@query(f"""WITH {_SITES}, {_UNITS}, a AS (SELECT n_nationkey, x, y, avg(avg_traffic) AS v FROM units_ LEFT JOIN supplier ON s_nationkey = n_nationkey LEFT JOIN s ON s_suppkey = l_suppkey GROUP BY ALL),
 d AS (SELECT u.n_nationkey, k.v, greatest(sqrt((u.x - k.x) * (u.x - k.x) + (u.y - k.y) * (u.y - k.y)), 1e-12) AS d, k.n_nationkey AS o FROM a u JOIN a k ON u.v IS NULL AND k.v IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY n_nationkey ORDER BY d, o) AS r FROM d), i AS (SELECT n_nationkey, sum(v / (d * d)) / sum(1 / (d * d)) AS w FROM r WHERE r <= 5 GROUP BY 1)
 SELECT a.n_nationkey, round(v, 5) AS avg_traffic, round(coalesce(v, w), 5) AS avg_traffic_idw FROM a LEFT JOIN i USING (n_nationkey)""")
 def a9_g4_traffic_to_units(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") % 5).cast("double").alias("x"), F.floor(F.col("n_nationkey") / 5).cast("double").alias("y"))
-    s = table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("l_suppkey"))
-    of = n.join(s.join(_sites(spark, sf), "l_suppkey"), "n_nationkey", "left").groupBy("n_nationkey", "x", "y").agg(F.avg("avg_traffic").alias("v"))
-    filled = spatial.idw(of.where("v IS NOT NULL"), of.where("v IS NULL"), "n_nationkey", "x", "y", "v", 5).withColumnRenamed("v", "w")
-    return of.join(filled, "n_nationkey", "left").select("n_nationkey", F.round("v", R).alias("avg_traffic"), F.round(F.coalesce("v", "w"), R).alias("avg_traffic_idw"))
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("l_suppkey")).join(_sites(spark, sf), "l_suppkey")
+    return rounded(nodes.traffic_by_unit(s, _units(spark, sf), "n_nationkey", "x", "y", "avg_traffic"), "avg_traffic", "avg_traffic_idw")
+
+
+@query("SELECT l_suppkey AS site, l_returnflag AS place, round(avg(l_quantity), 5) AS avg_traffic FROM lineitem WHERE l_shipdate BETWEEN '1994-01-01' AND '1997-12-31' AND isodow(l_shipdate) < 6 GROUP BY ALL")
+def a8_aggregated_traffic(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_returnflag").alias("place"), "l_shipdate", "l_quantity")
+    return rounded(traffic.aggregated_sites(li, "l_shipdate", "site", "place", "l_quantity", start_day="1994-01-01", end_day="1997-12-31", weekday=True), "avg_traffic")
 
 
 # covariates
 
-@query("SELECT n_nationkey, round(avg(c_custkey), 5) AS compactness, round(coalesce(sum(c_acctbal), 0), 2) AS footprint, count(*) AS count_trees, count(c_custkey) AS n_trees FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_nationkey % 4 <> 0 GROUP BY 1")
+@query(f"WITH {_UNITS} SELECT n_nationkey, round(avg(c_custkey), 5) AS compactness, round(coalesce(sum(c_acctbal), 0), 2) AS build_cover_area, round(coalesce(sum(c_acctbal), 0), 2) AS total_trees_area, count(*) AS count_trees, round(100 * coalesce(sum(c_acctbal), 0) / 700, 2) AS canopy_cover FROM units_ LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def a10_a11_unit_sums(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").where("c_nationkey % 4 <> 0")
-    of = table(spark, sf, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return of.groupBy("n_nationkey").agg(F.round(F.avg("c_custkey"), R).alias("compactness"), F.round(F.coalesce(F.sum("c_acctbal"), F.lit(0.0)), 2).alias("footprint"), F.count("*").alias("count_trees"), F.count("c_custkey").alias("n_trees"))
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("compactness"), F.col("c_acctbal").alias("footprint_area"))
+    u = _units(spark, sf).withColumn("area", F.lit(700.0))
+    b = rounded(nodes.buildings_by_unit(c, u, "n_nationkey", ["compactness"]), "compactness")
+    t = nodes.trees_by_unit(c, u, "n_nationkey", "footprint_area", "area")
+    return b.join(t, "n_nationkey").withColumns({n: F.round(n, 2) for n in ("build_cover_area", "total_trees_area", "canopy_cover")})
 
 
-_TYPES = ["ECONOMY", "LARGE", "PROMO", "SMALL", "STANDARD"]
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 @query("SELECT p_brand, " + ", ".join(f"coalesce(sum(p_size) FILTER (p_type = '{t}'), 0)::BIGINT AS {t}" for t in _TYPES) + " FROM part GROUP BY 1")
@@ -222,22 +235,22 @@ def a12_a13_pivot_sum(spark: SparkSession, sf: str) -> DataFrame:
 def a14_landuse_shares(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").withColumn("kind", S.class_name(F.col("p_type")))
     names = [S.column_name(t) for t in _TYPES]
-    of = C.pivot_sum(p, "p_brand", "kind", "p_size", names).join(p.groupBy("p_brand").agg(F.sum("p_retailprice").alias("area")), "p_brand")
-    return rounded(C.share_of_area(of, names, "area").drop("area"), *names)
+    total = p.groupBy("p_brand").agg(F.sum("p_retailprice").alias("total"))
+    return rounded(nodes.landuse_by_unit(p, "p_brand", "kind", "p_size", total, names), *names)
 
 
-@query("SELECT o_orderpriority AS unit, round(try_div, 5) AS density FROM (SELECT o_orderpriority, sum(o_totalprice) / (count(*) / 1e6::DOUBLE) AS try_div FROM orders GROUP BY 1)".replace("try_div", "q"))
+@query("SELECT o_orderpriority AS unit, round(q, 5) AS density FROM (SELECT o_orderpriority, sum(o_totalprice) / (count(*) / 1e6::DOUBLE) AS q FROM orders GROUP BY 1)")
 def a15_a16_density(spark: SparkSession, sf: str) -> DataFrame:
     of = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("unit")).agg(F.sum("o_totalprice").alias("l"), F.count("*").alias("a"))
-    return of.select("unit", F.round(F.try_divide("l", F.col("a") / 1e6), R).alias("density"))
+    return of.select("unit", F.round(nodes.density(F.col("l"), F.col("a") / 1e6), R).alias("density"))
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 5) AS a FROM customer WHERE c_nationkey <> 3 GROUP BY 1), b AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 5) AS b FROM supplier WHERE s_nationkey <> 5 GROUP BY 1), c AS (SELECT n_nationkey AS k, n_regionkey AS c FROM nation)
+@query("""WITH a AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 5) AS a FROM customer GROUP BY 1), b AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 5) AS b FROM supplier GROUP BY 1), c AS (SELECT n_nationkey AS k, n_regionkey AS c FROM nation UNION ALL SELECT r_regionkey + 100, r_regionkey FROM region)
 SELECT k, a, b, c FROM a FULL JOIN b USING (k) FULL JOIN c USING (k) WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL""")
 def j10_f16_merge_units(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "customer").where("c_nationkey <> 3").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), R).alias("a"))
-    b = table(spark, sf, "supplier").where("s_nationkey <> 5").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), R).alias("b"), F.lit(1).alias("a"))
-    c = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("c"))
+    a = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), R).alias("a"))
+    b = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), R).alias("b"), F.lit(1).alias("a"))
+    c = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("c")).union(table(spark, sf, "region").select(F.col("r_regionkey") + 100, "r_regionkey"))
     return C.merge_units([a, b, c], "k")
 
 
@@ -249,10 +262,31 @@ def a25_correlations(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.correlation_table(table(spark, sf, "lineitem"), _NUM), "r")
 
 
-@query("SELECT round(stddev_samp(l_quantity) / abs(avg(l_quantity)), 5) AS cv, round(min(l_quantity), 2) AS low, round(max(l_quantity), 2) AS high, round(avg(l_quantity), 2) AS mean, round(median(l_quantity), 2) AS mid, round(stddev_pop(l_quantity), 5) AS sd FROM lineitem")
+@query("SELECT round(min(l_quantity), 2) AS low, round(max(l_quantity), 2) AS high, round(avg(l_quantity), 2) AS mean, round(median(l_quantity), 2) AS mid, round(stddev_pop(l_quantity), 5) AS sd, round(stddev_samp(l_quantity) / abs(avg(l_quantity)), 5) AS cv FROM lineitem")
 def a23_a26_a32_summary(spark: SparkSession, sf: str) -> DataFrame:
-    q = F.col("l_quantity")
-    return table(spark, sf, "lineitem").agg(F.round(F.try_divide(F.stddev_samp(q), F.abs(F.avg(q))), R).alias("cv"), F.round(F.min(q), 2).alias("low"), F.round(F.max(q), 2).alias("high"), F.round(F.avg(q), 2).alias("mean"), F.round(F.median(q), 2).alias("mid"), F.round(F.stddev_pop(q), R).alias("sd"))
+    return rounded(nodes.summary(table(spark, sf, "lineitem"), "l_quantity"), "sd", "cv")
+
+
+@query("SELECT 'l_quantity' AS name, least(30, floor((l_quantity - a) / ((b - a) / 30)) + 1)::BIGINT AS bin, count(*) AS n FROM lineitem, (SELECT min(l_quantity) AS a, max(l_quantity) AS b FROM lineitem) GROUP BY ALL UNION ALL SELECT 'l_tax', least(30, floor((l_tax - a) / ((b - a) / 30)) + 1)::BIGINT, count(*) FROM lineitem, (SELECT min(l_tax) AS a, max(l_tax) AS b FROM lineitem) GROUP BY ALL")
+def v12_variable_distributions(spark: SparkSession, sf: str) -> DataFrame:
+    return figures.variable_distributions(table(spark, sf, "lineitem"), ["l_quantity", "l_tax"], 30)
+
+
+@query(f"WITH {UNITS}, q AS (SELECT quantile_cont(v, [0.2, 0.4, 0.6, 0.8]) AS q, quantile_cont(w, [0.2, 0.4, 0.6, 0.8]) AS r FROM u) SELECT id, len(list_filter(q, lambda b: b < v))::INTEGER AS traffic_class, len(list_filter(r, lambda b: b < w))::INTEGER AS value_class FROM u, q")
+def v10_traffic_and_value(spark: SparkSession, sf: str) -> DataFrame:
+    return figures.traffic_and_value(unit_points(spark, sf), "id", "v", "w")
+
+
+@query(f"WITH {_HEX}, n AS (SELECT hex, count(value) AS n_obs FROM g GROUP BY hex), cc AS (SELECT hex, n_obs, 100.0::DOUBLE * n_obs / sum(n_obs) OVER () AS pct FROM n) SELECT 'n_obs' AS name, round(min(n_obs), 4)::DOUBLE AS low, round(max(n_obs), 4)::DOUBLE AS high, round(median(n_obs), 4) AS mid, round(avg(n_obs), 4) AS mean FROM cc UNION ALL SELECT 'pct', round(min(pct), 4), round(max(pct), 4), round(median(pct), 4), round(avg(pct), 4) FROM cc")
+def v3_a24_sampling(spark: SparkSession, sf: str) -> DataFrame:
+    return figures.sampling(_hexed(spark, sf), "hex", "value")[2].withColumns({n: F.col(n).cast("double") for n in ("low", "high", "mid", "mean")})
+
+
+@query(f"WITH {_HEX}, k AS (SELECT *, event_id % 3 = 0 AS is_temporal_outlier, event_id % 5 = 0 AS is_spatial_outlier, event_id % 15 = 0 AS is_spatiotemp_outlier FROM g) " + " UNION ALL ".join(f"SELECT '{f}' AS flag, hex, count(*) AS n FROM k WHERE {f} GROUP BY hex" for f in figures.FLAGS))
+def v1_outlier_bins(spark: SparkSession, sf: str) -> DataFrame:
+    e = points(spark, sf)
+    _, flagged = outliers.combine(e, "event_id", e.where("event_id % 3 = 0"), e.where("event_id % 5 = 0"))
+    return figures.outlier_bins(flagged, "x", "y", HEX)[0]
 
 
 @query("WITH b AS (SELECT min(value) AS a, max(value) AS b FROM events) SELECT least(40, floor((value - a) / ((b - a) / 40)) + 1)::BIGINT AS bin, count(*) AS n FROM events, b GROUP BY 1")
@@ -301,17 +335,27 @@ def u1_union(spark: SparkSession, sf: str) -> DataFrame:
 # strings and lists
 
 def _case(column: str) -> str:
-    return f"array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN ({', '.join(repr(d) for d in S.DIRECTIONS)})), lambda w: CASE w {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in S.ABBREVIATIONS.items())} ELSE w END), ' ')"
+    """The name without punctuation, directions and words of road types; written out here so that the lists are checked too."""
+    plain = f"regexp_split_to_array(regexp_replace(lower({column}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+')"
+    return f"array_to_string(list_filter({plain}, lambda w: w NOT IN ('', 'upper', 'lower', 'street', 'st', 'road', 'rd', 'square', 'ave', 'avenue', 'drive')), ' ')"
 
 
-@query(f"SELECT p_partkey, {_case(chr(39) + 'Upper St. ' + chr(39) + ' || p_name || ' + chr(39) + ' Ave.' + chr(39))} AS name FROM part")
+@query(f"SELECT p_partkey, {_case(chr(39) + 'Upper St. ' + chr(39) + ' || p_name || ' + chr(39) + ' Ave. Boulevard' + chr(39))} AS name FROM part")
 def x1_x2_names(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", S.standardize_name(F.concat(F.lit("Upper St. "), "p_name", F.lit(" Ave."))).alias("name"))
+    return table(spark, sf, "part").select("p_partkey", S.remove_words(S.standardize_name(F.concat(F.lit("Upper St. "), "p_name", F.lit(" Ave. Blvd")))).alias("name"))
 
 
 @query(f"SELECT p_type, array_to_string(list_sort(list_distinct(list({_case('p_name')}))), ',') AS names FROM part GROUP BY 1")
 def x3_a19_name_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").groupBy("p_type").agg(F.collect_set("p_name").alias("n")).select("p_type", F.array_join(S.standardize_names(F.col("n")), ",").alias("names"))
+    return nodes.names_by(table(spark, sf, "part"), "p_type", S.road_names(F.array("p_name"))).select("p_type", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 5 IN (1, 2, 3, 4) AS bridge, o_orderkey % 3 IN (1, 2) AS tunnel, CASE WHEN o_orderkey % 2 = 0 THEN 3 END::BIGINT AS max_lanes, CASE WHEN o_orderkey % 2 = 0 THEN 2 END::BIGINT AS min_lanes, 50::BIGINT AS max_speed, 30::BIGINT AS min_speed, 'primary' AS highway, CASE o_orderkey % 2 WHEN 0 THEN 'patricks' ELSE 'abbey,patricks' END AS names FROM orders")
+def x10_tag_columns(spark: SparkSession, sf: str) -> DataFrame:
+    k, pick = F.col("o_orderkey"), lambda n, *v: F.array(F.element_at(F.array(*map(F.lit, v)), (F.col("o_orderkey") % n + 1).cast("int")))
+    of = table(spark, sf, "orders").select("o_orderkey", pick(5, "no", "yes", "movable", "viaduct", "aqueduct").alias("bridge"), pick(3, "no", "yes", "building_passage").alias("tunnel"), F.when(k % 2 == 0, F.array(F.lit("2"), F.lit("3"))).otherwise(F.array(F.lit("many"))).alias("lanes"), F.array(F.lit("30 mph"), F.lit("signals"), F.lit("50")).alias("maxspeed"), F.array(F.lit("unclassified"), F.lit("primary")).alias("highway"), F.when(k % 2 == 0, F.array(F.lit("Upper St. Patrick's Ave."))).otherwise(F.array(F.lit("Patrick's Rd"), F.lit("Abbey Square"))).alias("name"))
+    out = roads.tag_columns(of)
+    return out.select("o_orderkey", "bridge", "tunnel", "max_lanes", "min_lanes", "max_speed", "min_speed", F.array_join("highway", ",").alias("highway"), F.array_join("names", ",").alias("names"))
 
 
 @query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_retailprice::VARCHAR WHEN 2 THEN 'None' ELSE p_size || ' mph' END AS t FROM part)
@@ -338,15 +382,23 @@ def x14_round_point(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, hour(ts)::INTEGER AS hour, ts::DATE::VARCHAR AS day, (isodow(ts) - 1)::INTEGER AS weekday, date_trunc('hour', ts) AS floor, strftime(ts, '%Y-%m') AS month, strptime(strftime(ts, '%Y%m%d%H%M%S'), '%Y%m%d%H%M%S') AS parsed FROM events")
 def x15_x17_dates(spark: SparkSession, sf: str) -> DataFrame:
-    ts = F.col("ts").cast("timestamp")
-    parsed = F.try_to_timestamp(F.date_format(ts, "yyyyMMddHHmmss"), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
-    return table(spark, sf, "events").select("event_id", F.hour(ts).alias("hour"), F.to_date(ts).cast("string").alias("day"), F.weekday(ts).alias("weekday"), F.date_trunc("hour", ts).cast("timestamp_ntz").alias("floor"), F.date_format(ts, "yyyy-MM").alias("month"), parsed.alias("parsed"))
+    of = nodes.date_parts(table(spark, sf, "events"), "ts")
+    return of.select("event_id", "hour", "day", "weekday", "floor", "month", nodes.parsed_time(F.date_format("ts", "yyyyMMddHHmmss"), "yyyyMMddHHmmss").alias("parsed"))
 
 
-@query("SELECT o_custkey, bool_and(o_orderkey % 2 = 0) AS oneway, bool_or(o_orderkey % 7 = 0) AS bridge, max(o_orderkey % 5)::BIGINT AS most, min(o_orderkey % 5)::BIGINT AS least FROM orders GROUP BY 1")
+@query("SELECT o_custkey, bool_and(o_orderkey % 2 = 0) AS oneway, bool_or(o_orderkey % 7 = 0) AS bridge, bool_or(o_orderkey % 11 = 0) AS tunnel, max(o_orderkey % 5)::BIGINT AS max_lanes, min(o_orderkey % 5)::BIGINT AS min_lanes, max(o_orderkey % 9)::BIGINT AS max_speed, min(o_orderkey % 9)::BIGINT AS min_speed, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS names FROM orders GROUP BY 1")
 def a18_a21_tag_merging(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.bool_and(k % 2 == 0).alias("oneway"), F.bool_or(k % 7 == 0).alias("bridge"), F.max(k % 5).alias("most"), F.min(k % 5).alias("least"))
+    of = table(spark, sf, "orders").select("o_custkey", (k % 5).alias("max_lanes"), (k % 5).alias("min_lanes"), (k % 9).alias("max_speed"), (k % 9).alias("min_speed"), F.array("o_orderpriority").alias("names"), F.array(F.lit("primary")).alias("highway"), (k % 2 == 0).alias("oneway"), (k % 11 == 0).alias("tunnel"), (k % 7 == 0).alias("bridge"))
+    return roads.merged_tags(of, "o_custkey").withColumn("names", F.array_join("names", ",")).drop("highway")
+
+
+@query("SELECT o_orderpriority AS unit, coalesce(sum(o_totalprice) FILTER (o_orderkey % 4 IN (1, 2)), 0) AS low_access, coalesce(sum(o_totalprice) FILTER (o_orderkey % 4 = 3), 0) AS major_road FROM orders GROUP BY 1".replace("coalesce(", "round(coalesce(").replace(", 0) AS", ", 0), 2) AS"))
+def g20_road_class_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    tag = F.when(k == 1, F.array(F.lit("residential"))).when(k == 2, F.array(F.lit("service"), F.lit("living_street"))).when(k == 3, F.array(F.lit("trunk_link"), F.lit("service")))
+    of = nodes.road_class_lengths(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("unit"), "o_totalprice", tag.alias("highway")), "unit", "o_totalprice")
+    return of.select("unit", F.round("low_access", 2).alias("low_access"), F.round("major_road", 2).alias("major_road"))
 
 
 # spatial
@@ -356,10 +408,40 @@ def j1_points_in_polygons(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.within(points(spark, sf), districts(spark), "x", "y", "ring", 2000.0).select("event_id", "district")
 
 
-@query(f"""WITH {POINTS}, d AS (SELECT i AS district, (i % 5) * 3900.0::DOUBLE + 100 AS a, (i // 5) * 3800.0::DOUBLE + 100 AS b FROM range(20) r(i)) SELECT district, count(event_id) AS n, round(avg(value), 5) AS value FROM d LEFT JOIN p ON event_id % 50 = 0 AND x >= a AND x < a + 3900 AND y >= b AND y < b + 3800 GROUP BY 1""")
+@query(f"""WITH {POINTS}, d AS (SELECT i AS district, (i % 5) * 3900.0::DOUBLE + 100 AS a, (i // 5) * 3800.0::DOUBLE + 100 AS b FROM range(20) r(i)) SELECT district, count(event_id) AS n, round(avg(value), 5) AS value FROM d LEFT JOIN p ON x >= a AND x < a + 3900 AND y >= b AND y < b + 3800 GROUP BY 1""")
 def j5_j7_units_with_points(spark: SparkSession, sf: str) -> DataFrame:
-    found = spatial.within(points(spark, sf).where("event_id % 50 = 0"), districts(spark), "x", "y", "ring", 2000.0).select("district", "event_id", "value")
-    return rounded(districts(spark).select("district").join(found, "district", "left").groupBy("district").agg(F.count("event_id").alias("n"), F.avg("value").alias("value")), "value")
+    of = nodes.points_by_unit(points(spark, sf), districts(spark), "district", "x", "y", "ring", 2000.0, ["event_id", "value"])
+    return rounded(of.groupBy("district").agg(F.count("event_id").alias("n"), F.avg("value").alias("value")), "value")
+
+
+_DISTRICTS = "d AS (SELECT i AS district, (i % 5) * 3900.0::DOUBLE + 100 AS a, (i // 5) * 3800.0::DOUBLE + 100 AS b FROM range(20) r(i))"
+
+
+@query(f"WITH {POINTS}, {_DISTRICTS}, m AS (SELECT district, ts::DATE AS day, avg(value) AS m FROM p JOIN d ON x >= a AND x < a + 3900 AND y >= b AND y < b + 3800 GROUP BY ALL) SELECT district, round(avg(m), 5) AS value FROM m GROUP BY 1")
+def a2_districts(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(nodes.aggregate_to_units(points(spark, sf), "district", "ts", "value", size=2000.0, shapes=districts(spark), key="district"), "value")
+
+
+@query(f"WITH {_DISTRICTS} SELECT l.district AS a, r.district AS b FROM d l JOIN d r ON l.district < r.district AND abs(l.a - r.a) <= 3900 AND abs(l.b - r.b) <= 3800")
+def g6_j19_unit_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return roads.unit_graph(districts(spark), "district", "ring")
+
+
+@query(f"WITH {_DISTRICTS}, f AS (SELECT c_custkey AS k, (c_custkey * 7919) % 19000 AS x, (c_custkey * 104729) % 14000 AS y, 200 + c_custkey % 900 AS s FROM customer), o AS (SELECT district, k, greatest(least(a + 3900, x + s) - greatest(a, x), 0::DOUBLE) * greatest(least(b + 3800, y + s) - greatest(b, y), 0::DOUBLE) AS area FROM f JOIN d ON x < a + 3900 AND x + s > a AND y < b + 3800 AND y + s > b) SELECT district, k, round(area, 3) AS area FROM o WHERE area > 0")
+def g23_j21_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    x, y, side = (k * 7919 % 19000).cast("double"), (k * 104729 % 14000).cast("double"), (F.lit(200) + k % 900).cast("double")
+    ring = F.array(*[F.struct((x + dx * side).alias("x"), (y + dy * side).alias("y")) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    of = roads.overlay(table(spark, sf, "customer").select(k.alias("k"), ring.alias("ring")), districts(spark), "k", "ring", "district", "ring", 2000.0)
+    return of.select("district", "k", F.round("area", 3).alias("area"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT id % 7 AS unit, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) + sqrt((x3 - x2) * (x3 - x2) + (y3 - y2) * (y3 - y2)) AS len, sqrt((x3 - x1) * (x3 - x1) + (y3 - y1) * (y3 - y1)) AS ext, least((x1, y1), (x3, y3)) AS p, greatest((x1, y1), (x3, y3)) AS q FROM l),
+g AS (SELECT unit, count(*) AS e FROM (SELECT DISTINCT unit, p, q FROM m) GROUP BY 1), h AS (SELECT unit, count(*) AS v FROM (SELECT unit, p AS n FROM m UNION SELECT unit, q FROM m) GROUP BY 1), t AS (SELECT unit, sum(len) AS len, avg(ext) AS ext, avg(ext / nullif(len, 0)) AS lin FROM m GROUP BY 1)
+SELECT i AS unit, round(coalesce(len, 0), 5) AS road_length_m, round(coalesce(len, 0) / ((i + 1) * 1e5 / 1e6), 5) AS road_density_m_per_km2, round(ext, 5) AS extension, round(lin, 5) AS linearity, round((e - v + 1) / (2 * v - 5)::DOUBLE, 5) AS meshedness, round(2 * e / v::DOUBLE, 5) AS connectivity FROM range(9) r(i) LEFT JOIN t ON unit = i LEFT JOIN g ON g.unit = i LEFT JOIN h ON h.unit = i""")
+def g21_a17_street_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    of = nodes.street_indicators(lines(spark, sf).withColumn("unit", F.col("id") % 7), spark.range(9).select(F.col("id").alias("unit"), ((F.col("id") + 1) * 1e5).alias("area")), "unit", "line", "area")
+    return rounded(of, *of.columns[1:])
 
 
 _SEGS = f"{LINES}, s AS (SELECT id, 0 AS n, x1, y1, x2, y2 FROM l UNION ALL SELECT id, 1, x2, y2, x3, y3 FROM l)"
@@ -441,10 +523,11 @@ def g2_g13_g14_g25_measures(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(of, "length", "extension", "linearity", "bearing", "area")
 
 
-@query("SELECT p_partkey, round((4 * p_size * 10::DOUBLE + p_size * p_size) / pow(p_size * p_size * 10::DOUBLE, 2::DOUBLE / 3), 5) AS compactness, CASE WHEN p_size > 1 THEN round(2 * ln(p_size::DOUBLE) / ln((p_size * p_size)::DOUBLE), 5) END AS fractal FROM part")
+@query("SELECT p_partkey, round((4 * p_size * 10::DOUBLE + p_size * p_size) / pow(p_size * p_size * 10::DOUBLE, 2::DOUBLE / 3), 5) AS compactness, CASE WHEN p_size > 1 THEN round(2 * ln(p_size::DOUBLE) / ln((p_size * p_size)::DOUBLE), 5) END AS fractal, (p_size * p_size)::DOUBLE AS footprint_area FROM part")
 def g8_g9_building_shape(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.col("p_size").cast("double")
-    return rounded(table(spark, sf, "part").select("p_partkey", G.compactness(4 * s, s * s, F.lit(10.0)).alias("compactness"), G.fractal_dimension(4 * s, s * s).alias("fractal")), "compactness", "fractal")
+    side = F.col("p_size").cast("double")
+    of = nodes.buildings_morphology(table(spark, sf, "part").select("p_partkey", (4 * side).alias("p"), (side * side).alias("a"), F.lit(10.0).alias("h")), "p", "a", "h")
+    return rounded(of.select("p_partkey", F.col("compactness_3d").alias("compactness"), F.col("fractal_dim").alias("fractal"), "footprint_area"), "compactness", "fractal")
 
 
 @query(f"WITH {NETWORK}, n AS (SELECT unit, a AS n FROM e UNION SELECT unit, b FROM e), v AS (SELECT unit, count(*) AS v FROM n GROUP BY 1), c AS (SELECT unit, count(*) AS c FROM e GROUP BY 1) SELECT unit, c AS n_edges, v AS n_nodes, round(2 * c / v::DOUBLE, 5) AS connectivity, round((c - v + 1) / (2 * v - 5)::DOUBLE, 5) AS meshedness FROM c JOIN v USING (unit)")
@@ -452,12 +535,12 @@ def g15_g17_street_graph(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(graphs.street_measures(network(spark, sf), "unit"), "connectivity", "meshedness")
 
 
-_EDGES = "e AS (SELECT DISTINCT least(o_custkey, o_orderkey % 997 + 2000000) AS a, greatest(o_custkey, o_orderkey % 997 + 2000000) AS b FROM orders WHERE o_orderkey % 9 = 0)"
-_CC = f"""{_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, w.root FROM w JOIN s ON s.a = w.node WHERE w.root < s.b OR true), c AS (SELECT node, min(root) AS component FROM w GROUP BY 1)"""
+_EDGES = "e AS (SELECT DISTINCT least(o_custkey, o_orderkey % 997 + 2000000) AS a, greatest(o_custkey, o_orderkey % 997 + 2000000) AS b FROM orders)"
+_CC = f"""{_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM s UNION (SELECT s.b, min(c.component) FROM c JOIN s ON s.a = c.node JOIN recurring.c AS r ON r.node = s.b WHERE c.component < r.component GROUP BY s.b))"""
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graphs.simple_edges(table(spark, sf, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 997 + 2000000).alias("b")), "a", "b")
+    return graphs.simple_edges(table(spark, sf, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 997 + 2000000).alias("b")), "a", "b")
 
 
 @query(f"WITH RECURSIVE {_CC} SELECT node, component FROM c")
@@ -504,12 +587,28 @@ def t14_t18_gwr(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(g.local(60).select("id", "predicted", "local_r2"), "predicted", "local_r2")
 
 
-@query("SELECT n_regionkey, count(*) AS n, count(DISTINCT n_name) AS n_names FROM nation GROUP BY 1")
+@query("SELECT n_regionkey, count(*) AS n, count(DISTINCT n_name) AS n_kinds FROM nation GROUP BY 1")
 def a27_a30_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"), F.countDistinct("n_name").alias("n_names"))
+    return nodes.value_counts(table(spark, sf, "nation"), "n_regionkey", "n_name")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id)::INTEGER AS place FROM events")
 def o1_o4_ordered(spark: SparkSession, sf: str) -> DataFrame:
-    w = W.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    return table(spark, sf, "events").select("event_id", F.row_number().over(w).alias("place"))
+    return nodes.ranked(table(spark, sf, "events"), "event_type", [F.desc("value"), F.col("event_id")]).select("event_id", "place")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS obs_id FROM events")
+def f5_dense_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return T.dense_ids(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], "obs_id").select("event_id", "obs_id")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 <> 0 AND event_id % 5 <> 0")
+def u2_union_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id")
+    return outliers.combine(e, "event_id", e.where("event_id % 3 = 0"), e.where("event_id % 5 = 0"), "union")[0]
+
+
+@query(f"WITH {_MORAN} SELECT round(regr_slope(lag_z, z), 5) AS slope, round(regr_intercept(lag_z, z), 5) AS intercept FROM i")
+def v6_moran_scatter(spark: SparkSession, sf: str) -> DataFrame:
+    u = unit_points(spark, sf)
+    return rounded(figures.moran_scatter(stats.local_moran(u, "id", "v", spatial.knn(u, "id", "x", "y", 6))), "slope", "intercept")
\ No newline at end of file

@@ -13,7 +13,7 @@ POINTS = """p AS (SELECT event_id, ts, user_id, event_type, value, ((event_id *
 #: DuckDB: embeddings as units with a place and a value.
 UNITS = "u AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS v, embedding[4]::DOUBLE AS w FROM embeddings)"
 #: DuckDB: a network with one graph for each order priority.
-NETWORK = "e AS (SELECT DISTINCT o_orderpriority AS unit, least(o_custkey % 50, o_orderkey % 53) AS a, greatest(o_custkey % 50, o_orderkey % 53) AS b FROM orders WHERE o_orderkey % 7 = 0)"
+NETWORK = "e AS (SELECT DISTINCT o_orderpriority AS unit, least(o_custkey % 50, o_orderkey % 53) AS a, greatest(o_custkey % 50, o_orderkey % 53) AS b FROM orders)"
 
 
 def points(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,7 +29,7 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def network(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderkey % 7 = 0")
+    o = table(spark, sf, "orders")
     a, b = F.col("o_custkey") % 50, F.col("o_orderkey") % 53
     return o.select(F.col("o_orderpriority").alias("unit"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 

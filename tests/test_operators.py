@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumeworks.functions import geometry as G
 from plumeworks.functions import strings as S
-from plumeworks.operators import covariates, graphs, matching, outliers, roads, spatial, stats, traffic, units
+from plumeworks.config import PRESETS
+from plumeworks.operators import covariates, figures, graphs, matching, nodes, outliers, roads, spatial, stats, traffic, units
 from plumeworks.operators import timeseries as T
 from plumeworks.sources import files
 from plumeworks.streaming import windows
@@ -44,6 +45,95 @@ def test_chunk_sizes():
     assert [T.chunk_sizes(n) for n in (5000, 10667, 16005, 20000, 32000)] == [[5000], [5333, 5334], [8000, 4002, 4003], [8000, 8000, 4000], [8000] * 4]
 
 
+def test_chunks_are_where_the_sizes_say(spark):
+    for most, least in ((12, 3), (10, 4), (9, 1)):
+        sizes = [n for n in range(1, 60)]
+        df = spark.createDataFrame([(n, i) for n in sizes for i in range(n)], "n long, i long")
+        got = {}
+        for r in T.chunk_ids(df, ["n"], ["i"], most, least).collect():
+            got.setdefault(r.n, {}).setdefault(int(r.chunk.split("_")[1]), 0)
+            got[r.n][int(r.chunk.split("_")[1])] += 1
+        assert {n: [c for _, c in sorted(got[n].items())] for n in sizes} == {n: [s for s in T.chunk_sizes(n, most, least) if s] for n in sizes}
+    try:
+        T.hampel(df.withColumn("v", F.lit(1.0)), "v", ["n"], ["i"], 4)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_dense_ids(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000, i) for i in range(1000)], "a long, b long").repartition(7)
+    assert [(r.a, r.obsID) for r in T.dense_ids(df, ["a", "b"]).orderBy("a").collect()] == [(i, i) for i in range(1000)]
+
+
+def test_nearest_segment_nulls_and_no_segments(spark):
+    p = spark.createDataFrame([(1, 0.0, 1.0), (2, None, 1.0), (3, 5e6, -3e6)], "p long, x double, y double")
+    s = spark.createDataFrame([(7, 0.0, 0.0, 10.0, 0.0), (8, 0.0, 5.0, 10.0, 5.0)], "k long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.p: (r.k, r.dist) for r in spatial.nearest_segment(p, s, "p", "k", "x", "y", 1.0).collect()}
+    assert got[1] == (7, 1.0) and got[2] == (None, None) and got[3][0] == 7
+    assert [(r.k, r.dist) for r in spatial.nearest_segment(p, s.limit(0), "p", "k", "x", "y", 1.0).collect()] == [(None, None)] * 3
+
+
+def test_names_of_presets_and_types(spark):
+    h = PRESETS["hamburg"]
+    of = spark.createDataFrame([(1, "Obere Königsstraße"), (2, "Obere Haupt Straße.")], "k long, name string")
+    got = {r.k: r.n for r in of.select("k", S.road_names(F.array("name"), list(h.directions), dict(h.abbreviations), list(h.road_words)).alias("n")).collect()}
+    assert got == {1: ["königsstraße"], 2: ["haupt"]}
+    typed = S.correct_types(spark.createDataFrame([("1", "2.5", "x"), ("none", "3", "4")], "a string, b string, c string"), ["a", "b", "c"])
+    assert [t for _, t in typed.dtypes] == ["bigint", "double", "string"] and sorted((r.a or 0, r.b) for r in typed.collect()) == [(0, 3.0), (1, 2.5)]
+    assert S.short_names(spark.createDataFrame([(1,)], "road_length_m long")).columns == ["road_len"]
+    assert {(r.kind, r.n) for r in S.kinds_of(spark.createDataFrame([("1",), ("a",), ("b",)], "v string"), "v").collect()} == {("integer", 1), ("string", 2)}
+
+
+def test_units_connected_and_aggregated(spark, tmp_path):
+    box = lambda x: [(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0), (x, 0.0)]
+    u = spark.createDataFrame([(k, box(x)) for k, x in ((1, 0.0), (2, 1.0), (3, 5.0))], "unit long, ring array<struct<x:double,y:double>>")
+    assert {r.unit for r in nodes.connected_units(u, "unit", "ring").collect()} == {1, 2}
+    assert {r.unit for r in nodes.connected_units(u, "unit", "ring", 1.5).collect()} == {1, 2, 3}
+    p = spark.createDataFrame([(i, i * 3600, x, 0.5, float(i)) for i, x in enumerate((0.5, 0.6, 1.5))], "id long, t long, x double, y double, v double").withColumn("ts", F.timestamp_seconds("t"))
+    assert {(r.unit, r.v) for r in nodes.aggregate_to_units(p, "district", "ts", "v", size=1.0, shapes=u).collect()} == {(1, 0.5), (2, 2.0)}
+    road = spark.createDataFrame([(9, [(0.0, 0.0), (9.0, 0.0)])], "unit long, line array<struct<x:double,y:double>>")
+    assert [(r.unit, r.v) for r in nodes.aggregate_to_units(p, "road", "ts", "v", size=1.0, shapes=road, shape="line").collect()] == [(9, 1.0)]
+    assert nodes.aggregate_to_units(p, "hexagon", "ts", "v", size=100.0).count() == 1
+    T.split_by_date(p, "ts", str(tmp_path / "days"))
+    assert spark.read.parquet(str(tmp_path / "days")).count() == 3
+
+
+def test_outlier_node(spark):
+    rows = [(i, i * 10, float(i % 3), 0.0 if i != 20 else 90.0) for i in range(40)]
+    p = spark.createDataFrame(rows, "k long, t long, x double, v double").select("k", F.timestamp_seconds("t").alias("ts"), "x", "v", F.lit("a").alias("car"))
+    clean, out = nodes.outlier_detection(p, "k", "ts", "v", ["car"], ["x", "v"], choices=(5,), window=5)
+    flags = {r.k: (r.is_temporal_outlier, r.is_spatial_outlier) for r in out.collect()}
+    assert flags[20][1] and clean.count() == 40 - sum(a and b for a, b in flags.values())
+
+
+def test_roads_closed_same_and_proximity(spark):
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    df = spark.createDataFrame([(1, ring, "circular"), (2, ring[::-1], None), (3, ring[:2], "x")], "k long, line array<struct<x:double,y:double>>, junction string")
+    assert [r.c for r in df.select(roads.is_closed(F.col("line")).alias("c")).collect()] == [True, True, False]
+    assert [(r.a, r.b) for r in roads.same_lines(df, "k", "line").collect()] == [(1, 2)]
+    assert tuple(x.count() for x in roads.split_junctions(df)) == (1, 2)
+    segs = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 0.0), (2, 1.00005, 0.0, 2.0, 0.0), (3, 2.1, 0.0, 3.0, 0.0)], "k long, x1 double, y1 double, x2 double, y2 double")
+    assert {r.node: r.component for r in roads.proximity_merge(segs, "k").collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_figure_data(spark):
+    df = spark.createDataFrame([(i, float(i), float(i % 2)) for i in range(12)], "k long, v double, w double")
+    assert {r["class"] for r in figures.covariate_map(df, "k", "v", 3).collect()} == {0, 1, 2}
+    local = df.select("k", (F.col("v") - 5.5).alias("z"), (F.col("v") - 5.5).alias("lag_z"), F.col("v").alias("moran"), F.lit(1).alias("quadrant"))
+    m = figures.local_moran_map(local, df.select("k", F.lit(0.01).alias("p")), "k").collect()
+    assert {r.cluster for r in m} == {"HH"} and {r["class"] for r in m} == {0, 1, 2, 3, 4}
+    fit = stats.GWR(df.withColumns({"x": F.col("v"), "y": F.lit(0.0)}), "k", "x", "y", "v", ["w"], "gaussian").fit(10)
+    of = stats.GWR(df.withColumns({"x": F.col("v"), "y": F.lit(0.0)}), "k", "x", "y", "v", ["w"], "gaussian").local(10)
+    c = figures.coefficient_map(of, "k", 1, fit["rss"], 12, fit["trace"], 2).collect()
+    assert len(c) == 12 and all(r.masked <= r.masked_corrected for r in c)
+    assert abs(sum(r.residual**2 for r in figures.residuals(of, df, "k", "v").collect()) - fit["rss"]) < 1e-6
+    assert abs(stats.t_limit(0.05, 10) - 2.228139) < 1e-5
+    assert figures.bandwidths({"global_bandwidth": 9, "gwr_bandwidth": 4, "bandwidths": {"intercept": 3, "w": 5}}, ["w"]) == [("intercept", 9, 4, 3), ("w", 9, 4, 5)]
+    k, found = stats.search_k(df.withColumn("y", F.lit(0.0)), "k", "v", "y", "v", range(2, 4), 99)
+    assert k in found and set(found) == {2, 3}
+
+
 def test_typical_day_and_sampling(spark):
     df = spark.createDataFrame([("u", 0, 1.0), ("u", 1, 3.0), ("u", 86400, 10.0)], "u string, t long, v double").withColumn("ts", F.timestamp_seconds("t"))
     assert units.typical_day_mean(df, "u", "ts", "v").first().v == 6.0
@@ -64,8 +154,8 @@ def test_measures(spark):
 
 
 def test_names_and_classes(spark):
-    one = spark.range(1).select(S.standardize_name(F.lit("Upper St. Patrick's Ave.")).alias("n"), S.road_class(F.array(F.lit("primary_link"), F.lit("residential"))).alias("m"), S.road_class(F.array(F.lit("residential"))).alias("l"), S.class_name(F.lit("Discontinuous dense urban fabric (S.L. : 50% -  80%)")).alias("c")).first()
-    assert (one.n, one.m, one.l, one.c) == ("street patricks avenue", "major_road", "low_access", "discontinuous_dense_urban_fabric_sl_50_80")
+    one = spark.range(1).select(S.remove_words(S.standardize_name(F.lit("Upper St. Patrick's Ave."))).alias("n"), S.road_class(F.array(F.lit("primary_link"), F.lit("residential"))).alias("m"), S.road_class(F.array(F.lit("residential"))).alias("l"), S.class_name(F.lit("Discontinuous dense urban fabric (S.L. : 50% -  80%)")).alias("c")).first()
+    assert (one.n, one.m, one.l, one.c) == ("patricks", "major_road", "low_access", "discontinuous_dense_urban_fabric_sl_50_80")
     assert S.column_name("Discontinuous dense urban fabric (S.L. : 50% -  80%)") == one.c
 
 
