@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import CHUNKS
-from .common import checkpoint, map_batches, small_batches, texts
+from .common import checkpoint, fresh, map_batches, small_batches, texts
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 WORD = re.compile(r"[^\W\d_]+")
@@ -42,8 +42,8 @@ TOP = (1, 2, 4)
 LONGEST = 40
 #: Words whose n-grams are looked up at once, and word kinds that a task counts before it hands them on.
 BLOCK, KINDS = 20_000, 200_000
-#: Labelled ids that are broadcast at most (17 bytes each).
-BROADCAST = 4_000_000
+#: Labelled ids (17 bytes each) and ratios of n-grams and contexts (21 bytes each) that are sent to the driver and broadcast at most; beyond, they are joined.
+BROADCAST, MOST = 4_000_000, 8_000_000
 COUNTS = ("n0", "n1", "n2", "n3")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: The inverse of BASE modulo 2**64.
@@ -261,9 +261,9 @@ def ratios(grams: DataFrame, context: int = CONTEXT) -> DataFrame:
     return of.mapInArrow(run, "context boolean, hash long, r0 float, r1 float, r float")
 
 
-def models(grams: DataFrame, context: int = CONTEXT) -> list[Model]:
-    """The models of half 0, of half 1 and of all labelled rows; they share their keys."""
-    got = ratios(grams, context).toArrow()
+def models(table: DataFrame) -> list[Model]:
+    """The models of half 0, of half 1 and of all labelled rows from what ``ratios`` gives; they share their keys."""
+    got = table.toArrow()
     of_context = got.column("context").to_numpy()
     hashes, out = got.column("hash").to_numpy().view(np.uint64), []
     order = [np.flatnonzero(of_context == c) for c in (False, True)]
@@ -275,7 +275,58 @@ def models(grams: DataFrame, context: int = CONTEXT) -> list[Model]:
     return out
 
 
-def fit(halves: list[Model], rows: DataFrame, totals: tuple[int, int]) -> Model:
+@dataclass
+class Joined:
+    """A model whose table of ratios is too large to be sent about: words are joined with it."""
+
+    table: DataFrame
+    curve: Model | None = None
+
+    def features(self, rows: DataFrame) -> DataFrame:
+        """``row, f0, f1, f``: the features of each ``row, text`` by the models of half 0, half 1 and all rows."""
+
+        def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = [[], [], []]
+            for row, text in zip(batch.column(0).to_pylist(), texts(batch)):
+                counts = Counter(p for w in WORD.findall(text.lower()) for p in parts(w))
+                counts[""] = 1  # no word; keeps rows without words
+                for column, values in zip(out, ([row] * len(counts), counts.keys(), counts.values())):
+                    column.extend(values)
+            return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["row", "word", "n"])
+
+        def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words = batch.column(0).to_pylist()
+            codes, last, sizes = _letters(words)
+            gram, context = _hashes(codes, last, sizes)
+            return pa.record_batch([pa.array(np.repeat(words, [len(w) + 1 for w in words]).tolist(), pa.string()), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64))], names=["word", "gram", "of"])
+
+        words = checkpoint(map_batches(rows.select("row", "text"), split, "row long, word string, n long"))
+        names = ("r0", "r1", "r")
+        each = map_batches(words.where("word <> ''").select("word").distinct(), grams, "word string, gram long, of long", rows=4096)
+        by_gram = self.table.where("NOT context").select(F.col("hash").alias("gram"), *names)
+        by_context = self.table.where("context").select(F.col("hash").alias("of"), *[F.col(n).alias(f"c{n}") for n in names])
+        ratio = each.join(by_gram, "gram", "left").join(by_context, "of", "left").groupBy("word").agg(*[F.sum(F.coalesce(n, f"c{n}", F.lit(0.0)).cast("double")).alias(n) for n in names])
+        joined = words.join(ratio, "word", "left")
+        some = F.col("word") != ""
+        letters = F.sum(F.when(some, F.col("n") * (F.length("word") + 1)).otherwise(0)) + 20
+        out = []
+        for n, f in zip(names, ("f0", "f1", "f")):
+            best = F.slice(F.sort_array(F.flatten(F.collect_list(F.when(some, F.array_repeat(n, F.least("n", F.lit(max(TOP))).cast("int"))))), False), 1, max(TOP))
+            tops = [F.least(F.aggregate(F.slice(best, 1, k), F.lit(0.0), lambda x, y: x + y) / k, F.lit(30.0)) for k in TOP]
+            out.append(F.array(F.coalesce(F.sum(F.when(some, F.col("n") * F.col(n))), F.lit(0.0)) / letters, *tops).alias(f))
+        return joined.groupBy("row").agg(*out)
+
+    def scored(self, docs: DataFrame) -> tuple[DataFrame, str, str]:
+        """docs with a score by row, and the names of these two columns."""
+        row, score = fresh(docs, "row", "score")
+        placed = checkpoint(docs.withColumn(row, F.monotonically_increasing_id()))
+        c = self.curve
+        z = sum((w * (F.col("f")[k] - m) / s for k, (w, m, s) in enumerate(zip(c.weights[1:], c.mean, c.scale))), F.lit(c.weights[0]))
+        of = self.features(placed.select(F.col(row).alias("row"), "text")).select(F.col("row").alias(row), (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))).alias(score))
+        return placed.join(of, row), row, score
+
+
+def fit(halves: list[Model] | Joined, rows: DataFrame, totals: tuple[int, int]) -> Model | Joined:
     """The model of all labelled rows, with a curve fitted on ratios that the other half of them gives.
 
     rows: ``text, toxic, half``, a sample for the curve, whose features are taken in the
@@ -283,22 +334,27 @@ def fit(halves: list[Model], rows: DataFrame, totals: tuple[int, int]) -> Model:
     fewer than two rows of either label nothing can be told, and every document scores
     0 (to 17 digits).
     """
-    shared_halves = rows.sparkSession.sparkContext.broadcast(halves[:2])
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of, half = texts(batch), batch.column(2).to_pylist()
-        got = [m.features(of, {}) for m in shared_halves.value]
-        f = [got[1 - h][k] for k, h in enumerate(half)]
-        return pa.record_batch([batch.column(1), pa.array(f, pa.list_(pa.float64()))], names=["toxic", "f"])
-
-    got = map_batches(rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.col("half").cast("int").alias("half")), run, "toxic int, f array<double>").collect()
-    got = sorted((r.toxic, r.f) for r in got)  # the fit must not depend on the order
+    rows = rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.col("half").cast("int").alias("half"))
+    if isinstance(halves, Joined):
+        placed = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+        of = placed.join(halves.features(placed), "row").select("toxic", F.when(F.col("half") == 0, F.col("f1")).otherwise(F.col("f0")).alias("f"))
+    else:
+        shared_halves = rows.sparkSession.sparkContext.broadcast(halves[:2])
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            of, half = texts(batch), batch.column(2).to_pylist()
+            got = [m.features(of, {}) for m in shared_halves.value]
+            f = [got[1 - h][k] for k, h in enumerate(half)]
+            return pa.record_batch([batch.column(1), pa.array(f, pa.list_(pa.float64()))], names=["toxic", "f"])
+
+        of = map_batches(rows, run, "toxic int, f array<double>")
+    got = sorted((r.toxic, r.f) for r in of.collect())  # the fit must not depend on the order
     turn = [sum(y == k for y, _ in got) for k in (0, 1)]
     if min(turn) < 2 or min(totals) < 1:
         return silent()
-    model = fit_curve(halves[2], np.array([f for _, f in got]), np.array([y for y, _ in got], float))
-    model.weights[0] += math.log(totals[1] / totals[0]) - math.log(turn[1] / turn[0])
-    return model
+    curve = fit_curve(silent() if isinstance(halves, Joined) else halves[2], np.array([f for _, f in got]), np.array([y for y, _ in got], float))
+    curve.weights[0] += math.log(totals[1] / totals[0]) - math.log(turn[1] / turn[0])
+    return Joined(halves.table, curve) if isinstance(halves, Joined) else curve
 
 
 def silent() -> Model:
@@ -363,7 +419,7 @@ BOUND = {1: 1000, 0: 1200}
 THRESHOLD = 0.3
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = None) -> Model | Joined:
     """The model of the labelled rows. Counts are of all labelled texts, each row counting on its own where a doc_id repeats; bound is for the curve.
 
     A labelled row with a null text counts nothing; labels without a document and empty tables are no error.
@@ -372,17 +428,22 @@ def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = Non
     n = words.where("word = ''").select(*COUNTS).first()
     if n is None or not words.where("word <> ''").limit(1).count():
         return silent()
-    return fit(models(checkpoint(gram_counts(words))), curve_rows(docs, labels, bound or BOUND), (n.n1 + n.n3, n.n0 + n.n2))
+    table = checkpoint(ratios(checkpoint(gram_counts(words))))
+    return fit(models(table) if table.count() <= MOST else Joined(table), curve_rows(docs, labels, bound or BOUND), (n.n1 + n.n3, n.n0 + n.n2))
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model | Joined, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document.
 
     docs: has ``doc_id`` and ``text``; other columns are not read. A null or empty
     text has a score too, from features of zero. Repeated rows give a row each, a null
-    doc_id stays null and is not held out; an empty table gives none. The model is
-    broadcast; it grows with the letter n-grams of the labelled texts, 16 bytes each.
+    doc_id stays null and is not held out; an empty table gives none. A model of up to
+    MOST ratios is broadcast; with a larger one each word is joined with its n-grams'
+    ratios and each document with its words.
     """
+    if isinstance(model, Joined):
+        of, _, score = model.scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+        return of.select("doc_id", held_out("doc_id").alias("held_out"), F.col(score).alias("score"), (F.col(score) >= threshold).cast("int").alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -393,8 +454,11 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     return map_batches(of, run, SCHEMA)
 
 
-def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score stays under the threshold."""
+def drop_toxic(docs: DataFrame, model: Model | Joined, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score stays under the threshold; null and empty texts have one too, repeated rows are each kept or dropped."""
+    if isinstance(model, Joined):
+        of, _, score = model.scored(docs)
+        return of.where(F.col(score) < threshold).select(*[f"`{c}`" for c in docs.columns])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

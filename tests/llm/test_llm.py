@@ -219,7 +219,7 @@ def test_pii(spark, docs):
     assert pii.train(empty(docs)).node.shape == (pii.FEATURES, len(pii.LABELS)) and pii.redact_documents(docs, w).columns == docs.columns
 
 
-def test_toxicity_held_out(spark, docs):
+def test_toxicity_held_out(spark, docs, monkeypatch):
     rnd = random.Random(9)
     plain = ["tha", "ion", "ere", "ing", "st", "an", "wh", "le"]
     word = lambda: "".join(rnd.choice(plain) for _ in range(rnd.randint(1, 3)))
@@ -239,6 +239,13 @@ def test_toxicity_held_out(spark, docs):
     held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
     assert len(held) > 100 and sum(p == y for p, y in held) / len(held) > 0.95
     assert all(0 <= r.score <= 1 for r in toxicity.score_documents(docs, model).collect())
+    monkeypatch.setattr(toxicity, "MOST", 0)
+    joined = toxicity.train(df, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    assert isinstance(joined, toxicity.Joined) and np.allclose(joined.curve.weights, model.weights, atol=1e-3)
+    for of in (df, docs):
+        a, b = ({(r.doc_id or 0): r.score for r in toxicity.score_documents(of, m).collect()} for m in (model, joined))
+        assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-3 for i in a)
+    assert toxicity.drop_toxic(docs, joined).columns == docs.columns and toxicity.drop_toxic(docs, joined).count() == toxicity.drop_toxic(docs, model).count()
     none = toxicity.train(empty(df), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.drop_toxic(docs, none).count() == len(ROWS)
 
@@ -274,7 +281,7 @@ def brute_ratios(counts, word):
 def test_toxicity_ratios_against_definition(spark):
     counts = {"abracadabras": (3, 1), "abra": (0, 2), "cadabra": (4, 0), "bra": (1, 1), "zebra": (0, 5)}
     words = spark.createDataFrame([(w, *by, 0, 0) for w, by in counts.items()], "word string, n0 long, n1 long, n2 long, n3 long")
-    half, none, every = toxicity.models(toxicity.gram_counts(words))
+    half, none, every = toxicity.models(toxicity.ratios(toxicity.gram_counts(words)))
     for m in (half, every):
         assert np.allclose(m.words([*counts, "abrazeb", "bracad"]), [brute_ratios(counts, w) for w in [*counts, "abrazeb", "bracad"]], atol=1e-5)
     assert not none.words([*counts]).any()  # the other half has no rows
