@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -62,9 +63,9 @@ def test_word_bpe(spark, docs):
     assert sorted((r.doc_id or 0, *r[1:]) for r in wordbpe.digest_documents(docs, WORD_BPE).collect()) == sorted(want)
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, words=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
-    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    shingles = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -318,6 +319,78 @@ def test_pipeline_keeps_columns(spark, docs, tmp_path):
     assert now.count() > 0
 
 
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rnd = random.Random(4)
+    part = ["tha", "ion", "ere", "ing", "st", "an", "wh", "le", "ou", "mer"]
+    word = lambda: "".join(rnd.choice(part) for _ in range(rnd.randint(1, 3)))
+    docs = []
+    for i in range(90):
+        w = [word() for _ in range(rnd.randint(40, 90))]
+        if i % 3 == 0:
+            for _ in range(5):
+                w[rnd.randrange(len(w))] = rnd.choice(["vequalow", "vequabix", "vequatro"])
+        if i % 5 == 1:
+            w[5:5] = ["mail", f"a{i}@b.com", "at", f"10.0.0.{i}", "call", f"+1 (377) 555-0{100 + i}"]
+        lines_ = [" ".join(w[: len(w) // 2]), "read more of this site", " ".join(w[len(w) // 2 :])]
+        docs.append((i, "\n".join(lines_), f"s{i % 2}"))
+    docs += [(200 + i, t + " ", s) for i, t, s in docs[:30]] + [(300, None, "s0"), (301, "", "s1"), (302, docs[1][1], "s0")]
+    labels = [(i, int(i % 3 == 0)) for i in range(90)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted((r.doc_id, r.start, r.length, bytes(r.ids)) for r in P.run(spark, str(tmp_path)).collect())
+
+    read = lambda n: spark.read.parquet(str(tmp_path / f"{n}.parquet"))
+    model = toxicity.train(read("documents"), read("labels"))
+    now = [d for d, s in zip(docs, model.scores([t or "" for _, t, _ in docs], {})) if s < toxicity.THRESHOLD]
+    assert 0 < sum(i % 3 == 0 for i, *_ in now if i < 90) + 20 < 50 and sum(i % 3 != 0 for i, *_ in now if i < 90) > 50
+    pages, on = {}, {}
+    for t, s in {(t, s) for _, t, s in now if t is not None}:
+        pages[s] = pages.get(s, 0) + 1
+        for x in {x for x in t.split("\n") if x.strip(" \t\v\f\r")}:
+            on[s, x] = on.get((s, x), 0) + 1
+    bad = {k for k, n in on.items() if n >= lines.PAGES and n > lines.RATIO * pages[k[0]]}
+    now = [(i, t if t is None else "\n".join([x for x in t.split("\n") if (s, x) not in bad])) for i, t, s in now]
+    assert ("s0", "read more of this site") in bad
+    f = [brute_fingerprint(t, 5) for _, t in now]
+    near = roots(len(now), [(a, b) for a, b in combinations(range(len(now)), 2) if (f[a] ^ f[b]).bit_count() <= 4])
+    least = {r: min(now[k][0] for k in range(len(now)) if near[k] == r) for r in near}
+    kept = sorted(x for k, x in enumerate(now) if least[near[k]] == x[0])
+    assert len(kept) < len(now)
+    weights = pii.learn([t for _, t in kept if t and re.search("[0-9@]", t)])
+    clean = [(i, pii.redact(t or "", spans)) for (i, t), (_, spans) in zip(kept, pii.find([t or "" for _, t in kept], weights))]
+    assert any("[EMAIL]" in t and "[IP]" in t for _, t in clean)
+    hf, want = Tokenizer.from_file(BYTE_BPE), []
+    for i, t in clean:
+        ids, at = np.array(hf.encode(t, add_special_tokens=False).ids + [0], "<u4"), 0
+        for n in packing.lengths(len(ids), 1024):
+            want.append((i, at, n, ids[at : at + n].tobytes()))
+            at += n
+    assert got == sorted(want)
+
+
+def test_pii_long_text_in_linear_time():
+    text = " ".join(f"user{i}@mail{i % 50}.org +1 377 555 {i % 9000 + 1000}" for i in range(30_000))
+    w = pii.learn([f"mail a{i}@b.com or 10.0.0.{i}" for i in range(50)])
+    began = time.time()
+    (b, every), = pii.find([text], w)
+    assert len(b) >= 30_000 and set(b) <= set(every) and time.time() - began < 60
+
+
+def test_beliefs_against_enumeration():
+    rng = np.random.default_rng(0)
+    w = pii.Weights(rng.normal(size=(pii.FEATURES, 7)), rng.normal(size=(7, 7)), np.abs(rng.normal(size=7)))
+    x = rng.normal(size=(4, pii.FEATURES))
+    g = pii.Graph(np.zeros((4, 3), np.int64), x, np.array([[0, 1], [1, 2]]), np.array([[0, 3]]))  # a tree
+    node, p = x @ w.node, np.zeros((4, 7))
+    for y in np.ndindex(7, 7, 7, 7):
+        z = np.exp(sum(node[k, y[k]] for k in range(4)) + w.chain[y[0], y[1]] + w.chain[y[1], y[2]] + (w.skip[y[0]] if y[0] == y[3] else 0))
+        for k in range(4):
+            p[k, y[k]] += z
+    assert np.allclose(pii.beliefs(g, w, 60), p / p.sum(1, keepdims=True), atol=1e-6)
+
+
 def test_public_path():
     assert public_tokenizers.path("byte_bpe_50k.json") == BYTE_BPE
     assert F is not None
