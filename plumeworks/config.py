@@ -31,6 +31,9 @@ class Settings:
     road_words: tuple[str, ...] = ("street", "st", "road", "rd", "square", "ave", "avenue", "drive")
     traffic_time_format: str = "yyyyMMddHHmmss"
     n_search: int | str = 100
+    matcher_url: str = ""
+    moran_neighbours: int = 8
+    cell_m: float = 1000.0
 
 
 DUBLIN = Settings()

@@ -27,8 +27,8 @@ def simple_edges(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 60) -> DataFrame:
     """``node, component``: the smallest node that each can reach. Labels spread to neighbours and then jump to their label's label."""
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).where("node <> other").distinct()
-    both = cut_lineage(both)
+    edges = cut_lineage(edges.select("a", "b").distinct())
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).where("node <> other")
     ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
     every = (ends if nodes is None else ends.union(nodes.toDF("node"))).distinct()
     label = cut_lineage(every.select("node", F.col("node").alias("component")))

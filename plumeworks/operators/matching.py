@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import DUBLIN, Settings
+from . import timeseries as T
 
 Matcher = Callable[[list[tuple[float, float]]], list[tuple[float, float] | None] | None]
 
@@ -26,3 +34,43 @@ def match(df: DataFrame, chunk: str, order: str, lon: str, lat: str, matcher: Ma
         return pdf.assign(matched_lon=[float(p[0]) for p in both], matched_lat=[float(p[1]) for p in both])
 
     return df.groupBy(chunk).applyInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class HttpMatcher:
+    """A matcher that posts a trace as JSON and reads ``tracepoints[].location``; None where the service answers with an error or no points.
+
+    A service that cannot be reached raises, so that the task is tried again.
+    """
+
+    url: str
+    headers: dict[str, str] = field(default_factory=lambda: {"Content-Type": "application/json"})
+    radius_m: int = 100
+    timeout_s: float = 300.0
+
+    def body(self, trace: list[tuple[float, float]]) -> dict:
+        return {"shape": [{"lon": x, "lat": y} for x, y in trace], "search_radius": self.radius_m, "shape_match": "map_snap", "costing": "auto", "format": "osrm"}
+
+    def __call__(self, trace: list[tuple[float, float]]) -> list[tuple[float, float] | None] | None:
+        request = urllib.request.Request(self.url, json.dumps(self.body(trace)).encode(), self.headers)  # noqa: S310
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout_s) as answer:  # noqa: S310
+                found = json.load(answer).get("tracepoints") if answer.status == 200 else None
+        except urllib.error.HTTPError:
+            return None
+        return found and [tuple(p["location"]) if p and "location" in p else None for p in found]
+
+
+def match_days(df: DataFrame, vehicle: list[str], key: str, matcher: Matcher | None, settings: Settings = DUBLIN) -> DataFrame:
+    """``matched_lon, matched_lat`` of every point, from trajectories by vehicle and day, cut at gaps and into chunks.
+
+    Without a matcher the points are given as they are. Every day is done in one run.
+    """
+    ts, lon, lat = settings.timestamp, settings.lon, settings.lat
+    if matcher is None:
+        return df.withColumns({"matched_lon": F.col(lon).cast("double"), "matched_lat": F.col(lat).cast("double")})
+    by = [*vehicle, "__day"]
+    split = T.split_by_gaps(df.withColumn("__day", F.to_date(ts)), ts, settings.match_gap_s, by, key, "__traj")
+    chunks = T.chunk_ids(split, [*by, "__traj"], [ts, key], settings.chunk_max, settings.chunk_min, "__part")
+    named = chunks.withColumn("__chunk", F.to_json(F.struct(*by, "__part")))
+    return match(named.drop("__day", "__traj", "__part"), "__chunk", ts, lon, lat, matcher).drop("__chunk")

@@ -9,17 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / IQR of each column; an IQR of 0 counts as 1."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__q_{c}") for c in columns])
-    of = df.join(F.broadcast(q))
+    scaled = {}
     for c in columns:
-        p = F.col(f"__q_{c}")
-        iqr = p[2] - p[0]
-        of = of.withColumn(c, (F.col(c) - p[1]) / F.when(iqr == 0, 1.0).otherwise(iqr))
-    return of.drop(*[f"__q_{c}" for c in columns])
+        a, m, b = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+        scaled[c] = F.lit(None).cast("double") if m is None else (F.col(c) - m) / ((b - a) or 1.0)
+    return df.withColumns(scaled)
 
 
 def lof(neighbours: DataFrame, k: int) -> DataFrame:

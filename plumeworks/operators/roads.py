@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DUBLIN, Settings
+from ..functions import geometry as G
 from ..functions import strings as S
-from .graphs import connected_components
+from .graphs import connected_components, cut_lineage
 from .spatial import cover, segments
 
 #: Pieces of this length and less are dropped when a line is cut.
@@ -99,6 +100,7 @@ def _crosses(ax, ay, bx, by, cx, cy, dx, dy):
 
 def merge_roads(segs: DataFrame, key: str, names: str, near: float, rounds: int = 10) -> DataFrame:
     """``key, road``: roads that share names and are near are merged, and their names united, until nothing changes."""
+    segs = cut_lineage(segs.select(key, names, "x1", "y1", "x2", "y2"))
     label = segs.select(key, F.col(key).alias("road")).distinct()
     n = label.count()
     for _ in range(rounds):
@@ -107,7 +109,7 @@ def merge_roads(segs: DataFrame, key: str, names: str, near: float, rounds: int
         now = of.join(united, "road").select(F.col("road").alias("__k"), F.col("__u").alias(names), "x1", "y1", "x2", "y2")
         pairs = name_sharing_pairs(now, "__k", names, near)
         found = connected_components(pairs, label.select(F.col("road").alias("node")).distinct())
-        label = label.join(found, label["road"] == found["node"]).select(key, F.col("component").alias("road"))
+        label = cut_lineage(label.join(found, label["road"] == found["node"]).select(key, F.col("component").alias("road")))
         m = label.select("road").distinct().count()
         if m == n:
             return label
@@ -115,6 +117,76 @@ def merge_roads(segs: DataFrame, key: str, names: str, near: float, rounds: int
     raise RuntimeError("roads did not settle")
 
 
+def line_merge(parts: list[Line]) -> list[Line]:
+    """Lines joined wherever just two ends meet; the same set of lines gives the same result in any order or direction."""
+    one = sorted({min(tuple(p), tuple(p[::-1])) for p in parts if len(p) > 1})
+    at: dict[tuple, list[int]] = {}
+    for k, p in enumerate(one):
+        for e in (p[0], p[-1]):
+            at.setdefault(e, []).append(k)
+    out, used = [], set()
+
+    def chain(k: int, start: tuple) -> Line:
+        line = [start]
+        while True:
+            used.add(k)
+            line += (one[k] if one[k][0] == line[-1] else one[k][::-1])[1:]
+            free = [j for j in at[line[-1]] if j not in used]
+            if len(at[line[-1]]) != 2 or not free:
+                return line
+            k = free[0]
+
+    for cycles in (False, True):  # what is left after the open chains are rings
+        for k, p in enumerate(one):
+            for e in (p[0], p[-1]):
+                if k not in used and (cycles or len(at[e]) != 2):
+                    out.append(chain(k, e))
+    return out
+
+
+def merged_lines(lines: DataFrame, label: DataFrame, key: str, line: str, road: str = "road") -> DataFrame:
+    """``road, lines, length``: the joined lines of each merged road, from ``key, line`` and ``key, road``. A road's lines fit a task."""
+    of = lines.select(key, line).join(label.select(key, road), key).where(F.size(line) > 1).groupBy(road).agg(F.collect_list(line).alias("__l"))
+
+    def run(parts):
+        for pdf in parts:
+            joined = [line_merge([[(q["x"], q["y"]) for q in ln] for ln in all_]) for all_ in pdf["__l"]]
+            yield pd.DataFrame({road: pdf[road], "lines": [[[{"x": x, "y": y} for x, y in ln] for ln in j] for j in joined], "length": [float(sum(map(length, j))) for j in joined]})
+
+    return of.mapInPandas(run, f"`{road}` {dict(label.dtypes)[road]}, lines array<array<struct<x:double,y:double>>>, length double")
+
+
+def roundabouts(df: DataFrame, key: str, line: str, near: float = 1e-4, junction: str = "junction") -> DataFrame:
+    """``road, lines, length, closed`` and merged tags of roundabouts: their contiguous parts are one.
+
+    df has the columns of tag_columns. The tags come by the component's id.
+    """
+    parts, _ = split_junctions(df, junction)
+    label = proximity_merge(segments(parts, key, line), key, near).select(F.col("node").alias(key), F.col("component").alias("road"))
+    out = merged_lines(parts, label, key, line).join(merged_tags(parts.join(label, key), "road"), "road")
+    return out.withColumn("closed", F.forall("lines", is_closed))
+
+
+def road_network(df: DataFrame, key: str, line: str, settings: Settings = DUBLIN, near: float = 20.0) -> tuple[DataFrame, DataFrame]:
+    """(roads, pieces) of raw streets ``key, line, junction, oneway`` and tags.
+
+    Roads: ``road, lines, length, is_roundabout`` and merged tags; streets that share
+    names and are near are one, streets without a name stay as they are. Pieces:
+    ``road, part, piece, line, length``, cut by bearing and length.
+    """
+    tagged = tag_columns(df, settings)
+    rings, others = split_junctions(tagged)
+    with_name = named(others)
+    joined = merge_roads(segments(with_name, key, line).drop("n").join(with_name.select(key, "names"), key), key, "names", near)
+    alone = others.join(with_name.select(key), key, "left_anti").select(key, F.col(key).alias("road"))
+    label = joined.unionByName(alone)
+    roads = merged_lines(others, label, key, line).join(merged_tags(others.join(label, key), "road"), "road").withColumn("is_roundabout", F.lit(False))
+    roads = roads.unionByName(roundabouts(rings, key, line).drop("closed").withColumn("is_roundabout", F.lit(True)))
+    parts = roads.select("road", F.posexplode("lines").alias("part", "line")).withColumn("__k", F.struct("road", "part"))
+    pieces = cut_roads(parts, "__k", "line", settings.bearing_split, settings.min_segment_m, settings.max_segment_m)
+    return roads, pieces.select("__k.road", "__k.part", "piece", "line", G.length(F.col("line")).alias("length"))
+
+
 def bearing(a: tuple, b: tuple) -> float:
     return math.degrees(math.atan2(b[0] - a[0], b[1] - a[1])) % 360
 
@@ -186,7 +258,7 @@ def cut_roads(roads: DataFrame, key: str, line: str, limit: float = 35.0, least:
             rows = [(k, n, [{"x": x, "y": y} for x, y in p]) for k, ln in zip(pdf[key], pdf[line]) for n, p in enumerate(cut_road([(q["x"], q["y"]) for q in ln], limit, least, most))]
             yield pd.DataFrame(rows, columns=[key, "piece", "line"])
 
-    return roads.select(key, line).mapInPandas(run, f"{key} {dict(roads.dtypes)[key]}, piece int, line array<struct<x:double,y:double>>")
+    return roads.select(key, line).mapInPandas(run, f"`{key}` {dict(roads.dtypes)[key]}, piece int, line array<struct<x:double,y:double>>")
 
 
 def clip_line(line: Line, ring: Line) -> list[Line]:
@@ -237,6 +309,50 @@ def clip_polygon(ring: Line, convex: Line) -> Line:
     return [*out, out[0]]
 
 
+def triangles(ring: Line) -> list[Line]:
+    """A simple closed ring as counter-clockwise closed triangles, ear by ear; flat corners are left out."""
+    p = [tuple(q) for q in (ring if _twice_area(ring) > 0 else ring[::-1])[:-1]]
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    out: list[Line] = []
+    while len(p) > 2:
+        for k in range(len(p)):
+            a, b, c = p[k - 1], p[k], p[(k + 1) % len(p)]
+            t = turn(a, b, c)
+            if t == 0 or (t > 0 and not any(q not in (a, b, c) and turn(a, b, q) >= 0 and turn(b, c, q) >= 0 and turn(c, a, q) >= 0 for q in p)):
+                break
+        else:
+            raise ValueError("the ring crosses itself")
+        if t > 0:
+            out.append([a, b, c, a])
+        del p[k]
+    return out
+
+
+def is_convex(ring: Line) -> bool:
+    """Whether a counter-clockwise closed ring never turns right."""
+    p = ring[:-1]
+    return all((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]) >= 0 for a, b, c in zip(p, p[1:] + p[:1], p[2:] + p[:2]))
+
+
+def common_area(feature: Line, unit: Line) -> float:
+    """The area of a closed ring inside another; a unit that is not convex is taken triangle by triangle."""
+    unit = unit if _twice_area(unit) > 0 else unit[::-1]
+    cuts = [clip_polygon(feature, t) for t in ([unit] if is_convex(unit) else triangles(unit))]
+    return sum(abs(_twice_area(c)) / 2 for c in cuts if c)
+
+
+def clip_to_box(units: DataFrame, ring: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """Units with their rings cut to (x, y, x, y); those outside are left out, other columns stay."""
+    x1, y1, x2, y2 = box
+    corners = [(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]
+
+    def run(parts):
+        for pdf in parts:
+            yield pdf.assign(**{ring: [[{"x": x, "y": y} for x, y in clip_polygon([(q["x"], q["y"]) for q in r], corners)] for r in pdf[ring]]})
+
+    return units.where(F.size(ring) > 3).mapInPandas(run, units.schema).where(F.size(ring) > 3)
+
+
 def clip_lines_to_units(lines: DataFrame, units: DataFrame, key: str, line: str, unit: str, ring: str, size: float) -> DataFrame:
     """``unit, key, line, length``: the parts of each line in each unit. Grid cells of both boxes find the candidates."""
     def boxed(df: DataFrame, g: str) -> DataFrame:
@@ -276,7 +392,7 @@ def _mean_length(segs: DataFrame) -> float:
 
 
 def overlay(features: DataFrame, units: DataFrame, key: str, ring: str, unit: str, unit_ring: str, size: float, kept: list[str] | None = None) -> DataFrame:
-    """``unit, key, <kept>, area``: the area of each feature inside each convex unit; grid cells of both boxes find the candidates."""
+    """``unit, key, <kept>, area``: the area of each feature inside each unit; grid cells of both boxes find the candidates."""
     def boxed(df: DataFrame, g: str) -> DataFrame:
         xs, ys = F.transform(g, lambda p: p["x"]), F.transform(g, lambda p: p["y"])
         return cover(df, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), size)
@@ -289,9 +405,7 @@ def overlay(features: DataFrame, units: DataFrame, key: str, ring: str, unit: st
         for pdf in parts:
             area = []
             for a, b in zip(pdf["__ring"], pdf["__unit_ring"]):
-                convex = [(q["x"], q["y"]) for q in b]
-                cut = clip_polygon([(q["x"], q["y"]) for q in a], convex if _twice_area(convex) > 0 else convex[::-1])
-                area.append(abs(_twice_area(cut)) / 2 if cut else 0.0)
+                area.append(common_area([(q["x"], q["y"]) for q in a], [(q["x"], q["y"]) for q in b]))
             yield pdf.drop(columns=["__ring", "__unit_ring"]).assign(area=area)
 
     out = pairs.select(unit, key, *kept, "__ring", "__unit_ring")

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from .graphs import cut_lineage
 
+#: Rows of which knn looks at all pairs.
+FEW = 5000
+
 
 def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
@@ -77,9 +80,15 @@ def nearest_segment(points: DataFrame, segs: DataFrame, point: str, key: str, x:
 def knn(df: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     """``focal, neighbor, dist, rank``: the k nearest other rows, ties to the smaller key.
 
-    For tables of units, whose number is bounded by the study area; every pair of them
-    is looked at, and the ranking keeps k of each.
+    Up to FEW rows every pair is looked at. Beyond, candidates come from the 3 x 3 cells
+    around a point, about k points in a cell, and a point is settled when its k-th
+    distance is within a cell's width; for the rest the width doubles until it spans all.
+    Rows with a null coordinate take no part.
     """
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    b = df.agg(F.count("*").alias("n"), F.max(x).alias("x"), F.min(x).alias("u"), F.max(y).alias("y"), F.min(y).alias("v")).first()
+    if b.n > FEW:
+        return _knn_by_cells(df, key, x, y, k, b)
     a = df.select(F.col(key).alias("focal"), F.col(x).alias("__x"), F.col(y).alias("__y"))
     b = df.select(F.col(key).alias("neighbor"), F.col(x).alias("__u"), F.col(y).alias("__v"))
     d = G.distance(F.col("__x"), F.col("__y"), F.col("__u"), F.col("__v"))
@@ -87,6 +96,32 @@ def knn(df: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("focal").orderBy("dist", "neighbor"))).where(F.col("rank") <= k)
 
 
+def _knn_by_cells(df: DataFrame, key: str, x: str, y: str, k: int, box) -> DataFrame:
+    one = df.select(F.col(key).alias("focal"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    other = one.toDF("neighbor", "__u", "__v")
+    wide = max(box.x - box.u, box.y - box.v) or 1.0
+    size = max(math.sqrt((box.x - box.u) * (box.y - box.v) * (k + 1) / box.n), wide * (k + 1) / box.n)
+    todo, out = one, None
+    ring = F.array(*map(F.lit, (-1, 0, 1)))
+    while True:
+        cells = other.withColumns({"__cx": cell(F.col("__u"), size), "__cy": cell(F.col("__v"), size)})
+        around = todo.withColumn("__cx", F.explode(F.transform(ring, lambda d: cell(F.col("__x"), size) + d)))
+        around = around.withColumn("__cy", F.explode(F.transform(ring, lambda d: cell(F.col("__y"), size) + d)))
+        d = G.distance(F.col("__x"), F.col("__y"), F.col("__u"), F.col("__v"))
+        pairs = around.join(cells, ["__cx", "__cy"]).where("focal <> neighbor").select("focal", "neighbor", d.alias("dist"))
+        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("focal").orderBy("dist", "neighbor"))).where(F.col("rank") <= k)
+        if size < wide:  # a k-th neighbour within the width: none nearer is outside the cells looked at
+            ranked = ranked.withColumn("__k", F.max(F.when(F.col("rank") == k, F.col("dist"))).over(W.partitionBy("focal"))).where(F.col("__k") <= size).drop("__k")
+        sure = cut_lineage(ranked)
+        out = sure if out is None else out.union(sure)
+        if size >= wide:
+            return out
+        todo = cut_lineage(todo.join(sure.select("focal").distinct(), "focal", "left_anti"))
+        if not todo.limit(1).count():
+            return out
+        size = min(2 * size, wide)
+
+
 def distance_band(df: DataFrame, key: str, x: str, y: str, limit: float) -> DataFrame:
     """``focal, neighbor, dist`` of other rows within the limit, by cells of its width."""
     a = df.select(F.col(key).alias("focal"), F.col(x).alias("__x"), F.col(y).alias("__y"))

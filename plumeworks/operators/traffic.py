@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import cut_lineage
+from .quantiles import exact_quantiles
+
 
 def time_filters(df: DataFrame, ts: str, start_day: str | None = None, end_day: str | None = None, start_hour: int | None = None, end_hour: int | None = None, weekday: bool = False, weekend: bool = False) -> DataFrame:
     """Days inclusive, hours from start to before end, weekdays or weekends (not both). Hour 0 is a bound like any other."""
@@ -30,14 +33,14 @@ def faulty_sites(df: DataFrame, site: str, volume: str, share: float = 0.8) -> D
 
 def quantile_trim(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows strictly between two quantiles of all values."""
-    q = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__q"))
-    return df.join(F.broadcast(q)).where((F.col(value) > F.col("__q")[0]) & (F.col(value) < F.col("__q")[1])).drop("__q")
+    a, b = exact_quantiles(df, value, [low, high])
+    return df.where((F.col(value) > F.lit(a)) & (F.col(value) < F.lit(b)))
 
 
 def site_means(df: DataFrame, ts: str, site: str, volume: str, faulty_share: float = 0.8) -> DataFrame:
     """Hourly sums without faulty sites and extreme values, then each site's mean as ``avg_traffic``."""
     hourly = hourly_sums(df, ts, site, volume)
-    sound = hourly.join(faulty_sites(hourly, site, volume, faulty_share), site, "left_anti")
+    sound = cut_lineage(hourly.join(faulty_sites(hourly, site, volume, faulty_share), site, "left_anti"))
     return quantile_trim(sound, volume).groupBy(site).agg(F.avg(volume).alias("avg_traffic"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import projection
 from ..functions import strings as S
 from ..operators import covariates as C
 from ..operators import figures, graphs, nodes, outliers, roads, spatial, stats, traffic, units
@@ -574,6 +575,67 @@ def g31_g36_merged_roads(spark: SparkSession, sf: str) -> DataFrame:
     return roads.merge_roads(segs, "id", "names", 20.0)
 
 
+def _krueger() -> str:
+    """DuckDB: easting and northing of the Irish grid, the series written out with its third flattening."""
+    n = "0.0016792203946287445::DOUBLE"
+    a1, a2, a3 = f"({n}/2 - 2*pow({n},2)/3 + 5*pow({n},3)/16 + 41*pow({n},4)/180)", f"(13*pow({n},2)/48 - 3*pow({n},3)/5 + 557*pow({n},4)/1440)", f"(61*pow({n},3)/240 - 103*pow({n},4)/140)"
+    a4, r = f"(49561*pow({n},4)/161280)", f"(6378137.0::DOUBLE/(1+{n})*(1 + pow({n},2)/4 + pow({n},4)/64))"
+    e = f"(2*sqrt({n})/(1+{n}))"
+    xi = lambda phi: f"sinh(atanh(sin({phi})) - {e}*atanh({e}*sin({phi})))"
+    north = f"(u + {a1}*sin(2*u)*cosh(2*v) + {a2}*sin(4*u)*cosh(4*v) + {a3}*sin(6*u)*cosh(6*v) + {a4}*sin(8*u)*cosh(8*v))"
+    east = f"(v + {a1}*cos(2*u)*sinh(2*v) + {a2}*cos(4*u)*sinh(4*v) + {a3}*cos(6*u)*sinh(6*v) + {a4}*cos(8*u)*sinh(8*v))"
+    return f"""WITH p AS (SELECT event_id, -10.5::DOUBLE + (event_id * 7919 % 20011) / 20011::DOUBLE * 5 AS lon, 51.4::DOUBLE + (event_id * 104729 % 20021) / 20021::DOUBLE * 4 AS lat FROM events),
+t AS (SELECT event_id, {xi("radians(lat)")} AS t, radians(lon + 8) AS d FROM p UNION ALL SELECT NULL, {xi("radians(53.5::DOUBLE)")}, 0::DOUBLE), w AS (SELECT event_id, atan2(t, cos(d)) AS u, asinh(sin(d) / sqrt(t*t + cos(d)*cos(d))) AS v FROM t),
+g AS (SELECT event_id, {r} * {east} AS e, {r} * {north} AS n FROM w) SELECT event_id, round(600000 + 0.99982::DOUBLE * e, 3) AS x, round(750000 + 0.99982::DOUBLE * (n - (SELECT n FROM g WHERE event_id IS NULL)), 3) AS y FROM g WHERE event_id IS NOT NULL"""
+
+
+@query(_krueger())
+def g1_projected(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    lon, lat = F.lit(-10.5) + (k * 7919 % 20011).cast("double") / 20011.0 * 5, F.lit(51.4) + (k * 104729 % 20021).cast("double") / 20021.0 * 4
+    x, y = projection.to_grid(lon, lat, "EPSG:2157")
+    return table(spark, sf, "events").select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@query(f"WITH {_DISTRICTS} SELECT district, round(greatest(least(a + 3900, 15000) - greatest(a, 2000), 0) * greatest(least(b + 3800, 9000) - greatest(b, 1000), 0), 3) AS area FROM d WHERE a < 15000 AND a + 3900 > 2000 AND b < 9000 AND b + 3800 > 1000")
+def f11_clipped_districts(spark: SparkSession, sf: str) -> DataFrame:
+    of = roads.clip_to_box(districts(spark), "ring", (2000.0, 1000.0, 15000.0, 9000.0))
+    return of.select("district", F.round(G.area(F.col("ring")), 3).alias("area"))
+
+
+_PART = "greatest(least(a + {0}, x + s) - greatest(a + {1}, x), 0::DOUBLE) * greatest(least(b + {2}, y + s) - greatest(b + {3}, y), 0::DOUBLE)"
+
+
+@query(f"WITH {_DISTRICTS}, f AS (SELECT c_custkey AS k, (c_custkey * 7919) % 19000 AS x, (c_custkey * 104729) % 14000 AS y, 200 + c_custkey % 900 AS s FROM customer), o AS (SELECT district, k, {_PART.format(3900, 0, 1000, 0)} + {_PART.format(1500, 0, 3800, 1000)} AS area FROM f JOIN d ON x < a + 3900 AND x + s > a AND y < b + 3800 AND y + s > b) SELECT district, k, round(area, 3) AS area FROM o WHERE area > 0")
+def j21_bent_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    """Units in the shape of an L."""
+    k, corner = F.col("c_custkey"), F.col("ring")[0]
+    x, y, side = (k * 7919 % 19000).cast("double"), (k * 104729 % 14000).cast("double"), (F.lit(200) + k % 900).cast("double")
+    ring = F.array(*[F.struct((x + dx * side).alias("x"), (y + dy * side).alias("y")) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    bent = F.array(*[F.struct((corner["x"] + dx).alias("x"), (corner["y"] + dy).alias("y")) for dx, dy in ((0.0, 0.0), (3900.0, 0.0), (3900.0, 1000.0), (1500.0, 1000.0), (1500.0, 3800.0), (0.0, 3800.0), (0.0, 0.0))])
+    of = roads.overlay(table(spark, sf, "customer").select(k.alias("k"), ring.alias("ring")), districts(spark).withColumn("ring", bent), "k", "ring", "district", "ring", 2000.0)
+    return of.select("district", "k", F.round("area", 3).alias("area"))
+
+
+@query(f"WITH {LINES}, o AS (SELECT DISTINCT id % 7 AS road, CASE WHEN (x1, y1, x2, y2, x3, y3) < (x3, y3, x2, y2, x1, y1) THEN [x1, y1, x2, y2, x3, y3] ELSE [x3, y3, x2, y2, x1, y1] END AS p FROM l) SELECT road, round(sum(sqrt(pow(p[3] - p[1], 2) + pow(p[4] - p[2], 2)) + sqrt(pow(p[5] - p[3], 2) + pow(p[6] - p[4], 2))), 3) AS length FROM o GROUP BY 1")
+def g29_g36_road_lines(spark: SparkSession, sf: str) -> DataFrame:
+    l = lines(spark, sf)  # noqa: E741
+    return roads.merged_lines(l, l.select("id", (F.col("id") % 7).alias("road")), "id", "line").select("road", F.round("length", 3).alias("length"))
+
+
+@query()
+def g37_g38_road_network(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    many = lambda c, t="string": F.array(c.cast(t))
+    tags = table(spark, sf, "supplier").select(
+        k.alias("id"), F.when(k % 5 == 0, "roundabout").alias("junction"), (k % 3 == 0).alias("oneway"), many(F.when(k % 13 > 0, F.concat(F.lit("Road "), k % 29))).alias("name"),
+        many(F.when(k % 2 == 0, "primary").otherwise("residential")).alias("highway"), many(1 + k % 3).alias("lanes"), many(30 + 20 * (k % 2)).alias("maxspeed"),
+        F.lit(None).cast("array<string>").alias("tunnel"), many(F.when(k % 17 == 0, "yes")).alias("bridge"),
+    )
+    of, _ = roads.road_network(lines(spark, sf).join(tags, "id"), "id", "line", near=20.0)
+    return of.select("road", "is_roundabout", "names", "max_lanes", "bridge", F.round("length", 3).alias("length"))
+
+
 @query()
 def g7_raster_regions(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")

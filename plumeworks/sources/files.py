@@ -6,6 +6,7 @@ import json
 import sqlite3
 import struct
 import time
+import urllib.parse
 import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
@@ -199,6 +200,79 @@ def paged(first: str, fetch: Callable[[str], str] | None = None, link: str = "@i
         url = page.get(link)
 
 
+class PagedJson(DataSource):
+    """Values of paged REST answers as ``url, value`` (JSON text); option ``urls``: first pages as a JSON list, each read by a task of its own."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pagedjson"
+
+    def schema(self) -> str:
+        return "url string, value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PagedReader(json.loads(self.options["urls"]), self.options.get("link", "@iot.nextLink"))
+
+
+class _PagedReader(DataSourceReader):
+    def __init__(self, urls: list[str], link: str):
+        self.urls, self.link = urls, link
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(u) for u in self.urls]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for v in paged(partition.value, link=self.link):
+            yield partition.value, json.dumps(v)
+
+
+def time_spans(base: str, field: str, times: list[str], top: int = 1000) -> list[str]:
+    """A URL for each span between neighbouring ISO times, filtered on ``field`` and with pages of ``top`` rows."""
+    spans = [urllib.parse.urlencode({"$top": top, "$filter": f"{field} ge {a} and {field} lt {b}"}) for a, b in zip(times, times[1:])]
+    return [f"{base}?{s}" for s in spans]
+
+
+def read_ways(spark: SparkSession, path: str) -> DataFrame:
+    """``id, line, junction, oneway`` and tag lists of the ways in landed map answers (JSON files with ``elements``); coordinates are (lon, lat).
+
+    A list of tags is text divided by ``;``. Nothing is downloaded here; ``land`` does that.
+    """
+    of = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "elements array<struct<type:string,id:long,geometry:array<struct<lat:double,lon:double>>,tags:map<string,string>>>")["elements"]).alias("e"))
+    tag = lambda k: F.col("e.tags")[k]
+    many = [F.split(tag(k), ";").alias(k) for k in ("name", "highway", "lanes", "maxspeed", "tunnel", "bridge")]
+    line = F.transform("e.geometry", lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
+    return of.where("e.type = 'way'").select("e.id", line.alias("line"), tag("junction").alias("junction"), F.coalesce(tag("oneway") == "yes", F.lit(False)).alias("oneway"), *many)
+
+
+def land(spark: SparkSession, url: str, bodies: list[str], path: str, fetch: Callable[[str, str], str] | None = None) -> None:
+    """Writes the answer to each posted body as a line of text under ``path``; a task for each."""
+
+    def post(u: str, body: str) -> str:
+        with urllib.request.urlopen(urllib.request.Request(u, body.encode()), timeout=600) as answer:  # noqa: S310
+            return answer.read().decode()
+
+    get = fetch or post
+
+    def run(parts):
+        for pdf in parts:
+            yield pdf.assign(value=[json.dumps(json.loads(get(url, b))) for b in pdf["body"]])[["value"]]
+
+    asked = spark.createDataFrame([(b,) for b in bodies], "body string").repartition(max(len(bodies), 1))
+    asked.mapInPandas(run, "value string").write.mode("overwrite").text(path)
+
+
+def write_model(spark: SparkSession, fit: dict, path: str, version: str | None = None) -> str:
+    """Parameters and diagnostics of a fit as ``name, value`` (JSON), a new version beside the earlier ones; tables are left out."""
+    plain = {k: v.tolist() if hasattr(v, "tolist") else v for k, v in fit.items()}
+    rows = [(k, json.dumps(v)) for k, v in sorted(plain.items()) if not hasattr(v, "columns")]
+    return write_version(spark.createDataFrame(rows, "name string, value string").coalesce(1), path, version)
+
+
+def read_model(spark: SparkSession, path: str) -> dict:
+    """The latest version of a fit."""
+    return {r["name"]: json.loads(r["value"]) for r in read_latest(spark, path).collect()}
+
+
 def observations(df: DataFrame, interval: str = "phenomenonTime") -> DataFrame:
     """Start and end of an ISO interval ``start/end`` as timestamps."""
     parts = F.split(interval, "/")
@@ -208,3 +282,4 @@ def observations(df: DataFrame, interval: str = "phenomenonTime") -> DataFrame:
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(GeoPackage)
     spark.dataSource.register(GeoTiff)
+    spark.dataSource.register(PagedJson)

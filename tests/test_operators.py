@@ -1,17 +1,22 @@
+import http.server
 import json
 import math
 import sqlite3
 import struct
+import threading
 import zlib
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from plumeworks.functions import geometry as G
+from plumeworks.functions import projection
 from plumeworks.functions import strings as S
 from plumeworks.config import PRESETS
-from plumeworks.operators import covariates, figures, graphs, matching, nodes, outliers, roads, spatial, stats, traffic, units
+from plumeworks.operators import covariates, figures, graphs, matching, nodes, outliers, quantiles, roads, spatial, stats, traffic, units
 from plumeworks.operators import timeseries as T
+from plumeworks.plans import pipelines
 from plumeworks.sources import files
 from plumeworks.streaming import windows
 
@@ -311,3 +316,188 @@ def test_streaming_medians_and_rates(spark, tmp_path):
     assert got == {("a", 0, None), ("a", 10, 0.1), ("a", 20, 0.0), ("a", 100, None), ("b", 5, None), ("b", 5, math.inf)}
     medians = run(windows.hourly_medians(stream.where("t is not null"), "ts", "v"), "medians", "complete")
     assert [r.v for r in medians] == [2.0]
+
+
+def test_projection(spark, monkeypatch):
+    lon, lat = -(6 + 20 / 60 + 52.9181 / 3600), 53 + 21 / 60 + 50.5441 / 3600
+    df = spark.createDataFrame([(lon, lat), (-8.0, 53.5), (9.0, 0.0), (None, 53.0), (200.0, 53.0)], "lon double, lat double")
+    rows = df.select(*[c.alias(n) for n, c in zip(("x", "y"), projection.to_grid(F.col("lon"), F.col("lat"), "EPSG:2157"))]).collect()
+    assert math.dist(rows[1], (600000, 750000)) < 1e-6
+    assert rows[3].x is None and rows[4].x is None
+    for crs in ("EPSG:2157", "EPSG:25832", "EPSG:3857"):
+        x, y = projection.to_grid(F.col("lon"), F.col("lat"), crs)
+        back = projection.from_grid(F.col("x"), F.col("y"), crs)
+        there = df.where("lon < 100").limit(3).withColumns({"x": x, "y": y}).select("lon", "lat", back[0].alias("u"), back[1].alias("v")).collect()
+        assert all(abs(r.lon - r.u) < 1e-8 and abs(r.lat - r.v) < 1e-8 for r in there if abs(r.lon + 7) < 3)
+    monkeypatch.setitem(projection.GRIDS, "old", projection.Meridian(53.5, -8.0, 1.000035, 200_000.0, 250_000.0, 6377340.189, 1 / 299.3249646))
+    x, y = projection.to_grid(F.col("lon"), F.col("lat"), "old")
+    assert math.dist(df.limit(1).select(x, y).first(), (309958.26, 236141.93)) < 0.05  # a published pair of the older Irish grid
+    line = spark.createDataFrame([([(-8.0, 53.5)],)], "line array<struct<x:double,y:double>>").select(projection.projected_line(F.col("line"), "EPSG:2157").alias("l")).first()
+    assert math.dist(line.l[0], (600000, 750000)) < 1e-6
+
+
+def test_exact_quantiles_narrow_to_the_exact_values(spark):
+    rng = np.random.default_rng(1)
+    v = np.concatenate([rng.normal(size=30_000), np.full(15_000, 0.25), rng.integers(0, 5, 10_000)])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    at = [0.0, 0.01, 0.25, 0.5, 0.6, 0.99, 1.0]
+    for most in (10**6, 50):
+        assert np.allclose(quantiles.exact_quantiles(df, "v", at, most), np.quantile(v, at), rtol=0, atol=1e-12)
+    assert quantiles.exact_quantiles(df.where("v IS NULL"), "v", [0.5]) == [None]
+    assert traffic.quantile_trim(df.where("v IS NULL"), "v").count() == 0
+
+
+def test_knn_by_cells_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.normal(size=(300, 2)), rng.normal(size=(60, 2)) * 1e-3 + 5, np.zeros((12, 2)), [[400.0, -300.0]]])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [(999, None, 1.0)], "id int, x double, y double")
+    order = lambda of: sorted(map(tuple, of.select("focal", "rank", "neighbor").collect()))
+    every = order(spatial.knn(df, "id", "x", "y", 5))
+    monkeypatch.setattr(spatial, "FEW", 10)
+    assert order(spatial.knn(df, "id", "x", "y", 5)) == every and len(every) == 5 * len(xy)
+    few = df.where("id < 15")
+    assert spatial.knn(few, "id", "x", "y", 20).count() == 15 * 14
+
+
+def test_lines_are_joined_where_two_ends_meet(spark):
+    a, b, c, d = [(0, 0), (1, 0)], [(2, 0), (1, 0)], [(2, 0), (2, 1)], [(2, 0), (3, 0)]
+    assert roads.line_merge([b, a]) == [[(0, 0), (1, 0), (2, 0)]]
+    assert sorted(map(len, roads.line_merge([a, b, c, d, a[::-1]]))) == [2, 2, 3]  # three ends meet at (2, 0)
+    ring = roads.line_merge([[(0, 0), (1, 0)], [(1, 1), (1, 0)], [(1, 1), (0, 0)]])
+    assert len(ring) == 1 and ring[0][0] == ring[0][-1] and len(ring[0]) == 4
+    assert roads.line_merge([]) == [] and roads.line_merge([[(1, 1)]]) == []
+
+
+def test_road_network_with_roundabout(spark):
+    p = lambda *xy: [(float(x), float(y)) for x, y in xy]
+    rows = [
+        (1, p((0, 0), (60, 0)), None, False, ["Main St"], ["primary"], ["2"], ["50"], None, None),
+        (2, p((60, 0), (200, 0)), None, True, ["Main Street"], ["primary"], ["3"], ["30"], None, ["yes"]),
+        (3, p((900, 900), (990, 900)), None, True, None, ["service"], None, None, None, None),
+        (4, p((500, 0), (520, 0), (520, 20)), "roundabout", True, None, ["primary"], ["1"], None, None, None),
+        (5, p((520, 20), (500, 20), (500, 0)), "circular", True, None, ["primary"], ["2"], None, None, None),
+    ]
+    schema = "id long, line array<struct<x:double,y:double>>, junction string, oneway boolean, name array<string>, highway array<string>, lanes array<string>, maxspeed array<string>, tunnel array<string>, bridge array<string>"
+    of, pieces = roads.road_network(spark.createDataFrame(rows, schema), "id", "line", near=5.0)
+    got = {r.road: r for r in of.collect()}
+    assert sorted(got) == [1, 3, 4] and got[1].length == 200 and got[4].is_roundabout and not got[1].is_roundabout
+    assert (got[1].max_lanes, got[1].min_speed, got[1].bridge, got[1].oneway) == (3, 30, True, False)
+    assert len(got[4].lines) == 1 and got[4].lines[0][0] == got[4].lines[0][-1] and got[4].length == 80
+    assert round(sum(r.length for r in pieces.where("road = 1").collect()), 6) == 200
+
+
+def test_area_inside_a_bent_unit(spark):
+    bent = [(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4), (0, 0)]
+    assert sum(abs(roads._twice_area(t)) / 2 for t in roads.triangles(bent)) == 7
+    square = [(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)]
+    assert roads.common_area(square, bent) == roads.common_area(square, bent[::-1]) == 3
+    rng = np.random.default_rng(5)
+    star = [(math.cos(t) * r, math.sin(t) * r) for t, r in zip(np.linspace(0, 2 * math.pi, 24, endpoint=False), rng.uniform(0.2, 2, 24))]
+    star.append(star[0])
+    assert math.isclose(roads.common_area([(-9, -9), (9, -9), (9, 9), (-9, 9), (-9, -9)], star), abs(roads._twice_area(star)) / 2)
+    df = spark.createDataFrame([(1, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]), (2, [(8.0, 8.0), (9.0, 8.0), (9.0, 9.0), (8.0, 8.0)])], "unit int, ring array<struct<x:double,y:double>>")
+    cut = roads.clip_to_box(df, "ring", (1.0, 1.0, 5.0, 5.0)).select("unit", G.area(F.col("ring")).alias("a")).collect()
+    assert [tuple(r) for r in cut] == [(1, 1.0)]
+
+
+class _Answers(http.server.BaseHTTPRequestHandler):
+    def log_message(self, *_):
+        pass
+
+    def send(self, code, body):
+        self.send_response(code)
+        self.end_headers()
+        self.wfile.write(json.dumps(body).encode())
+
+    def do_GET(self):
+        more = {"@iot.nextLink": f"http://localhost:{self.server.server_port}/next"} if "next" not in self.path else {}
+        self.send(200, {"value": [{"path": self.path}], **more})
+
+    def do_POST(self):
+        shape = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["shape"]
+        self.send(400 if len(shape) == 1 else 200, {"tracepoints": [{"location": [p["lon"] + 1, p["lat"]]} if k else None for k, p in enumerate(shape)]})
+
+
+def test_services_over_http(spark):
+    server = http.server.ThreadingHTTPServer(("localhost", 0), _Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://localhost:{server.server_port}"
+    matcher = matching.HttpMatcher(f"{url}/match")
+    assert matcher([(1.0, 2.0), (3.0, 4.0)]) == [None, (4.0, 4.0)] and matcher([(1.0, 2.0)]) is None
+    files.register(spark)
+    urls = files.time_spans(f"{url}/obs", "phenomenonTime", ["2024-01-01", "2024-01-02", "2024-01-03"])
+    got = spark.read.format("pagedjson").option("urls", json.dumps(urls)).load()
+    assert got.count() == 4 and got.select("url").distinct().count() == 2 and "%24top=1000" in urls[0]
+    rows = [(i, "a", f"2024-01-0{1 + i // 3} 10:00:{10 * (i % 3):02d}", float(i), 50.0) for i in range(7)]
+    df = spark.createDataFrame(rows, "id long, car string, gps_timestamp string, longitude double, latitude double").withColumn("gps_timestamp", F.to_timestamp("gps_timestamp"))
+    found = {r.id: r.matched_lon for r in matching.match_days(df, ["car"], "id", matcher).collect()}
+    assert found == {0: 0.0, 1: 2.0, 2: 3.0, 3: 3.0, 4: 5.0, 5: 6.0, 6: 6.0}  # first points and refused chunks keep their place
+    assert all(r.matched_lon == r.longitude for r in matching.match_days(df, ["car"], "id", None).collect())
+    server.shutdown()
+
+
+def test_landed_ways_and_models(spark, tmp_path):
+    answer = {"elements": [{"type": "way", "id": 7, "geometry": [{"lat": 53.0, "lon": -6.0}, {"lat": 53.1, "lon": -6.0}], "tags": {"name": "A St;B St", "highway": "primary", "oneway": "yes"}}, {"type": "node", "id": 8}]}
+    files.land(spark, "none", ["q1"], str(tmp_path / "ways"), lambda u, b: json.dumps(answer))
+    (w,) = files.read_ways(spark, str(tmp_path / "ways" / "part-*")).collect()
+    assert (w.id, w.name, w.highway, w.oneway, w.junction, w.lanes) == (7, ["A St", "B St"], ["primary"], True, None, None)
+    assert w.line[1].x == -6.0 and w.line[1].y == 53.1
+    files.write_model(spark, {"bandwidths": {"intercept": 40}, "beta": np.zeros((2, 2)), "aicc": 1.5}, str(tmp_path / "m"))
+    assert files.read_model(spark, str(tmp_path / "m")) == {"bandwidths": {"intercept": 40}, "beta": [[0.0, 0.0], [0.0, 0.0]], "aicc": 1.5}
+
+
+def test_pipelines(spark, tmp_path):
+    square = lambda k, x, y, w=900.0: (k, [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)], w * w)
+    ring = "ring array<struct<x:double,y:double>>"
+    east, north = 709000.0, 736000.0
+    tables = {
+        "shapes": spark.createDataFrame([square(i, east + 900.0 * (i % 3), north + 900.0 * (i // 3)) for i in range(9)], f"unit long, {ring}, area double"),
+        "traffic_raw": spark.createDataFrame([(f"202401{d:02d}{h:02d}0000", f"s{s}", float(10 * s + h)) for s in range(3) for d in (1, 2) for h in range(24)], files.TRAFFIC),
+        "traffic_places": spark.createDataFrame([(f"s{s}", east + 100 + 900.0 * s, north + 100) for s in range(3)], "Site string, x double, y double"),
+        "trees": spark.createDataFrame([(i, east + 50.0 * i, north + 40.0 * i, 5.0) for i in range(30)], "id long, x double, y double, crown_area double"),
+        "landuse": spark.createDataFrame([(1, square(1, east, north)[1], "park"), (2, square(2, east + 450, north)[1], "housing")], f"id long, {ring}, kind string"),
+        "buildings": spark.createDataFrame([(i, east + 10 + 100.0 * i, north + 5, 40.0, 100.0, 12.0) for i in range(8)], "id long, x double, y double, perimeter double, area double, height double"),
+    }
+    for n, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{n}.parquet"))
+    read = lambda n: spark.read.parquet(str(tmp_path / f"{n}.parquet"))
+    for name in ("traffic", "urban_trees", "urban_landuse", "buildings"):
+        assert pipelines.main([str(tmp_path), "--pipeline", name], spark) == [o for s in pipelines.PIPELINES[name] for o in s.outputs]
+    idw = read("unit_traffic")
+    assert idw.count() == 9 and idw.where("avg_traffic_idw IS NULL").count() == 0 and idw.where("avg_traffic IS NULL").count() == 6
+    land = {r.unit: (r.park, r.housing) for r in read("unit_landuse").collect()}
+    assert land[0] == (100.0, 50.0) and land[1] == (0.0, 50.0)
+    assert read("unit_trees").agg(F.sum("total_trees_area")).first()[0] == 150.0
+    assert read("unit_buildings").where("build_cover_area > 0").agg(F.sum("build_cover_area")).first()[0] == 800.0
+    assert set(pipelines.PIPELINES) >= {"data_preparation", "hotspot_analysis", "temporal_pattern", "traffic", "buildings", "streets", "morphology_profile", "urban_trees", "urban_landuse", "covariates", "modelling", "all_covariates", "default"}
+
+
+def test_data_preparation_to_hotspots(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    east, north = 709000.0, 736000.0
+    n = 1800
+    xy = np.stack([east + rng.uniform(0, 2700, n), north + rng.uniform(0, 2700, n)], 1)
+    place = spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in enumerate(xy)], "i long, x double, y double")
+    lon, lat = projection.from_grid(F.col("x"), F.col("y"), "EPSG:2157")
+    air = place.select(F.date_format(F.timestamp_seconds(1704067200 + F.col("i") * 40), "yyyy-MM-dd HH:mm:ss").alias("gps_timestamp"), lat.alias("latitude"), lon.alias("longitude"), F.when(F.col("i") == 500, 5000.0).otherwise(F.col("x") / 500 - 1380 + F.col("i") % 7).alias("NO2_ugm3"))
+    square = lambda x, y: [(x, y), (x + 900.0, y), (x + 900.0, y + 900.0), (x, y + 900.0), (x, y)]
+    shapes = spark.createDataFrame([(i, square(east + 900.0 * (i % 3), north + 900.0 * (i // 3)), 810000.0) for i in range(9)], "unit long, ring array<struct<x:double,y:double>>, area double")
+    settings = replace(PRESETS["base"], lof_neighbours=(10,), moran_neighbours=3)
+    tables, made = {"air_raw": air, "shapes": shapes}, {}
+    prepared = [s for s in pipelines.PIPELINES["data_preparation"] if s.name != "roads"]
+    steps = [*prepared, *pipelines.PIPELINES["temporal_pattern"], *pipelines.PIPELINES["hotspot_analysis"]]
+
+    def write(name, df):
+        df.write.parquet(str(tmp_path / name))
+        made[name] = spark.read.parquet(str(tmp_path / name))
+        return made[name]
+
+    pipelines.PIPELINES["test"] = steps
+    try:
+        pipelines.run(spark, "test", tables.__getitem__, write, settings)
+    finally:
+        del pipelines.PIPELINES["test"]
+    assert made["air"].count() == n == made["air_matched"].count()
+    assert made["air_clean"].count() < n and made["air_clean"].count() > 0.8 * n
+    assert made["values"].count() == 9 == made["hotspots"].count() and made["hours"].count() == 20
+    assert {r["class"] for r in made["hotspots"].collect()} <= {0, 1, 2, 3, 4}
