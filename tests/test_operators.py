@@ -501,3 +501,37 @@ def test_data_preparation_to_hotspots(spark, tmp_path):
     assert made["air_clean"].count() < n and made["air_clean"].count() > 0.8 * n
     assert made["values"].count() == 9 == made["hotspots"].count() and made["hours"].count() == 20
     assert {r["class"] for r in made["hotspots"].collect()} <= {0, 1, 2, 3, 4}
+
+
+def test_streets_to_covariates(spark, tmp_path):
+    east, north = 709000.0, 736000.0
+    square = lambda x, y: [(x, y), (x + 900.0, y), (x + 900.0, y + 900.0), (x, y + 900.0), (x, y)]
+    shapes = [(i, square(east + 900.0 * (i % 2), north + 900.0 * (i // 2)), 810000.0) for i in range(4)]
+    lon, lat = projection.from_grid(F.col("p.x"), F.col("p.y"), "EPSG:2157")
+    ends = [(1, east + 100, north + 100, east + 1700, north + 100), (2, east + 100, north + 100, east + 100, north + 700), (3, east + 1700, north + 100, east + 1700, north + 1700)]
+    flat = spark.createDataFrame(ends, "id long, x1 double, y1 double, x2 double, y2 double")
+    points = flat.select("id", F.posexplode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("n", "p"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("n", lon.alias("x"), lat.alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    ways = points.groupBy("id").agg(line.alias("line")).withColumn("highway", F.array(F.when(F.col("id") == 1, "primary").otherwise("residential")))
+    unit_value = lambda name, k: spark.createDataFrame([(i, float(k * i)) for i in range(4)], f"unit long, {name} double")
+    tables = {
+        "shapes": spark.createDataFrame(shapes, "unit long, ring array<struct<x:double,y:double>>, area double"),
+        "ways": ways,
+        "unit_lines": flat.select((F.col("id") - 1).alias("unit"), "x1", "y1", "x2", "y2"),
+        "walls": spark.createDataFrame([(east, north + 110, east + 1800, north + 110, 12.0)], "x1 double, y1 double, x2 double, y2 double, height double"),
+        "values": unit_value("NO2_ugm3", 2), "unit_traffic": unit_value("avg_traffic_idw", 3), "unit_buildings": unit_value("build_height", 4),
+        "unit_trees": unit_value("canopy_cover", 5), "unit_landuse": unit_value("park", -1),
+    }
+    for n, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{n}.parquet"))
+    read = lambda n: spark.read.parquet(str(tmp_path / f"{n}.parquet"))
+    for name in ("streets", "morphology_profile", "covariates"):
+        pipelines.main([str(tmp_path), "--pipeline", name], spark)
+    streets = {r.unit: r for r in read("unit_streets").collect()}
+    assert round(streets[0].road_length_m, 2) == 800 + 600 and round(streets[1].road_length_m, 2) == 800 + 800 and streets[2].road_length_m == 0
+    assert round(streets[0].major_road, 2) == 800 and round(streets[0].low_access, 2) == 600
+    assert read("unit_profiles").where("unit = 0").first().height == 12.0
+    every = read("covariates")
+    assert [r.unit for r in every.collect()] == [0]  # the others lack a profile, and units with a null are left out
+    assert {"NO2_ugm3", "height", "build_height", "road_length_m", "park"} <= set(every.columns)
+    assert read("correlations").count() > 0
