@@ -44,6 +44,8 @@ LONGEST = 40
 BLOCK, KINDS = 20_000, 200_000
 #: Labelled ids (17 bytes each) and ratios of n-grams and contexts (21 bytes each) that are sent to the driver and broadcast at most; beyond, they are joined.
 BROADCAST, MOST = 4_000_000, 8_000_000
+#: A key on more than this share of the rows to be joined is hot; there are fewer than 1 / HOT of them, so that they can be broadcast.
+HOT = 1e-5
 COUNTS = ("n0", "n1", "n2", "n3")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: The inverse of BASE modulo 2**64.
@@ -102,6 +104,19 @@ class Table:
         return np.where(known, self.values[low], np.float32(0)), known
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, counted: DataFrame) -> DataFrame:
+    """rows with the columns of table (a row for each key), null where it has none.
+
+    counted: has the keys of rows, and is checkpointed. Hot keys are joined where the
+    rows are, so that a word of every text does not meet in one task.
+    """
+    of = counted.groupBy(key).count()
+    least = HOT * counted.count()
+    hot = checkpoint(of.where(F.col("count") > least).select(key))
+    often = rows.join(F.broadcast(checkpoint(hot.join(table, key, "left"))), key)
+    return often.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, "left"))
+
+
 def parts(word: str) -> list[str]:
     return [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
 
@@ -302,11 +317,12 @@ class Joined:
 
         words = checkpoint(map_batches(rows.select("row", "text"), split, "row long, word string, n long"))
         names = ("r0", "r1", "r")
-        each = map_batches(words.where("word <> ''").select("word").distinct(), grams, "word string, gram long, of long", rows=4096)
+        each = checkpoint(map_batches(words.where("word <> ''").select("word").distinct(), grams, "word string, gram long, of long", rows=4096))
         by_gram = self.table.where("NOT context").select(F.col("hash").alias("gram"), *names)
         by_context = self.table.where("context").select(F.col("hash").alias("of"), *[F.col(n).alias(f"c{n}") for n in names])
-        ratio = each.join(by_gram, "gram", "left").join(by_context, "of", "left").groupBy("word").agg(*[F.sum(F.coalesce(n, f"c{n}", F.lit(0.0)).cast("double")).alias(n) for n in names])
-        joined = words.join(ratio, "word", "left")
+        found = _looked_up(_looked_up(each, by_gram, "gram", each), by_context, "of", each)
+        ratio = checkpoint(found.groupBy("word").agg(*[F.sum(F.coalesce(n, f"c{n}", F.lit(0.0)).cast("double")).alias(n) for n in names]))
+        joined = _looked_up(words, ratio, "word", words)
         some = F.col("word") != ""
         letters = F.sum(F.when(some, F.col("n") * (F.length("word") + 1)).otherwise(0)) + 20
         out = []

@@ -246,6 +246,10 @@ def test_toxicity_held_out(spark, docs, monkeypatch):
     for of in (df, docs):
         a, b = ({(r.doc_id or 0): r.score for r in toxicity.score_documents(of, m).collect()} for m in (model, joined))
         assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-3 for i in a)
+    for share in (0.01, 1.0):  # some words are joined as hot ones, then none
+        monkeypatch.setattr(toxicity, "HOT", share)
+        c = {(r.doc_id or 0): r.score for r in toxicity.score_documents(df, joined).collect()}
+        assert c.keys() == {i for i, _, _ in rows} and all(abs(c[i] - got[i].score) < 1e-3 for i in c)
     assert toxicity.drop_toxic(docs, joined).columns == docs.columns and toxicity.drop_toxic(docs, joined).count() == toxicity.drop_toxic(docs, model).count()
     none = toxicity.train(empty(df), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.drop_toxic(docs, none).count() == len(ROWS)
