@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DUBLIN, Settings
@@ -465,6 +466,69 @@ def raster_regions(pixels: DataFrame) -> DataFrame:
     return p.join(of, "node").select("row", "col", "value", F.col("component").alias("region"))
 
 
+#: Steps around a pixel with the pixel on the right: the corner where each begins, as (row, col) from the pixel's own, by direction east, south, west, north.
+STEPS = [(0, 0), (0, 1), (1, 1), (1, 0)]
+
+
+def region_outlines(regions: DataFrame) -> DataFrame:
+    """``region, value, way, a_row, a_col, b_row, b_col``: the straight parts of the regions' outlines, the region on the right.
+
+    Steps between two pixels of a region cancel, the others are joined as far as they go straight.
+    """
+    steps = F.array(*[F.struct(F.lit(way).alias("way"), (F.col("row") + r).alias("r"), (F.col("col") + c).alias("c")) for way, (r, c) in enumerate(STEPS)])
+    step = regions.select("region", "value", F.explode(steps).alias("s")).select("region", "value", "s.way", "s.r", "s.c")
+    flat = F.col("way") % 2 == 0
+    step = step.select("region", "value", "way", F.when(flat, F.col("r")).otherwise(F.col("c")).alias("on"), (F.when(flat, F.col("c")).otherwise(F.col("r")) - (F.col("way") >= 2).cast("int")).alias("at"), flat.alias("flat"))
+    once = step.groupBy("region", "value", "flat", "on", "at").agg(F.min("way").alias("way"), F.count("*").alias("n")).where("n = 1")
+    by = W.partitionBy("region", "value", "flat", "on", "way").orderBy("at")
+    part = once.withColumn("part", F.col("at") - F.row_number().over(by)).groupBy("region", "value", "flat", "on", "way", "part").agg(F.min("at").alias("low"), (F.max("at") + 1).alias("high"))
+    back = F.col("way") >= 2
+    a, b = F.when(back, F.col("high")).otherwise(F.col("low")), F.when(back, F.col("low")).otherwise(F.col("high"))
+    place = lambda v: (F.when(F.col("flat"), F.col("on")).otherwise(v), F.when(F.col("flat"), v).otherwise(F.col("on")))
+    (ar, ac), (br, bc) = place(a), place(b)
+    return part.select("region", "value", "way", ar.alias("a_row"), ac.alias("a_col"), br.alias("b_row"), bc.alias("b_col"))
+
+
+def outline_rings(parts: list[tuple]) -> list[list[tuple[int, int]]]:
+    """Closed rings of corners from ``(way, a_row, a_col, b_row, b_col)``; where a region touches itself at a corner, the ring turns right and so stays with its pixel."""
+    begin = {}
+    for way, *corners in sorted(parts):
+        begin.setdefault(tuple(corners[:2]), {})[way] = tuple(corners[2:])
+    rings = []
+    for first in sorted(begin):
+        while begin[first]:
+            way, ring, here = min(begin[first]), [first], first
+            while begin[here]:
+                way = (way + 1) % 4 if len(ring) > 1 and (way + 1) % 4 in begin[here] else way if way in begin[here] else min(begin[here])
+                here = begin[here].pop(way)
+                ring.append(here)
+                if here == first:
+                    break
+            rings.append(ring)
+    return rings
+
+
+def raster_polygons(regions: DataFrame, x0: float = 0.0, y0: float = 0.0, width: float = 1.0, height: float = -1.0) -> DataFrame:
+    """``region, value, hole, ring, area``: the rings around the regions of ``raster_regions``, and those around their holes.
+
+    x0, y0: the place of the raster's first corner; width, height: the size of a pixel,
+    the height negative where rows go south. The corners of one region (a building,
+    of straight parts) are chained in a task, its pixels are not. No pixels give no rings.
+    """
+    of = region_outlines(regions).groupBy("region", "value").agg(F.collect_list(F.struct("way", "a_row", "a_col", "b_row", "b_col")).alias("parts"))
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for region, value, parts in zip(pdf["region"], pdf["value"], pdf["parts"]):
+                for ring in outline_rings([(p["way"], p["a_row"], p["a_col"], p["b_row"], p["b_col"]) for p in parts]):
+                    turned = _twice_area([(float(c), float(r)) for r, c in ring]) / 2
+                    out.append((region, value, turned < 0, [{"x": x0 + c * width, "y": y0 + r * height} for r, c in ring], abs(turned * width * height)))
+            yield pd.DataFrame(out, columns=["region", "value", "hole", "ring", "area"])
+
+    return of.mapInPandas(run, f"region string, value {dict(regions.dtypes)['value']}, hole boolean, ring array<struct<x:double,y:double>>, area double")
+
+
 def building_adjacency(edges: DataFrame, centroids: DataFrame, key: str, band: float = 50.0) -> DataFrame:
     """``key, adjacency``: the joined structures among the buildings within a band, divided by these buildings.
 

@@ -636,11 +636,42 @@ def g37_g38_road_network(spark: SparkSession, sf: str) -> DataFrame:
     return of.select("road", "is_roundabout", "names", "max_lanes", "bridge", F.round("length", 3).alias("length"))
 
 
-@query()
-def g7_raster_regions(spark: SparkSession, sf: str) -> DataFrame:
+def _pixels(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
-    px = table(spark, sf, "customer").select(F.floor(k / 40).cast("int").alias("row"), (k % 40).cast("int").alias("col"), F.when(k % 3 > 0, F.floor(F.col("c_acctbal") / 4000).cast("double")).alias("value"))
-    return roads.raster_regions(px).groupBy("region", "value").agg(F.count("*").alias("n"))
+    return table(spark, sf, "customer").select(F.floor(k / 40).cast("int").alias("row"), (k % 40).cast("int").alias("col"), F.when(k % 3 > 0, F.floor(F.col("c_acctbal") / 4000).cast("double")).alias("value"))
+
+
+_REGIONS = """
+WITH RECURSIVE px AS (
+  SELECT c_custkey // 40 AS r, c_custkey % 40 AS c, floor(c_acctbal / 4000)::DOUBLE AS value,
+         lpad((c_custkey // 40)::VARCHAR, 9, '0') || ':' || lpad((c_custkey % 40)::VARCHAR, 9, '0') AS node
+  FROM customer WHERE c_custkey % 3 > 0 AND c_acctbal IS NOT NULL
+), right_or_below AS (
+  SELECT a.node AS a, b.node AS b FROM px a JOIN px b ON a.value = b.value AND a.r = b.r AND a.c + 1 = b.c
+  UNION ALL SELECT a.node, b.node FROM px a JOIN px b ON a.value = b.value AND a.c = b.c AND a.r + 1 = b.r
+), near AS (SELECT a, b FROM right_or_below UNION ALL SELECT b, a FROM right_or_below
+), reach AS (SELECT node AS a, node AS b FROM px UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a
+), named AS (SELECT a AS node, min(b) AS region FROM reach GROUP BY a
+)
+"""
+
+
+@query(_REGIONS + "SELECT region, value, count(*) AS n FROM px JOIN named USING (node) GROUP BY region, value")
+def g7_raster_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return roads.raster_regions(_pixels(spark, sf)).groupBy("region", "value").agg(F.count("*").alias("n"))
+
+
+@query(
+    _REGIONS
+    + """
+SELECT region, value, count(*)::DOUBLE AS area, (4 * count(*) - 2 * sum(coalesce(s.n, 0)))::BIGINT AS outline
+FROM px JOIN named USING (node) LEFT JOIN (SELECT a AS node, count(*) AS n FROM right_or_below GROUP BY a) s USING (node) GROUP BY region, value
+"""
+)
+def g7_raster_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """The area within the rings less that of the holes, and the length of all rings, by region."""
+    of = roads.raster_polygons(roads.raster_regions(_pixels(spark, sf)))
+    return of.groupBy("region", "value").agg(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))).alias("area"), F.sum(F.round(G.length(F.col("ring"))).cast("long")).alias("outline"))
 
 
 @query()

@@ -535,3 +535,30 @@ def test_streets_to_covariates(spark, tmp_path):
     assert [r.unit for r in every.collect()] == [0]  # the others lack a profile, and units with a null are left out
     assert {"NO2_ugm3", "height", "build_height", "road_length_m", "park"} <= set(every.columns)
     assert read("correlations").count() > 0
+
+
+def test_raster_polygons(spark):
+    """Areas and outlines by counting pixels and steps; a hole, a corner where a region touches itself, a null."""
+    import random
+
+    rnd = random.Random(7)
+    plain = ["11112", "1.212", "11.12", "11112"]  # the hole has its own corner contact with the 1 in its middle
+    grids = [["1111", "1..1", "1.11", "11.1", "1111"], plain, ["".join(rnd.choice("112.") for _ in range(9)) for _ in range(9)], ["1"]]
+    for grid in grids:
+        at = {(r, c): float(v) for r, line in enumerate(grid) for c, v in enumerate(line) if v != "."}
+        px = spark.createDataFrame([(r, c, at.get((r, c))) for r, line in enumerate(grid) for c in range(len(line))], "row int, col int, value double")
+        regions = roads.raster_regions(px)
+        of = {(r.row, r.col): r.region for r in regions.collect()}
+        rings = roads.raster_polygons(regions, 10.0, 50.0, 2.0, -3.0).collect()
+        assert {r.region for r in rings} == set(of.values())
+        for region in set(of.values()):
+            mine = [r for r in rings if r.region == region]
+            cells = {p for p, g in of.items() if g == region}
+            assert sum(not r.hole for r in mine) == 1  # 4-connected: one ring outside
+            assert sum(-r.area if r.hole else r.area for r in mine) == 6.0 * len(cells)
+            assert all(r.ring[0] == r.ring[-1] and len(set(r.ring)) == len(r.ring) - 1 or r.hole for r in mine)
+            sides = sum(abs(a.x - b.x) / 2 + abs(a.y - b.y) / 3 for r in mine for a, b in zip(r.ring, r.ring[1:]))
+            assert sides == sum((r + dr, c + dc) not in cells for r, c in cells for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0)))
+            assert {at[p] for p in cells} == {r.value for r in mine}
+    none = roads.raster_polygons(roads.raster_regions(px.where("row < 0")))
+    assert none.count() == 0
