@@ -508,7 +508,19 @@ def t2_local_outlier_factor(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(outliers.lof(outliers.knn_features(unit_points(spark, sf), "id", ["x", "y", "v"], 20), 20), "lof")
 
 
-@query()
+@query(
+    f"""WITH {UNITS}, q AS (
+  SELECT median(x) AS mx, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS ix, median(y) AS my, quantile_cont(y, 0.75) - quantile_cont(y, 0.25) AS iy, median(v) AS mv, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iv FROM u
+), z AS (SELECT id, (x - mx) / ix AS x, (y - my) / iy AS y, (v - mv) / iv AS v FROM u, q
+), d AS (SELECT a.id AS focal, b.id AS neighbor, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.v - b.v) * (a.v - b.v)) AS dist FROM z a JOIN z b ON a.id <> b.id
+), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY focal ORDER BY dist, neighbor) AS rank FROM d) WHERE rank <= 70
+), c AS (SELECT k, n.* FROM n JOIN (SELECT unnest([20, 30, 40, 50, 60, 70]) AS k) ON rank <= k
+), r AS (SELECT k, focal AS neighbor, max(dist) AS kd FROM c GROUP BY 1, 2
+), l AS (SELECT k, focal, 1 / (avg(greatest(dist, kd)) + 1e-10) AS lrd FROM c JOIN r USING (k, neighbor) GROUP BY 1, 2
+), f AS (SELECT c.k, c.focal AS node, avg(o.lrd) / any_value(l.lrd) AS lof FROM c JOIN l ON l.k = c.k AND l.focal = c.focal JOIN l o ON o.k = c.k AND o.focal = c.neighbor GROUP BY 1, 2
+), best AS (SELECT k FROM f GROUP BY k ORDER BY stddev_pop(lof) DESC, k LIMIT 1)
+SELECT node, round(lof, 5) AS lof, -lof < -1.5 AS is_spatial_outlier FROM f JOIN best USING (k)"""
+)
 def t2_best_lof(spark: SparkSession, sf: str) -> DataFrame:
     of, _ = outliers.best_lof(outliers.robust_scale(unit_points(spark, sf), ["x", "y", "v"]), "id", ["x", "y", "v"])
     return rounded(of, "lof")
@@ -560,7 +572,20 @@ def g26_g28_cut_roads(spark: SparkSession, sf: str) -> DataFrame:
     return of.select("id", "piece", F.round(G.length(F.col("line")), R).alias("length"))
 
 
-@query()
+@query(
+    f"""WITH {LINES}, s AS (
+  SELECT id, 1 AS part, x1 AS x, y1 AS y, x2 - x1 AS dx, y2 - y1 AS dy FROM l UNION ALL SELECT id, 2, x2, y2, x3 - x2, y3 - y2 FROM l
+), b AS (SELECT unnest([0, 1, 2, 3])::BIGINT AS unit
+), t AS (
+  SELECT unit, id, part, sqrt(dx * dx + dy * dy) AS len,
+         greatest(0.0::DOUBLE, CASE WHEN dx > 0 THEN (500 * unit - x) / dx WHEN dx < 0 THEN (500 * unit + 500 - x) / dx WHEN x >= 500 * unit AND x <= 500 * unit + 500 THEN 0 ELSE 2 END, CASE WHEN dy > 0 THEN -y / dy WHEN dy < 0 THEN (1500 - y) / dy WHEN y >= 0 AND y <= 1500 THEN 0 ELSE 2 END) AS low,
+         least(1.0::DOUBLE, CASE WHEN dx > 0 THEN (500 * unit + 500 - x) / dx WHEN dx < 0 THEN (500 * unit - x) / dx ELSE 1 END, CASE WHEN dy > 0 THEN (1500 - y) / dy WHEN dy < 0 THEN -y / dy ELSE 1 END) AS high FROM s, b
+), p AS (
+  SELECT unit, id, max(CASE WHEN part = 1 AND high > low THEN len * (high - low) ELSE 0 END) AS a, max(CASE WHEN part = 2 AND high > low THEN len * (high - low) ELSE 0 END) AS b,
+         bool_and(high > low AND CASE part WHEN 1 THEN high = 1 ELSE low = 0 END) AS joined FROM t GROUP BY unit, id
+), o AS (SELECT unit, id, CASE WHEN joined AND a + b > 0.1 THEN a + b WHEN joined THEN 0 ELSE CASE WHEN a > 0.1 THEN a ELSE 0 END + CASE WHEN b > 0.1 THEN b ELSE 0 END END AS length FROM p)
+SELECT unit, id, round(length, 5) AS length FROM o WHERE length > 0"""
+)
 def g19_j21_clipped_lines(spark: SparkSession, sf: str) -> DataFrame:
     box = lambda i: F.array(*[F.struct((F.lit(dx) + i * 500.0).alias("x"), F.lit(dy).alias("y")) for dx, dy in ((0.0, 0.0), (500.0, 0.0), (500.0, 1500.0), (0.0, 1500.0), (0.0, 0.0))])
     u = spark.range(4).select(F.col("id").alias("unit"), box(F.col("id")).alias("ring"))
@@ -674,7 +699,15 @@ def g7_raster_polygons(spark: SparkSession, sf: str) -> DataFrame:
     return of.groupBy("region", "value").agg(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))).alias("area"), F.sum(F.round(G.length(F.col("ring"))).cast("long")).alias("outline"))
 
 
-@query()
+@query(
+    f"""WITH {UNITS}, d AS (
+  SELECT a.id, a.w AS own, b.w, b.v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM u a, u b
+), r AS (SELECT id, 1.0000001::DOUBLE * max(dist) AS reach FROM (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS k FROM d) WHERE k <= 60 GROUP BY id
+), k AS (SELECT d.*, CASE WHEN dist < reach THEN pow(1 - pow(dist / reach, 2), 2) ELSE 0 END AS g FROM d JOIN r USING (id)
+), m AS (SELECT id, sum(g * w) / sum(g) AS mw, sum(g * v) / sum(g) AS mv FROM k GROUP BY id
+), s AS (SELECT id, any_value(own) AS own, any_value(mw) AS mw, any_value(mv) AS mv, sum(g * (w - mw) * (v - mv)) AS wv, sum(g * pow(w - mw, 2)) AS ww, sum(g * pow(v - mv, 2)) AS vv FROM k JOIN m USING (id) GROUP BY id)
+SELECT id, round(mv + wv / ww * (own - mw), 5) AS predicted, round(wv * wv / (ww * vv), 5) AS local_r2 FROM s"""
+)
 def t14_t18_gwr(spark: SparkSession, sf: str) -> DataFrame:
     g = stats.GWR(unit_points(spark, sf), "id", "x", "y", "v", ["w"])
     return rounded(g.local(60).select("id", "predicted", "local_r2"), "predicted", "local_r2")
