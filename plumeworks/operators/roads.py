@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ..config import DUBLIN, Settings
 from ..functions import geometry as G
+from ..functions import planar
 from ..functions import strings as S
 from .graphs import connected_components, cut_lineage
 from .spatial import cover, segments
 
 #: Pieces of this length and less are dropped when a line is cut.
 SLIVER = 0.1
+#: Rows of the cells that near_links does in one task, as a mean; a cell is not divided.
+LINK_ROWS = 20000
 Line = list[tuple[float, float]]
 
 
@@ -94,6 +98,34 @@ def near_pairs(one: DataFrame, key: str, near: float, by: list[str], size: float
     return l.join(r, on).where((F.col(f"l.{key}") < F.col(f"r.{key}")) & ((d <= near) | crossing)).select(F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")).distinct()
 
 
+def near_links(one: DataFrame, key: str, near: float, by: list[str], size: float = 0.0) -> DataFrame:
+    """``a, b``: some of the pairs' keys of near_pairs, with the same components; at most a row for each key and cell.
+
+    Where many segments cross, the pairs grow with the square of the rows. Here a task
+    unites the segments of a cell and gives each key with its class's representative.
+    The segments of a cell fit a task.
+    """
+    ends, of = ["x1", "y1", "x2", "y2"], [*by, "__cx", "__cy"]
+    one = one.select(key, *by, *ends).dropna()
+    wide = cover(one, F.least("x1", "x2") - near, F.least("y1", "y2") - near, F.greatest("x1", "x2") + near, F.greatest("y1", "y2") + near, max(size, 50 * near, 1e-9))
+    tasks = max(1, math.ceil(wide.count() / LINK_ROWS))
+    wide = wide.withColumn("__t", F.pmod(F.xxhash64(*of), F.lit(tasks))).repartition(tasks, "__t")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, segs, a, b = pdf[key].to_numpy(), pdf[ends].to_numpy(float), [], []
+        for some in pdf.groupby(of, sort=False).indices.values():
+            node, every = pd.factorize(keys[some])
+            if len(every) > 1:
+                label = planar.linked(node, segs[some], near)
+                moved = np.flatnonzero(label != np.arange(len(every)))
+                a.extend(every[label[moved]])
+                b.extend(every[moved])
+        return pd.DataFrame({"a": a, "b": b})
+
+    kind = dict(one.dtypes)[key]
+    return wide.groupBy("__t").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+
+
 def _crosses(ax, ay, bx, by, cx, cy, dx, dy):
     side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
     return (side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0) & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0)
@@ -108,7 +140,7 @@ def merge_roads(segs: DataFrame, key: str, names: str, near: float, rounds: int
         of = segs.join(label, key)
         united = of.groupBy("road").agg(F.array_distinct(F.flatten(F.collect_list(names))).alias("__u"))
         now = of.join(united, "road").select(F.col("road").alias("__k"), F.col("__u").alias(names), "x1", "y1", "x2", "y2")
-        pairs = name_sharing_pairs(now, "__k", names, near)
+        pairs = near_links(now.withColumn("__n", F.explode(names)).drop(names), "__k", near, ["__n"])
         found = connected_components(pairs, label.select(F.col("road").alias("node")).distinct())
         label = cut_lineage(label.join(found, label["road"] == found["node"]).select(key, F.col("component").alias("road")))
         m = label.select("road").distinct().count()

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from plumeworks.functions import geometry as G
-from plumeworks.functions import projection
+from plumeworks.functions import planar, projection
 from plumeworks.functions import strings as S
 from plumeworks.config import PRESETS
 from plumeworks.operators import covariates, figures, graphs, matching, nodes, outliers, quantiles, roads, spatial, stats, traffic, units
@@ -242,6 +242,32 @@ def test_road_merging(spark):
     assert {r.k: r.road for r in roads.merge_roads(segs, "k", "names", 20.0).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_linked_segments_against_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for k in range(60):
+        monkeypatch.setattr(planar, "PAIRS", (4, 64, 1 << 14)[k % 3])
+        m, near = int(rng.integers(1, 120)), (0.0, 1e-4, 1.0, 5.0)[k % 4]
+        c = rng.uniform(0, 100, (m, 2))
+        s = np.hstack([c, c + rng.normal(size=(m, 2)) * (0.5, 5, 60)[k // 3 % 3]])
+        s = np.round(s / 5) * 5 if k % 5 == 0 else s
+        node = np.unique(rng.integers(0, m, m), return_inverse=True)[1]
+        a, b = np.triu_indices(m, 1)
+        hit = planar._close(s[a], s[b], near)
+        assert (planar.linked(node, s, near) == planar.unite(np.arange(node.max() + 1), node[a[hit]], node[b[hit]])).all()
+
+
+def test_links_of_crossing_roads_do_not_grow_with_their_square(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, f"n{i % 3}" if i % 50 else None, *map(float, rng.uniform(0, 1000, 4))) for i in range(900)]
+    rows += [(2000 + i, "n0", 9000.0 + 40 * i, 0.0, 9000.0 + 40 * i, 25.0) for i in range(30)]
+    segs = spark.createDataFrame(rows, "k long, n string, x1 double, y1 double, x2 double, y2 double")
+    of = lambda pairs: {(r.node, r.component) for r in graphs.connected_components(pairs, segs.select("k")).collect()}
+    links = graphs.cut_lineage(roads.near_links(segs, "k", 20.0, ["n"]))
+    assert of(links) == of(roads.near_pairs(segs, "k", 20.0, ["n"]))
+    assert links.count() < 5 * len(rows) and roads.near_pairs(segs, "k", 20.0, ["n"]).count() > 20 * len(rows)
+    assert roads.near_links(segs.limit(0), "k", 20.0, ["n"]).count() == 0
+
+
 def test_road_merging_does_not_return_unsettled_roads(spark):
     segs = spark.createDataFrame([(1, ["a"], 0.0, 0.0, 10.0, 0.0), (2, ["a"], 15.0, 0.0, 30.0, 0.0)], "k long, names array<string>, x1 double, y1 double, x2 double, y2 double")
     try:
