@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import planar
 from .graphs import cut_lineage
 
 #: Rows of which knn looks at all pairs.
 FEW = 5000
+#: Segments in a cell of nearest_segment, about, and points that one task takes of it.
+CELL_SEGMENTS, SLICE = 4096, 50000
 
 
 def cell(x: Column, size: float) -> Column:
@@ -44,36 +48,54 @@ def segments(lines: DataFrame, key: str, line: str) -> DataFrame:
 def nearest_segment(points: DataFrame, segs: DataFrame, point: str, key: str, x: str, y: str, size: float) -> DataFrame:
     """``point, key, dist``: the nearest line of each point, ties to the smaller key.
 
-    Candidates come from the 3 x 3 cells around a point; what is found within one cell's
-    width is certain. The width is that of about one segment in a cell, ``size`` at least;
+    A task has a cell's points and the segments that come within an eighth of its width;
+    what is found within somewhat less is certain. The width is that of about
+    CELL_SEGMENTS segments in a cell, ``size`` at least and an eighth of a mean segment;
     for the points that are left it grows fourfold until it spans all segments, so no
-    distance is too far, and each round is an equi join. A null coordinate, or no
-    segment at all, gives a null key and distance.
+    distance is too far. A cell of many points is cut into slices of about SLICE, each
+    with the cell's segments; these fit a task. A null or NaN coordinate, or no segment
+    at all, gives a null key and distance.
     """
-    known = F.col(x).isNotNull() & F.col(y).isNotNull()
-    lost = points.where(~known).select(point, F.lit(None).cast(dict(segs.dtypes)[key]).alias(key), F.lit(None).cast("double").alias("dist"))
-    found = segs.select(key, "x1", "y1", "x2", "y2").dropna()
-    b = found.agg(F.max(F.greatest("x1", "x2")).alias("x"), F.min(F.least("x1", "x2")).alias("u"), F.max(F.greatest("y1", "y2")).alias("y"), F.min(F.least("y1", "y2")).alias("v"), F.count("*").alias("n")).first()
+    ends, kinds = ["x1", "y1", "x2", "y2"], {point: dict(points.dtypes)[point], key: dict(segs.dtypes)[key]}
+    known = F.coalesce(~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")) & F.col(x).isNotNull() & F.col(y).isNotNull(), F.lit(False))
+    lost = points.where(~known).select(point, F.lit(None).cast(kinds[key]).alias(key), F.lit(None).cast("double").alias("dist"))
+    found = segs.select(key, *ends).dropna()
+    b = found.agg(F.max(F.greatest("x1", "x2")).alias("x"), F.min(F.least("x1", "x2")).alias("u"), F.max(F.greatest("y1", "y2")).alias("y"), F.min(F.least("y1", "y2")).alias("v"), F.count("*").alias("n"), F.avg(G.distance(*map(F.col, ends))).alias("l")).first()
     if not b.n:
-        return lost.union(points.where(known).select(point, *[F.lit(None).cast(t) for t in (dict(segs.dtypes)[key], "double")]))
-    reach = points.agg(F.max(F.abs(x)) + F.max(F.abs(y))).first()[0] or 0.0
-    last = 4 * (max(b.x - b.u, b.y - b.v) + abs(b.u) + abs(b.v) + reach + 1)
-    size = max(size, math.sqrt((b.x - b.u) * (b.y - b.v) / b.n))  # about a segment in each cell
-    todo, out = points.where(known).select(point, x, y), lost
-    ring = F.array(*map(F.lit, (-1, 0, 1)))
+        return lost.union(points.where(known).select(point, *[F.lit(None).cast(t) for t in (kinds[key], "double")]))
+    todo = points.where(known).select(F.col(point).alias("__p"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    reach = todo.agg(F.max(F.abs("__x")) + F.max(F.abs("__y"))).first()[0] or 0.0
+    last = 32 * (max(b.x - b.u, b.y - b.v) + abs(b.u) + abs(b.v) + reach + 1)
+    size = min(max(size, b.l / 8, math.sqrt((b.x - b.u) * (b.y - b.v) * CELL_SEGMENTS / b.n)), last)
+    out = None
+
+    def run(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        near = near.sort_values(key, kind="stable")
+        place, dist = planar.nearest(mine[["__x", "__y"]].to_numpy(float), near[ends].to_numpy(float))
+        keys = near[key].reset_index(drop=True)
+        got = mine[["__p", "__x", "__y"]].reset_index(drop=True)
+        if not len(keys):
+            return got.assign(**{"__k": None, "dist": None})
+        return got.assign(**{"__k": keys.take(place).reset_index(drop=True), "dist": dist})
+
     while True:
-        wide = cover(found, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), size)
-        # cells of the box that the segment passes: it comes within half their diagonal of the middle
-        wide = wide.where(G.to_segment((F.col("__cx") + 0.5) * size, (F.col("__cy") + 0.5) * size, *map(F.col, ("x1", "y1", "x2", "y2"))) <= size * 0.7072)
-        around = todo.withColumn("__cx", F.explode(F.transform(ring, lambda d: cell(F.col(x), size) + d)))
-        around = around.withColumn("__cy", F.explode(F.transform(ring, lambda d: cell(F.col(y), size) + d)))
-        near = around.join(wide, ["__cx", "__cy"]).withColumn("dist", G.to_segment(*map(F.col, (x, y, "x1", "y1", "x2", "y2"))))
-        best = near.groupBy(point).agg(F.min(F.struct("dist", key)).alias("b")).select(point, F.col(f"b.{key}").alias(key), F.col("b.dist").alias("dist"))
-        sure = cut_lineage(best if size >= last else best.where(F.col("dist") <= size))
-        out = out.union(sure)
-        todo = cut_lineage(todo.join(sure, point, "left_anti"))
+        edge, certain, at = size / 8, size * 0.12, ["__cx", "__cy", "__s"]
+        mine = todo.withColumns({"__cx": cell(F.col("__x"), size), "__cy": cell(F.col("__y"), size)})
+        full = mine.groupBy("__cx", "__cy").agg(F.ceil(F.count("*") / SLICE).alias("__n")).where("__n > 1")  # at most a row for each SLICE points
+        slices = lambda df: df.join(F.broadcast(full), ["__cx", "__cy"], "left").withColumn("__n", F.coalesce("__n", F.lit(1).cast("long")))
+        mine = slices(mine).withColumn("__s", F.pmod(F.xxhash64("__p", "__x", "__y"), "__n")).drop("__n")
+        wide = cover(found, F.least("x1", "x2") - edge, F.least("y1", "y2") - edge, F.greatest("x1", "x2") + edge, F.greatest("y1", "y2") + edge, size)
+        # cells that the segment comes near: it is within half the diagonal of the widened cell from the middle
+        wide = wide.where(G.to_segment((F.col("__cx") + 0.5) * size, (F.col("__cy") + 0.5) * size, *map(F.col, ends)) <= (size / 2 + edge) * 1.4143)
+        wide = slices(wide).withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
+        schema = f"__p {kinds[point]}, __x double, __y double, __k {kinds[key]}, dist double"
+        got = cut_lineage(mine.groupBy(*at).cogroup(wide.groupBy(*at)).applyInPandas(run, schema))
+        sure = got if size >= last else got.where(F.col("dist") <= certain)
+        out = sure if out is None else out.union(sure)
+        todo = got.where(F.col("dist").isNull() | (F.col("dist") > certain)).select("__p", "__x", "__y")
         if size >= last or not todo.limit(1).count():
-            return out
+            best = out.groupBy("__p").agg(F.min(F.struct("dist", F.col("__k").alias("k"))).alias("b"))
+            return lost.union(best.select(F.col("__p").alias(point), F.col("b.k").alias(key), F.col("b.dist").alias("dist")))
         size = min(4 * size, last)
 
 

@@ -79,6 +79,22 @@ def test_nearest_segment_nulls_and_no_segments(spark):
     assert [(r.k, r.dist) for r in spatial.nearest_segment(p, s.limit(0), "p", "k", "x", "y", 1.0).collect()] == [(None, None)] * 3
 
 
+def test_nearest_segment_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CELL_SEGMENTS", 30)
+    monkeypatch.setattr(spatial, "SLICE", 40)
+    monkeypatch.setattr(planar, "PAIRS", 64)
+    rng = np.random.default_rng(6)
+    s = np.round(rng.uniform(0, 1000, (300, 4)), 0)
+    s[:250, 2:] = s[:250, :2] + np.round(rng.normal(size=(250, 2)) * 9)
+    xy = np.vstack([rng.uniform(0, 1000, (400, 2)), np.round(rng.normal(size=(300, 2))) + 500, rng.normal(size=(20, 2)) * 9e4, [[math.nan, 1.0]]])
+    p = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(xy)], "p long, x double, y double")
+    segs = spark.createDataFrame([(f"s{i:03}", *map(float, r)) for i, r in enumerate(s)], "k string, x1 double, y1 double, x2 double, y2 double").repartition(5)
+    got = {r.p: (r.k, r.dist) for r in spatial.nearest_segment(p, segs, "p", "k", "x", "y", 5.0).collect()}
+    d = planar.to_segments(xy[:, :1], xy[:, 1:], s[None])
+    assert len(got) == 721 and got[720] == (None, None)
+    assert all(got[i] == (f"s{d[i].argmin():03}", d[i].min()) for i in range(720))
+
+
 def test_names_of_presets_and_types(spark):
     h = PRESETS["hamburg"]
     of = spark.createDataFrame([(1, "Obere Königsstraße"), (2, "Obere Haupt Straße.")], "k long, name string")
