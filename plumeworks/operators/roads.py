@@ -410,7 +410,7 @@ def clip_lines_to_units(lines: DataFrame, units: DataFrame, key: str, line: str,
 
 def proximity_merge(segs: DataFrame, key: str, near: float = 1e-4) -> DataFrame:
     """``node, component``: lines that meet or come within a distance of one another, through others too."""
-    return connected_components(near_pairs(segs, key, near, [], _mean_length(segs)), segs.select(key).distinct())
+    return connected_components(near_links(segs, key, near, [], _mean_length(segs)), segs.select(key).distinct())
 
 
 def unit_graph(units: DataFrame, key: str, ring: str, buffer: float = 0.0) -> DataFrame:

@@ -284,6 +284,16 @@ def test_links_of_crossing_roads_do_not_grow_with_their_square(spark):
     assert roads.near_links(segs.limit(0), "k", 20.0, ["n"]).count() == 0
 
 
+def test_lines_that_meet_are_united_without_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, *map(float, rng.uniform(0, 1000, 4))) for i in range(400)] + [(500 + i, 3000.0 + 9 * i, 0.0, 3009.0 + 9 * i, float(i % 3)) for i in range(40)]
+    segs = spark.createDataFrame(rows, "k long, x1 double, y1 double, x2 double, y2 double")
+    every = graphs.connected_components(roads.near_pairs(segs, "k", 1e-4, [], 500.0), segs.select("k"))
+    expected = {(r.node, r.component) for r in every.collect()}
+    monkeypatch.setattr(roads, "near_pairs", None)
+    assert {(r.node, r.component) for r in roads.proximity_merge(segs, "k").collect()} == expected
+
+
 def test_road_merging_does_not_return_unsettled_roads(spark):
     segs = spark.createDataFrame([(1, ["a"], 0.0, 0.0, 10.0, 0.0), (2, ["a"], 15.0, 0.0, 30.0, 0.0)], "k long, names array<string>, x1 double, y1 double, x2 double, y2 double")
     try:
