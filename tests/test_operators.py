@@ -232,6 +232,31 @@ def test_moran_and_vif(spark):
     assert stats.jenks_breaks([1, 1, 2, 10, 11, 30], 3) == [2, 11, 30] and stats.optimal_k({2: 5, 3: 7, 4: 6}) == 3
 
 
+def test_permuted_values_are_of_different_other_rows(monkeypatch):
+    zs = np.arange(2000.0)
+    drawn = stats._others(zs, 700, 6, 20000, np.random.default_rng(1))
+    assert drawn.shape == (20000, 6) and (np.diff(np.sort(drawn, 1), axis=1) > 0).all() and not (drawn == 700).any()
+    counts = np.bincount(drawn.astype(int).ravel(), minlength=2000)[np.arange(2000) != 700]
+    assert counts.min() > 20 and counts.max() < 110 and abs(counts.mean() - 120000 / 1999) < 1e-9
+    monkeypatch.setattr(np, "delete", None)  # no work for each row of the table
+    assert stats._others(np.arange(1e6), 0, 3, 9, np.random.default_rng(1)).min() >= 1
+
+
+def test_moran_p_values_are_those_of_all_permutations(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f"u{i:04}", float(v)) for i, v in enumerate(rng.normal(size=1200))], "k string, z double")
+    z = {r.k: r.z for r in df.collect()}
+    w = spark.createDataFrame([(f"u{i:04}", f"u{(i + j) % 1200:04}") for i in range(0, 1200, 60) for j in (1, 2)], "focal string, neighbor string")
+    got = {r.k: r.p for r in stats.moran_p_values(df, "k", "z", w, 1999).collect()}
+    assert len(got) == 20
+    for k, p in got.items():
+        i = int(k[1:])
+        rest = np.array([v for o, v in z.items() if o != k])
+        a, b = np.triu_indices(1199, 1)
+        share = (z[k] * (rest[a] + rest[b]) / 2 >= z[k] * (z[f"u{(i + 1) % 1200:04}"] + z[f"u{(i + 2) % 1200:04}"]) / 2).mean()
+        assert abs(p - min(share, 1 - share)) < 0.05
+
+
 def test_gwr_matches_least_squares(spark):
     rng = np.random.default_rng(1)
     rows = [(i, *map(float, rng.normal(size=2)), float(rng.normal())) for i in range(40)]
