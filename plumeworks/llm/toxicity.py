@@ -10,7 +10,8 @@ on a bounded sample of the labelled rows turns these into a score.
 
 The counts are of all labelled rows and stay in Spark: words are summed by class, then
 their n-grams, then the n-grams by context; the driver gets the ratios only, keyed by
-64-bit hashes.
+64-bit hashes, and passes them on through mapped files, part by part. Of the halves it
+gets what the texts of the curve look up.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,7 +44,7 @@ TOP = (1, 2, 4)
 LONGEST = 40
 #: Words whose n-grams are looked up at once, and word kinds that a task counts before it hands them on.
 BLOCK, KINDS = 20_000, 200_000
-#: Labelled ids (17 bytes each) and ratios of n-grams and contexts (21 bytes each) that are sent to the driver and broadcast at most; beyond, they are joined.
+#: Labelled ids (17 bytes each) and ratios of n-grams and contexts (12 bytes each) that are sent to the driver and broadcast at most; beyond, they are joined.
 BROADCAST, MOST = 4_000_000, 8_000_000
 #: A key on more than this share of the rows to be joined is hot; there are fewer than 1 / HOT of them, so that they can be broadcast.
 HOT = 1e-5
@@ -276,18 +278,53 @@ def ratios(grams: DataFrame, context: int = CONTEXT) -> DataFrame:
     return of.mapInArrow(run, "context boolean, hash long, r0 float, r1 float, r float")
 
 
-def models(table: DataFrame) -> list[Model]:
-    """The models of half 0, of half 1 and of all labelled rows from what ``ratios`` gives; they share their keys."""
-    got = table.toArrow()
-    of_context = got.column("context").to_numpy()
-    hashes, out = got.column("hash").to_numpy().view(np.uint64), []
-    order = [np.flatnonzero(of_context == c) for c in (False, True)]
-    order = [o[np.argsort(hashes[o])] for o in order]
-    keys = [hashes[o] for o in order]
-    for name in ("r0", "r1", "r"):
-        r = got.column(name).to_numpy()
-        out.append(Model(*[(k, r[o]) for k, o in zip(keys, order)]))
-    return out
+def models(table: DataFrame, names: tuple[str, ...] = ("r0", "r1", "r")) -> list[Model]:
+    """The models of half 0, of half 1 and of all labelled rows, or of those named, from what ``ratios`` gives; they share their keys.
+
+    Spark orders the rows, and the driver writes them part by part to temporary files
+    that it maps, so that its memory holds a part and not the table.
+    """
+    small_batches(table.sparkSession)
+    columns = ("hash", *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_context = batch.column(0).to_numpy(zero_copy_only=False)
+            for c in (False, True):
+                if (of := of_context == c).any():
+                    values = [batch.column(k + 1).to_numpy()[of].tobytes() for k in range(len(columns))]
+                    yield pa.record_batch([pa.array([c]), *(pa.array([v], pa.binary()) for v in values)], names=["context", *columns])
+
+    unsigned = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)))
+    rows = table.select("context", *columns).orderBy("context", unsigned).mapInArrow(run, "context boolean, " + ", ".join(f"{n} binary" for n in columns))
+    files = {(c, n): tempfile.TemporaryFile() for c in (False, True) for n in columns}
+    for row in rows.toLocalIterator():
+        for n in columns:
+            files[row.context, n].write(row[n])
+
+    def mapped(c: bool, name: str) -> np.ndarray:
+        dtype = np.uint64 if name == "hash" else np.float32
+        with files[c, name] as f:
+            return np.asarray(np.memmap(f, dtype, "r")) if f.tell() else np.zeros(0, dtype)
+
+    keys = [mapped(c, "hash") for c in (False, True)]
+    return [Model(*[(k, mapped(c, name)) for c, k in zip((False, True), keys)]) for name in names]
+
+
+def looked_up_by(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of what ``ratios`` gives that the words of rows' ``text`` look up."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = list(dict.fromkeys(p for text in texts(batch) for w in WORD.findall(text.lower()) for p in parts(w)))
+        grams, contexts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for at in range(0, len(words), BLOCK):
+            for of, hashes in zip((grams, contexts), _hashes(*_letters(words[at : at + BLOCK]))):
+                of.append(np.unique(hashes))
+        grams, contexts = np.unique(np.concatenate(grams)), np.unique(np.concatenate(contexts))
+        of_context = np.repeat([False, True], [len(grams), len(contexts)])
+        return pa.record_batch([pa.array(of_context), pa.array(np.concatenate([grams, contexts]).view(np.int64))], names=["context", "hash"])
+
+    return table.join(map_batches(rows.select("text"), run, "context boolean, hash long").distinct(), ["context", "hash"], "left_semi")
 
 
 @dataclass
@@ -342,20 +379,21 @@ class Joined:
         return placed.join(of, row), row, score
 
 
-def fit(halves: list[Model] | Joined, rows: DataFrame, totals: tuple[int, int]) -> Model | Joined:
+def fit(of: DataFrame | Joined, rows: DataFrame, totals: tuple[int, int]) -> Model | Joined:
     """The model of all labelled rows, with a curve fitted on ratios that the other half of them gives.
 
-    rows: ``text, toxic, half``, a sample for the curve, whose features are taken in the
-    executors; the curve is moved to the odds of totals (ordinary, toxic rows). With
-    fewer than two rows of either label nothing can be told, and every document scores
-    0 (to 17 digits).
+    of: what ``ratios`` gives, checkpointed, or joined with it. rows: ``text, toxic,
+    half``, a sample for the curve, whose features are taken in the executors; the
+    curve is moved to the odds of totals (ordinary, toxic rows). With fewer than two
+    rows of either label nothing can be told, and every document scores 0 (to 17
+    digits).
     """
-    rows = rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.col("half").cast("int").alias("half"))
-    if isinstance(halves, Joined):
-        placed = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
-        of = placed.join(halves.features(placed), "row").select("toxic", F.when(F.col("half") == 0, F.col("f1")).otherwise(F.col("f0")).alias("f"))
+    rows = checkpoint(rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.col("half").cast("int").alias("half"), F.monotonically_increasing_id().alias("row")))
+    shared_halves = None
+    if isinstance(of, Joined):
+        features = rows.join(of.features(rows), "row").select("toxic", F.when(F.col("half") == 0, F.col("f1")).otherwise(F.col("f0")).alias("f"))
     else:
-        shared_halves = rows.sparkSession.sparkContext.broadcast(halves[:2])
+        shared_halves = rows.sparkSession.sparkContext.broadcast(models(checkpoint(looked_up_by(of, rows)), ("r0", "r1")))
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             of, half = texts(batch), batch.column(2).to_pylist()
@@ -363,14 +401,16 @@ def fit(halves: list[Model] | Joined, rows: DataFrame, totals: tuple[int, int])
             f = [got[1 - h][k] for k, h in enumerate(half)]
             return pa.record_batch([batch.column(1), pa.array(f, pa.list_(pa.float64()))], names=["toxic", "f"])
 
-        of = map_batches(rows, run, "toxic int, f array<double>")
-    got = sorted((r.toxic, r.f) for r in of.collect())  # the fit must not depend on the order
+        features = map_batches(rows, run, "toxic int, f array<double>")
+    got = sorted((r.toxic, r.f) for r in features.collect())  # the fit must not depend on the order
+    if shared_halves:
+        shared_halves.destroy()
     turn = [sum(y == k for y, _ in got) for k in (0, 1)]
     if min(turn) < 2 or min(totals) < 1:
         return silent()
-    curve = fit_curve(silent() if isinstance(halves, Joined) else halves[2], np.array([f for _, f in got]), np.array([y for y, _ in got], float))
+    curve = fit_curve(silent() if isinstance(of, Joined) else models(of, ("r",))[0], np.array([f for _, f in got]), np.array([y for y, _ in got], float))
     curve.weights[0] += math.log(totals[1] / totals[0]) - math.log(turn[1] / turn[0])
-    return Joined(halves.table, curve) if isinstance(halves, Joined) else curve
+    return Joined(of.table, curve) if isinstance(of, Joined) else curve
 
 
 def silent() -> Model:
@@ -445,7 +485,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = Non
     if n is None or not words.where("word <> ''").limit(1).count():
         return silent()
     table = checkpoint(ratios(checkpoint(gram_counts(words))))
-    return fit(models(table) if table.count() <= MOST else Joined(table), curve_rows(docs, labels, bound or BOUND), (n.n1 + n.n3, n.n0 + n.n2))
+    return fit(table if table.count() <= MOST else Joined(table), curve_rows(docs, labels, bound or BOUND), (n.n1 + n.n3, n.n0 + n.n2))
 
 
 def score_documents(docs: DataFrame, model: Model | Joined, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -292,6 +293,29 @@ def test_toxicity_ratios_against_definition(spark):
     assert not none.words([*counts]).any()  # the other half has no rows
 
 
+def test_toxicity_ratios_stay_out_of_the_drivers_memory(spark):
+    table = spark.range(300_000).selectExpr("id % 3 = 0 AS context", "xxhash64(id) AS hash", "cast(id AS float) AS r0", "cast(-id AS float) AS r1", "cast(id / 7 AS float) AS r")
+    want = {c: sorted((r.hash % 2**64, r.r) for r in table.where(f"context = {c}").collect()) for c in (False, True)}
+    tracemalloc.start()
+    try:
+        model, = toxicity.models(table, ("r",))
+        assert tracemalloc.get_traced_memory()[1] < 2_000_000  # of 3.6 million bytes
+    finally:
+        tracemalloc.stop()
+    for c, (keys, values) in zip((False, True), (model.grams, model.contexts)):
+        assert keys.tolist() == [k for k, _ in want[c]] and values.tolist() == [v for _, v in want[c]]
+
+
+def test_toxicity_halves_hold_what_the_curve_looks_up(spark):
+    words = spark.createDataFrame([("abracadabra", 3, 1, 2, 2), ("zebra", 0, 5, 1, 0), ("quite", 1, 1, 0, 3), ("other", 2, 0, 0, 4)], "word string, n0 long, n1 long, n2 long, n3 long")
+    table = toxicity.ratios(toxicity.gram_counts(words))
+    rows = spark.createDataFrame([("Zebra, abrazeb\n12 " + "z" * 90,), (None,), ("zebra",)], "text string")
+    some = toxicity.looked_up_by(table, rows)
+    assert 0 < some.count() < table.count() / 2 and some.columns == table.columns
+    for a, b in zip(toxicity.models(table), toxicity.models(some)):
+        assert np.array_equal(*[m.features(["Zebra, abrazeb\n12 " + "z" * 90, "", "zebra"], {}) for m in (a, b)])
+
+
 def test_toxicity_counts_long_words_in_parts(spark):
     long = "a" * 40 + "b" * 40 + "cd"
     df, labels = spark.createDataFrame([(1, f"x {long}")], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
