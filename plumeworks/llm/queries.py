@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, pii, quality, simhash, tokens, topk, toxicity, urls, wordbpe
-from .common import table
+from . import audit, clusters, lines, packing, pii, quality, simhash, tokens, topk, toxicity, urls, warc, wordbpe
+from .common import checkpoint_folder, table
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -61,7 +62,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_in_documents(docs, pii.train(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_url_filters, op4_simhash, op5_quality_rules, op6_top_k, op7_line_dedup, op8_token_counts, op9_bpe, op10_pii)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"), f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}")
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    return warc.read(index, payloads=False).select(long("id", "page_id"), "payload_bytes", "payload_digest", "record_type", long("refers_to_id", "refers_to"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = clusters.cluster(table(spark, sf_dir, "embeddings"))
+    return of.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_packing, op2_toxicity, op3_url_filters, op4_simhash, op5_quality_rules, op6_top_k, op7_line_dedup, op8_token_counts, op9_bpe, op10_pii, op11_warc, op12_clusters, op13_filter_audit)
+}
 
 _URLS = """
 WITH p AS (
@@ -123,4 +142,63 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(
 SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(len(ls), 0)::BIGINT AS lines_before, coalesce(lines_after, 0)::BIGINT AS lines_after FROM d LEFT JOIN k USING (r)
 """
 
-ORACLE_SQL = {"op3_url_filters": _URLS, "op5_quality_rules": _QUALITY, "op6_top_k": _TOP_K, "op7_line_dedup": _LINES}
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS n, sha256(html) AS digest FROM p
+), f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first IS NULL OR first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (digest)
+"""
+
+
+def _clusters_sql(k: int = clusters.K, rounds: int = clusters.ROUNDS, dim: int = clusters.DIM) -> str:
+    """The rounds one after another: distances to all centroids, the nearest, the floors of the means."""
+    steps = [f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({clusters.SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (SELECT (row_number() OVER (ORDER BY sha256('{clusters.SALT}:' || coalesce(vec_id::VARCHAR, '')), e) - 1)::INTEGER AS c, e FROM v QUALIFY c < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+d{n} AS (SELECT r, c, list_sum(list_transform(list_zip(v.e, c{n}.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v CROSS JOIN c{n}
+), a{n} AS (SELECT r, c, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if n < rounds:
+            steps.append(f"""
+x{n} AS (SELECT r, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v
+), m{n} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM x{n} JOIN a{n} USING (r) GROUP BY c, i
+), f{n} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM m{n} GROUP BY c
+), c{n + 1} AS (SELECT c, coalesce(f{n}.e, c{n}.e) AS e FROM c{n} LEFT JOIN f{n} USING (c))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (c)
+"""
+
+
+_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id
+), s AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(w) < 200)::INTEGER + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INTEGER
+         + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INTEGER AS mask
+  FROM d LEFT JOIN g USING (doc_id)
+), m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM s GROUP BY part, mask
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b
+), o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM l p, l q, l r, l s, l t
+  WHERE p.b | q.b | r.b | s.b | t.b = 31
+), k AS (SELECT filter_order, unnest([1, 2, 3, 4, 5])::INTEGER AS step, bits FROM o
+), j AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[1:step - 1])::INTEGER AS before FROM k
+), c AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (coalesce(before, 0) | bit) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & coalesce(before, 0) = 0), 0)::BIGINT AS toxic_lost
+  FROM m CROSS JOIN j GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM c
+"""
+
+ORACLE_SQL = {"op3_url_filters": _URLS, "op5_quality_rules": _QUALITY, "op6_top_k": _TOP_K, "op7_line_dedup": _LINES, "op11_warc": _WARC, "op12_clusters": _clusters_sql(), "op13_filter_audit": _AUDIT}
