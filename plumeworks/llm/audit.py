@@ -23,6 +23,8 @@ FILTERS = "ABCDE"
 E = 1 << FILTERS.index("E")
 #: Characters of text that a task's own chains hold before they are sent on, and rows that go in one list.
 CHAINS, LIST = 32 << 20, 500
+#: Bytes of text that a partition of fingerprints gets, about.
+PART = 64 << 20
 MASKS = "doc_id long, part string, mask int"
 COUNTS = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
@@ -110,13 +112,16 @@ def failed(docs: DataFrame, ident: str = "doc_id", text: str = "text", part: str
 
     A null text is empty, a null part the empty string. A row fails E if its text equals
     that of any row with a smaller id; rows equal in id and text do not fail each other,
-    and a null id is neither smaller nor larger. An empty table gives none.
+    and a null id is neither smaller nor larger. An empty table gives none. The number of
+    partitions follows from the bytes of all texts, which are summed first.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{ident}`").cast("long").alias("id"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), masks(body).alias("mask"), F.xxhash64(body).alias("fingerprint"), body.alias("text"))
     own = rows.rdd.mapPartitions(lambda some: _own_minima(some, most))
-    n = partitions or max(own.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism)
-    routed = own.repartitionAndSortWithinPartitions(n, lambda key: key[0]).mapPartitions(_routed)
+    if partitions is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("size")).first()["size"] or 0
+        partitions = max(own.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism, -(-size // PART))
+    routed = own.repartitionAndSortWithinPartitions(partitions, lambda key: key[0]).mapPartitions(_routed)
     return docs.sparkSession.createDataFrame(routed, MASKS)
 
 
