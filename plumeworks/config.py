@@ -32,6 +32,10 @@ class Settings:
     traffic_time_format: str = "yyyyMMddHHmmss"
     n_search: int | str = 100
     matcher_url: str = ""
+    match_by: str = "network"
+    match_radius_m: float = 50.0
+    match_sigma_m: float = 5.0
+    match_beta_m: float = 5.0
     moran_neighbours: int = 8
     cell_m: float = 1000.0
 

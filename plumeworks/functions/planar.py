@@ -20,6 +20,14 @@ def to_segments(x, y, s: np.ndarray) -> np.ndarray:
     return np.sqrt(u * u + v * v)
 
 
+def feet(xy: np.ndarray, segs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of the place on each segment that is nearest to its point."""
+    d = segs[:, 2:] - segs[:, :2]
+    q = (d * d).sum(1)
+    t = np.clip(((xy - segs[:, :2]) * d).sum(1) / np.where(q == 0, np.inf, q), 0.0, 1.0)
+    return segs[:, 0] + t * d[:, 0], segs[:, 1] + t * d[:, 1]
+
+
 def nearest(xy: np.ndarray, segs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, distance) of the nearest segment of each point, ties to the first.
 
@@ -46,6 +54,27 @@ def nearest(xy: np.ndarray, segs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, dist
 
 
+def within(xy: np.ndarray, segs: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, segment, distance) of all pairs within a distance. Points are halved; a part keeps the segments that come near enough to any of its points."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    slack = SLACK * (1 + max(np.abs(xy).max(initial=0.0), np.abs(segs).max(initial=0.0)))
+    todo = [(np.arange(len(xy)), np.arange(len(segs)))] if len(xy) and len(segs) else []
+    while todo:
+        some, near = todo.pop()
+        low, high = xy[some].min(0), xy[some].max(0)
+        middle, wide = (low + high) / 2, high - low
+        near = near[to_segments(middle[0], middle[1], segs[near]) <= reach + np.hypot(*wide) / 2 + slack]
+        if len(some) == 1 or len(some) * len(near) <= PAIRS:
+            d = to_segments(xy[some, 0][:, None], xy[some, 1][:, None], segs[near][None])
+            a, b = np.nonzero(d <= reach)
+            out.append((some[a], near[b], d[a, b]))
+        else:
+            half = np.argpartition(xy[some, int(wide[1] > wide[0])], len(some) // 2)
+            todo += [(some[half[: len(some) // 2]], near), (some[half[len(some) // 2 :]], near)]
+    p, s, d = (np.concatenate(c) for c in zip(*out))
+    return p, s, d
+
+
 def _close(a: np.ndarray, b: np.ndarray, near: float) -> np.ndarray:
     """Whether segments come within a distance: by an end of one, or as they cross."""
     d = np.minimum(np.minimum(to_segments(a[:, 0], a[:, 1], b), to_segments(a[:, 2], a[:, 3], b)), np.minimum(to_segments(b[:, 0], b[:, 1], a), to_segments(b[:, 2], b[:, 3], a)))

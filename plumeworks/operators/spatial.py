@@ -45,8 +45,8 @@ def segments(lines: DataFrame, key: str, line: str) -> DataFrame:
     return of.select(key, "n", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
 
 
-def nearest_segment(points: DataFrame, segs: DataFrame, point: str, key: str, x: str, y: str, size: float) -> DataFrame:
-    """``point, key, dist``: the nearest line of each point, ties to the smaller key.
+def nearest_segment(points: DataFrame, segs: DataFrame, point: str, key: str, x: str, y: str, size: float, place: bool = False) -> DataFrame:
+    """``point, key, dist``: the nearest line of each point, ties to the smaller key; with ``place`` also ``px, py``, the nearest place on it.
 
     A task has a cell's points and the segments that come within an eighth of its width;
     what is found within somewhat less is certain. The width is that of about
@@ -58,11 +58,13 @@ def nearest_segment(points: DataFrame, segs: DataFrame, point: str, key: str, x:
     """
     ends, kinds = ["x1", "y1", "x2", "y2"], {point: dict(points.dtypes)[point], key: dict(segs.dtypes)[key]}
     known = F.coalesce(~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")) & F.col(x).isNotNull() & F.col(y).isNotNull(), F.lit(False))
-    lost = points.where(~known).select(point, F.lit(None).cast(kinds[key]).alias(key), F.lit(None).cast("double").alias("dist"))
+    more = ["px", "py"] if place else []
+    none = [F.lit(None).cast(kinds[key]).alias(key), *[F.lit(None).cast("double").alias(c) for c in ("dist", *more)]]
+    lost = points.where(~known).select(point, *none)
     found = segs.select(key, *ends).dropna()
     b = found.agg(F.max(F.greatest("x1", "x2")).alias("x"), F.min(F.least("x1", "x2")).alias("u"), F.max(F.greatest("y1", "y2")).alias("y"), F.min(F.least("y1", "y2")).alias("v"), F.count("*").alias("n"), F.avg(G.distance(*map(F.col, ends))).alias("l")).first()
     if not b.n:
-        return lost.union(points.where(known).select(point, *[F.lit(None).cast(t) for t in (kinds[key], "double")]))
+        return lost.union(points.where(known).select(point, *none))
     todo = points.where(known).select(F.col(point).alias("__p"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     reach = todo.agg(F.max(F.abs("__x")) + F.max(F.abs("__y"))).first()[0] or 0.0
     last = 32 * (max(b.x - b.u, b.y - b.v) + abs(b.u) + abs(b.v) + reach + 1)
@@ -70,13 +72,16 @@ def nearest_segment(points: DataFrame, segs: DataFrame, point: str, key: str, x:
     out = None
 
     def run(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        near = near.sort_values(key, kind="stable")
-        place, dist = planar.nearest(mine[["__x", "__y"]].to_numpy(float), near[ends].to_numpy(float))
+        near = near.sort_values([key, *ends], kind="stable")
+        xy, of = mine[["__x", "__y"]].to_numpy(float), near[ends].to_numpy(float)
+        which, dist = planar.nearest(xy, of)
         keys = near[key].reset_index(drop=True)
         got = mine[["__p", "__x", "__y"]].reset_index(drop=True)
         if not len(keys):
-            return got.assign(**{"__k": None, "dist": None})
-        return got.assign(**{"__k": keys.take(place).reset_index(drop=True), "dist": dist})
+            return got.assign(**dict.fromkeys(["__k", "dist", *more]))
+        px, py = planar.feet(xy, of[which])
+        at = {"px": px, "py": py} if place else {}
+        return got.assign(**{"__k": keys.take(which).reset_index(drop=True), "dist": dist} | at)
 
     while True:
         edge, certain, at = size / 8, size * 0.12, ["__cx", "__cy", "__s"]
@@ -88,14 +93,14 @@ def nearest_segment(points: DataFrame, segs: DataFrame, point: str, key: str, x:
         # cells that the segment comes near: it is within half the diagonal of the widened cell from the middle
         wide = wide.where(G.to_segment((F.col("__cx") + 0.5) * size, (F.col("__cy") + 0.5) * size, *map(F.col, ends)) <= (size / 2 + edge) * 1.4143)
         wide = slices(wide).withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
-        schema = f"__p {kinds[point]}, __x double, __y double, __k {kinds[key]}, dist double"
+        schema = f"__p {kinds[point]}, __x double, __y double, __k {kinds[key]}, dist double" + "".join(f", {c} double" for c in more)
         got = cut_lineage(mine.groupBy(*at).cogroup(wide.groupBy(*at)).applyInPandas(run, schema))
         sure = got if size >= last else got.where(F.col("dist") <= certain)
         out = sure if out is None else out.union(sure)
         todo = got.where(F.col("dist").isNull() | (F.col("dist") > certain)).select("__p", "__x", "__y")
         if size >= last or not todo.limit(1).count():
-            best = out.groupBy("__p").agg(F.min(F.struct("dist", F.col("__k").alias("k"))).alias("b"))
-            return lost.union(best.select(F.col("__p").alias(point), F.col("b.k").alias(key), F.col("b.dist").alias("dist")))
+            best = out.groupBy("__p").agg(F.min(F.struct("dist", F.col("__k").alias("k"), *more)).alias("b"))
+            return lost.union(best.select(F.col("__p").alias(point), F.col("b.k").alias(key), F.col("b.dist").alias("dist"), *[f"b.{c}" for c in more]))
         size = min(4 * size, last)
 
 

@@ -35,8 +35,9 @@ def _air(s: Settings, raw: DataFrame) -> tuple[DataFrame]:
     return (T.dense_ids(of.withColumns({"x": x, "y": y}), [s.timestamp, s.lat, s.lon, s.value], "id"),)
 
 
-def _match(s: Settings, points: DataFrame) -> tuple[DataFrame]:
-    of = matching.match_days(points, ["vehicle"], "id", matching.HttpMatcher(s.matcher_url) if s.matcher_url else None, s)
+def _match(s: Settings, points: DataFrame, ways: DataFrame) -> tuple[DataFrame]:
+    """By the service of ``matcher_url``, else on the ways themselves."""
+    of = matching.match_days(points, ["vehicle"], "id", matching.HttpMatcher(s.matcher_url) if s.matcher_url else None, s, ways)
     x, y = P.to_grid(F.col("matched_lon"), F.col("matched_lat"), s.crs_metric)
     return (of.withColumns({"x": x, "y": y}),)
 
@@ -130,7 +131,7 @@ def _models(s: Settings, of: DataFrame, shapes: DataFrame) -> tuple[DataFrame]:
 PIPELINES: dict[str, list[Step]] = {
     "data_preparation": [
         Step("air", _air, ("air_raw",), ("air",)),
-        Step("match", _match, ("air",), ("air_matched",)),
+        Step("match", _match, ("air", "ways"), ("air_matched",)),
         Step("outliers", _outliers, ("air_matched",), ("air_clean", "air_outliers")),
         Step("roads", _roads, ("ways",), ("roads", "road_pieces")),
         Step("units", _units, ("air_clean", "shapes"), ("values",)),

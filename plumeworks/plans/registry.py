@@ -737,4 +737,6 @@ def u2_union_cleaned(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_MORAN} SELECT round(regr_slope(lag_z, z), 5) AS slope, round(regr_intercept(lag_z, z), 5) AS intercept FROM i")
 def v6_moran_scatter(spark: SparkSession, sf: str) -> DataFrame:
     u = unit_points(spark, sf)
-    return rounded(figures.moran_scatter(stats.local_moran(u, "id", "v", spatial.knn(u, "id", "x", "y", 6))), "slope", "intercept")
\ No newline at end of file
+    return rounded(figures.moran_scatter(stats.local_moran(u, "id", "v", spatial.knn(u, "id", "x", "y", 6))), "slope", "intercept")
+
+from . import network_queries  # noqa: E402, F401  (registers its own)
