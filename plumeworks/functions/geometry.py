@@ -39,6 +39,22 @@ def area(ring: Column) -> Column:
     return F.when(F.size(ring) < 4, 0.0).otherwise(F.abs(twice) / 2)
 
 
+def centroid(ring: Column) -> tuple[Column, Column]:
+    """(x, y) of the middle of the area inside a closed ring; of a ring without an area, the mean of its corners. Nulls for fewer than two points."""
+    o = ring[0]
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(s: Column, p: Column) -> Column:
+        ax, ay, bx, by = p["a"]["x"] - o["x"], p["a"]["y"] - o["y"], p["b"]["x"] - o["x"], p["b"]["y"] - o["y"]
+        w = ax * by - bx * ay
+        return F.struct((s["a"] + w).alias("a"), (s["x"] + (ax + bx) * w).alias("x"), (s["y"] + (ay + by) * w).alias("y"))
+
+    total = F.aggregate(_steps(ring), start, add)
+    mean = lambda axis: F.aggregate(F.slice(ring, 1, F.size(ring) - 1), F.lit(0.0), lambda s, p: s + p[axis]) / (F.size(ring) - 1)
+    middle = lambda axis: F.when(F.size(ring) > 1, F.coalesce(o[axis] + F.try_divide(total[axis], 3 * total["a"]), mean(axis)))
+    return middle("x"), middle("y")
+
+
 def extension(line: Column) -> Column:
     """Distance between the ends of a line."""
     a, b = F.element_at(line, 1), F.element_at(line, -1)

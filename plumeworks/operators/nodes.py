@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from . import covariates, graphs, outliers, roads, spatial, units
+from . import shapes as shapes_
 from . import timeseries as T
 
 
@@ -15,9 +16,12 @@ def keep_units(df: DataFrame, of: DataFrame, unit: str) -> DataFrame:
     return of.join(df, unit, "left")
 
 
-def aggregate_to_units(points: DataFrame, kind: str, ts: str, value: str, x: str = "x", y: str = "y", size: float = 1000.0, shapes: DataFrame | None = None, key: str = "unit", shape: str = "ring", point: str = "id", quantile: float | None = None) -> DataFrame:
+def aggregate_to_units(points: DataFrame, kind: str, ts: str, value: str, x: str = "x", y: str = "y", size: float = 1000.0, shapes: DataFrame | None = None, key: str = "unit", shape: str = "ring", point: str = "id", quantile: float | None = None, buffer: float | None = None) -> DataFrame:
     """``key, value``: typical-day means by district, hexagon or nearest road, of units with enough values.
 
+    With ``buffer``, roads come with ``original_road_geom``, the line, and ``parts, area``,
+    the polygons of the places within that distance: roads as units of the plane.
+
     kind: ``district`` (shapes: ``key, ring``; points in none are left out), ``hexagon``
     (of ``size``), or ``road`` (shapes: ``key, line``). ``quantile`` is that of well_sampled.
     """
@@ -30,7 +34,11 @@ def aggregate_to_units(points: DataFrame, kind: str, ts: str, value: str, x: str
         of = points.join(near.where(F.col(key).isNotNull()).select(point, key), point)
     else:
         raise ValueError("kind must be district, hexagon or road")
-    return units.typical_day_mean(units.well_sampled(of, key, value, quantile), key, ts, value)
+    out = units.typical_day_mean(units.well_sampled(of, key, value, quantile), key, ts, value)
+    if kind != "road" or buffer is None:
+        return out
+    lines = shapes.select(key, F.col(shape).alias("original_road_geom")).join(out.select(key), key, "left_semi")
+    return out.join(lines, key).join(shapes_.buffers(lines, key, "original_road_geom", buffer), key)
 
 
 def connected_units(of: DataFrame, key: str, ring: str, buffer: float = 0.0) -> DataFrame:
@@ -59,16 +67,23 @@ def traffic_by_unit(sites: DataFrame, of: DataFrame, unit: str, x: str, y: str,
     return mean.join(filled, unit, "left").select(unit, value, F.coalesce(value, "__w").alias(f"{value}_idw"))
 
 
-def buildings_morphology(of: DataFrame, perimeter: str, area: str, height: str) -> DataFrame:
-    """Buildings with ``compactness_3d, fractal_dim, footprint_area``; their adjacency comes from roads.building_adjacency."""
+def buildings_morphology(of: DataFrame, perimeter: str, area: str, height: str, key: str | None = None, ring: str | None = None) -> DataFrame:
+    """Buildings with ``compactness_3d, fractal_dim, footprint_area``, and given their ``key`` and ``ring``, ``building_adj`` (null for a ring without an area or corners)."""
     p, a = F.col(perimeter).cast("double"), F.col(area).cast("double")
-    return of.withColumns({"compactness_3d": G.compactness(p, a, F.col(height).cast("double")), "fractal_dim": G.fractal_dimension(p, a), "footprint_area": a})
+    out = of.withColumns({"compactness_3d": G.compactness(p, a, F.col(height).cast("double")), "fractal_dim": G.fractal_dimension(p, a), "footprint_area": a})
+    if key is None:
+        return out
+    x, y = G.centroid(F.col(ring))
+    centres = of.where(F.size(ring) > 1).select(key, x.alias("x"), y.alias("y"))
+    adjacency = roads.building_adjacency(spatial.segments(of, key, ring), centres, key).withColumnRenamed("adjacency", "building_adj")
+    return out.join(adjacency, key, "left")
 
 
-def buildings_by_unit(buildings: DataFrame, of: DataFrame, unit: str, means: list[str], footprint: str = "footprint_area") -> DataFrame:
-    """``unit``, the means, and ``build_cover_area``; units without buildings have nulls and an area of 0."""
+def buildings_by_unit(buildings: DataFrame, of: DataFrame, unit: str, means: list[str], footprint: str = "footprint_area", unit_area: str | None = None) -> DataFrame:
+    """``unit``, the means, and ``build_cover_area``, given the units' area also ``build_cover_share``; units without buildings have nulls and an area of 0."""
     joined = keep_units(buildings.select(unit, *means, footprint), of.select(unit), unit)
-    return joined.groupBy(unit).agg(*[F.avg(m).alias(m) for m in means], F.coalesce(F.sum(footprint), F.lit(0.0)).alias("build_cover_area"))
+    out = joined.groupBy(unit).agg(*[F.avg(m).alias(m) for m in means], F.coalesce(F.sum(footprint), F.lit(0.0)).alias("build_cover_area"))
+    return out.join(of.select(unit, F.col(unit_area).alias("__u")), unit).withColumn("build_cover_share", F.try_divide("build_cover_area", "__u")).drop("__u") if unit_area else out
 
 
 def trees_by_unit(trees: DataFrame, of: DataFrame, unit: str, area: str, unit_area: str | None = None) -> DataFrame:
@@ -84,16 +99,16 @@ def density(total: Column, area: Column) -> Column:
     return F.when(area > 0, total / area).otherwise(F.lit(0.0))
 
 
-def street_indicators(streets: DataFrame, of: DataFrame, unit: str, line: str, area: str) -> DataFrame:
+def street_indicators(streets: DataFrame, of: DataFrame, unit: str, line: str, area: str, key: str | None = None) -> DataFrame:
     """``unit, road_length_m, road_density_m_per_km2, extension, linearity, meshedness, connectivity``.
 
-    streets: parts of lines inside one unit each; of: ``unit, area`` in square metres.
-    Units without streets have a length and density of 0 and nulls.
+    streets: parts of lines inside one unit each, as rows or, given a ``key``, as all rows
+    of a unit and key; of: ``unit, area`` in square metres. Means are over streets, not
+    parts. Units without streets have a length and density of 0 and nulls.
     """
-    ends = [F.struct(F.element_at(line, k)["x"].alias("x"), F.element_at(line, k)["y"].alias("y")) for k in (1, -1)]
-    one = streets.select(unit, G.length(F.col(line)).alias("__l"), G.extension(F.col(line)).alias("__e"), G.linearity(F.col(line)).alias("__s"), ends[0].alias("a"), ends[1].alias("b"))
-    sums = one.groupBy(unit).agg(F.sum("__l").alias("__l"), F.avg("__e").alias("extension"), F.avg("__s").alias("linearity"))
-    graph = graphs.street_measures(one.select(unit, "a", "b"), unit).select(unit, "meshedness", "connectivity")
+    one = roads.street_measures(streets, unit, line, key)
+    sums = one.groupBy(unit).agg(F.sum("length").alias("__l"), F.avg("extension").alias("extension"), F.avg(F.try_divide("extension", "length")).alias("linearity"))
+    graph = graphs.street_measures(one.select(unit, F.explode("edges").alias("e")).select(unit, "e.a", "e.b"), unit).select(unit, "meshedness", "connectivity")
     joined = of.select(unit, area).join(sums, unit, "left").join(graph, unit, "left").withColumn("road_length_m", F.coalesce("__l", F.lit(0.0)))
     return joined.select(unit, "road_length_m", density(F.col("road_length_m"), F.col(area) / 1e6).alias("road_density_m_per_km2"), "extension", "linearity", "meshedness", "connectivity")
 

@@ -15,7 +15,8 @@ from ..functions import geometry as G
 from ..functions import planar
 from ..functions import strings as S
 from .graphs import connected_components, cut_lineage
-from .spatial import cover, segments
+from .rows import map_rows, with_fields
+from .spatial import cover, segments, within
 
 #: Pieces of this length and less are dropped when a line is cut.
 SLIVER = 0.1
@@ -150,6 +151,14 @@ def merge_roads(segs: DataFrame, key: str, names: str, near: float, rounds: int
     raise RuntimeError("roads did not settle")
 
 
+def _line(points: list[dict]) -> Line:
+    return [(p["x"], p["y"]) for p in points]
+
+
+def _points(line: Line) -> list[dict]:
+    return [{"x": x, "y": y} for x, y in line]
+
+
 def line_merge(parts: list[Line]) -> list[Line]:
     """Lines joined wherever just two ends meet; the same set of lines gives the same result in any order or direction."""
     one = sorted({min(tuple(p), tuple(p[::-1])) for p in parts if len(p) > 1})
@@ -177,16 +186,58 @@ def line_merge(parts: list[Line]) -> list[Line]:
     return out
 
 
+def _farthest(points: list[tuple]) -> float:
+    """The distance of the farthest pair, which are corners of the hull."""
+    hull = []
+    for some in (sorted(set(points)), sorted(set(points), reverse=True)):
+        half: list[tuple] = []
+        for p in some:
+            while len(half) > 1 and (half[-1][0] - half[-2][0]) * (p[1] - half[-2][1]) - (half[-1][1] - half[-2][1]) * (p[0] - half[-2][0]) <= 0:
+                half.pop()
+            half.append(p)
+        hull += half[:-1] if len(half) > 1 else half
+    return max((math.dist(a, b) for k, a in enumerate(hull) for b in hull[k + 1 :]), default=0.0)
+
+
+def street_measures(streets: DataFrame, unit: str, line: str, key: str | None = None) -> DataFrame:
+    """``unit, length, extension, edges`` of each street; all rows of a unit and ``key`` are parts of one, else each row is a street.
+
+    Parts are joined to lines where just two ends meet. If that gives one line, the
+    extension is the distance between its ends, else that of the farthest pair of ends
+    of the parts. Edges are the lines' ends ``(a, b)``, rounded to three places, half to
+    even, so that ends which differ by rounding are one junction. Lines of fewer than
+    two points are left out. A street's parts fit a task.
+    """
+    end = lambda k: F.struct(*[S.round_half_even(F.element_at(line, k)[c]).alias(c) for c in ("x", "y")])
+    flat = [F.least(end(1), end(-1)).alias("a"), F.greatest(end(1), end(-1)).alias("b")]
+    lines = streets.where(F.size(line) > 1)
+    single = lambda df: df.select(unit, G.length(F.col(line)).alias("length"), G.extension(F.col(line)).alias("extension"), F.array(F.struct(*flat)).alias("edges"))
+    if key is None:
+        return single(lines)
+    by = lines.groupBy(unit, key).agg(F.collect_list(line).alias("__parts"))
+    many = by.where(F.size("__parts") > 1).select(unit, "__parts")
+
+    def measure(row: dict):
+        parts = [_line(part) for part in row["__parts"]]
+        joined = line_merge(parts)
+        ext = math.dist(joined[0][0], joined[0][-1]) if len(joined) == 1 else _farthest([p[k] for p in parts for k in (0, -1)])
+        yield {unit: row[unit], "length": float(sum(map(length, parts))), "extension": ext, "lines": [_points(ln) for ln in joined]}
+
+    of = map_rows(many, measure, with_fields(many, "length double, extension double, lines array<array<struct<x:double,y:double>>>", ("__parts",)))
+    ends = lambda ln: [F.struct(*[S.round_half_even(F.element_at(ln, k)[c]).alias(c) for c in ("x", "y")]) for k in (1, -1)]
+    edges = F.transform("lines", lambda ln: F.struct(F.least(*ends(ln)).alias("a"), F.greatest(*ends(ln)).alias("b")))
+    return single(by.where(F.size("__parts") == 1).select(unit, F.col("__parts")[0].alias(line))).union(of.select(unit, "length", "extension", edges.alias("edges")))
+
+
 def merged_lines(lines: DataFrame, label: DataFrame, key: str, line: str, road: str = "road") -> DataFrame:
     """``road, lines, length``: the joined lines of each merged road, from ``key, line`` and ``key, road``. A road's lines fit a task."""
     of = lines.select(key, line).join(label.select(key, road), key).where(F.size(line) > 1).groupBy(road).agg(F.collect_list(line).alias("__l"))
 
-    def run(parts):
-        for pdf in parts:
-            joined = [line_merge([[(q["x"], q["y"]) for q in ln] for ln in all_]) for all_ in pdf["__l"]]
-            yield pd.DataFrame({road: pdf[road], "lines": [[[{"x": x, "y": y} for x, y in ln] for ln in j] for j in joined], "length": [float(sum(map(length, j))) for j in joined]})
+    def join(row: dict):
+        joined = line_merge([_line(ln) for ln in row["__l"]])
+        yield {road: row[road], "lines": [_points(ln) for ln in joined], "length": float(sum(map(length, joined)))}
 
-    return of.mapInPandas(run, f"`{road}` {dict(label.dtypes)[road]}, lines array<array<struct<x:double,y:double>>>, length double")
+    return map_rows(of, join, with_fields(of, "lines array<array<struct<x:double,y:double>>>, length double", ("__l",)))
 
 
 def roundabouts(df: DataFrame, key: str, line: str, near: float = 1e-4, junction: str = "junction") -> DataFrame:
@@ -205,7 +256,8 @@ def road_network(df: DataFrame, key: str, line: str, settings: Settings = DUBLIN
 
     Roads: ``road, lines, length, is_roundabout`` and merged tags; streets that share
     names and are near are one, streets without a name stay as they are. Pieces:
-    ``road, part, piece, line, length``, cut by bearing and length.
+    ``road, part, piece, line, length``, cut by bearing and length; pieces are numbered
+    by road, short ones go to the next of the same road.
     """
     tagged = tag_columns(df, settings)
     rings, others = split_junctions(tagged)
@@ -215,9 +267,8 @@ def road_network(df: DataFrame, key: str, line: str, settings: Settings = DUBLIN
     label = joined.unionByName(alone)
     roads = merged_lines(others, label, key, line).join(merged_tags(others.join(label, key), "road"), "road").withColumn("is_roundabout", F.lit(False))
     roads = roads.unionByName(roundabouts(rings, key, line).drop("closed").withColumn("is_roundabout", F.lit(True)))
-    parts = roads.select("road", F.posexplode("lines").alias("part", "line")).withColumn("__k", F.struct("road", "part"))
-    pieces = cut_roads(parts, "__k", "line", settings.bearing_split, settings.min_segment_m, settings.max_segment_m)
-    return roads, pieces.select("__k.road", "__k.part", "piece", "line", G.length(F.col("line")).alias("length"))
+    pieces = cut_roads(roads, "road", "lines", settings.bearing_split, settings.min_segment_m, settings.max_segment_m)
+    return roads, pieces.select("road", "part", "piece", "line", G.length(F.col("line")).alias("length"))
 
 
 def bearing(a: tuple, b: tuple) -> float:
@@ -267,31 +318,36 @@ def _joined(a: Line, b: Line) -> Line | None:
     return None
 
 
-def cut_road(line: Line, limit: float = 35.0, least: float = 20.0, most: float = 150.0) -> list[Line]:
-    """Split by bearing and length; a short part is merged with the next one where they meet; what stays short is dropped."""
-    if length(line) < least:
-        return []
-    parts = [p for b in split_by_bearing(line, limit) for p in split_by_length(b, most)]
+def cut_lines(lines: list[Line], limit: float = 35.0, least: float = 20.0, most: float = 150.0) -> list[tuple[int, Line]]:
+    """(line, part) of a road's lines in their order, split by bearing and length; a short part is merged with the next one, be it the next line's, where they meet; lines and parts that stay short are dropped."""
+    parts = [(k, p) for k, line in enumerate(lines) if length(line) >= least for b in split_by_bearing(line, limit) for p in split_by_length(b, most)]
     out, skip = [], False
-    for k, part in enumerate(parts):
+    for n, (k, part) in enumerate(parts):
         if skip:
             skip = False
             continue
-        both = _joined(part, parts[k + 1]) if length(part) < least and k + 1 < len(parts) else None
+        both = _joined(part, parts[n + 1][1]) if length(part) < least and n + 1 < len(parts) else None
         skip = both is not None
-        out.append(both or part)
-    return [p for p in out if length(p) >= least]
+        out.append((k, both or part))
+    return [(k, p) for k, p in out if length(p) >= least]
 
 
-def cut_roads(roads: DataFrame, key: str, line: str, limit: float = 35.0, least: float = 20.0, most: float = 150.0) -> DataFrame:
-    """``key, piece, line`` of every road; roads are cut each on its own."""
+def cut_road(line: Line, limit: float = 35.0, least: float = 20.0, most: float = 150.0) -> list[Line]:
+    """The parts of one line alone."""
+    return [p for _, p in cut_lines([line], limit, least, most)]
 
-    def run(parts):
-        for pdf in parts:
-            rows = [(k, n, [{"x": x, "y": y} for x, y in p]) for k, ln in zip(pdf[key], pdf[line]) for n, p in enumerate(cut_road([(q["x"], q["y"]) for q in ln], limit, least, most))]
-            yield pd.DataFrame(rows, columns=[key, "piece", "line"])
 
-    return roads.select(key, line).mapInPandas(run, f"`{key}` {dict(roads.dtypes)[key]}, piece int, line array<struct<x:double,y:double>>")
+def cut_roads(roads: DataFrame, key: str, lines: str, limit: float = 35.0, least: float = 20.0, most: float = 150.0) -> DataFrame:
+    """``key, part, piece, line`` of every road, a line or an array of lines that follow one another; roads are cut each on its own. ``part`` is the line's place in its road."""
+    flat = dict(roads.dtypes)[lines].count("array<") == 1
+    of = roads.select(key, (F.array(lines) if flat else F.col(lines)).alias("__lines")).where("__lines IS NOT NULL")
+
+    def cut(row: dict):
+        parts = cut_lines([_line(ln) for ln in row["__lines"] if ln is not None], limit, least, most)
+        for n, (part, p) in enumerate(parts):
+            yield {key: row[key], "part": part, "piece": n, "line": _points(p)}
+
+    return map_rows(of, cut, with_fields(of, "part int, piece int, line array<struct<x:double,y:double>>", ("__lines",)))
 
 
 def clip_line(line: Line, ring: Line) -> list[Line]:
@@ -387,7 +443,7 @@ def clip_to_box(units: DataFrame, ring: str, box: tuple[float, float, float, flo
 
 
 def clip_lines_to_units(lines: DataFrame, units: DataFrame, key: str, line: str, unit: str, ring: str, size: float) -> DataFrame:
-    """``unit, key, line, length``: the parts of each line in each unit. Grid cells of both boxes find the candidates."""
+    """``unit, key, line, length``: the parts of each line in each unit; of lines that have at most SLIVER in a unit, none. Grid cells of both boxes find the candidates."""
     def boxed(df: DataFrame, g: str) -> DataFrame:
         xs, ys = F.transform(g, lambda p: p["x"]), F.transform(g, lambda p: p["y"])
         return cover(df, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), size)
@@ -399,9 +455,9 @@ def clip_lines_to_units(lines: DataFrame, units: DataFrame, key: str, line: str,
         for pdf in parts:
             rows = []
             for u, k, ln, rg in zip(pdf[unit], pdf[key], pdf[line], pdf[ring]):
-                for p in clip_line([(q["x"], q["y"]) for q in ln], [(q["x"], q["y"]) for q in rg]):
-                    if length(p) > SLIVER:
-                        rows.append((u, k, [{"x": x, "y": y} for x, y in p], length(p)))
+                cut = clip_line([(q["x"], q["y"]) for q in ln], [(q["x"], q["y"]) for q in rg])
+                if sum(map(length, cut)) > SLIVER:
+                    rows += [(u, k, [{"x": x, "y": y} for x, y in p], length(p)) for p in cut]
             yield pd.DataFrame(rows, columns=[unit, key, "line", "length"])
 
     kinds = {**dict(units.dtypes), **dict(lines.dtypes)}
@@ -414,9 +470,15 @@ def proximity_merge(segs: DataFrame, key: str, near: float = 1e-4) -> DataFrame:
 
 
 def unit_graph(units: DataFrame, key: str, ring: str, buffer: float = 0.0) -> DataFrame:
-    """``a, b`` (a < b): units whose outlines, each widened by a buffer, touch. Distances stand for widened polygons."""
+    """``a, b`` (a < b): units that, each widened by a buffer, touch: by their outlines, where distances stand for widened polygons, or as one lies inside the other."""
     edges = segments(units, key, ring).drop("n")
-    return near_pairs(edges, key, 2 * buffer, [], _mean_length(edges))
+    size = _mean_length(edges)
+    side = lambda axis: F.array_max(F.transform(ring, lambda p: p[axis])) - F.array_min(F.transform(ring, lambda p: p[axis]))
+    wide = units.agg(F.avg(F.greatest(side("x"), side("y")))).first()[0] or 1.0
+    first = units.where(F.size(ring) > 0).select(F.col(key).alias("__i"), F.col(ring)[0]["x"].alias("__x"), F.col(ring)[0]["y"].alias("__y"))
+    inside_ = within(first, units.where(F.size(ring) > 3).select(key, ring), "__x", "__y", ring, wide).where(F.col("__i") != F.col(key))
+    inner = inside_.select(F.least("__i", key).alias("a"), F.greatest("__i", key).alias("b"))
+    return near_pairs(edges, key, 2 * buffer, [], size).union(inner).distinct()
 
 
 def _mean_length(segs: DataFrame) -> float:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import network
+from ..functions import geometry as G
+from ..operators import network, nodes, shapes
 from ..sources.files import table
 from .registry import query, rounded
-from .stand_ins import LINES, lines
+from .stand_ins import LINES, lines, ring
 
 _SEGS = f"{LINES}, s AS (SELECT id, 1 AS n, x1, y1, x2, y2 FROM l UNION ALL SELECT id, 2, x2, y2, x3, y3 FROM l)"
 _CUSTOMERS = "p AS (SELECT c_custkey AS k, ((c_custkey * 7919) % 1999)::DOUBLE AS x, ((c_custkey * 104729) % 1511)::DOUBLE AS y FROM customer)"
@@ -52,3 +53,87 @@ def s13_h1_map_matching(spark: SparkSession, sf: str) -> DataFrame:
     p = e.select("event_id", "i", F.concat_ws(":", "user_id", F.floor(F.col("i") / n).cast("string")).alias("chunk"), (STEP * (F.col("i") % n)).cast("double").alias("x"), (F.col("user_id") % BLOCKS * BLOCK + off).cast("double").alias("y"))
     of = network.match_to_roads(p, street_grid(spark, sf), "chunk", ["i"], "id", "line", model=network.Model(radius=40.0))
     return of.select("event_id", F.round("matched_x", 3).alias("matched_x"), F.round("matched_y", 3).alias("matched_y"))
+
+
+_PARTS = """k AS (SELECT s_suppkey AS id, s_suppkey % 7 AS unit, s_suppkey % 3 AS kind, 100.0::DOUBLE * (s_suppkey % 4) + (s_suppkey % 5) * 1e-9 AS x1, 100.0::DOUBLE * (s_suppkey % 5) AS y1 FROM supplier),
+p AS (SELECT *, x1 + 37 AS x2, y1 + 11 + kind AS y2, 100.0::DOUBLE * ((id + 1) % 4) + (id % 5) * 1e-9 AS x3, 100.0::DOUBLE * (id % 3) AS y3 FROM k),
+q AS (SELECT *, x3 AS x4, y3 + 50 * (1 + id % 2) AS y4 FROM p)"""
+_D = "sqrt(pow(x{1} - x{0}, 2) + pow(y{1} - y{0}, 2))"
+
+
+@query(f"""WITH {_PARTS}, m AS (SELECT *, {_D.format(1, 2)} + CASE WHEN kind = 1 THEN 0 ELSE {_D.format(2, 3)} END + CASE WHEN kind = 2 THEN 0 ELSE {_D.format(3, 4)} END AS len,
+ CASE kind WHEN 0 THEN {_D.format(1, 4)} WHEN 1 THEN greatest({", ".join(_D.format(a, b) for a in range(1, 5) for b in range(a + 1, 5))}) ELSE {_D.format(1, 3)} END AS ext FROM q),
+r AS (SELECT unit, id, kind, (round(x1, 3), round(y1, 3)) AS p1, (round(x2, 3), round(y2, 3)) AS p2, (round(x3, 3), round(y3, 3)) AS p3, (round(x4, 3), round(y4, 3)) AS p4 FROM q),
+e AS (SELECT unit, p1 AS p, CASE kind WHEN 0 THEN p4 WHEN 1 THEN p2 ELSE p3 END AS q FROM r UNION ALL SELECT unit, p3, p4 FROM r WHERE kind = 1),
+g AS (SELECT unit, count(*) AS e FROM (SELECT DISTINCT unit, least(p, q), greatest(p, q) FROM e) GROUP BY 1), h AS (SELECT unit, count(*) AS v FROM (SELECT unit, p AS n FROM e UNION SELECT unit, q FROM e) GROUP BY 1)
+SELECT m.unit, round(sum(len), 5) AS road_length_m, round(avg(ext), 5) AS extension, round(avg(ext / len), 5) AS linearity, round((any_value(e) - any_value(v) + 1) / (2 * any_value(v) - 5)::DOUBLE, 5) AS meshedness, round(2 * any_value(e) / any_value(v)::DOUBLE, 5) AS connectivity
+FROM m JOIN g ON g.unit = m.unit JOIN h ON h.unit = m.unit GROUP BY m.unit""")
+def g13_g15_multi_part_streets(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as streets whose parts join to one line, do not join, or are one; ends of one junction differ by 1e-9."""
+    k = F.col("s_suppkey")
+    x1, y1, tiny = 100.0 * (k % 4), 100.0 * (k % 5), (k % 5) * 1e-9
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x3, y3 = 100.0 * ((k + 1) % 4), 100.0 * (k % 3)
+    a, b, c, d = at(x1 + tiny, y1), at(x1 + tiny + 37, y1 + 11 + k % 3), at(x3 + tiny, y3), at(x3 + tiny, y3 + 50 * (1 + k % 2))
+    parts = F.when(k % 3 == 0, F.array(F.array(c, d), F.array(b, a), F.array(b, c))).when(k % 3 == 1, F.array(F.array(a, b), F.array(d, c))).otherwise(F.array(F.array(a, b, c)))
+    streets = table(spark, sf, "supplier").select((k % 7).alias("unit"), k.alias("id"), F.explode(parts).alias("line"))
+    units = table(spark, sf, "supplier").select((k % 7).alias("unit")).distinct().withColumn("area", F.lit(1e6))
+    of = nodes.street_indicators(streets, units, "unit", "line", "area", "id").drop("road_density_m_per_km2")
+    return rounded(of, *of.columns[1:])
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, ((c_custkey * 7919) % 1999)::DOUBLE AS x, ((c_custkey * 104729) % 1511)::DOUBLE AS y, (10 + c_custkey % 90)::DOUBLE AS w, (5 + c_custkey % 40)::DOUBLE AS h FROM customer)
+SELECT k, round((w * h * (x + w / 2) + h * w / 2 * (x + h / 2)) / (w * h * 1.5::DOUBLE), 5) AS cx, round((w * h * (y + h / 2) + h * w / 2 * (y + h + w / 4)) / (w * h * 1.5::DOUBLE), 5) AS cy FROM c""")
+def g2_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """The middles of customers' L-shaped units: w wide and h high, and on it h wide and w / 2 high."""
+    k = F.col("c_custkey")
+    x, y, w, h = k * 7919 % 1999, k * 104729 % 1511, 10 + k % 90, 5 + k % 40
+    corners = [(0, 0), (w, 0), (w, h), (h, h), (h, h + w / 2), (0, h + w / 2), (0, 0)]
+    of = table(spark, sf, "customer").select(k.alias("k"), F.array(*[F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y")) for a, b in corners]).alias("ring"))
+    cx, cy = G.centroid(F.col("ring"))
+    return rounded(of.select("k", cx.alias("cx"), cy.alias("cy")), "cx", "cy")
+
+
+#: DuckDB: the common area of rectangles (x, y, side) f and u, each taken from a fraction a to a fraction b of its side.
+def _common(a: float, b: float, c: float, d: float) -> str:
+    axis = lambda n: f"greatest(least(f.{n} + {b} * f.s, u.{n} + {d} * u.s) - greatest(f.{n} + {a} * f.s, u.{n} + {c} * u.s), 0::DOUBLE)"
+    return f"{axis('x')} * {axis('y')}"
+
+
+@query(f"""WITH f AS (SELECT c_custkey AS k, ((c_custkey * 7919) % 1999)::DOUBLE AS x, ((c_custkey * 104729) % 1511)::DOUBLE AS y, (40 + c_custkey % 200)::DOUBLE AS s FROM customer),
+u AS (SELECT s_suppkey AS unit, ((s_suppkey * 37) % 1999)::DOUBLE AS x, ((s_suppkey * 91) % 1511)::DOUBLE AS y, (100 + s_suppkey * 13 % 190)::DOUBLE AS s FROM supplier),
+a AS (SELECT unit, k, {_common(0, 1, 0, 1)} - {_common(0.25, 0.75, 0, 1)} - {_common(0, 1, 0.5, 0.75)} + {_common(0.25, 0.75, 0.5, 0.75)} AS area FROM f JOIN u ON f.x < u.x + u.s AND u.x < f.x + f.s AND f.y < u.y + u.s AND u.y < f.y + f.s)
+SELECT unit, k, round(area, 3) AS area FROM a WHERE area > 1e-6""")
+def j21_g19_clipped_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' squares with a square hole, cut to suppliers' squares with another; the hole may come first or last, and goes either way."""
+    k, u = F.col("c_custkey"), F.col("s_suppkey")
+    x, y, s = k * 7919 % 1999, k * 104729 % 1511, 40 + k % 200
+    hole = ring(x + s / 4, y + s / 4, s / 2, s / 2)
+    both = F.when(k % 2 == 0, F.array(ring(x, y, s, s), hole)).otherwise(F.array(F.reverse(hole), ring(x, y, s, s)))
+    ux, uy, us = u * 37 % 1999, u * 91 % 1511, 100 + u * 13 % 190
+    units = table(spark, sf, "supplier").select(u.alias("unit"), F.array(ring(ux, uy, us, us), ring(ux + us / 2, uy + us / 2, us / 4, us / 4)).alias("mask"))
+    of = shapes.clip_polygons(table(spark, sf, "customer").select(k.alias("k"), both.alias("shape")), units, "k", "shape", "unit", "mask", 100.0)
+    return of.where("area > 1e-6").select("unit", "k", F.round("area", 3).alias("area"))
+
+
+@query("""WITH r AS (SELECT s_suppkey AS id, (250 + s_suppkey % 100)::DOUBLE AS a, (210 + s_suppkey * 7 % 150)::DOUBLE AS b FROM supplier)
+SELECT id, round(200 * a + 200 * b + 2 * 32 * 10000 * sin(pi() / 32) - 200 * 200, 3) AS area, 1 AS parts FROM r""")
+def g3_road_buffers(spark: SparkSession, sf: str) -> DataFrame:
+    """The places within 100 m of suppliers' roads, each of two streets that cross in their middles."""
+    k = F.col("s_suppkey")
+    a, b, x, y = 250 + k % 100, 210 + k * 7 % 150, 700_000 + k * 37 % 1999, 730_000 + k * 91 % 1511
+    at = lambda dx, dy: F.struct((x + dx).cast("double").alias("x"), (y + dy).cast("double").alias("y"))
+    cross = F.array(F.array(at(-a / 2, 0), at(0, 0), at(a / 2, 0)), F.array(at(0, -b / 2), at(0, b / 2)))
+    of = shapes.buffers(table(spark, sf, "supplier").select(k.alias("id"), cross.alias("lines")), "id", "lines", 100.0)
+    return of.select("id", F.round("area", 3).alias("area"), F.size("parts").alias("parts"))
+
+
+@query("""WITH b AS (SELECT c_custkey AS k, c_custkey % 60 AS col, c_custkey // 60 AS row FROM customer), c AS (SELECT k, 10 * col + 2 * (col // 3) + 5 AS x, 30 * row + 5 AS y, (row, col // 3) AS part FROM b)
+SELECT l.k, round(count(DISTINCT r.part) / count(*)::DOUBLE, 5) AS building_adj FROM c l JOIN c r ON (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) <= 2500 GROUP BY l.k""")
+def g10_g11_building_adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as houses in rows, three wall to wall and then a gap."""
+    k = F.col("c_custkey")
+    col = k % 60
+    rings_ = ring(10 * col + 2 * F.floor(col / 3), 30 * F.floor(k / 60), F.lit(10), F.lit(10))
+    houses = table(spark, sf, "customer").select(k.alias("k"), rings_.alias("ring"), F.lit(40.0).alias("p"), F.lit(100.0).alias("a"), F.lit(8.0).alias("h"))
+    return rounded(nodes.buildings_morphology(houses, "p", "a", "h", "k", "ring").select("k", "building_adj"), "building_adj")

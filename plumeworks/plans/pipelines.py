@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PRESETS, Settings
+from ..functions import geometry as G
 from ..functions import projection as P
 from ..operators import covariates, figures, matching, nodes, roads, spatial, stats, traffic
 from ..operators import timeseries as T
@@ -67,9 +68,9 @@ def _hotspots(s: Settings, values: DataFrame, shapes: DataFrame) -> tuple[DataFr
 
 
 def with_centres(shapes: DataFrame) -> DataFrame:
-    """Shapes with ``x, y``: the mean of a ring's corners."""
-    mean = lambda axis: F.expr(f"aggregate(slice(ring, 1, size(ring) - 1), 0D, (a, p) -> a + p.{axis}) / (size(ring) - 1)")
-    return shapes.where(F.size("ring") > 1).withColumns({"x": mean("x"), "y": mean("y")})
+    """Shapes with ``x, y``: the middle of a ring's area."""
+    x, y = G.centroid(F.col("ring"))
+    return shapes.where(F.size("ring") > 1).withColumns({"x": x, "y": y})
 
 
 def _temporal(s: Settings, points: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,15 +85,22 @@ def _traffic(s: Settings, counts: DataFrame, places: DataFrame, shapes: DataFram
 
 
 def _buildings(s: Settings, buildings: DataFrame, shapes: DataFrame) -> tuple[DataFrame]:
-    shaped = nodes.buildings_morphology(buildings, "perimeter", "area", "height")
-    inside = spatial.within(shaped, shapes, "x", "y", "ring", s.cell_m)
-    return (nodes.buildings_by_unit(inside, shapes, "unit", ["height", "compactness_3d", "fractal_dim"]).withColumnRenamed("height", "build_height"),)
+    """Buildings as rings with a height, with their adjacency; or ready measured as ``x, y, perimeter, area, height``, without it."""
+    means = ["height", "compactness_3d", "fractal_dim"]
+    if "ring" in buildings.columns:
+        x, y = G.centroid(F.col("ring"))
+        buildings = buildings.withColumns({"x": x, "y": y, "perimeter": G.length(F.col("ring")), "area": G.area(F.col("ring"))})
+        shaped, means = nodes.buildings_morphology(buildings, "perimeter", "area", "height", "id", "ring"), [*means, "building_adj"]
+    else:
+        shaped = nodes.buildings_morphology(buildings, "perimeter", "area", "height")
+    inside = spatial.within(shaped.drop("ring"), shapes, "x", "y", "ring", s.cell_m)
+    return (nodes.buildings_by_unit(inside, shapes, "unit", means, unit_area="area").withColumnRenamed("height", "build_height"),)
 
 
 def _streets(s: Settings, ways: DataFrame, shapes: DataFrame) -> tuple[DataFrame]:
     tagged = ways.withColumn("line", P.projected_line(F.col("line"), s.crs_metric))
     cut = roads.clip_lines_to_units(tagged, shapes, "id", "line", "unit", "ring", s.cell_m)
-    indicators = nodes.street_indicators(cut, shapes, "unit", "line", "area")
+    indicators = nodes.street_indicators(cut, shapes, "unit", "line", "area", "id")
     classes = nodes.road_class_lengths(cut.join(tagged.select("id", "highway"), "id"), "unit", "length")
     return (nodes.indicators_and_classes(indicators, classes, "unit"),)
 

@@ -14,7 +14,7 @@ from ..operators import covariates as C
 from ..operators import figures, graphs, nodes, outliers, roads, spatial, stats, traffic, units
 from ..operators import timeseries as T
 from ..sources.files import table
-from .stand_ins import LINES, NETWORK, POINTS, UNITS, districts, lines, network, points
+from .stand_ins import LINES, NETWORK, POINTS, SQUARES, UNITS, districts, lines, network, points, squares
 from .stand_ins import units as unit_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,9 +423,10 @@ def a2_districts(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(nodes.aggregate_to_units(points(spark, sf), "district", "ts", "value", size=2000.0, shapes=districts(spark), key="district"), "value")
 
 
-@query(f"WITH {_DISTRICTS} SELECT l.district AS a, r.district AS b FROM d l JOIN d r ON l.district < r.district AND abs(l.a - r.a) <= 3900 AND abs(l.b - r.b) <= 3800")
+@query(f"WITH {SQUARES} SELECT l.id AS a, r.id AS b FROM q l JOIN q r ON l.id < r.id AND l.x <= r.x + r.s AND r.x <= l.x + l.s AND l.y <= r.y + r.s AND r.y <= l.y + l.s")
 def g6_j19_unit_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return roads.unit_graph(districts(spark), "district", "ring")
+    """Squares of suppliers; some lie inside others."""
+    return roads.unit_graph(squares(spark, sf), "id", "ring")
 
 
 @query(f"WITH {_DISTRICTS}, f AS (SELECT c_custkey AS k, (c_custkey * 7919) % 19000 AS x, (c_custkey * 104729) % 14000 AS y, 200 + c_custkey % 900 AS s FROM customer), o AS (SELECT district, k, greatest(least(a + 3900, x + s) - greatest(a, x), 0::DOUBLE) * greatest(least(b + 3800, y + s) - greatest(b, y), 0::DOUBLE) AS area FROM f JOIN d ON x < a + 3900 AND x + s > a AND y < b + 3800 AND y + s > b) SELECT district, k, round(area, 3) AS area FROM o WHERE area > 0")
@@ -581,9 +582,8 @@ def g26_g28_cut_roads(spark: SparkSession, sf: str) -> DataFrame:
          greatest(0.0::DOUBLE, CASE WHEN dx > 0 THEN (500 * unit - x) / dx WHEN dx < 0 THEN (500 * unit + 500 - x) / dx WHEN x >= 500 * unit AND x <= 500 * unit + 500 THEN 0 ELSE 2 END, CASE WHEN dy > 0 THEN -y / dy WHEN dy < 0 THEN (1500 - y) / dy WHEN y >= 0 AND y <= 1500 THEN 0 ELSE 2 END) AS low,
          least(1.0::DOUBLE, CASE WHEN dx > 0 THEN (500 * unit + 500 - x) / dx WHEN dx < 0 THEN (500 * unit - x) / dx ELSE 1 END, CASE WHEN dy > 0 THEN (1500 - y) / dy WHEN dy < 0 THEN -y / dy ELSE 1 END) AS high FROM s, b
 ), p AS (
-  SELECT unit, id, max(CASE WHEN part = 1 AND high > low THEN len * (high - low) ELSE 0 END) AS a, max(CASE WHEN part = 2 AND high > low THEN len * (high - low) ELSE 0 END) AS b,
-         bool_and(high > low AND CASE part WHEN 1 THEN high = 1 ELSE low = 0 END) AS joined FROM t GROUP BY unit, id
-), o AS (SELECT unit, id, CASE WHEN joined AND a + b > 0.1 THEN a + b WHEN joined THEN 0 ELSE CASE WHEN a > 0.1 THEN a ELSE 0 END + CASE WHEN b > 0.1 THEN b ELSE 0 END END AS length FROM p)
+  SELECT unit, id, max(CASE WHEN part = 1 AND high > low THEN len * (high - low) ELSE 0 END) AS a, max(CASE WHEN part = 2 AND high > low THEN len * (high - low) ELSE 0 END) AS b FROM t GROUP BY unit, id
+), o AS (SELECT unit, id, CASE WHEN a + b > 0.1 THEN a + b ELSE 0 END AS length FROM p)
 SELECT unit, id, round(length, 5) AS length FROM o WHERE length > 0"""
 )
 def g19_j21_clipped_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -622,10 +622,10 @@ def g1_projected(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query(f"WITH {_DISTRICTS} SELECT district, round(greatest(least(a + 3900, 15000) - greatest(a, 2000), 0) * greatest(least(b + 3800, 9000) - greatest(b, 1000), 0), 3) AS area FROM d WHERE a < 15000 AND a + 3900 > 2000 AND b < 9000 AND b + 3800 > 1000")
+@query(f"WITH {SQUARES} SELECT id, round((least(x + s, 1500) - greatest(x, 200)) * (least(y + s, 900) - greatest(y, 100)), 3) AS area FROM q WHERE x < 1500 AND x + s > 200 AND y < 900 AND y + s > 100")
 def f11_clipped_districts(spark: SparkSession, sf: str) -> DataFrame:
-    of = roads.clip_to_box(districts(spark), "ring", (2000.0, 1000.0, 15000.0, 9000.0))
-    return of.select("district", F.round(G.area(F.col("ring")), 3).alias("area"))
+    of = roads.clip_to_box(squares(spark, sf), "ring", (200.0, 100.0, 1500.0, 900.0))
+    return of.select("id", F.round(G.area(F.col("ring")), 3).alias("area"))
 
 
 _PART = "greatest(least(a + {0}, x + s) - greatest(a + {1}, x), 0::DOUBLE) * greatest(least(b + {2}, y + s) - greatest(b + {3}, y), 0::DOUBLE)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import table
@@ -50,3 +50,17 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 LINES = """l AS (SELECT s_suppkey AS id, ((s_suppkey * 37) % 1999)::DOUBLE AS x1, ((s_suppkey * 91) % 1511)::DOUBLE AS y1, ((s_suppkey * 53) % 1999)::DOUBLE AS x2, ((s_suppkey * 71) % 1511)::DOUBLE AS y2,
  ((s_suppkey * 83) % 1999)::DOUBLE AS x3, ((s_suppkey * 29) % 1511)::DOUBLE AS y3 FROM supplier)"""
+
+
+#: DuckDB: a square of each supplier.
+SQUARES = "q AS (SELECT s_suppkey AS id, ((s_suppkey * 37) % 1999)::DOUBLE AS x, ((s_suppkey * 91) % 1511)::DOUBLE AS y, (10 + s_suppkey * 13 % 190)::DOUBLE AS s FROM supplier)"
+
+
+def ring(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """A rectangle's closed ring."""
+    return F.array(*[F.struct((x + dx * w).cast("double").alias("x"), (y + dy * h).cast("double").alias("y")) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+
+
+def squares(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(k.alias("id"), ring(k * 37 % 1999, k * 91 % 1511, 10 + k * 13 % 190, 10 + k * 13 % 190).alias("ring"))
