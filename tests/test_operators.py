@@ -560,7 +560,9 @@ def test_data_preparation_to_hotspots(spark, tmp_path):
     square = lambda x, y: [(x, y), (x + 900.0, y), (x + 900.0, y + 900.0), (x, y + 900.0), (x, y)]
     shapes = spark.createDataFrame([(i, square(east + 900.0 * (i % 3), north + 900.0 * (i // 3)), 810000.0) for i in range(9)], "unit long, ring array<struct<x:double,y:double>>, area double")
     settings = replace(PRESETS["base"], lof_neighbours=(10,), moran_neighbours=3)
-    tables, made = {"air_raw": air, "shapes": shapes}, {}
+    ends = lambda y: [F.struct(a.alias("x"), b.alias("y")) for a, b in (projection.from_grid(F.lit(east + x), F.lit(north) + y, "EPSG:2157") for x in (0.0, 2700.0))]
+    ways = spark.range(10).select("id", F.array(*ends(F.col("id") * 300.0)).alias("line"))
+    tables, made = {"air_raw": air, "shapes": shapes, "ways": ways}, {}
     prepared = [s for s in pipelines.PIPELINES["data_preparation"] if s.name != "roads"]
     steps = [*prepared, *pipelines.PIPELINES["temporal_pattern"], *pipelines.PIPELINES["hotspot_analysis"]]
 
@@ -575,6 +577,8 @@ def test_data_preparation_to_hotspots(spark, tmp_path):
     finally:
         del pipelines.PIPELINES["test"]
     assert made["air"].count() == n == made["air_matched"].count()
+    off = made["air_matched"].join(made["air"].select("id", F.col("y").alias("own")), "id").select(F.abs(F.col("y") - F.col("own")).alias("off"), ((F.col("y") - north) / 300).alias("way"))
+    assert off.where("off > 50.01").count() == 0 and off.where("off > 1 AND abs(way - round(way)) > 1e-3").count() == 0 and off.where("off > 1").count() > n / 5
     assert made["air_clean"].count() < n and made["air_clean"].count() > 0.8 * n
     assert made["values"].count() == 9 == made["hotspots"].count() and made["hours"].count() == 20
     assert {r["class"] for r in made["hotspots"].collect()} <= {0, 1, 2, 3, 4}
