@@ -9,6 +9,7 @@ from ..functions import geometry as G
 from . import covariates, graphs, outliers, roads, spatial, units
 from . import shapes as shapes_
 from . import timeseries as T
+from .quantiles import exact_quantiles
 
 
 def keep_units(df: DataFrame, of: DataFrame, unit: str) -> DataFrame:
@@ -132,7 +133,8 @@ def summary(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     """``low, high, mean, mid, sd, cv`` of a column; sd is that of the population, cv that of a sample over the mean's size."""
     q = F.col(column)
     r = lambda c, n: F.round(c, digits).alias(n)
-    return df.agg(r(F.min(q), "low"), r(F.max(q), "high"), r(F.avg(q), "mean"), r(F.median(q), "mid"), F.stddev_pop(q).alias("sd"), F.try_divide(F.stddev_samp(q), F.abs(F.avg(q))).alias("cv"))
+    (mid,) = exact_quantiles(df, column, [0.5])
+    return df.agg(r(F.min(q), "low"), r(F.max(q), "high"), r(F.avg(q), "mean"), r(F.lit(mid).cast("double"), "mid"), F.stddev_pop(q).alias("sd"), F.try_divide(F.stddev_samp(q), F.abs(F.avg(q))).alias("cv"))
 
 
 def value_counts(df: DataFrame, by: str, what: str) -> DataFrame:

@@ -132,12 +132,12 @@ def _crosses(ax, ay, bx, by, cx, cy, dx, dy):
     return (side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0) & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0)
 
 
-def merge_roads(segs: DataFrame, key: str, names: str, near: float, rounds: int = 10) -> DataFrame:
-    """``key, road``: roads that share names and are near are merged, and their names united, until nothing changes."""
+def merge_roads(segs: DataFrame, key: str, names: str, near: float) -> DataFrame:
+    """``key, road``: roads that share names and are near are merged, and their names united, until nothing changes: each round leaves fewer roads, or is the last."""
     segs = cut_lineage(segs.select(key, names, "x1", "y1", "x2", "y2"))
     label = segs.select(key, F.col(key).alias("road")).distinct()
     n = label.count()
-    for _ in range(rounds):
+    while True:
         of = segs.join(label, key)
         united = of.groupBy("road").agg(F.array_distinct(F.flatten(F.collect_list(names))).alias("__u"))
         now = of.join(united, "road").select(F.col("road").alias("__k"), F.col("__u").alias(names), "x1", "y1", "x2", "y2")
@@ -148,7 +148,6 @@ def merge_roads(segs: DataFrame, key: str, names: str, near: float, rounds: int
         if m == n:
             return label
         n = m
-    raise RuntimeError("roads did not settle")
 
 
 def _line(points: list[dict]) -> Line:

@@ -8,13 +8,14 @@ import struct
 import time
 import urllib.parse
 import urllib.request
-import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .raster import GeoTiff
+
 AIR = "gps_timestamp string, latitude double, longitude double, NO2_ugm3 double"
 TRAFFIC = "End_Time string, Site string, Sum_Volume double"
 
@@ -134,62 +135,6 @@ def _without_header(blob: bytes | None) -> bytes | None:
     return None if blob is None else bytes(blob[8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7] :])
 
 
-class GeoTiff(DataSource):
-    """The first band of a GeoTIFF in strips, as ``row, col, value``; no-data pixels are null."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "geotiff"
-
-    def schema(self) -> str:
-        return "row int, col int, value double"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _GeoTiffReader(self.options["path"])
-
-
-class _GeoTiffReader(DataSourceReader):
-    SIZES = {1: "B", 2: "c", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
-    KINDS = {(8, 1): "B", (16, 1): "H", (32, 1): "I", (8, 2): "b", (16, 2): "h", (32, 2): "i", (32, 3): "f", (64, 3): "d"}
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def _tags(self) -> tuple[str, dict[int, tuple]]:
-        with open(self.path, "rb") as f:
-            data = f.read()
-        order = "<" if data[:2] == b"II" else ">"
-        at, out = struct.unpack_from(order + "I", data, 4)[0], {}
-        for k in range(struct.unpack_from(order + "H", data, at)[0]):
-            tag, kind, n, _ = struct.unpack_from(order + "HHII", data, at + 2 + 12 * k)
-            fmt = self.SIZES.get(kind)
-            if fmt is None:
-                continue
-            size = struct.calcsize(order + fmt) * n
-            place = at + 2 + 12 * k + 8 if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-            out[tag] = (data[place : place + n],) if kind == 2 else struct.unpack_from(order + f"{n}{fmt}", data, place)
-        return order, out
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(len(self._tags()[1][273]))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        order, tags = self._tags()
-        k, width = partition.value, tags[256][0]
-        rows = tags.get(278, (tags[257][0],))[0]
-        with open(self.path, "rb") as f:
-            f.seek(tags[273][k])
-            raw = f.read(tags[279][k])
-        compression = tags.get(259, (1,))[0]
-        if compression not in (1, 8, 32946):
-            raise ValueError("only plain and deflated strips are read")
-        raw = raw if compression == 1 else zlib.decompress(raw)
-        fmt = order + self.KINDS[(tags.get(258, (8,))[0], tags.get(339, (1,))[0])]
-        none = float(tags[42113][0].rstrip(b"\0").decode()) if 42113 in tags else None
-        for n, (value,) in enumerate(struct.iter_unpack(fmt, raw[: len(raw) // struct.calcsize(fmt) * struct.calcsize(fmt)])):
-            yield k * rows + n // width, n % width, None if value != value or value == none else float(value)
-
-
 def paged(first: str, fetch: Callable[[str], str] | None = None, link: str = "@iot.nextLink") -> Iterator[dict]:
     """The values of a paged REST answer, page after page; ``fetch`` gives a URL's body."""
     fetch = fetch or (lambda url: urllib.request.urlopen(url, timeout=60).read().decode())  # noqa: S310
