@@ -739,4 +739,4 @@ def v6_moran_scatter(spark: SparkSession, sf: str) -> DataFrame:
     u = unit_points(spark, sf)
     return rounded(figures.moran_scatter(stats.local_moran(u, "id", "v", spatial.knn(u, "id", "x", "y", 6))), "slope", "intercept")
 
-from . import network_queries  # noqa: E402, F401  (registers its own)
+from . import model_queries, network_queries  # noqa: E402, F401  (they register their own)

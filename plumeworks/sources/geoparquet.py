@@ -124,7 +124,7 @@ def write_geoparquet(df: DataFrame, path: str, geometry: str, crs: dict | None =
 def metadata(path: str) -> dict:
     """The ``geo`` metadata of the first file under a path."""
     fs, at = storage(path)
-    first = min((f.path for f in fs.get_file_info(FileSelector(at)) if f.path.endswith(".parquet")), default=None)
+    first = min((f.path for f in fs.get_file_info(FileSelector(at, allow_not_found=True)) if f.path.endswith(".parquet")), default=None)
     if first is None:
         raise ValueError(f"there is no Parquet file under {path}")
     return json.loads(pq.read_metadata(first, filesystem=fs).metadata[b"geo"])
