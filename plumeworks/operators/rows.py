@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -30,3 +31,20 @@ def map_rows(df: DataFrame, fn: Callable[[dict], Iterable[dict]], schema: Struct
 def with_fields(df: DataFrame, more: str, without: tuple[str, ...] = ()) -> StructType:
     """df's schema without some columns, and fields ``more``."""
     return StructType([f for f in df.schema if f.name not in without] + StructType.fromDDL(more).fields)
+
+
+def fresh(df: DataFrame | list[str], *names: str) -> list[str]:
+    """Names for columns of our own that no column of df, or of a list, has in any case of letters."""
+    taken = {c.lower() for c in (df if isinstance(df, list) else df.columns)}
+    mark = "__"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
+def joined_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, where columns ``by`` are equal; a null equals a null."""
+    names = fresh([*left.columns, *right.columns], *[f"by{k}" for k in range(len(by))])
+    other = right.withColumnsRenamed(dict(zip(by, names)))
+    on = [left[c].eqNullSafe(F.col(n)) for c, n in zip(by, names)]
+    return left.join(other, on, how).drop(*names)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import planar
 from .graphs import cut_lineage
+from .rows import fresh
 
 #: Rows of which knn looks at all pairs.
 FEW = 5000
@@ -23,19 +24,20 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
-def cover(df: DataFrame, low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float) -> DataFrame:
-    """A row for each grid cell that a bounding box touches, as ``__cx, __cy``."""
-    wide = df.withColumn("__cx", F.explode(F.sequence(cell(low_x, size), cell(high_x, size))))
-    return wide.withColumn("__cy", F.explode(F.sequence(cell(low_y, size), cell(high_y, size))))
+def cover(df: DataFrame, low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float, cx: str = "__cx", cy: str = "__cy") -> DataFrame:
+    """A row for each grid cell that a bounding box touches, as ``cx, cy``."""
+    wide = df.withColumn(cx, F.explode(F.sequence(cell(low_x, size), cell(high_x, size))))
+    return wide.withColumn(cy, F.explode(F.sequence(cell(low_y, size), cell(high_y, size))))
 
 
 def within(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, size: float, how: str = "inner") -> DataFrame:
     """Points with the polygons that contain them; the cells of each polygon's box are the join key."""
+    px, py, cx, cy = fresh([*points.columns, *polygons.columns], "px", "py", "cx", "cy")
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    of = cover(polygons, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), size)
-    left = points.withColumns({"__px": cell(F.col(x), size), "__py": cell(F.col(y), size)})
-    on = (F.col("__px") == F.col("__cx")) & (F.col("__py") == F.col("__cy")) & G.contains(F.col(ring), F.col(x), F.col(y))
-    return left.join(of, on, how).drop("__px", "__py", "__cx", "__cy")
+    of = cover(polygons, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), size, cx, cy)
+    left = points.withColumns({px: cell(F.col(x), size), py: cell(F.col(y), size)})
+    on = (F.col(px) == F.col(cx)) & (F.col(py) == F.col(cy)) & G.contains(F.col(ring), F.col(x), F.col(y))
+    return left.join(of, on, how).drop(px, py, cx, cy)
 
 
 def segments(lines: DataFrame, key: str, line: str) -> DataFrame:
@@ -115,7 +117,8 @@ def knn(df: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     b = df.agg(F.count("*").alias("n"), F.max(x).alias("x"), F.min(x).alias("u"), F.max(y).alias("y"), F.min(y).alias("v")).first()
     if b.n > FEW:
-        return _knn_by_cells(df, key, x, y, k, b)
+        one = df.select(F.col(key).alias("focal"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+        return _knn_by_cells(one, one.toDF("neighbor", "__u", "__v"), k, b)
     a = df.select(F.col(key).alias("focal"), F.col(x).alias("__x"), F.col(y).alias("__y"))
     b = df.select(F.col(key).alias("neighbor"), F.col(x).alias("__u"), F.col(y).alias("__v"))
     d = G.distance(F.col("__x"), F.col("__y"), F.col("__u"), F.col("__v"))
@@ -123,9 +126,8 @@ def knn(df: DataFrame, key: str, x: str, y: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("focal").orderBy("dist", "neighbor"))).where(F.col("rank") <= k)
 
 
-def _knn_by_cells(df: DataFrame, key: str, x: str, y: str, k: int, box) -> DataFrame:
-    one = df.select(F.col(key).alias("focal"), F.col(x).alias("__x"), F.col(y).alias("__y"))
-    other = one.toDF("neighbor", "__u", "__v")
+def _knn_by_cells(one: DataFrame, other: DataFrame, k: int, box, apart: bool = False) -> DataFrame:
+    """``focal, neighbor, dist, rank``: of ``focal, __x, __y`` the k nearest of ``neighbor, __u, __v``, of other keys unless ``apart``; box: ``n`` rows of other, and the bounds of all."""
     wide = max(box.x - box.u, box.y - box.v) or 1.0
     size = max(math.sqrt((box.x - box.u) * (box.y - box.v) * (k + 1) / box.n), wide * (k + 1) / box.n)
     todo, out = one, None
@@ -135,7 +137,8 @@ def _knn_by_cells(df: DataFrame, key: str, x: str, y: str, k: int, box) -> DataF
         around = todo.withColumn("__cx", F.explode(F.transform(ring, lambda d: cell(F.col("__x"), size) + d)))
         around = around.withColumn("__cy", F.explode(F.transform(ring, lambda d: cell(F.col("__y"), size) + d)))
         d = G.distance(F.col("__x"), F.col("__y"), F.col("__u"), F.col("__v"))
-        pairs = around.join(cells, ["__cx", "__cy"]).where("focal <> neighbor").select("focal", "neighbor", d.alias("dist"))
+        pairs = around.join(cells, ["__cx", "__cy"]).select("focal", "neighbor", d.alias("dist"))
+        pairs = pairs if apart else pairs.where("focal <> neighbor")
         ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("focal").orderBy("dist", "neighbor"))).where(F.col("rank") <= k)
         if size < wide:  # a k-th neighbour within the width: none nearer is outside the cells looked at
             ranked = ranked.withColumn("__k", F.max(F.when(F.col("rank") == k, F.col("dist"))).over(W.partitionBy("focal"))).where(F.col("__k") <= size).drop("__k")
@@ -176,11 +179,24 @@ def spatial_lag(weights: DataFrame, df: DataFrame, key: str, value: str, out: st
     return of.groupBy(F.col("focal").alias(key)).agg(F.sum(F.col("w") * F.col("__v")).alias(out))
 
 
-def idw(known: DataFrame, unknown: DataFrame, key: str, x: str, y: str, value: str, k: int = 5, power: float = 2.0) -> DataFrame:
-    """``key, value``: each unknown row's inverse-distance mean of its k nearest known rows; a distance of 0 counts as 1e-12."""
-    b = known.select(F.col(key).alias("__k"), F.col(x).alias("__u"), F.col(y).alias("__v"), F.col(value).alias("__w"))
-    d = F.greatest(G.distance(F.col(x), F.col(y), F.col("__u"), F.col("__v")), F.lit(1e-12))
-    pairs = unknown.select(key, x, y).join(b, F.lit(True)).select(key, "__k", "__w", d.alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("d", "__k"))).where(F.col("r") <= k)
+def idw(known: DataFrame, unknown: DataFrame, key: str, x: str, y: str, value: str, k: int = 5, power: float = 2.0, few: int = FEW) -> DataFrame:
+    """``key, value``: each unknown row's inverse-distance mean of its k nearest known rows; a distance of 0 counts as 1e-12.
+
+    Up to ``few`` known rows are each held against every unknown one; more are found by
+    grid cells, as in knn. Rows with a null coordinate take no part, and without known
+    rows there is no result.
+    """
+    placed = lambda df: df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    b = placed(known).select(F.col(key).alias("neighbor"), F.col(x).alias("__u"), F.col(y).alias("__v"), F.col(value).alias("__w"))
+    a = placed(unknown).select(F.col(key).alias("focal"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    n = b.count()
+    if n > few:
+        every = b.select("__u", "__v").union(a.select("__x", "__y"))
+        box = every.agg(F.max("__u").alias("x"), F.min("__u").alias("u"), F.max("__v").alias("y"), F.min("__v").alias("v"), F.lit(n).alias("n")).first()
+        near = _knn_by_cells(a, b.drop("__w"), k, box, apart=True).join(b.select("neighbor", "__w"), "neighbor").withColumn("d", F.greatest("dist", F.lit(1e-12)))
+    else:
+        d = F.greatest(G.distance(F.col("__x"), F.col("__y"), F.col("__u"), F.col("__v")), F.lit(1e-12))
+        pairs = a.join(b, F.lit(True)).select("focal", "neighbor", "__w", d.alias("d"))
+        near = pairs.withColumn("r", F.row_number().over(W.partitionBy("focal").orderBy("d", "neighbor"))).where(F.col("r") <= k)
     weight = 1 / F.pow("d", F.lit(power))
-    return near.groupBy(key).agg((F.sum(F.col("__w") * weight) / F.sum(weight)).alias(value))
+    return near.groupBy(F.col("focal").alias(key)).agg((F.sum(F.col("__w") * weight) / F.sum(weight)).alias(value))
