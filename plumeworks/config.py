@@ -37,6 +37,8 @@ class Settings:
     match_sigma_m: float = 5.0
     match_beta_m: float = 5.0
     moran_neighbours: int = 8
+    residual_band_m: float = 500.0
+    mgwr_start: int = 10
     cell_m: float = 1000.0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,17 +32,23 @@ def merge_units(tables: list[DataFrame], unit: str) -> DataFrame:
     return reduce(join, tables).na.drop("any")
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson's r over rows where both are present; null where one of them does not vary."""
+    x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
     """Pearson's r of each pair, over rows where both are present, in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
     return {p: row[i] for i, p in enumerate(pairs)}
 
 
 def correlation_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """``a, b, r`` of each pair of columns."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")) for a, b in pairs]
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(F.col(a), F.col(b)).alias("r")) for a, b in pairs]
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 

@@ -14,6 +14,7 @@ from ..functions import geometry as G
 from ..functions import projection as P
 from ..operators import covariates, figures, matching, nodes, roads, spatial, stats, traffic
 from ..operators import timeseries as T
+from ..operators.graphs import cut_lineage
 
 Catalog = dict[str, DataFrame]
 
@@ -127,15 +128,40 @@ def _covariates(s: Settings, values: DataFrame, *tables: DataFrame) -> tuple[Dat
     return of, covariates.correlation_table(of, [s.value, *columns])
 
 
+def _scaled(of: DataFrame, shapes: DataFrame, value: str, columns: list[str]) -> DataFrame:
+    """Units with a value, the columns as z scores and the middles of their shapes."""
+    return covariates.z_scores(of.select("unit", value, *columns).dropna(), columns).join(with_centres(shapes).select("unit", "x", "y"), "unit")
+
+
 def _models(s: Settings, of: DataFrame, shapes: DataFrame) -> tuple[DataFrame]:
     columns = [c for c, kind in of.dtypes if kind == "double" and c not in ("unit", s.value)]
     chosen = covariates.reduce_multicollinearity(of.dropna(), covariates.select_covariates(of, s.value, columns))
-    scaled = covariates.z_scores(of.select("unit", s.value, *chosen).dropna(), chosen).join(with_centres(shapes).select("unit", "x", "y"), "unit")
-    found = stats.random_search(scaled, "unit", "x", "y", s.value, chosen, s.n_search)
-    rows = [(n, list(f["predictors"]), float(f["bandwidth"]), float(f["aicc"]), float(f["r2"])) for n, f in enumerate(found)]
+    found = stats.random_search(_scaled(of, shapes, s.value, chosen), "unit", "x", "y", s.value, chosen, s.n_search)
+    rows = [(n, list(f["predictors"]), float(f["bandwidth"]), f["aicc"], f["r2"]) for n, f in enumerate(found)]
     return (of.sparkSession.createDataFrame(rows, "place int, predictors array<string>, bandwidth double, aicc double, r2 double"),)
 
 
+def _fit(s: Settings, of: DataFrame, shapes: DataFrame, models: DataFrame) -> tuple[DataFrame, ...]:
+    """The first model's local coefficients, how many of them are significant, Moran's I of its residuals by distance band, and the bandwidths of the multiscale fit. Raises where no model was found."""
+    spark, best = of.sparkSession, models.orderBy("place").first()
+    if best is None:
+        raise ValueError("no model was found")
+    names = list(best.predictors)
+    units = cut_lineage(_scaled(of, shapes, s.value, names))
+    gwr = stats.GWR(units, "unit", "x", "y", s.value, names)
+    fit = gwr.fit(int(best.bandwidth))
+    local = cut_lineage(gwr.local(int(best.bandwidth)))
+    significant = [(n, *counts) for n, counts in gwr.significance(fit).items()]
+    left = figures.residuals(local, units, "unit", s.value).join(units.select("unit", "x", "y"), "unit")
+    moran = stats.global_moran(left, "unit", "residual", spatial.distance_band(units, "unit", "x", "y", s.residual_band_m))
+    multi = stats.mgwr(units, "unit", "x", "y", s.value, names, start=s.mgwr_start)
+    rows = [(*r, multi["effective"][r[0]]) for r in figures.bandwidths(multi, names)]
+    return (
+        local.join(left.select("unit", "residual"), "unit"), spark.createDataFrame(significant, "coefficient string, n_5 int, n_corrected int"), moran,
+        spark.createDataFrame(rows, "coefficient string, global_bandwidth int, gwr_bandwidth int, bandwidth int, effective double"),
+    )
+
+
 PIPELINES: dict[str, list[Step]] = {
     "data_preparation": [
         Step("air", _air, ("air_raw",), ("air",)),
@@ -153,7 +179,7 @@ PIPELINES: dict[str, list[Step]] = {
     "urban_trees": [Step("trees", _trees, ("trees", "shapes"), ("unit_trees",))],
     "urban_landuse": [Step("landuse", _landuse, ("landuse", "shapes"), ("unit_landuse",))],
     "covariates": [Step("covariates", _covariates, ("values", "unit_traffic", "unit_buildings", "unit_streets", "unit_profiles", "unit_trees", "unit_landuse"), ("covariates", "correlations"))],
-    "modelling": [Step("models", _models, ("covariates", "shapes"), ("models",))],
+    "modelling": [Step("models", _models, ("covariates", "shapes"), ("models",)), Step("fit", _fit, ("covariates", "shapes", "models"), ("fit_units", "fit_significance", "residual_moran", "bandwidths"))],
 }
 _UNIT_TABLES = ("traffic", "buildings", "streets", "morphology_profile", "urban_trees", "urban_landuse")
 PIPELINES["all_covariates"] = [s for name in (*_UNIT_TABLES, "covariates") for s in PIPELINES[name]]
