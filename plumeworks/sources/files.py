@@ -34,6 +34,20 @@ def read_geojson(spark: SparkSession, path: str, properties: str = "") -> DataFr
     return of.select("f.geometry.type", "f.geometry.coordinates", *(["f.properties.*"] if properties else []))
 
 
+def read_geojson_lines(spark: SparkSession, path: str, properties: str = "") -> DataFrame:
+    """The same from files with a feature on each line: sequences of features, or collections written so, whose first and last lines are left out.
+
+    Lines are dealt to tasks, so that a file of any size is read by many. A line that is
+    neither a feature nor the frame of a collection raises, as read_geojson would be needed.
+    """
+    schema = f"type string, geometry struct<type:string,coordinates:string>, properties struct<{properties}>"
+    text = F.regexp_replace(F.trim(F.regexp_replace("value", "[\x1e\r]", "")), ",$", "")
+    of = spark.read.text(path).select(text.alias("t")).where("t <> ''").withColumn("f", F.from_json("t", schema))
+    frame = F.col("t").rlike(r'^\{[^{}]*"features"\s*:\s*\[$') | F.col("t").rlike(r"^[\]\[{}]+$") | F.col("t").rlike(r'^"(type|name|bbox|crs)"\s*:') | F.col("t").rlike(r'^"features"\s*:\s*\[$')
+    checked = F.when(F.col("f.type") == "Feature", F.col("f")).when(~frame, F.raise_error(F.concat(F.lit("a line is no feature: "), F.substring("t", 1, 80))).cast(f"struct<{schema.replace(' string', ':string').replace(' struct', ':struct')}>"))
+    return of.select(checked.alias("f")).where("f IS NOT NULL").select("f.geometry.type", "f.geometry.coordinates", *(["f.properties.*"] if properties else []))
+
+
 def polygon_ring(coordinates) -> Column:
     """The outer ring of a GeoJSON polygon."""
     rings = F.from_json(coordinates, "array<array<array<double>>>")

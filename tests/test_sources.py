@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumeworks.functions import wkb
-from plumeworks.sources import geoparquet, raster
+from plumeworks.sources import files, geoparquet, raster
 
 
 def pack_lzw(data: bytes) -> bytes:
@@ -176,3 +176,21 @@ def test_row_groups_outside_the_box_are_left_out(spark, tmp_path):
     geoparquet.write_geoparquet(empty, str(tmp_path / "none"), "place")
     with pytest.raises(ValueError):
         geoparquet.metadata(str(tmp_path / "none"))
+
+
+FEATURE = '{"type": "Feature", "properties": {"id": %d}, "geometry": {"type": "Point", "coordinates": [%d.5, -1]}}'
+
+
+@pytest.mark.parametrize("form", ["sequence", "collection"])
+def test_features_by_line(spark, tmp_path, form):
+    lines = [FEATURE % (k, k) for k in range(50)]
+    head = ["{", '"type": "FeatureCollection",', '"name": "places",', '"features": ['] if form == "collection" else []
+    text = "\n".join([*head, *[x + ("," if k < 49 and head else "") for k, x in enumerate(lines)], *(["]", "}"] if head else [])])
+    (tmp_path / "f.json").write_text(text)
+    rows = files.read_geojson_lines(spark, str(tmp_path / "f.json"), "id:int").collect()
+    assert sorted((r.id, r.type, json.loads(r.coordinates)) for r in rows) == [(k, "Point", [k + 0.5, -1]) for k in range(50)]
+    if head:
+        assert sorted(map(tuple, rows)) == sorted(map(tuple, files.read_geojson(spark, str(tmp_path / "f.json"), "id:int").collect()))
+    (tmp_path / "broken.json").write_text(text + '\n{"type": "Feature",')
+    with pytest.raises(Exception, match="no feature"):
+        files.read_geojson_lines(spark, str(tmp_path / "broken.json"), "id:int").collect()
