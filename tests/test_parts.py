@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumeworks.operators import spatial
+from plumeworks.operators import spatial, stats
 from plumeworks.operators import timeseries as T
 
 
@@ -69,3 +69,18 @@ def test_boxes_of_full_hours(spark, trips):
     df = trips.withColumn("v", F.col("v") + F.col("id") % 13)
     of = [T.hourly_boxes(df, "ts", "v", **more) for more in ({}, {"rows": 20})]
     assert sorted(map(tuple, of[0].collect())) == sorted(map(tuple, of[1].collect())) and of[0].count() > 1
+
+
+@pytest.mark.parametrize(("n", "k", "block", "slices"), [(60, 3, 7, 2), (300, 2, 50, 3), (60, 3, 1000, 1)])
+def test_p_values_in_blocks_are_those_of_the_whole_table(spark, n, k, block, slices):
+    rnd = random.Random(n)
+    z = [rnd.choice([rnd.gauss(0, 1), 1.0]) for _ in range(n)]
+    df = spark.createDataFrame([(f"u{i:04}", z[i], 0) for i in range(n)], "id string, z double, k int")
+    near = spark.createDataFrame([(f"u{i:04}", f"u{(i + d) % n:04}") for i in range(n - 1) for d in range(1, k + 1 + i % 2)], "focal string, neighbor string")
+    whole = {r.id: r.p for r in stats.moran_p_values(df, "id", "z", near, 99).collect()}
+    parts = {r.id: r.p for r in stats.p_values_in_blocks(df, "id", "z", near, 99, block=block, slices=slices).collect()}
+    assert parts == whole and len(whole) == n - 1 and len(set(whole.values())) > 5
+    if block == 7:
+        assert {r.id: r.p for r in stats.moran_p_values(df, "id", "z", near, 99, most=10).collect()} == whole
+        with pytest.raises(Exception, match="without z"):
+            stats.p_values_in_blocks(df.where("id <> 'u0003'"), "id", "z", near, 9, block=7, slices=2).collect()
