@@ -75,5 +75,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """One folder for each length, as curricula by length read them."""
+    """One folder for each length, as curricula by length read them. pieces: what ``pack`` gives; without pieces there are no folders."""
     pieces.write.partitionBy("bucket").parquet(path)

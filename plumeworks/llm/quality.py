@@ -81,7 +81,7 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def apply_policy(of: DataFrame, version: str) -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept`` under a policy."""
+    """The ledger with ``base_failed`` and ``kept`` under a policy: a row for each of the ledger's, so that repeats stay and an empty ledger gives none. A policy that is not known raises."""
     base = failed(F.col("failed_bits"), BASE)
     return of.select("*", base.alias("base_failed"), (~base & ~failed(F.col("failed_bits"), POLICIES[version])).alias("kept"))
 
@@ -90,6 +90,7 @@ def ablations(of: DataFrame, version: str) -> DataFrame:
     """``rule, n_failed, n_only``: documents failing each rule of a policy, and those failing no other of it.
 
     One pass of sums over the bits; n_only more documents would stay without the rule.
+    Repeated rows each count; an empty ledger gives every rule with zeros.
     """
     bits = F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES[version])).cast("long"))
     names = [r for r in RULES if r in POLICIES[version]]

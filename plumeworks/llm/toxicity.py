@@ -192,6 +192,7 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``word, n0, n1, n2, n3``: the words of all labelled texts with their counts, toxic and ordinary in half 0, toxic and ordinary in half 1.
 
     The empty word counts the texts. Words over LONGEST letters are counted in their parts.
+    Null texts count as empty ones, repeated rows each; without labelled texts there are no rows.
     """
     rows = _with_text(docs, labelled(labels)).select("text", (2 * F.col("half") + 1 - F.col("toxic")).cast("int").alias("column"))
     small_batches(docs.sparkSession)
@@ -511,7 +512,7 @@ def score_documents(docs: DataFrame, model: Model | Joined, threshold: float = T
 
 
 def drop_toxic(docs: DataFrame, model: Model | Joined, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score stays under the threshold; null and empty texts have one too, repeated rows are each kept or dropped."""
+    """The rows of docs, with all their columns, whose score stays under the threshold; null and empty texts have one too, repeated rows are each kept or dropped, an empty table stays empty."""
     if isinstance(model, Joined):
         of, _, score = model.scored(docs)
         return of.where(F.col(score) < threshold).select(*[f"`{c}`" for c in docs.columns])

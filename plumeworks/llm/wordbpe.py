@@ -185,7 +185,7 @@ def word_bpe(source: str) -> WordBPE:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """``doc_id, ids`` of every document; a null text has no ids."""
+    """``doc_id, ids`` of every document. A null or empty text has no ids; repeated rows give a row each, an empty table none; other columns are not read."""
     source = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

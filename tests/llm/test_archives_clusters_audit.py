@@ -7,7 +7,8 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from plumeworks.llm import audit, clusters, warc
+from plumeworks.llm import audit, clusters, packing, quality, warc, wordbpe
+from plumeworks.llm.queries import BYTE_BPE, WORD_BPE
 
 PAGES = "page_id long, url string, html string, id string, digest string, payload int, first int"
 LONG = "<p>é日\r\n\r\n" * 40_000
@@ -208,3 +209,28 @@ def test_report_of_all_orders(spark):
         want += [(*s, total[s[1][s[2] - 1]]) for s in steps]
     assert sorted(map(tuple, audit.audit(df, of).collect())) == sorted(want)
     assert audit.audit(df.limit(0), of).count() == 0 and audit.audit(df, of.limit(0)).where("good_lost > 0").count() == 0
+
+
+TEXTS = [(1, None), (2, ""), (3, "a few words, repeated a few words, repeated a few words"), (3, "a few words, repeated a few words, repeated a few words"), (None, "x " * 5000)]
+
+
+def test_ids_pieces_by_length_and_ablations(spark, tmp_path):
+    docs = spark.createDataFrame([(*r, 1) for r in TEXTS], "doc_id long, text string, ids int")
+    tok = wordbpe.WordBPE(open(WORD_BPE, encoding="utf-8").read())
+    got = sorted(((r.doc_id, r.ids) for r in wordbpe.encode_documents(docs, WORD_BPE).collect()), key=str)
+    assert got == sorted(((i, tok.encode(t or "")) for i, t in TEXTS), key=str) and wordbpe.encode_documents(docs.limit(0), WORD_BPE).count() == 0
+    pieces = packing.pack(docs, BYTE_BPE)
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.where("length <> shiftleft(1, bucket)").count() == 0 and back.count() == pieces.count()
+    packing.write_buckets(pieces.limit(0), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("bucket=*"))
+    ledger = quality.ledger(docs)
+    rows, names = quality.apply_policy(ledger, "v1").collect(), quality.POLICIES["v1"]
+    bits = {r: 1 << k for k, r in enumerate(quality.RULES)}
+    policy = sum(bits[r] for r in names)
+    found = {r.rule: (r.n_failed, r.n_only) for r in quality.ablations(ledger, "v1").collect()}
+    assert found == {n: (sum(r.failed_bits & bits[n] > 0 for r in rows), sum(r.failed_bits & policy == bits[n] for r in rows)) for n in names}
+    assert {(r.n_failed, r.n_only) for r in quality.ablations(ledger.limit(0), "v1").collect()} == {(0, 0)}
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        quality.ledger(spark.createDataFrame([("no number", "x")], "doc_id string, text string")).collect()
