@@ -26,27 +26,27 @@ def _counted(after: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold. Labels of documents that are not in docs are not learned from; null and empty texts have features of zero, and without labels all stay."""
+    """Documents that score under the threshold. Labels of documents that are not in docs are not learned from; null and empty texts have features of zero, repeated rows go or stay alike, and without labels all stay; an empty table stays empty."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; null texts stay null."""
+    """All documents, without the boilerplate lines of their source; null texts stay null, repeated rows are each kept, an empty table stays empty."""
     return _counted(lines.drop_lines(docs), docs.columns)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Fingerprints are of five-word shingles."""
+    """One document of each group of near duplicates: the one with the smallest doc_id. Fingerprints are of five-word shingles. Null and empty texts are one group, of repeated rows one stays, an empty table stays empty."""
     return simhash.drop_near_duplicates(docs, words=5)
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; null texts stay null, repeated rows are each kept."""
+    """All documents, with personal data replaced by its kind; null texts stay null, repeated rows are each kept, an empty table stays empty."""
     return _counted(pii.redact_documents(docs, pii.train(docs)), docs.columns)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents; a null or empty text is one piece."""
+    """The pieces of all documents; a null or empty text is one piece, repeated rows are packed each on its own, an empty table gives none."""
     return packing.pack(docs, BYTE_BPE)
 
 
