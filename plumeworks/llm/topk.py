@@ -27,6 +27,8 @@ K, EVERY, SCALE = 20, 20, 64.0
 SHARD, LEAF, BLOCK = 2048, 64, 1024
 #: Vectors in a group of shards.
 GROUP = 16_384
+#: Shuffle partitions at most; beyond, a partition has several blocks' meetings with groups, one after another.
+PARTITIONS = 20_000
 PARTS = {"ids": "binary", "data": "binary", "dim": "int", "tree": "binary", "bounds": "binary"}
 
 
@@ -178,7 +180,7 @@ class Search:
         return pa.record_batch([pa.array(self.ids[owner]), pa.array(rank, pa.int32()), pa.array(found), pa.array([int(s) for s in self.score[order]], pa.int64())], names=["query_id", "rank", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCALE, block: int = BLOCK, shard: int = SHARD, group: int = GROUP) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCALE, block: int = BLOCK, shard: int = SHARD, group: int = GROUP, partitions: int = PARTITIONS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best candidates of each query, ties to the smaller vec_id.
 
     vectors: has ``vec_id`` and ``embedding``; other columns are not read. Queries are
@@ -188,7 +190,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCA
     if filled with zeros. Rows that repeat a vec_id are candidates each on its own; as
     queries they are asked once, by their largest vector. An empty table gives no rows.
     Each block of queries meets each group of shards: N * Q / block vectors and
-    Q * N / group queries are sent, and a task holds one block and one shard.
+    Q * N / group queries are sent, over at most ``partitions`` partitions, and a task
+    holds one block and one shard.
     """
     of = integers(vectors, scale)
     asked = of.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
@@ -225,8 +228,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: float = SCA
         if search is not None:
             yield search.rows()
 
-    # a row for each task's number, so that a task of the plan gets several of them only where there are more than partitions
-    dealt = both.repartition(blocks * groups, "task") if blocks * groups > 1 else both.repartition(1)
+    # by number: a partition gets several only by chance, or where there are more of them than partitions
+    dealt = both.repartition(min(blocks * groups, partitions), "task") if blocks * groups > 1 else both.repartition(1)
     found = dealt.sortWithinPartitions("task", "kind").mapInArrow(run, "query_id long, rank int, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -171,6 +171,7 @@ def test_top_k_against_all(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in topk.top_k(df, block=7, shard=64, group=128).collect())
     assert got == sorted(tuple(r) for r in topk.top_k(df).collect())
+    assert got == sorted(tuple(r) for r in topk.top_k(df, block=7, shard=64, group=128, partitions=2).collect())
     v = {i: np.pad(np.floor(64 * np.array(e)), (0, 8 - len(e))) for i, e in rows if i is not None and e is not None and np.isfinite(e).all()}
     want = []
     for q in v:
