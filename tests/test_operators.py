@@ -319,13 +319,11 @@ def test_lines_that_meet_are_united_without_their_pairs(spark, monkeypatch):
     assert {(r.node, r.component) for r in roads.proximity_merge(segs, "k").collect()} == expected
 
 
-def test_road_merging_does_not_return_unsettled_roads(spark):
-    segs = spark.createDataFrame([(1, ["a"], 0.0, 0.0, 10.0, 0.0), (2, ["a"], 15.0, 0.0, 30.0, 0.0)], "k long, names array<string>, x1 double, y1 double, x2 double, y2 double")
-    try:
-        roads.merge_roads(segs, "k", "names", 20.0, rounds=1)
-        raise AssertionError
-    except RuntimeError as e:
-        assert "settle" in str(e)
+def test_road_merging_goes_on_until_it_settles(spark):
+    """Side streets along a road, each of which shares a name only with the one before: a round adds one, as the road takes on its names."""
+    rows = [(0, ["n0"], 0.0, 0.0, 1000.0, 0.0)] + [(k, [f"n{k - 1}", f"n{k}"], 100.0 * k, 10.0, 100.0 * k, 15.0) for k in (1, 2, 3)] + [(9, ["n3"], 900.0, 500.0, 950.0, 500.0)]
+    segs = spark.createDataFrame(rows, "k long, names array<string>, x1 double, y1 double, x2 double, y2 double")
+    assert {r.k: r.road for r in roads.merge_roads(segs, "k", "names", 20.0).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
 
 
 def test_filters_and_matching(spark):
