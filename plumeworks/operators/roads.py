@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DUBLIN, Settings
 from ..functions import geometry as G
-from ..functions import planar
+from ..functions import planar, polygons
 from ..functions import strings as S
 from .graphs import connected_components, cut_lineage
 from .rows import map_rows, with_fields
@@ -350,26 +350,8 @@ def cut_roads(roads: DataFrame, key: str, lines: str, limit: float = 35.0, least
 
 
 def clip_line(line: Line, ring: Line) -> list[Line]:
-    """The parts of a line inside a convex or other simple polygon, by cutting at every crossing and testing middles."""
-    out: list[Line] = []
-    for a, b in zip(line, line[1:]):
-        ts = {0.0, 1.0}
-        for c, d in zip(ring, ring[1:]):
-            den = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
-            if den:
-                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / den
-                u = ((c[0] - a[0]) * (b[1] - a[1]) - (c[1] - a[1]) * (b[0] - a[0])) / den
-                if 0 <= t <= 1 and 0 <= u <= 1:
-                    ts.add(t)
-        cuts = sorted(ts)
-        for s, t in zip(cuts, cuts[1:]):
-            p, q = ((a[0] + (b[0] - a[0]) * v, a[1] + (b[1] - a[1]) * v) for v in (s, t))
-            if inside(ring, (p[0] + q[0]) / 2, (p[1] + q[1]) / 2):
-                if out and math.dist(out[-1][-1], p) < 1e-12:
-                    out[-1].append(q)
-                else:
-                    out.append([p, q])
-    return out
+    """The parts of a line inside a simple ring."""
+    return polygons.clip_line(line, [ring])
 
 
 def inside(ring: Line, x: float, y: float) -> bool:
@@ -442,25 +424,29 @@ def clip_to_box(units: DataFrame, ring: str, box: tuple[float, float, float, flo
 
 
 def clip_lines_to_units(lines: DataFrame, units: DataFrame, key: str, line: str, unit: str, ring: str, size: float) -> DataFrame:
-    """``unit, key, line, length``: the parts of each line in each unit; of lines that have at most SLIVER in a unit, none. Grid cells of both boxes find the candidates."""
-    def boxed(df: DataFrame, g: str) -> DataFrame:
-        xs, ys = F.transform(g, lambda p: p["x"]), F.transform(g, lambda p: p["y"])
+    """``unit, key, line, length``: the parts of each line in each unit; of lines that have at most SLIVER in a unit, none.
+
+    A unit is a ring or a polygon, an array of rings of which those inside another are
+    holes. Grid cells of both boxes find the candidates. Null and empty shapes give no row.
+    """
+    def boxed(df: DataFrame, points: Column) -> DataFrame:
+        xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
         return cover(df, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), size)
 
-    found = boxed(lines, line).join(boxed(units, ring), ["__cx", "__cy"]).select(unit, key).distinct()
-    pairs = found.join(lines.select(key, line), key).join(units.select(unit, ring), unit)
+    flat = dict(units.dtypes)[ring].count("array<") == 1
+    mine = lines.where(F.size(line) > 1).select(F.col(key).alias("__key"), F.col(line).alias("__line"))
+    of = units.select(F.col(unit).alias("__unit"), (F.array(ring) if flat else F.col(ring)).alias("__rings")).where(F.size(F.flatten("__rings")) > 0)
+    found = boxed(mine, F.col("__line")).join(boxed(of, F.flatten("__rings")), ["__cx", "__cy"]).select("__unit", "__key").distinct()
+    pairs = found.join(mine, "__key").join(of, "__unit").select("__unit", "__key", "__line", "__rings")
 
-    def run(parts):
-        for pdf in parts:
-            rows = []
-            for u, k, ln, rg in zip(pdf[unit], pdf[key], pdf[line], pdf[ring]):
-                cut = clip_line([(q["x"], q["y"]) for q in ln], [(q["x"], q["y"]) for q in rg])
-                if sum(map(length, cut)) > SLIVER:
-                    rows += [(u, k, [{"x": x, "y": y} for x, y in p], length(p)) for p in cut]
-            yield pd.DataFrame(rows, columns=[unit, key, "line", "length"])
-
-    kinds = {**dict(units.dtypes), **dict(lines.dtypes)}
-    return pairs.select(unit, key, line, ring).mapInPandas(run, f"{unit} {kinds[unit]}, {key} {kinds[key]}, line array<struct<x:double,y:double>>, length double")
+    def cut(row: dict):
+        parts = polygons.clip_line(_line(row["__line"]), [_line(r) for r in row["__rings"]])
+        if sum(map(length, parts)) > SLIVER:
+            for p in parts:
+                yield {"__unit": row["__unit"], "__key": row["__key"], "line": _points(p), "length": length(p)}
+
+    out = map_rows(pairs, cut, with_fields(pairs, "line array<struct<x:double,y:double>>, length double", ("__line", "__rings")))
+    return out.withColumnsRenamed({"__unit": unit, "__key": key})
 
 
 def proximity_merge(segs: DataFrame, key: str, near: float = 1e-4) -> DataFrame:

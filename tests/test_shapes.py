@@ -106,3 +106,11 @@ def test_houses_with_their_adjacency(spark):
     assert got == {0: pytest.approx(2 / 3), 1: pytest.approx(2 / 3), 2: pytest.approx(2 / 3), 3: 1.0, 9: None}
     inside = nodes.buildings_by_unit(df.withColumns({"unit": F.lit(1), "footprint_area": F.col("a")}), spark.createDataFrame([(1, 1000.0), (2, 10.0)], "unit int, total double"), "unit", ["height"], unit_area="total")
     assert {r.unit: (r.build_cover_area, r.build_cover_share) for r in inside.collect()} == {1: (400.0, 0.4), 2: (0.0, 0.0)}
+
+
+def test_lines_clipped_to_polygons(spark):
+    lines = spark.createDataFrame([(1, [(-1.0, 3.0), (7.0, 3.0)]), (2, [(5.0, 5.0), (5.0, 5.05)]), (3, None), (4, [(1.0, 1.0)])], f"id long, line array<{P}>")
+    units = spark.createDataFrame([("a", [square(0, 0, 6.0), square(2, 2, 2.0)]), ("b", None), ("c", []), ("d", [square(4, 4, 2.0)])], f"unit string, ring array<array<{P}>>")
+    got = sorted((r.unit, r.id, r.length, r.line[0].x) for r in roads.clip_lines_to_units(lines, units, "id", "line", "unit", "ring", 2.0).collect())
+    assert got == [("a", 1, 2.0, 0.0), ("a", 1, 2.0, 4.0)]  # the second line is a sliver
+    assert roads.clip_lines_to_units(lines.limit(0), units, "id", "line", "unit", "ring", 2.0).count() == 0
