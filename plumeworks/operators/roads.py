@@ -412,13 +412,17 @@ def common_area(feature: Line, unit: Line) -> float:
 
 
 def clip_to_box(units: DataFrame, ring: str, box: tuple[float, float, float, float]) -> DataFrame:
-    """Units with their rings cut to (x, y, x, y); those outside are left out, other columns stay."""
+    """Units with their rings cut to (x, y, x, y); those that share no area with it are left out, also where they touch it, and other columns stay."""
     x1, y1, x2, y2 = box
     corners = [(x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1)]
 
+    def cut(points: list) -> list:
+        left = clip_polygon([(q["x"], q["y"]) for q in points], corners)
+        return [{"x": x, "y": y} for x, y in left] if polygons.twice_area(left) else []
+
     def run(parts):
         for pdf in parts:
-            yield pdf.assign(**{ring: [[{"x": x, "y": y} for x, y in clip_polygon([(q["x"], q["y"]) for q in r], corners)] for r in pdf[ring]]})
+            yield pdf.assign(**{ring: [cut(r) for r in pdf[ring]]})
 
     return units.where(F.size(ring) > 3).mapInPandas(run, units.schema).where(F.size(ring) > 3)
 

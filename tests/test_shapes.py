@@ -62,6 +62,12 @@ def test_centroids(spark):
     assert got[4] == (1.0, 0.0) and got[5] == got[6] == got[7] == (None, None)
 
 
+def test_units_that_only_touch_a_box_are_left_out(spark):
+    rings = [(1, square(10, 8, 4.0)), (2, square(8, 8, 4.0)), (3, square(10, 10, 4.0)), (4, square(-4, -2, 4.0)), (5, square(2, 2, 1.0))]
+    got = roads.clip_to_box(spark.createDataFrame(rings, f"id long, ring array<{P}>"), "ring", (0.0, 0.0, 10.0, 10.0))
+    assert {r.id: r.a for r in got.select("id", G.area(F.col("ring")).alias("a")).collect()} == {2: 4.0, 5: 1.0}
+
+
 def test_units_inside_others_are_connected(spark):
     rings = [(1, square(0, 0, 10.0)), (2, square(2, 2, 2.0)), (3, square(20, 0, 5.0)), (4, square(25, 5, 5.0)), (5, square(41, 0, 1.0))]
     u = spark.createDataFrame(rings, f"id long, ring array<{P}>")
