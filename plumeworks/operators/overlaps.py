@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spatial import segments
 
 
-def overlapping_lines(lines: DataFrame, key: str, line: str, close: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+#: Sine of the angle up to which a line goes straight on at a point.
+STRAIGHT = 1e-9
+
+
+def turns(line: Column) -> Column:
+    """A line's ends and the points where it turns, without repeats in a row."""
+    p = F.filter(line, lambda p, k: (k == 0) | (p["x"] != F.get(line, k - 1)["x"]) | (p["y"] != F.get(line, k - 1)["y"]))
+
+    def kept(q: Column, b: Column, k: Column) -> Column:
+        a, c = F.get(q, k - 1), F.get(q, k + 1)
+        dx, dy, ex, ey = b["x"] - a["x"], b["y"] - a["y"], c["x"] - b["x"], c["y"] - b["y"]
+        on = (F.abs(dx * ey - dy * ex) <= STRAIGHT * F.sqrt((dx * dx + dy * dy) * (ex * ex + ey * ey))) & (dx * ex + dy * ey > 0)
+        return ~F.coalesce(on, F.lit(False))
+
+    # as a lambda's variable the points are made once, not anew for each of them
+    return F.get(F.transform(F.array(p), lambda q: F.filter(q, lambda b, k: kept(q, b, k))), 0)
+
+
+def overlapping_lines(lines: DataFrame, key: str, line: str, close: float = 1e-6, drawn: bool = True) -> tuple[DataFrame, DataFrame]:
     """(pairs ``a, b, shared, relation``, members ``key, representative``).
 
     Lines with the same points in either direction are one, by their smallest key; pairs
-    (a < b) are of representatives. ``shared`` is the length that both have in common;
+    (a < b) are of representatives. Without ``drawn``, points where a line goes straight
+    on make no difference: lines that turn at the same places are one. ``shared`` is the length that both have in common;
     relation is ``equal`` (other points, the same places), ``within`` (all of a runs
     along b), ``contains`` (all of b along a) or ``overlaps``. Lines that only cross or
     touch share no length and give no pair. Places within ``close`` count as one; lines
@@ -22,7 +41,8 @@ def overlapping_lines(lines: DataFrame, key: str, line: str, close: float = 1e-6
     A segment is cut at cells along its longer axis. In a cell, segments on one straight
     line have the same height at the cell's middle, so that only these are compared.
     """
-    known = lines.where(F.col(line).isNotNull()).select(F.col(key).alias("__key"), F.least(F.col(line), F.reverse(line)).alias("__line"))
+    at = F.col(line) if drawn else turns(F.col(line))
+    known = lines.where(F.col(line).isNotNull()).select(F.col(key).alias("__key"), F.least(at, F.reverse(at)).alias("__line"))
     distinct = known.groupBy("__line").agg(F.min("__key").alias("__rep"))
     members = known.join(distinct, "__line").select(F.col("__key").alias(key), F.col("__rep").alias("representative"))
     segs = segments(distinct.select("__rep", "__line"), "__rep", "__line")

@@ -57,6 +57,16 @@ def test_copies_do_not_make_all_pairs(spark):
     assert pairs.count() == 0 and members.where("representative = 0").count() == 2000
 
 
+def test_points_on_a_straight_way_make_no_other_line(spark):
+    at = lambda *ts: [(7e5 + t, 5e6 - t) for t in ts]
+    bent = [(0.0, 0.0), (2.0, 0.0), (2.0, 3.0)]
+    lines = [(1, at(0.0, 9.0)), (2, at(0.0, 4.0, 4.0, 7.0, 9.0)), (3, at(9.0, 7.0, 0.0)), (4, at(0.0, 7.0)), (5, bent), (6, [*bent[::-1][:2], (1.0, 0.0), bent[0]]), (7, [(0.0, 0.0), (2.0, 3.0)]), (8, [(0.0, 0.0)]), (9, []), (10, None)]
+    df = spark.createDataFrame([(i, p, 0, 0, 0) for i, p in lines], LINES)
+    pairs, members = overlaps.overlapping_lines(df, "id", "line", drawn=False)
+    assert {r.id: r.representative for r in members.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 9: 9}
+    assert [(r.a, r.b, round(r.shared, 6), r.relation) for r in pairs.collect()] == [(1, 4, round(7 * 2**0.5, 6), "contains")]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_natural_breaks_have_the_least_deviation(seed):
     rnd = random.Random(seed)
