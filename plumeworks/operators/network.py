@@ -156,12 +156,15 @@ def match_to_roads(points: DataFrame, roads: DataFrame, chunk: str, order: list[
     leaves the cells of ``width`` along the chunk, and the cells around these, is not
     found. A null coordinate is a point without candidates; repeated points are points
     of their own; without roads all are unmatched. Columns of points by the four names
-    are replaced.
+    are replaced. Segments with the same ends, in either direction, are one way: that of
+    the smallest key and, in it, the earliest.
     """
     new = ["road", "matched_x", "matched_y", "match_dist"]
     points = points.drop(*new)
     kind, ends = dict(roads.dtypes)[key], ["x1", "y1", "x2", "y2"]
     segs = segments(roads, key, line).select(F.col(key).alias("__k"), "n", *ends).dropna()
+    p, q = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    segs = segs.groupBy(F.least(p, q).alias("p"), F.greatest(p, q).alias("q")).agg(F.min(F.struct("__k", "n", *ends)).alias("s")).select("s.*")
     wide = cover(segs, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), width)
     near = _corridors(points, chunk, order, x, y, width).join(wide, ["__cx", "__cy"]).select(F.col(chunk).alias("__chunk"), "__k", "n", *ends).distinct()
 

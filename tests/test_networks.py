@@ -95,3 +95,12 @@ def test_days_are_matched_on_the_ways(spark):
     assert at() == {0: (20, 0), 1: (60, 0), 2: (101, 0), 3: (140, 0), 4: (140, 900)}
     assert at(match_by="snap") == {0: (20, 0), 1: (60, 0), 2: (100, 6), 3: (140, 0), 4: (140, 900)}
     assert at(match_by="none") == {i: (x, y) for i, x, y in rows}
+
+
+def test_repeated_segments_are_one_way(spark):
+    """With copies as roads of their own, a change to a copy at the road's end comes nearer to the straight line than going on."""
+    there, back = [(0.0, 0.0), (100.0, 0.0)], [(100.0, 0.0), (0.0, 0.0)]
+    roads = spark.createDataFrame([(k, there if k % 2 else back) for k in range(1, 40)], f"id long, {LINE}")
+    points = spark.createDataFrame([(0, "c", 10.0, 5**0.5), (1, "c", 0.5, -(5**0.5))], "i long, chunk string, x double, y double")
+    got = sorted((r.i, r.road, r.matched_x, r.matched_y) for r in network.match_to_roads(points, roads, "chunk", ["i"], "id", "line").collect())
+    assert got == [(0, 1, 10.0, 0.0), (1, 1, 0.5, 0.0)]
