@@ -51,6 +51,7 @@ class Roads:
         self.segs, self.length = segs, np.hypot(segs[:, 2] - segs[:, 0], segs[:, 3] - segs[:, 1])
         _, node = np.unique(np.r_[segs[:, :2], segs[:, 2:]].round(PLACES) + 0.0, axis=0, return_inverse=True)
         self.ends = node.reshape(2, -1).T
+        self._ends, self._length = self.ends.tolist(), self.length.tolist()
         self.out: dict[int, list[tuple[int, float]]] = {}
         for (u, v), n in zip(self.ends.tolist(), self.length.tolist()):
             self.out.setdefault(u, []).append((v, n))
@@ -77,11 +78,11 @@ class Roads:
         """The way between places (segment, metres from its first end) along the roads; infinite beyond the limit."""
         (i, s), (j, t) = a[:2], b[:2]
         best = abs(s - t) if i == j else math.inf
-        for u, leave in zip(self.ends[i], (s, self.length[i] - s)):
+        for u, leave in zip(self._ends[i], (s, self._length[i] - s)):
             if leave <= limit:
-                known = self.ways(int(u), limit)
-                for v, enter in zip(self.ends[j], (t, self.length[j] - t)):
-                    best = min(best, leave + known.get(int(v), math.inf) + enter)
+                known = self.ways(u, limit)
+                for v, enter in zip(self._ends[j], (t, self._length[j] - t)):
+                    best = min(best, leave + known.get(v, math.inf) + enter)
         return best if best <= limit else math.inf
 
 
