@@ -15,7 +15,7 @@ from ..functions import geometry as G
 from ..functions import planar, polygons
 from ..functions import strings as S
 from .graphs import connected_components, cut_lineage
-from .rows import map_rows, with_fields
+from .rows import dealt, map_rows, with_fields
 from .spatial import cover, segments, within
 
 #: Pieces of this length and less are dropped when a line is cut.
@@ -460,6 +460,7 @@ def proximity_merge(segs: DataFrame, key: str, near: float = 1e-4) -> DataFrame:
 
 def unit_graph(units: DataFrame, key: str, ring: str, buffer: float = 0.0) -> DataFrame:
     """``a, b`` (a < b): units that, each widened by a buffer, touch: by their outlines, where distances stand for widened polygons, or as one lies inside the other."""
+    units = dealt(units.select(key, ring))
     edges = segments(units, key, ring).drop("n")
     size = _mean_length(edges)
     side = lambda axis: F.array_max(F.transform(ring, lambda p: p[axis])) - F.array_min(F.transform(ring, lambda p: p[axis]))

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import arrangements as A
 from ..functions import polygons as P
-from .rows import map_rows, with_fields
+from .rows import dealt, map_rows, with_fields
 from .spatial import cell, cover
 
 PARTS = "array<array<array<struct<x:double,y:double>>>>"
@@ -63,12 +63,6 @@ def _nested(s: A.Shapes) -> pa.ListArray:
     return of
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """The rows dealt to tasks evenly: a small file is read by one, whatever work its rows make."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
-
-
 def _combined(df: DataFrame, without: tuple[str, ...], shapes_: Callable[[pa.RecordBatch], A.Shapes], every: bool) -> DataFrame:
     """df without some columns and with ``parts, area`` of the shapes that a batch gives for each row; with ``every``, rows without parts are left out."""
     kind = with_fields(df, f"parts {PARTS}, area double", without)

@@ -32,12 +32,14 @@ def cover(df: DataFrame, low_x: Column, low_y: Column, high_x: Column, high_y: C
 
 def within(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, size: float, how: str = "inner") -> DataFrame:
     """Points with the polygons that contain them; the cells of each polygon's box are the join key."""
-    px, py, cx, cy = fresh([*points.columns, *polygons.columns], "px", "py", "cx", "cy")
+    px, py, cx, cy, *box = fresh([*points.columns, *polygons.columns], "px", "py", "cx", "cy", "x1", "y1", "x2", "y2")
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    of = cover(polygons, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), size, cx, cy)
+    boxed = polygons.withColumns(dict(zip(box, (F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))))
+    of = cover(boxed, *map(F.col, box), size, cx, cy)
+    inside = F.col(x).between(F.col(box[0]), F.col(box[2])) & F.col(y).between(F.col(box[1]), F.col(box[3]))  # before the outline is looked at
     left = points.withColumns({px: cell(F.col(x), size), py: cell(F.col(y), size)})
-    on = (F.col(px) == F.col(cx)) & (F.col(py) == F.col(cy)) & G.contains(F.col(ring), F.col(x), F.col(y))
-    return left.join(of, on, how).drop(px, py, cx, cy)
+    on = (F.col(px) == F.col(cx)) & (F.col(py) == F.col(cy)) & inside & G.contains(F.col(ring), F.col(x), F.col(y))
+    return left.join(of, on, how).drop(px, py, cx, cy, *box)
 
 
 def segments(lines: DataFrame, key: str, line: str) -> DataFrame:

@@ -76,6 +76,14 @@ def test_units_inside_others_are_connected(spark):
     assert {r.node for r in graphs.largest_component(roads.unit_graph(u, "id", "ring", 5.0), u.select("id")).collect()} == {1, 2, 3, 4}
 
 
+def test_work_on_few_rows_is_dealt_to_tasks(spark):
+    """A table in one partition makes its pairs and polygons in many."""
+    rings = spark.range(40).coalesce(1).select("id", F.array(*[F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (3, 0), (3, 3), (0, 3), (0, 0))]).alias("ring"))
+    assert shapes.buffers(rings, "id", "ring", 1.0).select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert "RoundRobinPartitioning" in roads.unit_graph(rings, "id", "ring")._jdf.queryExecution().executedPlan().toString()
+    assert roads.unit_graph(rings, "id", "ring").count() == 39 + 38 + 37
+
+
 def test_street_measures_merge_parts_and_round_ends(spark):
     tiny = 1e-9
     streets = [
