@@ -75,11 +75,19 @@ def within(xy: np.ndarray, segs: np.ndarray, reach: float) -> tuple[np.ndarray,
     return p, s, d
 
 
+def meets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether segments have a place in common, an end on the other one too: by the sides on which ends are, as a foot that is computed may be beside its segment."""
+    side = lambda p, x, y: (p[:, 2] - p[:, 0]) * (y - p[:, 1]) - (p[:, 3] - p[:, 1]) * (x - p[:, 0])
+    out = (side(a, b[:, 0], b[:, 1]) * side(a, b[:, 2], b[:, 3]) <= 0) & (side(b, a[:, 0], a[:, 1]) * side(b, a[:, 2], a[:, 3]) <= 0)
+    for c in (0, 1):  # those in one line
+        out &= (np.minimum(a[:, c], a[:, c + 2]) <= np.maximum(b[:, c], b[:, c + 2])) & (np.minimum(b[:, c], b[:, c + 2]) <= np.maximum(a[:, c], a[:, c + 2]))
+    return out
+
+
 def _close(a: np.ndarray, b: np.ndarray, near: float) -> np.ndarray:
-    """Whether segments come within a distance: by an end of one, or as they cross."""
+    """Whether segments come within a distance: by an end of one, or as they meet."""
     d = np.minimum(np.minimum(to_segments(a[:, 0], a[:, 1], b), to_segments(a[:, 2], a[:, 3], b)), np.minimum(to_segments(b[:, 0], b[:, 1], a), to_segments(b[:, 2], b[:, 3], a)))
-    side = lambda p, x, y: (p[:, 2] - p[:, 0]) * (y - p[:, 1]) - (p[:, 3] - p[:, 1]) * (x - p[:, 0])
-    return (d <= near) | ((side(a, b[:, 0], b[:, 1]) * side(a, b[:, 2], b[:, 3]) < 0) & (side(b, a[:, 0], a[:, 1]) * side(b, a[:, 2], a[:, 3]) < 0))
+    return (d <= near) | meets(a, b)
 
 
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..config import DUBLIN, Settings
 from ..functions import geometry as G
+from ..functions import pairs as pair_kernels
 from ..functions import planar, polygons
 from ..functions import strings as S
 from .graphs import connected_components, cut_lineage
 from .rows import dealt, map_rows, with_fields
-from .spatial import cover, segments, within
+from .shapes import flat
+from .spatial import cover, in_cells, segments
 
 #: Pieces of this length and less are dropped when a line is cut.
 SLIVER = 0.1
@@ -460,15 +465,23 @@ def proximity_merge(segs: DataFrame, key: str, near: float = 1e-4) -> DataFrame:
 
 def unit_graph(units: DataFrame, key: str, ring: str, buffer: float = 0.0) -> DataFrame:
     """``a, b`` (a < b): units that, each widened by a buffer, touch: by their outlines, where distances stand for widened polygons, or as one lies inside the other."""
-    units = dealt(units.select(key, ring))
-    edges = segments(units, key, ring).drop("n")
-    size = _mean_length(edges)
-    side = lambda axis: F.array_max(F.transform(ring, lambda p: p[axis])) - F.array_min(F.transform(ring, lambda p: p[axis]))
-    wide = units.agg(F.avg(F.greatest(side("x"), side("y")))).first()[0] or 1.0
-    first = units.where(F.size(ring) > 0).select(F.col(key).alias("__i"), F.col(ring)[0]["x"].alias("__x"), F.col(ring)[0]["y"].alias("__y"))
-    inside_ = within(first, units.where(F.size(ring) > 3).select(key, ring), "__x", "__y", ring, wide).where(F.col("__i") != F.col(key))
-    inner = inside_.select(F.least("__i", key).alias("a"), F.greatest("__i", key).alias("b"))
-    return near_pairs(edges, key, 2 * buffer, [], size).union(inner).distinct()
+    near, kind = 2 * buffer, StructType([StructField(c, units.schema[key].dataType) for c in ("a", "b")])
+    axis = lambda c: F.transform(ring, lambda p: p[c])
+    boxes = {"__x1": F.array_min(axis("x")), "__y1": F.array_min(axis("y")), "__x2": F.array_max(axis("x")), "__y2": F.array_max(axis("y"))}
+    of = dealt(units.select(key, ring)).where(F.col(key).isNotNull() & (F.size(ring) > 0)).select(F.col(key).alias("__key"), F.array(ring).alias("__rings"), *[c.alias(n) for n, c in boxes.items()])
+    wide = of.agg(F.avg(F.greatest(F.col("__x2") - F.col("__x1"), F.col("__y2") - F.col("__y1"))).alias("w"), (F.count("*") == F.count_distinct("__key")).alias("own")).first()
+    widened = of.withColumns({c: F.col(c) + (near if c.endswith("2") else -near) for c in boxes})
+
+    def run(l: pa.Table, r: pa.Table, pairs: Iterator, _: tuple) -> Iterator[pa.Table]:
+        one, other = (pair_kernels.Outlines.of(flat(t.column("__rings").combine_chunks())) for t in (l, r))
+        a, b = (t.column("__key").to_numpy() for t in (l, r))
+        for i, j in pairs:
+            some = np.flatnonzero(a[i] < b[j])
+            some = some[pair_kernels.touching(one, other, i[some], j[some], near)]
+            yield pa.table({"a": l.column("__key").take(pa.array(i[some])), "b": r.column("__key").take(pa.array(j[some]))})
+
+    found = in_cells(of, widened, max(wide.w or 1.0, 4 * near), run, kind)
+    return found if wide.own else found.distinct()
 
 
 def _mean_length(segs: DataFrame) -> float:

@@ -45,7 +45,7 @@ def _rows(parts: list[P.Polygon]) -> list:
     return [[[{"x": x, "y": y} for x, y in ring] for ring in part] for part in parts]
 
 
-def _flat(polygons: pa.ListArray) -> A.Shapes:
+def flat(polygons: pa.ListArray) -> A.Shapes:
     """A column of polygons as arrays."""
     levels, of = [], polygons
     for _ in range(2):
@@ -96,7 +96,7 @@ def clip_polygons(features: DataFrame, units: DataFrame, key: str, shape: str, u
     found = boxed(dealt(mine), "__shape", size, ("__x", "__y")).join(boxed(of, "__mask", size, ("__u", "__v")), ["__cx", "__cy"])
     first = (cell(F.greatest("__x", "__u"), size) == F.col("__cx")) & (cell(F.greatest("__y", "__v"), size) == F.col("__cy"))
     pairs = found.where(first).select("__unit", "__key", *kept, "__shape", "__mask")
-    both = lambda batch: _flat(batch.column("__shape")).side_by_side(_flat(batch.column("__mask")))
+    both = lambda batch: flat(batch.column("__shape")).side_by_side(flat(batch.column("__mask")))
     return _combined(pairs, ("__shape", "__mask"), both, True).withColumnsRenamed({"__unit": unit, "__key": key})
 
 

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
+from ..functions import pairs as K
 from ..functions import planar
 from .graphs import cut_lineage
 from .rows import fresh
@@ -18,6 +24,8 @@ from .rows import fresh
 FEW = 5000
 #: Segments in a cell of nearest_segment, about, and points that one task takes of it.
 CELL_SEGMENTS, SLICE = 4096, 50000
+#: Rows of either side that one task of in_cells takes of a cell, about.
+SIDE = 4096
 
 
 def cell(x: Column, size: float) -> Column:
@@ -30,6 +38,41 @@ def cover(df: DataFrame, low_x: Column, low_y: Column, high_x: Column, high_y: C
     return wide.withColumn(cy, F.explode(F.sequence(cell(low_y, size), cell(high_y, size))))
 
 
+def in_cells(left: DataFrame, right: DataFrame, size: float, run: Callable[[pa.Table, pa.Table, Iterator[tuple[np.ndarray, np.ndarray]], tuple[float, float]], Iterator[pa.Table]], kind: StructType) -> DataFrame:
+    """What ``run`` makes of the pairs of rows whose boxes ``__x1, __y1, __x2, __y2`` meet, each pair once.
+
+    The grid cells that a box touches deal the rows to tasks; a pair is found in the cell
+    of the boxes' common corner. A cell of many rows is cut into slices of about SIDE,
+    each slice of one side with each of the other. run has a slice's rows of both sides,
+    blocks of numbers of the rows that are pairs, and the cell's corner.
+    """
+    at, box, arrow = ["__cx", "__cy"], ["__x1", "__y1", "__x2", "__y2"], to_arrow_schema(kind)
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # left and right may be one table
+    sides = [cover(df, *map(F.col, box), size) for df in (left, right)]
+    slices = [s.groupBy(at).agg(F.ceil(F.count("*") / SIDE).alias(n)) for s, n in zip(sides, ("__m", "__n"))]
+    of = slices[0].join(slices[1], at)
+    by = [*at, "__s", "__t"]
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    dealt = []
+    for side, mine, other, s, t in ((sides[0], "__m", "__n", "__s", "__t"), (sides[1], "__n", "__m", "__t", "__s")):
+        cut = side.join(of, at).withColumn(s, F.pmod(F.xxhash64(*box), F.col(mine))).withColumn(t, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        dealt.append(cut.drop("__m", "__n").repartition(tasks, *by).groupBy(by))
+
+    def pairs(key: tuple, l: pa.Table, r: pa.Table) -> pa.Table:
+        cx, cy = (k.as_py() for k in key[:2])
+        boxes = [[t.column(c).to_numpy() for c in box] for t in (l, r)]
+        first = lambda axis: [np.floor(b[axis] / size) == (cx, cy)[axis] for b in boxes]
+        (a, b), (c, d) = first(0), first(1)
+        found = K.boxes_that_meet(*boxes, a, b)
+        # the corner's cell is the greater of both boxes' first cells, by either axis
+        kept = ((i[some], j[some]) for i, j in found for some in [c[i] | d[j]])
+        made = [t.select(arrow.names).cast(arrow) for t in run(l, r, kept, (cx * size, cy * size))]
+        return pa.concat_tables(made) if made else arrow.empty_table()
+
+    return dealt[0].cogroup(dealt[1]).applyInArrow(pairs, kind)
+
+
 def within(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, size: float, how: str = "inner") -> DataFrame:
     """Points with the polygons that contain them; the cells of each polygon's box are the join key."""
     px, py, cx, cy, *box = fresh([*points.columns, *polygons.columns], "px", "py", "cx", "cy", "x1", "y1", "x2", "y2")

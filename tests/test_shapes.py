@@ -76,6 +76,15 @@ def test_units_inside_others_are_connected(spark):
     assert {r.node for r in graphs.largest_component(roads.unit_graph(u, "id", "ring", 5.0), u.select("id")).collect()} == {1, 2, 3, 4}
 
 
+def test_units_that_touch_by_a_part_of_a_side_are_connected(spark):
+    """A foot that is computed on an outline may lie beside it; sides that share a part touch all the same."""
+    sides = [(1, square(1800, 13, 187.0)), (2, square(1987, 64, 60.0)), (3, square(1041, 2, 98.0)), (4, square(1139, 29, 161.0)), (5, square(1048, 0, 2.0))]
+    got = roads.unit_graph(spark.createDataFrame(sides, f"id long, ring array<{P}>"), "id", "ring").collect()
+    assert {tuple(r) for r in got} == {(1, 2), (3, 4), (3, 5)} and len(got) == 3
+    rows = spark.createDataFrame([("b", square(0, 0, 2.0)), ("b", square(50, 0, 2.0)), ("a", square(1, 1, 2.0)), ("a", square(51, 1, 2.0)), (None, square(0, 0, 2.0)), ("c", [])], f"id string, ring array<{P}>")
+    assert [tuple(r) for r in roads.unit_graph(rows, "id", "ring").collect()] == [("a", "b")]  # keys of several rows
+
+
 def test_work_on_few_rows_is_dealt_to_tasks(spark):
     """A table in one partition makes its pairs and polygons in many."""
     rings = spark.range(40).coalesce(1).select("id", F.array(*[F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (3, 0), (3, 3), (0, 3), (0, 0))]).alias("ring"))
