@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import arrangements as A
+from ..functions import pairs as K
 from ..functions import polygons as P
 from .rows import dealt, map_rows, with_fields
-from .spatial import cell, cover
+from .spatial import cell, cover, in_cells
 
 PARTS = "array<array<array<struct<x:double,y:double>>>>"
 
@@ -82,17 +84,20 @@ def _combined(df: DataFrame, without: tuple[str, ...], shapes_: Callable[[pa.Rec
     return df.mapInArrow(run, kind)
 
 
-def clip_polygons(features: DataFrame, units: DataFrame, key: str, shape: str, unit: str, unit_shape: str, size: float, kept: list[str] | None = None) -> DataFrame:
+def clip_polygons(features: DataFrame, units: DataFrame, key: str, shape: str, unit: str, unit_shape: str, size: float, kept: list[str] | None = None, drawn: bool = True) -> DataFrame:
     """``unit, key, <kept>, parts, area``: each feature cut to each unit that it shares an area with.
 
     Grid cells of ``size`` that both boxes touch find the pairs, each in the cell where
     the boxes' common corner is; pairs are cut in tasks, many at once. Null and empty
     shapes, and pairs that only touch, give no row; rows are features and units of their
-    own, also where keys are repeated. Empty tables give none.
+    own, also where keys are repeated. Empty tables give none. drawn: without it there
+    are no ``parts``, and areas come from the edges of both, see pairs.common_areas.
     """
     kept = kept or []
     mine = features.select(F.col(key).alias("__key"), *kept, rings(features, shape).alias("__shape")).where(F.col("__shape").isNotNull())
     of = units.select(F.col(unit).alias("__unit"), rings(units, unit_shape).alias("__mask")).where(F.col("__mask").isNotNull())
+    if not drawn:
+        return _areas(mine, of, kept, size).withColumnsRenamed({"__unit": unit, "__key": key})
     found = boxed(dealt(mine), "__shape", size, ("__x", "__y")).join(boxed(of, "__mask", size, ("__u", "__v")), ["__cx", "__cy"])
     first = (cell(F.greatest("__x", "__u"), size) == F.col("__cx")) & (cell(F.greatest("__y", "__v"), size) == F.col("__cy"))
     pairs = found.where(first).select("__unit", "__key", *kept, "__shape", "__mask")
@@ -100,6 +105,27 @@ def clip_polygons(features: DataFrame, units: DataFrame, key: str, shape: str, u
     return _combined(pairs, ("__shape", "__mask"), both, True).withColumnsRenamed({"__unit": unit, "__key": key})
 
 
+def _areas(mine: DataFrame, of: DataFrame, kept: list[str], size: float) -> DataFrame:
+    """``__unit, __key, <kept>, area`` of each pair that shares an area."""
+    kind = StructType([of.schema["__unit"], mine.schema["__key"], *[mine.schema[c] for c in kept], StructField("area", DoubleType())])
+    names = [f.name for f in kind[1:-1]]
+
+    def with_box(df: DataFrame, polygon: str) -> DataFrame:
+        xs, ys = (F.transform(F.flatten(polygon), lambda p: p[axis]) for axis in ("x", "y"))
+        of = {"__x1": F.array_min(xs), "__y1": F.array_min(ys), "__x2": F.array_max(xs), "__y2": F.array_max(ys)}
+        return df.where(F.size(F.flatten(polygon)) > 0).withColumns(of)
+
+    def run(l: pa.Table, r: pa.Table, pairs: Iterator, corner: tuple[float, float]) -> Iterator[pa.Table]:
+        one, other = (K.Areas(flat(t.column(c).combine_chunks()), corner) for t, c in ((l, "__shape"), (r, "__mask")))
+        left, right = l.select(names).combine_chunks(), r.select(["__unit"]).combine_chunks()
+        for i, j in pairs:
+            area = K.common_areas(one, other, i, j)
+            some = np.flatnonzero(area)
+            yield pa.table([*right.take(pa.array(j[some])).columns, *left.take(pa.array(i[some])).columns, pa.array(area[some])], kind.names)
+
+    return in_cells(with_box(dealt(mine), "__shape"), with_box(of, "__mask"), size, run, kind)
+
+
 def buffers(df: DataFrame, key: str, lines: str, radius: float, quarter: int = 16, filled: bool = False) -> DataFrame:
     """``key, parts, area``: all places within a radius of each row's line, or array of lines, with round joins of ``4 * quarter`` sides a circle.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumeworks.functions import geometry as G
-from plumeworks.operators import graphs, nodes, roads, shapes
+from plumeworks.operators import graphs, nodes, roads, shapes, spatial
 
 P = "struct<x:double,y:double>"
 
@@ -24,6 +24,22 @@ def test_clipped_polygons(spark):
     assert shapes.clip_polygons(f.limit(0), u, "id", "shape", "unit", "ring", 3.0).count() == 0 == shapes.clip_polygons(f, u.limit(0), "id", "shape", "unit", "ring", 3.0).count()
 
 
+def test_areas_of_clipped_polygons_without_their_parts(spark, monkeypatch):
+    """The same pairs and areas as with parts: boxes with holes, slanted and many-sided shapes, and cells cut into slices."""
+    around = lambda n, x, y, r: [(x + r * math.cos(2 * math.pi * k / n + 0.3), y + r * math.sin(2 * math.pi * k / n + 0.3)) for k in (*range(n), 0)]
+    boxes = [(k, [square(2 * k, k, 6.0), square(2 * k + 2, k + 2, 2.0)][:: (-1) ** k], f"k{k}") for k in range(8)] + [(50, None, "n"), (51, [], "e"), (52, [[]], "r")]
+    bent = [(20 + k, [around(3 + 2 * k, 1.5 * k, k, 4.0), around(3, 1.5 * k, k, 1.0)[::-1]], "s") for k in range(8)]
+    masks = [(7, [square(-1, 2, 8.0)]), (8, [square(6, 0, 4.0), square(7, 1, 1.0)]), (9, [square(20, 7, 3.0)]), (10, None)]
+    monkeypatch.setattr(spatial, "SIDE", 2)
+    for features, units in ((boxes, masks), (boxes + bent, [*masks, (11, [around(12, 5.0, 5.0, 6.0), around(5, 5.0, 5.0, 2.0)])])):
+        f, u = spark.createDataFrame(features, f"id long, shape array<array<{P}>>, kind string"), spark.createDataFrame(units, f"unit long, ring array<array<{P}>>")
+        drawn, plain = (shapes.clip_polygons(f, u, "id", "shape", "unit", "ring", 3.0, ["kind"], d) for d in (True, False))
+        got = plain.collect()
+        assert plain.columns == ["unit", "id", "kind", "area"] and len(got) == len({(r.unit, r.id) for r in got}) > 5
+        assert {(r.unit, r.id, r.kind): r.area for r in got} == pytest.approx({(r.unit, r.id, r.kind): r.area for r in drawn.collect()}, abs=1e-9)
+    assert shapes.clip_polygons(f.limit(0), u, "id", "shape", "unit", "ring", 3.0, drawn=False).count() == 0
+
+
 def G_area(ring):
     return abs(sum(a.x * b.y - b.x * a.y for a, b in zip(ring, ring[1:]))) / 2
 
